@@ -147,6 +147,14 @@ def _past_split(df: DataFrame, past: Past, levels, order: list[str], block_rows:
     return out
 
 
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, or None if there are none."""
+    if hot_rows is None:
+        return None
+    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
 def history(
     df: DataFrame,
     base: list[str],
@@ -160,15 +168,17 @@ def history(
 
     Keys of at most ``hot_rows`` rows share one shuffle on ``base`` and plain
     windows. Hotter keys (at most rows / hot_rows of them, so the broadcast list
-    is bounded) are split by slot and block. ``hot_rows=None`` states that no key
-    is hot. Both ways give the same rows.
+    is bounded) are split by slot and block. Whether there are any is asked once,
+    by a count per key that reads the key columns only; ``hot_rows=None`` states
+    that none is. Both ways give the same rows.
     """
     for p in pasts:
         if p.frames and max(k for _, _, k in p.frames.values()) > block_rows:
             raise ValueError("a frame is longer than a block")
-    if hot_rows is None:
+    hot = hot_keys(df, base, hot_rows)
+    if hot is None:
         return reduce(lambda d, p: _past_in_one_task(d, p, order), pasts, df)
-    hot = F.broadcast(df.groupBy(*base).count().filter(F.col("count") > hot_rows).select(*base))
+    hot = F.broadcast(hot)
     cold_rows = df.join(hot, base, "left_anti").select(*df.columns)
     hot_part = df.join(hot, base, "left_semi").select(*df.columns)
     cold_out = reduce(lambda d, p: _past_in_one_task(d, p, order), pasts, cold_rows)
