@@ -151,20 +151,20 @@ def w10(spark, sf):
 
 _SHIFT = """, n AS (SELECT patch, COUNT(*) AS rows_n, CAST(split_part(patch, '.', 1) AS INT) * 100 + CAST(split_part(patch, '.', 2) AS INT) AS no FROM fx_wide GROUP BY patch),
 sq AS (SELECT patch, rows_n, LAG(patch) OVER (ORDER BY no, patch) AS prev FROM n),
-ch AS (SELECT patch, COUNT(DISTINCT c) AS div FROM (SELECT patch, UNNEST([top_champion, jng_champion, mid_champion, bot_champion, sup_champion]) AS c FROM fx_wide) GROUP BY patch),
+pch AS (SELECT patch, COUNT(DISTINCT c) AS div FROM (SELECT patch, UNNEST([top_champion, jng_champion, mid_champion, bot_champion, sup_champion]) AS c FROM fx_wide) GROUP BY patch),
 tm AS (SELECT patch, COALESCE(VAR_SAMP(m), 0e0) AS v, COUNT(*) AS teams FROM (SELECT patch, team, AVG(CAST(result AS DOUBLE)) AS m FROM fx_wide GROUP BY patch, team) GROUP BY patch),
-ln AS (SELECT patch, AVG(game_length) AS len FROM fx_wide GROUP BY patch),
-st AS (SELECT sq.patch, rows_n, prev, div, v, teams, len FROM sq JOIN ch USING (patch) JOIN tm USING (patch) JOIN ln USING (patch)),
+pln AS (SELECT patch, AVG(game_length) AS len FROM fx_wide GROUP BY patch),
+st AS (SELECT sq.patch, rows_n, prev, div, v, teams, len FROM sq JOIN pch USING (patch) JOIN tm USING (patch) JOIN pln USING (patch)),
 ok AS (SELECT * FROM st WHERE rows_n >= 10),
 sh AS (SELECT c.patch, (c.div - p.div) / CAST(p.div AS DOUBLE) AS d, (c.len - p.len) / p.len AS g, ABS(c.v - p.v) AS b FROM ok c JOIN ok p ON c.prev = p.patch),
 tc AS (SELECT patch, top_champion AS c, COUNT(*) AS k FROM fx_wide GROUP BY 1, 2),
-tp AS (SELECT patch, c, k / CAST(rows_n AS DOUBLE) AS s FROM tc JOIN n USING (patch) WHERE rows_n >= 5),
+tps AS (SELECT patch, c, k / CAST(rows_n AS DOUBLE) AS s FROM tc JOIN n USING (patch) WHERE rows_n >= 5),
 pr AS (SELECT s.patch, s.prev FROM sq s JOIN n a ON s.patch = a.patch AND a.rows_n >= 5 JOIN n b ON s.prev = b.patch AND b.rows_n >= 5),
-un AS (SELECT pr.patch, c FROM pr JOIN tp ON tp.patch = pr.patch UNION SELECT pr.patch, c FROM pr JOIN tp ON tp.patch = pr.prev),
-pk AS (SELECT un.patch, AVG(ABS(COALESCE(a.s, 0e0) - COALESCE(b.s, 0e0))) AS m FROM un JOIN pr ON un.patch = pr.patch
-  LEFT JOIN tp a ON a.patch = un.patch AND a.c = un.c LEFT JOIN tp b ON b.patch = pr.prev AND b.c = un.c GROUP BY un.patch),
+un AS (SELECT pr.patch, c FROM pr JOIN tps ON tps.patch = pr.patch UNION SELECT pr.patch, c FROM pr JOIN tps ON tps.patch = pr.prev),
+pks AS (SELECT un.patch, AVG(ABS(COALESCE(a.s, 0e0) - COALESCE(b.s, 0e0))) AS m FROM un JOIN pr ON un.patch = pr.patch
+  LEFT JOIN tps a ON a.patch = un.patch AND a.c = un.c LEFT JOIN tps b ON b.patch = pr.prev AND b.c = un.c GROUP BY un.patch),
 fin AS (SELECT sq.patch, rows_n, COALESCE(d, 0e0) AS d, COALESCE(g, 0e0) AS g, COALESCE(b, 0e0) AS b,
-  COALESCE(1e0 - (ABS(d) + ABS(g) + b) / 3e0, 1e0) AS stab, COALESCE(m, 0e0) AS m FROM sq LEFT JOIN sh USING (patch) LEFT JOIN pk USING (patch))
+  COALESCE(1e0 - (ABS(d) + ABS(g) + b) / 3e0, 1e0) AS stab, COALESCE(m, 0e0) AS m FROM sq LEFT JOIN sh USING (patch) LEFT JOIN pks USING (patch))
 """
 
 

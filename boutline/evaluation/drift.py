@@ -54,7 +54,8 @@ def psi(long: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
         F.min(F.when(ref, F.col("value"))).alias("lo"), F.max(F.when(ref, F.col("value"))).alias("hi"),
         F.count_if(ref).alias("nr"), F.count_if(F.col("is_current")).alias("nc"),
     ).filter("nr > 0")
-    d = long.join(rng, keys)
+    # one row per feature name: no larger than the list of columns compared
+    d = long.join(F.broadcast(rng), keys)
     v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     step = (hi - lo) / F.lit(float(bins))
     b = reduce(lambda a, x: a + x, [(v >= lo + step * F.lit(float(i))).cast("int") for i in range(1, bins)], F.lit(0))
@@ -102,8 +103,10 @@ def decay_rate(df: DataFrame, keys: list[str], time: str, value: str, threshold:
 
     p-value and trend belong to the result row: see ``trend``.
     """
+    if not keys:
+        return decay_rate(df.withColumn("__all", F.lit(1)), ["__all"], time, value, threshold).drop("__all")
     first = df.groupBy(*keys).agg(F.min(time).alias("__t0"), F.max_by(value, time).alias("__last"), F.max(time).alias("__t1"))
-    d = df.join(first, keys) if keys else df.join(F.broadcast(first))  # one row
+    d = df.join(first, keys)
     day = (F.col(time).cast("double") - F.col("__t0").cast("double")) / 86400
     v = F.col(value)
     g = d.withColumns({"__d": day, "__dl": (F.col("__t1").cast("double") - F.col("__t0").cast("double")) / 86400}).groupBy(*keys).agg(

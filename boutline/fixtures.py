@@ -214,3 +214,31 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         add(n)
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in got) + "\n" + sql
+
+
+def drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every game as a prospective draft, some of them spoiled on purpose."""
+    from boutline.operators.lookups import game_pairs
+    from boutline.roles import ROLES
+
+    w = wide(spark, sf)
+    cols = ["team", "patch", "league", "split_name", "year", "playoffs", *[f"{p}_champion" for p in ROLE_PREFIX], *[f"{p}_player" for p in ROLE_PREFIX], *[f"ban{i}" for i in range(1, 6)]]
+    g = game_pairs(w, cols)
+    i = F.col("gameid")
+
+    def picks_of(s):
+        full = F.map_from_arrays(F.array(*[F.lit(r) for r in ROLES]), F.array(*[F.col(f"{s}_{p}_champion") for p in ROLE_PREFIX]))
+        return F.when((i % 26 == 0) & F.lit(s == "red"), F.map_filter(full, lambda k, v: k != "mid")).otherwise(full)
+
+    def bans_of(s):
+        full = F.array(*[F.col(f"{s}_ban{k}") for k in range(1, 6)])
+        return F.when((i % 22 == 0) & F.lit(s == "blue"), F.slice(full, 1, 4)).otherwise(full)
+
+    players = lambda s: F.map_from_arrays(F.array(*[F.lit(r) for r in ROLES]), F.array(*[F.col(f"{s}_{p}_player") for p in ROLE_PREFIX]))
+    return g.select(
+        i.alias("draft_id"), F.when(i % 34 == 0, F.lit("Nowhere")).otherwise(F.col("blue_team")).alias("blue_team"), F.col("red_team"),
+        picks_of("blue").alias("blue_picks"), picks_of("red").alias("red_picks"), bans_of("blue").alias("blue_bans"), bans_of("red").alias("red_bans"),
+        players("blue").alias("blue_players"), players("red").alias("red_players"),
+        F.col("blue_patch").alias("patch"), F.col("blue_league").alias("league"), F.col("blue_split_name").alias("split_name"),
+        F.col("blue_year").alias("year"), F.col("blue_playoffs").alias("playoffs"),
+    )

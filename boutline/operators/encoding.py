@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutline.plans.bounded import bounded
 from boutline.roles import MATCH, Roles
 
 
@@ -20,7 +21,7 @@ def leave_one_out(df: DataFrame, key: str, roles: Roles = MATCH, name: str | Non
     g = df.groupBy(key).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
     mean = g.agg(F.sum("__s") / F.sum("__n")).scalar()
     enc = F.when(F.col("__n") > 1, (F.col("__s") - y) / (F.col("__n") - 1)).otherwise(mean)
-    return df.join(g, key).withColumn(name or f"{key}_loo_encoded", enc).drop("__s", "__n")
+    return df.join(bounded(g), key).withColumn(name or f"{key}_loo_encoded", enc).drop("__s", "__n")
 
 
 def _shrunk(n: Column, s: Column, gn: Column, gs: Column) -> Column:

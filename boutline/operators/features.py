@@ -135,7 +135,7 @@ class FeatureModel:
     def role_champion(self) -> DataFrame:
         """(role, champion) -> characteristics, lane and archetype advantages."""
         chars = cut_lineage(lookups.champion_characteristics(self.train, self.roles)).drop("games", "wins", "primary_position")
-        lane = lookups.lane_summary(self.train, self.roles)
+        lane = lookups.lane_summary(self.train, self.roles)  # champions x five roles
         return cut_lineage(lane.join(chars, "champion", "left").withColumn("flexibility", F.col("flexibility").cast("double")))
 
     @cached_property
@@ -198,14 +198,15 @@ class FeatureModel:
 
     def bans(self, df: DataFrame) -> DataFrame:
         valid = F.filter(F.array(*[F.col(b) for b in self.roles.bans]), lambda x: x.isNotNull() & (x != NO_BAN) & (x != ""))
-        high = self.priority_bans.scalar()
-        return df.withColumns(
+        out = df.withColumn("__high", self.priority_bans.scalar())
+        out = out.withColumns(
             {
                 "ban_count": F.size(valid),
                 "ban_diversity": F.size(F.array_distinct(valid)),
-                "high_priority_bans": F.size(F.filter(valid, lambda x: F.array_contains(high, x))),
+                "high_priority_bans": F.size(F.filter(valid, lambda x: F.array_contains(F.col("__high"), x))),
             }
         )
+        return out.drop("__high")
 
     def past(self, df: DataFrame, past: str) -> DataFrame:
         """Team history: of the row itself (training rows) or the training
@@ -238,9 +239,24 @@ class FeatureModel:
             }
         )
 
+    @cached_property
+    def balanced(self) -> DataFrame:
+        """One row: role -> mean advantage of the Balanced archetype, which stands
+        in for champions the training rows never saw."""
+        arch = lookups.champion_archetypes(lookups.champion_characteristics(self.train, self.roles))
+        m = lookups.archetype_matchups(self.train, arch, self.roles).filter("archetype = 'Balanced'").groupBy("role").agg(F.avg("advantage").alias("v"))
+        return cut_lineage(m.agg(F.map_from_entries(F.collect_list(F.struct("role", "v"))).alias("m")))
+
     def lanes(self, df: DataFrame) -> DataFrame:
         names = ("lane_advantage", "lane_confidence", "archetype_advantage")
-        out = role_lookup(df, self.role_champion, [], {n: CHAMPION_DEFAULTS[n] for n in names}, True, self.roles)
+        values = {n: CHAMPION_DEFAULTS[n] for n in names} | {"archetype_advantage": None}
+        out = role_lookup(df, self.role_champion, [], values, True, self.roles)
+        other = self.balanced.scalar()
+        unseen = [
+            F.when(F.coalesce(F.col(c), F.lit(UNKNOWN)) == UNKNOWN, 0.5).otherwise(F.coalesce(F.element_at(other, F.lit(r)), F.lit(0.5)))
+            for c, r in zip(self.roles.champions, ROLES)
+        ]
+        out = out.withColumns({f"archetype_advantage_{i}": F.coalesce(f"archetype_advantage_{i}", u) for i, u in enumerate(unseen)})
         a = _cols("lane_advantage")
         out = out.withColumns(
             {

@@ -244,14 +244,15 @@ def head_to_head(df: DataFrame, roles: Roles = MATCH, min_games: int = 1) -> Dat
 
 
 def lane_summary(df: DataFrame, roles: Roles = MATCH) -> DataFrame:
-    """Per (role, champion): mean advantage and confidence over its co-occurring
-    champions, and the mean advantage of its archetype in the role."""
+    """Per role and champion (seen in any role): mean advantage and confidence over
+    its co-occurring champions, and the mean advantage of its archetype in the role."""
     arch = champion_archetypes(champion_characteristics(df, roles))
     lane = cooccurrence_matchups(df, roles).groupBy("role", "champion").agg(
         F.avg("advantage").alias("lane_advantage"), F.avg("confidence").alias("lane_confidence")
     )
     by_arch = archetype_matchups(df, arch, roles).groupBy("role", "archetype").agg(F.avg("advantage").alias("archetype_advantage"))
-    names = role_long(df, roles, []).groupBy("role", "champion").agg(F.lit(1).alias("x")).drop("x")
+    seen = role_long(df, roles, []).groupBy("champion").agg(F.lit(1).alias("x"))
+    names = seen.select("champion", F.explode(F.array(*[F.lit(r) for r in ROLES])).alias("role"))
     return (
         names.join(lane, ["role", "champion"], "left").join(arch, "champion", "left")
         .withColumn("archetype", F.coalesce("archetype", F.lit("Balanced")))

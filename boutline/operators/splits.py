@@ -35,10 +35,11 @@ def temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.15, roles:
 
 
 def _with_size(df: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
-    """Rows of groups of at least min_rows, with the group's size: a counted table
-    (one row per year) joined back."""
+    """Rows of groups of at least min_rows, with the group's size. The counted table
+    has one row per year (and label): as short as the calendar, so it is broadcast
+    and a year that holds a third of the rows is not shuffled to one task."""
     size = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows)
-    return df.join(size, keys)
+    return df.join(F.broadcast(size), keys)
 
 
 def stratified_temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.15, min_rows: int = 10, roles: Roles = MATCH) -> DataFrame:
