@@ -11,6 +11,7 @@ from boutline.operators.features import CANONICAL_48, FeatureModel
 from boutline.operators.filters import rolling_window
 from boutline.operators.splits import temporal_split
 from boutline.roles import MATCH, Roles
+from boutline.session import cut_lineage
 
 RUN_SCHEMA = "version string, created timestamp, metric string, value double, is_production boolean"
 
@@ -44,10 +45,10 @@ def retrain(matches: DataFrame, months: int = 30, min_rows: int = 1000, roles: R
     recent = rolling_window(matches, matches.agg(F.max(roles.time)).scalar(), months, roles)
     if recent.limit(min_rows).count() < min_rows:
         raise ValueError(f"fewer than {min_rows} rows in the window")
-    tagged = temporal_split(recent, roles=roles)
+    tagged = cut_lineage(temporal_split(recent, roles=roles))
     train = tagged.filter("split = 'train'").drop("_rank", "split")
     fm = FeatureModel.fit(train)
-    vec = fm.vector(train, "rows", [roles.row, roles.outcome])
+    vec = cut_lineage(fm.vector(train, "rows", [roles.row, roles.outcome]))  # the fit reads it many times
     model = fit_logistic(vec, list(CANONICAL_48))
     held = fm.vector(tagged.filter("split <> 'train'").drop("_rank"), "snapshot", [roles.row, roles.outcome, "split"])
     scored = predict(model, vec.withColumn("split", F.lit("train")), ["split"]).unionByName(predict(model, held, ["split"]))
