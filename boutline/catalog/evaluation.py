@@ -95,8 +95,8 @@ def m9(spark, sf):
     return M.mcnemar(p, "p_a", "p_b", ["split"]).select("split", "b", "c", r6("statistic"))
 
 
-_CUTS = " + ".join(f"CAST(u >= {c} AS INT)" for c in M.poisson_cuts())
-_BOOT = f""", bw AS (SELECT model, p, y_true, g * 8 + i AS replicate, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '-' || CAST(g AS VARCHAR)), 4 * i + 1, 4) AS INT) AS u
+_CUTS = " + ".join(f"CAST(u >= '{c}' AS INT)" for c in M.poisson_cuts())
+_BOOT = f""", bw AS (SELECT model, p, y_true, g * 8 + i AS replicate, substr(md5(CAST(event_id AS VARCHAR) || '-' || CAST(g AS VARCHAR)), 4 * i + 1, 4) AS u
   FROM fx_long, (SELECT UNNEST([0, 1, 2]) AS g), (SELECT UNNEST([0, 1, 2, 3, 4, 5, 6, 7]) AS i) WHERE g * 8 + i < 20),
 bx AS (SELECT model, replicate, p, y_true, {_CUTS} AS w FROM bw),
 bc AS (SELECT model, replicate, p, CAST(SUM(w * y_true) AS DOUBLE) AS pos, CAST(SUM(w * (1 - y_true)) AS DOUBLE) AS neg FROM bx GROUP BY 1, 2, 3),

@@ -10,6 +10,7 @@ from boutline.fixtures import with_views
 from boutline.operators import features, form, splits
 from boutline.operators.features import CANONICAL_48, PLAYER_7, FeatureModel
 from boutline.roles import ROLE_PREFIX
+from boutline.session import cut_lineage
 
 _CHAMP = [f"{p}_champion" for p in ROLE_PREFIX]
 _TE = {"league": "league", "team": "team", "patch": "patch", "split": "split_name", **{c: c for c in _CHAMP}}
@@ -70,6 +71,11 @@ def _v(names, args=ALL):
     return with_views(vector_sql(*args) + f"SELECT row_id, {_round(names)} FROM vec", "fx_wide")
 
 
+def _landed(spark, sf):
+    """The match table as a job would find it: written once, read by every step."""
+    return cut_lineage(fx.wide(spark, sf))
+
+
 def _out(d, names, key="row_id"):
     return d.select(key, *[r6(F.col(n).cast("double") + 1e-9, n) for n in names])
 
@@ -85,25 +91,25 @@ V8 = CANONICAL_48[24:31]
 
 @query("v1_composition_features", _v(V1))
 def v1(spark, sf):
-    w = fx.wide(spark, sf)
+    w = _landed(spark, sf)
     return _out(FeatureModel.fit(w).composition(w), V1)
 
 
 @query("v2_meta_features", _v(V2))
 def v2(spark, sf):
-    w = fx.wide(spark, sf)
+    w = _landed(spark, sf)
     return _out(FeatureModel.fit(w).meta(w), V2)
 
 
 @query("v3_ban_features", _v(V3))
 def v3(spark, sf):
-    w = fx.wide(spark, sf)
+    w = _landed(spark, sf)
     return _out(FeatureModel.fit(w).bans(w), V3)
 
 
 @query("v4_team_history", _v(V4))
 def v4(spark, sf):
-    w = fx.wide(spark, sf)
+    w = _landed(spark, sf)
     return _out(FeatureModel.fit(w).past(w, "rows"), V4)
 
 
@@ -122,19 +128,19 @@ def v5(spark, sf):
 
 @query("v6_context", _v(V6))
 def v6(spark, sf):
-    w = fx.wide(spark, sf)
+    w = _landed(spark, sf)
     return _out(FeatureModel.fit(w).context(w), V6)
 
 
 @query("v7_interactions", _v(V7))
 def v7(spark, sf):
-    w = fx.wide(spark, sf)
+    w = _landed(spark, sf)
     return _out(FeatureModel.fit(w).transform(w, "rows"), V7)
 
 
 @query("v8_lane_vector", _v(V8))
 def v8(spark, sf):
-    w = fx.wide(spark, sf)
+    w = _landed(spark, sf)
     return _out(FeatureModel.fit(w).lanes(w), V8)
 
 
@@ -161,7 +167,7 @@ en AS (SELECT v.row_id, gop AS games_on_patch, CASE WHEN gop < 3 THEN 1 ELSE 0 E
 
 @query("v9_enhanced_features", with_views(_ENH + f"SELECT row_id, {_round(ENH)} FROM en", "fx_wide"))
 def v9(spark, sf):
-    w = fx.wide(spark, sf)
+    w = _landed(spark, sf)
     return _out(FeatureModel.fit(w).enhanced(w, "rows"), ENH)
 
 
@@ -171,20 +177,22 @@ _DRAFT_ROWS = """SELECT gameid * 2 + CASE WHEN side = 'Red' THEN 1 ELSE 0 END AS
 
 
 def _train(spark, sf):
-    return FeatureModel.fit(fx.wide(spark, sf).filter("year < 1998"))
+    w = _landed(spark, sf)
+    return FeatureModel.fit(w.filter("year < 1998")), w
 
 
 @query("v10_draft_vectors", with_views(vector_sql(TRAIN, _DRAFT_ROWS, "snapshot") + f"SELECT row_id, {_round(CANONICAL_48)} FROM vec", "fx_wide"))
 def v10(spark, sf):
     from boutline.operators.drafts import side_rows
 
-    d = side_rows(fx.drafts(spark, sf))
-    return _out(_train(spark, sf).vector(d, "snapshot"), CANONICAL_48)
+    model, _ = _train(spark, sf)
+    return _out(model.vector(side_rows(fx.drafts(spark, sf)), "snapshot"), CANONICAL_48)
 
 
 @query("v11_fit_transform", _v(CANONICAL_48, (TRAIN, "SELECT * FROM fx_wide WHERE year >= 1998", "snapshot")))
 def v11(spark, sf):
-    return _out(_train(spark, sf).vector(fx.wide(spark, sf).filter("year >= 1998"), "snapshot"), CANONICAL_48)
+    model, w = _train(spark, sf)
+    return _out(model.vector(w.filter("year >= 1998"), "snapshot"), CANONICAL_48)
 
 
 @query(
@@ -196,7 +204,7 @@ def v11(spark, sf):
     ),
 )
 def v11s(spark, sf):
-    w = fx.wide(spark, sf).filter("year < 1998")
+    w = _landed(spark, sf).filter("year < 1998")
     cols = ["team_avg_winrate", "team_meta_strength", "team_recent_winrate", "team_lane_advantage"]
     m = FeatureModel.fit(w)
     d = m.lanes(m.past(m.meta(m.composition(w)), "rows")).select("row_id", *cols)
@@ -263,7 +271,8 @@ def v13(spark, sf):
 )
 def v14(spark, sf):
     # the columns of the vector built from the given tables
-    d = _train(spark, sf).vector_with_players(fx.wide(spark, sf), "rows", [])
+    model, w = _train(spark, sf)
+    d = model.vector_with_players(w, "rows", [])
     return features.feature_categories(d, d.columns).groupBy("category").agg(F.count("*").alias("features"))
 
 

@@ -33,7 +33,7 @@ COEF = {"team_avg_winrate": 0.8, "team_meta_strength": -0.4, "team_recent_winrat
 
 
 def _small(spark, sf):
-    w = fx.wide(spark, sf)
+    w = cut_lineage(fx.wide(spark, sf))
     m = FeatureModel.fit(w)
     return cut_lineage(m.lanes(m.past(m.meta(m.composition(w)), "rows")).select("row_id", *COEF))
 

@@ -171,46 +171,48 @@ def mcnemar(df: DataFrame, a: str, b: str, keys: list[str] | None = None, y: str
     return g.withColumn("statistic", F.when(F.col("b") + F.col("c") > 0, d * d / (F.col("b") + F.col("c"))).otherwise(F.lit(0.0)))
 
 
-# Cumulative Poisson(1) probabilities in units of 2^-16, so that a
-# 16-bit hash piece maps to a resampling weight: sum over k of exp(-1)/k!.
-def poisson_cuts() -> list[int]:
+def poisson_cuts() -> list[str]:
+    """Cumulative Poisson(1) probabilities in units of 2^-16 as four hex digits: a
+    16-bit piece of a hash maps to a resampling weight by text comparison."""
     import math
 
     c, out = 0.0, []
     for k in range(9):
         c += math.exp(-1) / math.factorial(k)
-        out.append(round(c * 65536))
-    return out
+        out.append(f"{round(c * 65536):04x}")
+    return [x for x in out if len(x) == 4]
 
 
-def bootstrap_weights(df: DataFrame, row: str, replicates: int) -> DataFrame:
-    """One row per (row, replicate) of positive Poisson(1) weight.
+def resampling_weight(digest: Column | str, i: int) -> Column:
+    """Poisson(1) weight from the i-th of eight pieces of an md5 text."""
+    u = F.substring(digest, 4 * i + 1, 4)
+    w = F.when(u < poisson_cuts()[0], 0)
+    for k, c in enumerate(poisson_cuts()[1:], 1):
+        w = w.when(u < c, k)
+    return w.otherwise(len(poisson_cuts()))
 
-    One md5 gives eight 16-bit pieces, hence eight replicates. The draw depends on
-    the row id only: the same after a lost task is run again.
+
+def bootstrap_metrics(df: DataFrame, keys: list[str], row: str, replicates: int = 200) -> DataFrame:
+    """Accuracy, Brier score and AUC of every replicate of a Poisson bootstrap.
+
+    One md5 of the row id serves eight replicates, whose weights are summed side by
+    side into (key, score) cells map-side; only cells are unfolded and ordered. The
+    draw depends on the row id only: the same after a lost task is run again.
     """
     groups = (replicates + 7) // 8
-    h = df.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn(
+    h = df.select(*keys, row, "y_true", "p", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__g")).withColumn(
         "__h", F.md5(F.concat(F.col(row).cast("string"), F.lit("-"), F.col("__g").cast("string")))
     )
-    cuts = poisson_cuts()
-
-    def weight(i):
-        u = F.conv(F.substring("__h", 4 * i + 1, 4), 16, 10).cast("int")
-        return reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in cuts])
-
-    items = F.array(*[F.struct((F.col("__g") * 8 + i).alias("replicate"), weight(i).alias("weight")) for i in range(8)])
-    keep = F.filter(items, lambda x: (x["weight"] > 0) & (x["replicate"] < replicates))
-    return h.select(*df.columns, F.explode(keep).alias("__x")).select(*df.columns, "__x.replicate", "__x.weight")
-
-
-def bootstrap_metrics(df: DataFrame, keys: list[str], row: str, replicates: int = 200) -> DataFrame:
-    """Accuracy, Brier score and AUC of every replicate. Weights are summed into
-    (key, replicate, score) cells map-side before anything is ordered."""
-    b = bootstrap_weights(df.select(*keys, row, "y_true", "p"), row, replicates)
+    hit = F.col("y_true") == 1
+    sums = []
+    for i in range(8):
+        w = resampling_weight("__h", i)
+        sums += [F.sum(F.when(hit, w).otherwise(0)).alias(f"p{i}"), F.sum(F.when(hit, 0).otherwise(w)).alias(f"n{i}")]
+    g = h.groupBy(*keys, "__g", "p").agg(*sums)
+    items = F.array(*[F.struct((F.col("__g") * 8 + i).alias("replicate"), F.col(f"p{i}").alias("pos"), F.col(f"n{i}").alias("neg")) for i in range(8)])
+    keep = F.filter(items, lambda x: (x["replicate"] < replicates) & (x["pos"] + x["neg"] > 0))
+    cells = g.select(*keys, "p", F.explode(keep).alias("x")).select(*keys, "p", "x.*")
     ks = [*keys, "replicate"]
-    w = F.col("weight")
-    cells = b.groupBy(*ks, "p").agg(F.sum(F.when(F.col("y_true") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y_true") == 0, w).otherwise(0)).alias("neg"))
     r = running(cells, ks, value_levels("p"), ["p"], {"below": ("sum", F.col("neg"))})
     p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
     n = F.sum(pos + neg)

@@ -7,6 +7,7 @@ serve batch rows and drafts, so both agree exactly.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -106,8 +107,8 @@ def _without(df: DataFrame, names) -> DataFrame:
 
 
 class FeatureModel:
-    """Lookups of one training set. Each is computed on first use and then kept
-    by a reliable checkpoint, because several joins and a size check read it."""
+    """Lookups of one training set. Each is computed on first use and then kept as a
+    table in the shared folder, because several joins and a size check read it."""
 
     def __init__(self, train: DataFrame, roles: Roles = MATCH, include_unknown: bool = False, hot_rows: int | None = HOT_ROWS):
         self.train, self.roles = train, roles
@@ -117,6 +118,14 @@ class FeatureModel:
     def fit(cls, train: DataFrame, **kw) -> "FeatureModel":
         return cls(train, **kw)
 
+    def prepare(self, *names: str) -> "FeatureModel":
+        """Compute lookups side by side: they are independent jobs, each too short
+        to fill a cluster."""
+        todo = [n for n in names or ("role_champion", "snapshot", "encoders", "teams", "patch_champion", "balanced") if n not in self.__dict__]
+        with ThreadPoolExecutor(max(len(todo), 1)) as pool:
+            list(pool.map(lambda n: getattr(self, n), todo))
+        return self
+
     @cached_property
     def encoder_columns(self) -> list[str]:
         r = self.roles
@@ -314,6 +323,8 @@ class FeatureModel:
     def transform(self, df: DataFrame, past: str = "snapshot", composition: str = "default") -> DataFrame:
         """The 48 features. ``composition='fitted'`` looks compositions up; the
         default is the constant 0.5 used by models trained without it."""
+        lookups_used = ("role_champion", "encoders", "teams", "patch_champion", "balanced")
+        self.prepare(*lookups_used, *(() if past == "rows" else ("snapshot",)))
         out = self.past(df, past)
         out = self.context(self.bans(self.meta(self.composition(out))))
         out = self.peers(self.lanes(out))

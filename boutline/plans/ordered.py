@@ -24,6 +24,11 @@ ID_CHUNK = 1 << 20
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
+# Slot of rows whose order value is null: before all others, as nulls sort. With it
+# the slots are never null, so no null filter tells the branches of a plan apart and
+# the slot aggregate is computed once and reused.
+_FIRST_VALUE = {"date": "0001-01-01", "string": "", "int": -(1 << 31), "bigint": -(1 << 62)}
+
 
 def _join(kind: str, a: Column, b: Column) -> Column:
     if kind == "sum":
@@ -75,6 +80,8 @@ def running(
     Keys must not be null. One shuffle of the rows, on (keys, slot)."""
     lv = [f"__l{i}" for i in range(len(levels))]
     src = df.withColumns({**dict(zip(lv, levels)), **{f"__m_{n}": c for n, (_, c) in measures.items()}})
+    types = dict(src.dtypes)
+    src = src.withColumns({c: F.coalesce(c, F.lit(_FIRST_VALUE[types[c]]).cast(types[c])) for c in lv})
     kinds = {n: k for n, (k, _) in measures.items()}
     slots = src.groupBy(*keys, *lv).agg(*[_AGG[k](f"__m_{n}").alias(n) for n, k in kinds.items()])
     offs = _slot_prefix(slots, keys, lv, kinds, descending)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,7 +21,7 @@ def build_session(app: str = "boutline", master: str | None = None, shuffle_part
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -40,9 +41,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    Later steps read what they need of it (columns, filters), its size is known to
+    the planner, and a lost executor repeats file reads only. The folder belongs to
+    the job: its owner removes it when the job is over.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(checkpoint_dir(spark), "frames"))
-    return df.checkpoint(eager=True)
+    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
