@@ -265,15 +265,25 @@ def v13(spark, sf):
     return d
 
 
+_FORM = ("overall_winrate", "recent_winrate", "form_trend", "performance_volatility", "patch_experience", "current_streak")
+
+
 @query(
     "v14_feature_categories",
-    "SELECT category, COUNT(*) AS features FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(feature, '{p}') THEN '{n}'" for n, p in features.CATEGORIES) + " END AS category FROM (SELECT UNNEST([" + ", ".join(f"'{c}'" for c in features.CANONICAL_55) + "]) AS feature)) GROUP BY category",
+    with_views(
+        ", k AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(feature, '{p}') THEN '{n}'" for n, p in features.CATEGORIES) + " END AS category FROM (SELECT UNNEST([" + ", ".join(f"'{c}'" for c in _FORM)
+        + "]) AS feature)) SELECT category, COUNT(*) AS features, COUNT(*) * (SELECT COUNT(*) FROM fx_matches) AS present FROM k GROUP BY category",
+        "fx_matches",
+    ),
 )
 def v14(spark, sf):
-    # the columns of the vector built from the given tables
-    model, w = _train(spark, sf)
-    d = model.vector_with_players(w, "rows", [])
-    return features.feature_categories(d, d.columns).groupBy("category").agg(F.count("*").alias("features"))
+    """Features and present values per category."""
+    from boutline.evaluation.drift import features_long
+
+    long = features_long(form.entity_form(fx.matches(spark, sf)), list(_FORM), [])
+    n = long.groupBy("feature").agg(F.count("*").alias("n"))
+    c = features.feature_categories(n, _FORM)
+    return n.join(c, "feature").groupBy("category").agg(F.count("*").alias("features"), F.sum("n").alias("present"))
 
 
 @query(

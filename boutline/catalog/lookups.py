@@ -7,6 +7,7 @@ from boutline.catalog.base import day, query, r6
 from boutline.catalog.form import _LONG
 from boutline.fixtures import with_views
 from boutline.operators import encoding, lookups
+from boutline.plans.bounded import bounded
 from boutline.roles import ROLE_PREFIX
 
 _L = """, lng AS (SELECT row_id, gameid, side, patch, team, result, UNNEST([{'r': 'top', 'l': 'Top', 'c': top_champion}, {'r': 'jungle', 'l': 'Jungle', 'c': jng_champion},
@@ -196,7 +197,7 @@ _SIDE = """, sd AS (SELECT team, COALESCE(AVG(CASE WHEN side = 'Blue' THEN CAST(
 )
 def d10(spark, sf):
     m = fx.matches(spark, sf)
-    d = m.join(lookups.side_rates(m), "team")
+    d = m.join(bounded(lookups.side_rates(m)), "team")
     cur = F.when(F.col("side") == "Blue", F.col("blue_side_winrate")).otherwise(F.col("red_side_winrate"))
     return d.select("row_id", r6("blue_side_winrate"), r6("red_side_winrate"), r6("side_preference"), r6(cur, "current_side_advantage"))
 

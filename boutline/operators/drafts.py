@@ -205,7 +205,7 @@ def swap_candidates(drafts: DataFrame, meta: DataFrame, side: str = "blue", top:
     used = F.array_distinct(F.concat(F.map_values("blue_picks"), F.map_values("red_picks"), F.col("blue_bans"), F.col("red_bans")))
     free = F.slice(F.filter("__best", lambda x: ~F.array_contains("__u", x["champion"])), 1, top)
     return (
-        drafts.withColumn("__u", used).join(ranked, "patch")
+        drafts.withColumn("__u", used).join(F.broadcast(ranked), "patch")  # one row per patch
         .select("draft_id", F.posexplode(free).alias("i", "x"))
         .select("draft_id", "x.champion", "x.meta_strength", (F.col("i") + 1).alias("place"), F.explode(F.array(*[F.lit(r) for r in ROLES])).alias("role"))
     )

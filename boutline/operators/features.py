@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from boutline.functions.scalar import patch_part, row_mean, row_std
 from boutline.operators import encoding, form, lookups
 from boutline.plans.bounded import BROADCAST_ROWS, bounded
-from boutline.plans.ordered import HOT_ROWS
+from boutline.plans.ordered import HOT_ROWS, Past, history, time_levels
 from boutline.roles import MATCH, NO_BAN, ROLE_PREFIX, ROLES, UNKNOWN, Roles
 from boutline.session import cut_lineage
 
@@ -370,14 +370,14 @@ class FeatureModel:
 
     @cached_property
     def _player_recent(self) -> DataFrame:
-        """Mean of each player's last ten outcomes: rows within ten of the end."""
+        """Mean of each player's last ten outcomes, read at the player's last row."""
         r = self.roles
         long = form.role_long(self.train, r, [r.row, r.time, r.outcome], players=True, unknown=True).filter(F.col("player") != UNKNOWN)
-        from boutline.plans.ordered import Past, history, time_levels
-
-        h = history(long, ["player"], [Past(["player"], "__n")], [r.time, r.row], time_levels(r.time, r.row), self.hot_rows)
-        tot = h.groupBy("player").agg(F.max("__n").alias("__last"))
-        return cut_lineage(h.join(tot, "player").filter(F.col("__n") > F.col("__last") - 10).groupBy("player").agg(F.avg(r.outcome).alias("player_recent")))
+        y = F.col(r.outcome)
+        frames = {"__s": (F.sum, y, 9), "__c": (F.count, y, 9)}
+        h = history(long, ["player"], [Past(["player"], "__n", frames=frames)], [r.time, r.row], time_levels(r.time, r.row), self.hot_rows)
+        recent = (F.coalesce("__s", F.lit(0)) + y) / (F.col("__c") + 1)
+        return cut_lineage(h.groupBy("player").agg(F.max_by(recent, F.struct(r.time, r.row)).alias("player_recent")))
 
     def enhanced(self, df: DataFrame, past: str = "rows") -> DataFrame:
         """The larger set: momentum, patch shift, side, patch use, league record and

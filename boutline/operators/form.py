@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.functions.scalar import patch_number, ratio
+from boutline.plans.bounded import bounded
 from boutline.plans.ordered import HOT_ROWS, Past, history, time_levels
 from boutline.roles import MATCH, UNKNOWN, Roles
 
@@ -77,7 +78,7 @@ def versus_league(df: DataFrame, roles: Roles = MATCH, hot_rows: int | None = HO
     league = df.groupBy(roles.league).agg((F.sum(roles.outcome) / F.count(roles.outcome)).alias("__lm"))
     return (
         entity_form(df, roles, hot_rows)
-        .join(league, roles.league)
+        .join(bounded(league), roles.league)
         .withColumn("vs_league_avg", F.col("league_recent") - F.col("__lm"))
         .drop("__lm")
     )
@@ -253,7 +254,8 @@ def meta_adaptation(df: DataFrame, shifts: DataFrame, roles: Roles = MATCH, unst
     more than five earlier games."""
     order, levels = _setup(roles)
     s = shifts.select(roles.patch, "patch_stability")
-    src = df.join(s, roles.patch, "left").withColumn("patch_stability", F.coalesce("patch_stability", F.lit(1.0)))
+    # one row per patch: as long as the release calendar
+    src = df.join(F.broadcast(s), roles.patch, "left").withColumn("patch_stability", F.coalesce("patch_stability", F.lit(1.0)))
     high = F.col("patch_stability") < unstable
     h = history(
         src, [roles.entity],
@@ -265,26 +267,34 @@ def meta_adaptation(df: DataFrame, shifts: DataFrame, roles: Roles = MATCH, unst
     ).drop("__n", "__hw", "__hn")
 
 
-def latest_form(df: DataFrame, roles: Roles = MATCH) -> DataFrame:
+def latest_form(df: DataFrame, roles: Roles = MATCH, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Snapshot per entity *after* its last row: what the next game will see.
 
-    Totals are plain aggregates; the last ten outcomes come from the rows whose
-    form already carries the earlier nine, so no group is collected.
+    Every row carries the nine outcomes before it as a sum, so the last row of an
+    entity, found by an aggregate, tells all: one pass, nothing collected.
     """
-    form = entity_form(df, roles)
-    y = F.col(roles.outcome)
-    last = form.groupBy(roles.entity).agg(
-        F.max_by(F.struct("games_played", "wins_before", y.alias("y"), "current_streak"), F.struct(roles.time, roles.row)).alias("x")
+    order, levels = _setup(roles)
+    y, at = F.col(roles.outcome), F.col("n")
+    h = history(
+        df.select(roles.entity, roles.time, roles.row, roles.outcome),
+        [roles.entity],
+        [
+            Past(
+                [roles.entity], "n", totals={"w": ("sum", y)},
+                late={"lw": ("max", F.when(y == 1, at)), "ll": ("max", F.when(y == 0, at))},
+                frames={"s9": (F.sum, y, 9), "c9": (F.count, y, 9)},
+            )
+        ],
+        order, levels, hot_rows,
     )
-    tail = form.join(last.select(roles.entity, F.col("x.games_played").alias("__last")), roles.entity).filter(
-        F.col("games_played") > F.col("__last") - 10
-    ).groupBy(roles.entity).agg(F.avg(y).alias("recent_winrate"))
-    n, w = F.col("x.games_played") + 1, F.col("x.wins_before") + F.col("x.y")
-    s, won = F.col("x.current_streak"), F.col("x.y") == 1
-    streak = F.when(won, F.when(s > 0, s + 1).otherwise(1)).otherwise(F.when(s < 0, s - 1).otherwise(-1))
-    return last.join(tail, roles.entity).select(
-        roles.entity, n.alias("games_played"), (w / n).alias("overall_winrate"), "recent_winrate",
-        (F.col("recent_winrate") - w / n).alias("form_trend"), streak.cast("long").alias("current_streak"),
+    x = h.groupBy(roles.entity).agg(F.max_by(F.struct("n", "w", y.alias("y"), "lw", "ll", "s9", "c9"), F.struct(*order)).alias("x")).select(roles.entity, "x.*")
+    games, overall = F.col("n") + 1, (F.col("w") + F.col("y")) / (F.col("n") + 1)
+    recent = (F.coalesce("s9", F.lit(0)) + F.col("y")) / (F.col("c9") + 1)
+    win = F.when(F.col("y") == 1, F.col("n")).otherwise(F.coalesce("lw", F.lit(-1)))
+    loss = F.when(F.col("y") == 0, F.col("n")).otherwise(F.coalesce("ll", F.lit(-1)))
+    return x.select(
+        roles.entity, games.alias("games_played"), overall.alias("overall_winrate"), recent.alias("recent_winrate"),
+        (recent - overall).alias("form_trend"), (win - loss).cast("long").alias("current_streak"),
     )
 
 

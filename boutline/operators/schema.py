@@ -105,11 +105,10 @@ def adapt_schema(df: DataFrame, rename: dict[str, str], add: dict[str, object],
 
 
 def compare_schemas(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(column_name, status, dtype_a, dtype_b): only_first, only_second, same, type_differs."""
-    spark = a.sparkSession
-    sch = "column_name string, dtype string"
-    x = spark.createDataFrame([(c, _kind(t)) for c, t in a.dtypes], sch).withColumnRenamed("dtype", "dtype_a")
-    y = spark.createDataFrame([(c, _kind(t)) for c, t in b.dtypes], sch).withColumnRenamed("dtype", "dtype_b")
+    """(column_name, status, dtype_a, dtype_b, nulls_a, nulls_b): only_first,
+    only_second, same, type_differs. A full join of both detected schemas."""
+    x = detect_schema(a).select("column_name", F.col("dtype").alias("dtype_a"), F.col("nulls").alias("nulls_a"))
+    y = detect_schema(b).select("column_name", F.col("dtype").alias("dtype_b"), F.col("nulls").alias("nulls_b"))
     status = (
         F.when(F.col("dtype_b").isNull(), "only_first")
         .when(F.col("dtype_a").isNull(), "only_second")
@@ -117,5 +116,6 @@ def compare_schemas(a: DataFrame, b: DataFrame) -> DataFrame:
         .otherwise("type_differs")
     )
     return x.join(y, "column_name", "full").select(
-        "column_name", status.alias("status"), F.coalesce("dtype_a", F.lit("")).alias("dtype_a"), F.coalesce("dtype_b", F.lit("")).alias("dtype_b")
+        "column_name", status.alias("status"), F.coalesce("dtype_a", F.lit("")).alias("dtype_a"), F.coalesce("dtype_b", F.lit("")).alias("dtype_b"),
+        F.coalesce("nulls_a", F.lit(0)).alias("nulls_a"), F.coalesce("nulls_b", F.lit(0)).alias("nulls_b"),
     )

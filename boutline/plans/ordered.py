@@ -42,10 +42,10 @@ def time_levels(time: str, row: str, chunk: int = ID_CHUNK) -> list[Column]:
 
 
 def value_levels(value: str) -> list[Column]:
-    """Slots for an order by a double: octave, then 4096 steps per octave of
+    """Slots for an order by a double: octave, then 65536 steps per octave of
     sign(v)*log2(1+|v|), which grows with v."""
     s = F.signum(value) * F.log2(F.abs(F.col(value)) + 1)
-    return [F.floor(s), F.floor(s * 4096)]
+    return [F.floor(s), F.floor(s * 65536)]
 
 
 def _slot_prefix(slots: DataFrame, keys: list[str], levels: list[str], measures, descending: bool) -> DataFrame:

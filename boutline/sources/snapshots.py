@@ -26,9 +26,9 @@ def metadata(df: DataFrame, roles: Roles = MATCH) -> DataFrame:
 
 
 def save_dataset(df: DataFrame, path: str, roles: Roles = MATCH) -> None:
-    """Parquet by year, rows of a year spread over tasks by a hash of the game, so
-    that a large year is many files and not one task; metadata beside it."""
-    df.repartition(roles.year, F.pmod(F.xxhash64(roles.game), F.lit(64))).write.mode("overwrite").partitionBy(roles.year).parquet(f"{path}/data")
+    """Parquet by year; metadata beside it. The rebalance hint brings a year's rows
+    together but splits a large year into tasks (and files) of the advisory size."""
+    df.hint("rebalance", F.col(roles.year)).write.mode("overwrite").partitionBy(roles.year).parquet(f"{path}/data")
     metadata(df.sparkSession.read.parquet(f"{path}/data"), roles).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 

@@ -220,3 +220,15 @@ def test_outliers_and_quality_score(spark, sf):
     li = fx.table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
     r = quality.quality_report(li, ["l_quantity"], ["l_quantity", "l_extendedprice"]).first()
     assert 0 <= r.score <= 100 and r.rows == li.count()
+
+
+def test_hot_latest_form_equals_plain(spark, sf):
+    m = fx.matches(spark, sf)
+    rows = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    assert rows(form.latest_form(m, hot_rows=None)) == rows(form.latest_form(m, hot_rows=70))
+
+
+def test_hot_players_equal_plain(spark, sf):
+    w = fx.wide(spark, sf)
+    cols = ["team_avg_player_winrate", "team_avg_player_recent", "team_avg_champion_mastery", "team_player_form"]
+    assert key(form.player_features(w, hot_rows=None), cols) == key(form.player_features(w, hot_rows=25), cols)
