@@ -116,9 +116,20 @@ def _gains(spark, sf):
     return d.withColumn("gain", ((F.col("draft_id") * 7 + F.col("place") * 13 + i * 5) % 41 - 5) / F.lit(4.0))
 
 
-@query("k5_greedy_suggestions")
+_K5 = """, ca AS (SELECT draft_id, champion, ROW_NUMBER() OVER (PARTITION BY draft_id ORDER BY meta_strength DESC, champion) AS place FROM dr JOIN meta ON dr.patch = meta.patch WHERE NOT list_contains(list_concat(list_concat(bp, rp), list_concat(bb, rb)), champion)),
+gn AS (SELECT draft_id, role, champion, ((draft_id * 7 + place * 13 + i * 5) % 41 - 5) / 4e0 AS gain FROM ca, (SELECT UNNEST(['top', 'jungle', 'mid', 'bot', 'support']) AS role, UNNEST([1, 2, 3, 4, 5]) AS i) WHERE place <= 5),
+ok AS (SELECT * FROM gn WHERE gain >= 5e-1),
+st AS (SELECT DISTINCT draft_id, 0 AS k, '' AS role, '' AS champion, 0e0 AS gain, CAST([] AS VARCHAR[]) AS rs, CAST([] AS VARCHAR[]) AS cs FROM ok
+ UNION ALL SELECT draft_id, k + 1, role, champion, gain, list_append(rs, role), list_append(cs, champion) FROM (
+  SELECT st.draft_id, st.k, ok.role, ok.champion, ok.gain, st.rs, st.cs, ROW_NUMBER() OVER (PARTITION BY st.draft_id ORDER BY ok.gain DESC, ok.role, ok.champion) AS rn
+  FROM st JOIN ok ON st.draft_id = ok.draft_id WHERE st.k < 5 AND NOT list_contains(st.rs, ok.role) AND NOT list_contains(st.cs, ok.champion)) WHERE rn = 1)
+SELECT draft_id, k AS place, role, champion, ROUND(gain, 6) AS gain FROM st WHERE k > 0"""
+
+
+@query("k5_greedy_suggestions", with_views(_L + _META + _DR + _K5, "fx_wide").replace("WITH ", "WITH RECURSIVE ", 1))
 def k5(spark, sf):
-    return drafts.resolve_suggestions(_gains(spark, sf).select("draft_id", "role", "champion", "gain"))
+    d = drafts.resolve_suggestions(_gains(spark, sf).select("draft_id", "role", "champion", "gain"))
+    return d.select("draft_id", "place", "role", "champion", r6("gain"))
 
 
 _NAMES = """WITH kn AS (SELECT DISTINCT p_name AS name FROM part), al AS (SELECT 'alias of ' || name AS alias, name FROM kn WHERE name LIKE 'small%'),

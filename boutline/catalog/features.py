@@ -237,7 +237,7 @@ def v12i(spark, sf):
     return features.indicator_pairs(fx.wide(spark, sf)).groupBy("indicator").agg(F.count("*").alias("rows"))
 
 
-@query("v12_one_hot")
+@query("v12_one_hot", with_views("SELECT row_id, 6 AS ones FROM fx_matches", "fx_matches"))
 def v12o(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
