@@ -117,8 +117,8 @@ _PREV = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _PLAYER = f""", pl AS (SELECT row_id, match_date, result, UNNEST([{", ".join("{'p': " + p + "_player, 'c': " + p + "_champion}" for p in ROLE_PREFIX)}]) AS x FROM fx_wide),
 ph AS (SELECT row_id, COALESCE(AVG(CAST(result AS DOUBLE)) OVER (PARTITION BY x.p ORDER BY match_date, row_id {_PREV}), 5e-1) AS w, COALESCE(AVG(CAST(result AS DOUBLE)) OVER (PARTITION BY x.p ORDER BY match_date, row_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 5e-1) AS r,
  LEAST(COUNT(*) OVER (PARTITION BY x.p ORDER BY match_date, row_id {_PREV}) / 1e2, 1e0) AS g, COALESCE(AVG(CAST(result AS DOUBLE)) OVER (PARTITION BY x.p, x.c ORDER BY match_date, row_id {_PREV}), 5e-1) AS m FROM pl)
-SELECT row_id, ROUND(AVG(w), 6) AS team_avg_player_winrate, ROUND(AVG(r), 6) AS team_avg_player_recent, ROUND(AVG(g), 6) AS team_avg_player_experience, ROUND(AVG(m), 6) AS team_avg_champion_mastery,
- ROUND(MIN(m), 6) AS team_min_champion_mastery, ROUND(AVG(r - w), 6) AS team_player_form, ROUND(AVG(m) * AVG(g), 6) AS player_mastery_experience_interaction FROM ph GROUP BY row_id"""
+SELECT row_id, ROUND(AVG(w) + 1e-9, 6) AS team_avg_player_winrate, ROUND(AVG(r) + 1e-9, 6) AS team_avg_player_recent, ROUND(AVG(g) + 1e-9, 6) AS team_avg_player_experience, ROUND(AVG(m) + 1e-9, 6) AS team_avg_champion_mastery,
+ ROUND(MIN(m) + 1e-9, 6) AS team_min_champion_mastery, ROUND(AVG(r - w) + 1e-9, 6) AS team_player_form, ROUND(AVG(m) * AVG(g) + 1e-9, 6) AS player_mastery_experience_interaction FROM ph GROUP BY row_id"""
 
 
 @query("v5_player_features", with_views(_PLAYER, "fx_wide"))
