@@ -74,16 +74,22 @@ def running(
     order: list[str],
     measures: dict[str, tuple[str, Column]],
     descending: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds, per row, each measure over the rows strictly before it in the key's
     order (after it, when ``descending``). Sums start at 0, max/min at null.
-    Keys must not be null. One shuffle of the rows, on (keys, slot)."""
+    Keys must not be null. One shuffle of the rows, on (keys, slot). ``source`` may
+    give the same rows before other steps, for a shorter way to the slot totals."""
     lv = [f"__l{i}" for i in range(len(levels))]
-    src = df.withColumns({**dict(zip(lv, levels)), **{f"__m_{n}": c for n, (_, c) in measures.items()}})
-    types = dict(src.dtypes)
-    src = src.withColumns({c: F.coalesce(c, F.lit(_FIRST_VALUE[types[c]]).cast(types[c])) for c in lv})
+
+    def prepared(d):
+        d = d.withColumns({**dict(zip(lv, levels)), **{f"__m_{n}": c for n, (_, c) in measures.items()}})
+        types = dict(d.dtypes)
+        return d.withColumns({c: F.coalesce(c, F.lit(_FIRST_VALUE[types[c]]).cast(types[c])) for c in lv})
+
+    src = prepared(df)
     kinds = {n: k for n, (k, _) in measures.items()}
-    slots = src.groupBy(*keys, *lv).agg(*[_AGG[k](f"__m_{n}").alias(n) for n, k in kinds.items()])
+    slots = (src if source is None else prepared(source)).groupBy(*keys, *lv).agg(*[_AGG[k](f"__m_{n}").alias(n) for n, k in kinds.items()])
     offs = _slot_prefix(slots, keys, lv, kinds, descending)
     ordering = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
     w = Window.partitionBy(*keys, *lv).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
@@ -132,8 +138,8 @@ def _past_in_one_task(df: DataFrame, past: Past, order: list[str]) -> DataFrame:
     return out.withColumns({n: total(k, c) for n, (k, c) in past.late.items()}) if past.late else out
 
 
-def _past_split(df: DataFrame, past: Past, levels, order: list[str], block_rows: int) -> DataFrame:
-    out = running(df, past.keys, levels, order, {past.rank: ("sum", F.lit(1)), **past.totals})
+def _past_split(df: DataFrame, past: Past, levels, order: list[str], block_rows: int, source: DataFrame) -> DataFrame:
+    out = running(df, past.keys, levels, order, {past.rank: ("sum", F.lit(1)), **past.totals}, source=source)
     out = out.withColumn(past.rank, F.col(past.rank).cast("long"))
     if past.late:
         out = running(out, past.keys, levels, order, past.late)
@@ -189,7 +195,14 @@ def history(
     cold_rows = df.join(hot, base, "left_anti").select(*df.columns)
     hot_part = df.join(hot, base, "left_semi").select(*df.columns)
     cold_out = reduce(lambda d, p: _past_in_one_task(d, p, order), pasts, cold_rows)
-    hot_out = reduce(lambda d, p: _past_split(d, p, levels, order, block_rows), pasts, hot_part)
+
+    def hot_way(d, p):
+        # a finer key, as (entity, patch), may be small enough for plain windows
+        if p.keys != base and hot_keys(hot_part, p.keys, hot_rows) is None:
+            return _past_in_one_task(d, p, order)
+        return _past_split(d, p, levels, order, block_rows, hot_part)
+
+    hot_out = reduce(hot_way, pasts, hot_part)
     return cold_out.unionByName(hot_out.select(*cold_out.columns))
 
 
