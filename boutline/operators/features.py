@@ -122,6 +122,8 @@ class FeatureModel:
         """Compute lookups side by side: they are independent jobs, each too short
         to fill a cluster."""
         todo = [n for n in names or ("role_champion", "snapshot", "encoders", "teams", "patch_champion", "balanced") if n not in self.__dict__]
+        if todo:
+            self.characteristics  # two of the others read it
         with ThreadPoolExecutor(max(len(todo), 1)) as pool:
             list(pool.map(lambda n: getattr(self, n), todo))
         return self
@@ -140,11 +142,15 @@ class FeatureModel:
         y = F.col(self.roles.outcome)
         return self.train.agg(F.sum(y) / F.count(y)).scalar()
 
+    @cached_property
+    def characteristics(self) -> DataFrame:
+        return cut_lineage(lookups.champion_characteristics(self.train, self.roles))
+
     @cached_property
     def role_champion(self) -> DataFrame:
         """(role, champion) -> characteristics, lane and archetype advantages."""
-        chars = cut_lineage(lookups.champion_characteristics(self.train, self.roles)).drop("games", "wins", "primary_position")
-        lane = lookups.lane_summary(self.train, self.roles)  # champions x five roles
+        chars = self.characteristics.drop("games", "wins", "primary_position")
+        lane = lookups.lane_summary(self.train, self.roles, lookups.champion_archetypes(self.characteristics))  # champions x five roles
         return cut_lineage(lane.join(chars, "champion", "left").withColumn("flexibility", F.col("flexibility").cast("double")))
 
     @cached_property
@@ -252,7 +258,7 @@ class FeatureModel:
     def balanced(self) -> DataFrame:
         """One row: role -> mean advantage of the Balanced archetype, which stands
         in for champions the training rows never saw."""
-        arch = lookups.champion_archetypes(lookups.champion_characteristics(self.train, self.roles))
+        arch = lookups.champion_archetypes(self.characteristics)
         m = lookups.archetype_matchups(self.train, arch, self.roles).filter("archetype = 'Balanced'").groupBy("role").agg(F.avg("advantage").alias("v"))
         return cut_lineage(m.agg(F.map_from_entries(F.collect_list(F.struct("role", "v"))).alias("m")))
 

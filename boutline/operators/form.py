@@ -194,58 +194,50 @@ def patch_statistics(df: DataFrame, roles: Roles = MATCH, min_rows: int = 10) ->
     return base.join(champs, roles.patch)
 
 
-def _patches(df: DataFrame, roles: Roles) -> DataFrame:
-    """Distinct patches with the one before, in version order. One row per patch."""
-    p = df.groupBy(roles.patch).agg(F.count("*").alias("patch_rows")).withColumn("__no", patch_number(roles.patch))
-    w = Window.orderBy("__no", roles.patch)
-    return p.select(roles.patch, "patch_rows", F.lag(roles.patch).over(w).alias("prev_patch"))
-
-
 def patch_shift(df: DataFrame, roles: Roles = MATCH) -> DataFrame:
     """Change of each patch against the one before it: diversity, length, balance,
-    stability, and the mean absolute change of first-role pick shares."""
-    seq = _patches(df, roles)
-    stats = patch_statistics(df, roles).select(roles.patch, "champion_diversity", "avg_game_length", "win_rate_variance")
-    prev = stats.select(*[F.col(c).alias(f"__{c}") for c in stats.columns])
-    d = (F.col("champion_diversity") - F.col("__champion_diversity")) / F.col("__champion_diversity")
-    g = (F.col("avg_game_length") - F.col("__avg_game_length")) / F.col("__avg_game_length")
-    b = F.abs(F.col("win_rate_variance") - F.col("__win_rate_variance"))
-    shift = (
-        seq.join(stats, roles.patch)
-        .join(prev, F.col("prev_patch") == F.col(f"__{roles.patch}"))
-        .select(
-            roles.patch, d.alias("diversity_shift"), g.alias("game_length_shift"), b.alias("balance_shift"),
-            (1 - (F.abs(d) + F.abs(g) + b) / 3).alias("patch_stability"),
+    stability, and the mean absolute change of first-role pick shares.
+
+    Rows are reduced to (patch, first champion) counts; the sequence of patches, in
+    version order, is a window over one row per patch.
+    """
+    pc = df.groupBy(roles.patch, F.col(roles.champions[0]).alias("champion")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("__no", roles.patch)
+    stat = F.struct("champion_diversity", "avg_game_length", "win_rate_variance")
+    seq = (
+        pc.groupBy(roles.patch).agg(F.sum("n").alias("patch_games_count")).withColumn("__no", patch_number(roles.patch))
+        .join(patch_statistics(df, roles).select(roles.patch, stat.alias("now")), roles.patch, "left")
+        .withColumns(
+            {
+                "was": F.lag("now").over(w), "prev_n": F.lag("patch_games_count").over(w),
+                "next": F.lead(roles.patch).over(w), "next_n": F.lead("patch_games_count").over(w),
+            }
         )
     )
-    rows = df.groupBy(roles.patch, F.col(roles.champions[0]).alias("champion")).agg(F.count("*").alias("n"))
-    share = rows.join(seq, roles.patch).filter("patch_rows >= 5").select(
-        F.col(roles.patch).alias("own"), "champion", (F.col("n") / F.col("patch_rows")).alias("share")
-    )
-    follow = seq.filter("patch_rows >= 5").select(F.col("prev_patch").alias("own"), F.col(roles.patch).alias("next"))
-    has_prev = seq.filter("patch_rows >= 5").join(
-        seq.filter("patch_rows >= 5").select(F.col(roles.patch).alias("prev_patch")), "prev_patch", "left_semi"
-    ).select(F.col(roles.patch).alias("own"))
+    d = (F.col("now.champion_diversity") - F.col("was.champion_diversity")) / F.col("was.champion_diversity")
+    g = (F.col("now.avg_game_length") - F.col("was.avg_game_length")) / F.col("was.avg_game_length")
+    b = F.abs(F.col("now.win_rate_variance") - F.col("was.win_rate_variance"))
     # a share counts for its own patch and, negated, for the next: no full outer join
-    delta = share.join(has_prev, "own", "left_semi").unionByName(
-        share.join(follow, "own").select(F.col("next").alias("own"), "champion", (-F.col("share")).alias("share"))
+    few = 5
+    share = F.col("n") / F.col("patch_games_count")
+    enough = F.col("patch_games_count") >= few
+    sides = F.array(
+        F.when(enough & (F.col("prev_n") >= few), F.struct(F.col(roles.patch).alias("own"), share.alias("share"))),
+        F.when(enough & (F.col("next_n") >= few), F.struct(F.col("next").alias("own"), (-share).alias("share"))),
     )
     pick = (
-        delta.groupBy("own", "champion").agg(F.abs(F.sum("share")).alias("x"))
-        .groupBy("own").agg(F.avg("x").alias("pick_shift_magnitude"))
+        pc.join(seq.select(roles.patch, "patch_games_count", "prev_n", "next", "next_n"), roles.patch)
+        .select("champion", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x"))
+        .groupBy("x.own", "champion").agg(F.abs(F.sum("x.share")).alias("v"))
+        .groupBy("own").agg(F.avg("v").alias("pick_shift_magnitude"))
         .withColumnRenamed("own", roles.patch)
     )
-    return (
-        seq.select(roles.patch, "patch_rows")
-        .join(shift, roles.patch, "left")
-        .join(pick, roles.patch, "left")
-        .select(
-            roles.patch, F.col("patch_rows").alias("patch_games_count"),
-            *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("diversity_shift", "game_length_shift", "balance_shift")],
-            F.coalesce("patch_stability", F.lit(1.0)).alias("patch_stability"),
-            F.coalesce("pick_shift_magnitude", F.lit(0.0)).alias("pick_shift_magnitude"),
-        )
-        .withColumn("meta_shift_magnitude", 1 - F.col("patch_stability"))
+    out = seq.join(pick, roles.patch, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    stability = F.coalesce(1 - (F.abs(d) + F.abs(g) + b) / 3, F.lit(1.0))
+    return out.select(
+        roles.patch, "patch_games_count", zero(d).alias("diversity_shift"), zero(g).alias("game_length_shift"), zero(b).alias("balance_shift"),
+        stability.alias("patch_stability"), zero(F.col("pick_shift_magnitude")).alias("pick_shift_magnitude"), (1 - stability).alias("meta_shift_magnitude"),
     )
 
 

@@ -243,10 +243,10 @@ def head_to_head(df: DataFrame, roles: Roles = MATCH, min_games: int = 1) -> Dat
     )
 
 
-def lane_summary(df: DataFrame, roles: Roles = MATCH) -> DataFrame:
+def lane_summary(df: DataFrame, roles: Roles = MATCH, archetypes: DataFrame | None = None) -> DataFrame:
     """Per role and champion (seen in any role): mean advantage and confidence over
     its co-occurring champions, and the mean advantage of its archetype in the role."""
-    arch = champion_archetypes(champion_characteristics(df, roles))
+    arch = champion_archetypes(champion_characteristics(df, roles)) if archetypes is None else archetypes
     lane = cooccurrence_matchups(df, roles).groupBy("role", "champion").agg(
         F.avg("advantage").alias("lane_advantage"), F.avg("confidence").alias("lane_confidence")
     )
