@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from boutline.functions.scalar import patch_part, row_mean, row_std
 from boutline.operators import encoding, form, lookups
-from boutline.plans.bounded import BROADCAST_ROWS, bounded
+from boutline.plans.bounded import BROADCAST_ROWS, bounded, within
 from boutline.plans.ordered import HOT_ROWS, Past, history, time_levels
 from boutline.roles import MATCH, NO_BAN, ROLE_PREFIX, ROLES, UNKNOWN, Roles
 from boutline.session import cut_lineage
@@ -50,22 +50,21 @@ CHAMPION_DEFAULTS = {
 
 def role_lookup(
     df: DataFrame, lookup: DataFrame, extra: list[str], values: dict[str, float | None], by_role: bool = False,
-    roles: Roles = MATCH, max_rows: int = BROADCAST_ROWS,
+    roles: Roles = MATCH, max_rows: int = BROADCAST_ROWS, fits: bool | None = None,
 ) -> DataFrame:
     """Adds <value>_<i> for the champion of each role i, by (extra, [role], champion).
 
     A lookup within the size bound is broadcast: five hash probes, no shuffle of
     the rows. A larger one is joined once on unpivoted rows and folded back.
+    ``fits`` tells whether it is within the bound, if that is known already.
     """
     names = list(values)
-    small = bounded(lookup, max_rows)
-    if small is not lookup:
+    if within(lookup, max_rows) if fits is None else fits:
         out = df
         for i, (role, c) in enumerate(zip(ROLES, roles.champions)):
-            part = small.filter(F.col("role") == role) if by_role else small
+            part = lookup.filter(F.col("role") == role) if by_role else lookup
             part = part.select(*[F.col(k).alias(f"__x_{k}") for k in extra], F.col("champion").alias("__xc"), *[F.col(v).alias(f"{v}_{i}") for v in names])
             on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__x_{k}") for k in extra], F.col(c) == F.col("__xc"))
-            # each use of a hinted frame needs the hint at its own join
             out = out.join(F.broadcast(part), on, "left").drop("__xc", *[f"__x_{k}" for k in extra])
         return out.withColumns({f"{v}_{i}": F.coalesce(f"{v}_{i}", F.lit(d)) for v, d in values.items() for i in range(5) if d is not None})
     long = df.select(
@@ -113,6 +112,7 @@ class FeatureModel:
     def __init__(self, train: DataFrame, roles: Roles = MATCH, include_unknown: bool = False, hot_rows: int | None = HOT_ROWS):
         self.train, self.roles = train, roles
         self.include_unknown, self.hot_rows = include_unknown, hot_rows
+        self._within: dict[str, bool] = {}
 
     @classmethod
     def fit(cls, train: DataFrame, **kw) -> "FeatureModel":
@@ -125,9 +125,18 @@ class FeatureModel:
         if todo:
             self.characteristics  # two of the others read it
         with ThreadPoolExecutor(max(len(todo), 1)) as pool:
-            list(pool.map(lambda n: getattr(self, n), todo))
+            list(pool.map(self._fits, todo))
         return self
 
+    def _fits(self, name: str) -> bool:
+        """Whether the lookup may be broadcast; counted once."""
+        if name not in self._within:
+            self._within[name] = within(getattr(self, name))
+        return self._within[name]
+
+    def _hinted(self, name: str) -> DataFrame:
+        return F.broadcast(getattr(self, name)) if self._fits(name) else getattr(self, name)
+
     @cached_property
     def encoder_columns(self) -> list[str]:
         r = self.roles
@@ -181,11 +190,22 @@ class FeatureModel:
 
     # -- feature groups -----------------------------------------------------
 
+    def champions(self, df: DataFrame) -> DataFrame:
+        """<value>_<role number> of every pick, for ``composition`` and ``lanes``."""
+        values = CHAMPION_DEFAULTS | {"archetype_advantage": None}
+        out = role_lookup(df, self.role_champion, [], values, True, self.roles, fits=self._fits("role_champion"))
+        out = out.withColumn("__other", self.balanced.scalar())
+        unseen = [
+            F.when(F.coalesce(F.col(c), F.lit(UNKNOWN)) == UNKNOWN, 0.5).otherwise(F.coalesce(F.element_at("__other", F.lit(r)), F.lit(0.5)))
+            for c, r in zip(self.roles.champions, ROLES)
+        ]
+        return out.withColumns({f"archetype_advantage_{i}": F.coalesce(f"archetype_advantage_{i}", u) for i, u in enumerate(unseen)}).drop("__other")
+
     def composition(self, df: DataFrame) -> DataFrame:
-        r, fl = self.roles, _known(self.roles, self.include_unknown)
-        names = ("win_rate", "early_game_strength", "late_game_strength", "scaling_factor", "flexibility")
-        out = role_lookup(df, self.role_champion, [], {n: CHAMPION_DEFAULTS[n] for n in names}, True, r)
-        out = out.withColumns(
+        if "win_rate_0" not in df.columns:
+            return _without(self.composition(self.champions(df)), CHAMPION_DEFAULTS)
+        fl = _known(self.roles, self.include_unknown)
+        return df.withColumns(
             {
                 "team_avg_winrate": _mean_of(_cols("win_rate"), fl, 0.5),
                 "team_early_strength": _mean_of(_cols("early_game_strength"), fl, 0.5),
@@ -195,11 +215,10 @@ class FeatureModel:
                 "composition_balance": _std_of(_cols("scaling_factor"), fl),
             }
         )
-        return _without(out, names)
 
     def meta(self, df: DataFrame) -> DataFrame:
         r, fl = self.roles, _known(self.roles, self.include_unknown)
-        out = role_lookup(df, self.patch_champion, [r.patch], {"meta_strength": 0.5, "popularity": 0.0}, False, r)
+        out = role_lookup(df, self.patch_champion, [r.patch], {"meta_strength": 0.5, "popularity": 0.0}, False, r, fits=self._fits("patch_champion"))
         m = _mean_of(_cols("meta_strength"), fl, 0.5)
         out = out.withColumns(
             {
@@ -231,8 +250,7 @@ class FeatureModel:
             keep = [*df.columns, "games_played", "overall_winrate", "recent_winrate", "form_trend"]
             out = out.select(*keep)
         else:
-            snap = bounded(self.snapshot.drop("current_streak"))
-            out = df.join(snap, self.roles.entity, "left")
+            out = df.join(self._hinted("snapshot").drop("current_streak"), self.roles.entity, "left")
         games = F.coalesce("games_played", F.lit(0))
         return out.withColumns(
             {
@@ -263,17 +281,10 @@ class FeatureModel:
         return cut_lineage(m.agg(F.map_from_entries(F.collect_list(F.struct("role", "v"))).alias("m")))
 
     def lanes(self, df: DataFrame) -> DataFrame:
-        names = ("lane_advantage", "lane_confidence", "archetype_advantage")
-        values = {n: CHAMPION_DEFAULTS[n] for n in names} | {"archetype_advantage": None}
-        out = role_lookup(df, self.role_champion, [], values, True, self.roles)
-        other = self.balanced.scalar()
-        unseen = [
-            F.when(F.coalesce(F.col(c), F.lit(UNKNOWN)) == UNKNOWN, 0.5).otherwise(F.coalesce(F.element_at(other, F.lit(r)), F.lit(0.5)))
-            for c, r in zip(self.roles.champions, ROLES)
-        ]
-        out = out.withColumns({f"archetype_advantage_{i}": F.coalesce(f"archetype_advantage_{i}", u) for i, u in enumerate(unseen)})
+        if "lane_advantage_0" not in df.columns:
+            return _without(self.lanes(self.champions(df)), CHAMPION_DEFAULTS)
         a = _cols("lane_advantage")
-        out = out.withColumns(
+        return df.withColumns(
             {
                 "team_lane_advantage": row_mean(a),
                 "lane_advantage_consistency": 1 - row_std(a),
@@ -284,23 +295,21 @@ class FeatureModel:
                 "team_archetype_advantage": row_mean(_cols("archetype_advantage")),
             }
         )
-        return _without(out, names)
 
     def peers(self, df: DataFrame) -> DataFrame:
         defaults = {"team_historical_advantage": 0.5, "team_matchup_consistency": 1.0, "favorable_matchups": 0, "unfavorable_matchups": 0}
-        out = df.join(bounded(self.teams), self.roles.entity, "left")
+        out = df.join(self._hinted("teams"), self.roles.entity, "left")
         return out.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in defaults.items()})
 
     def composition_rate(self, df: DataFrame) -> DataFrame:
         """Win rate of the exact composition in the training rows, else 0.5."""
         out = df.withColumn("signature", lookups.signature(self.roles))
-        out = out.join(bounded(self.compositions), "signature", "left").drop("signature")
+        out = out.join(self._hinted("compositions"), "signature", "left").drop("signature")
         return out.withColumn("composition_historical_winrate", F.coalesce("composition_historical_winrate", F.lit(0.5)))
 
     def encode(self, df: DataFrame) -> DataFrame:
         enc = self.encoders
-        small = bounded(enc)
-        hint = F.broadcast if small is not enc else (lambda d: d)
+        hint = F.broadcast if self._fits("encoders") else (lambda d: d)
         cols = self.encoder_columns
         out = df
         for c in cols:
@@ -332,8 +341,8 @@ class FeatureModel:
         lookups_used = ("role_champion", "encoders", "teams", "patch_champion", "balanced")
         self.prepare(*lookups_used, *(() if past == "rows" else ("snapshot",)))
         out = self.past(df, past)
-        out = self.context(self.bans(self.meta(self.composition(out))))
-        out = self.peers(self.lanes(out))
+        out = self.lanes(self.composition(self.champions(self.context(self.bans(self.meta(out))))))
+        out = self.peers(_without(out, CHAMPION_DEFAULTS))
         out = self.composition_rate(out) if composition == "fitted" else out.withColumn("composition_historical_winrate", F.lit(0.5))
         return self.encode(self.interactions(out))
 

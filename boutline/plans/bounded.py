@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def within(lookup: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``lookup`` has at most ``rows`` rows; the count stops at the bound."""
+    return lookup.limit(rows + 1).count() <= rows
+
+
 def bounded(lookup: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``lookup`` marked for broadcast if it has at most ``rows`` rows; otherwise as
-    it is, to be joined by shuffle with AQE's skew handling. The count stops at the
-    bound. Best called on a lookup that is already materialised."""
-    return F.broadcast(lookup) if lookup.limit(rows + 1).count() <= rows else lookup
+    it is, to be joined by shuffle with AQE's skew handling. Best called on a lookup
+    that is already materialised."""
+    return F.broadcast(lookup) if within(lookup, rows) else lookup
