@@ -48,6 +48,19 @@ def r4(spark, sf):
     return d.select("feature", *[r6(c) for c in ("psi", "ks", "reference_mean", "current_mean", "reference_std", "current_std")], F.col("drifted").cast("int").alias("drifted"))
 
 
+@query(
+    "r4_feature_drift_summary",
+    with_views(
+        _LONG + """, t AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE drifted) AS k FROM fd) SELECT n AS features, k AS drifted, ROUND(k / CAST(n AS DOUBLE), 6) AS drift_share,
+ CASE WHEN k / CAST(n AS DOUBLE) > 3e-1 THEN 'critical' WHEN k / CAST(n AS DOUBLE) > 15e-2 THEN 'high' WHEN k / CAST(n AS DOUBLE) > 5e-2 THEN 'medium' ELSE 'low' END AS severity FROM t""",
+        "fx_preds",
+    ),
+)
+def r4s(spark, sf):
+    d = drift.feature_drift_summary(drift.feature_drift(_features(spark, sf)))
+    return d.select("features", "drifted", r6("drift_share"), "severity")
+
+
 _R1 = """, x AS (SELECT a.metric, b.value AS base, a.value AS cur, CASE a.metric WHEN 'log_loss' THEN a.value - b.value ELSE b.value - a.value END AS dr, CASE a.metric WHEN 'auc' THEN 2e-2 WHEN 'f1' THEN 3e-2 WHEN 'accuracy' THEN 3e-2 ELSE 5e-2 END AS th
  FROM ml a JOIN ml b ON a.metric = b.metric AND a.model = 'b' AND b.model = 'a' AND a.split = 'val' AND b.split = 'train' WHERE a.metric IN ('auc', 'f1', 'accuracy', 'log_loss')),
 r1 AS (SELECT *, CASE WHEN metric IN ('auc', 'f1') AND dr >= 2e0 * th THEN 3 WHEN dr >= th THEN 2 WHEN metric IN ('auc', 'f1') AND dr >= 5e-1 * th THEN 1 ELSE 0 END AS sev FROM x)

@@ -160,6 +160,20 @@ def m14h(spark, sf):
     return M.confidence(preds(spark, sf)).select("model", "event_id", "confidence_level", r6("lower_bound"), r6("upper_bound"))
 
 
+@query(
+    "m14_penalised_confidence",
+    with_views(
+        """, c AS (SELECT model, event_id, p, GREATEST(p, 1e0 - p) * (1e0 - (user_id % 6) / 1e1) AS c, 5e-2 + 1e-1 * (1e0 - ABS(p - 5e-1) * 2e0) AS m FROM fx_long)
+SELECT model, event_id, ROUND(c, 6) AS confidence, CASE WHEN c >= 7e-1 THEN 'high' WHEN c >= 55e-2 THEN 'medium' ELSE 'low' END AS confidence_level, ROUND(GREATEST(p - m, 0e0), 6) AS lower_bound, ROUND(LEAST(p + m, 1e0), 6) AS upper_bound FROM c""",
+        "fx_long",
+    ),
+)
+def m14p(spark, sf):
+    # penalties of 0 to 0.5, as edge cases give
+    d = M.penalised_confidence(preds(spark, sf).withColumn("penalty", (F.col("user_id") % 6) / F.lit(10.0)), "penalty")
+    return d.select("model", "event_id", r6("confidence"), "confidence_level", r6("lower_bound"), r6("upper_bound"))
+
+
 @query(
     "m15_generalization_gap",
     _q(""", g AS (SELECT t.model, t.auc - v.auc AS a, t.f1 - v.f1 AS f, t.accuracy - v.accuracy AS c FROM rep t JOIN rep v ON t.model = v.model AND t.split = 'train' AND v.split = 'val')

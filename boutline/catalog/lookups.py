@@ -246,6 +246,11 @@ def d14(spark, sf):
     return encoding.fit_target_encoding(fx.wide(spark, sf), ENC_COLS).select("column_name", "category", "n", r6("encoded"))
 
 
+@query("d14_smoothed_encoding", with_views(_ENC + "SELECT column_name, category, n, ROUND((n * m + 1e1 * gm) / (n + 1e1), 6) AS encoded FROM enc", "fx_wide"))
+def d14s(spark, sf):
+    return encoding.fit_target_encoding(fx.wide(spark, sf), ENC_COLS, smoothing=10.0).select("column_name", "category", "n", r6("encoded"))
+
+
 @query(
     "d14_out_of_fold",
     with_views(

@@ -254,6 +254,31 @@ def confidence(df: DataFrame, residual: Column | None = None, high: float = 0.70
     )
 
 
+def penalised_confidence(df: DataFrame, penalty: str, p: str = "p") -> DataFrame:
+    """Confidence of the likelier side, reduced by the penalty of edge cases, its
+    level, and bounds that are wider near one half."""
+    c = F.greatest(F.col(p), 1 - F.col(p)) * (1 - F.col(penalty))
+    margin = F.lit(0.10) * (1 - F.abs(F.col(p) - 0.5) * 2) + 0.05
+    return df.withColumns(
+        {
+            "confidence": c, "confidence_level": F.when(c >= 0.70, "high").when(c >= 0.55, "medium").otherwise("low"),
+            "lower_bound": F.greatest(F.col(p) - margin, F.lit(0.0)), "upper_bound": F.least(F.col(p) + margin, F.lit(1.0)),
+        }
+    )
+
+
+def with_p_value(result: DataFrame, statistic: str, keys: list[str], sf=None) -> DataFrame:
+    """Adds p_value to a result table of a few rows (one per key), on the driver.
+    ``sf`` maps the statistic to its tail; chi-squared with one degree by default."""
+    from boutline.functions.scalar import chi2_1_sf
+
+    sf = sf or chi2_1_sf
+    rows = [(*[r[k] for k in keys], float(r[statistic]), float(sf(r[statistic]))) for r in result.select(*keys, statistic).collect()]
+    t = dict(result.dtypes)
+    sch = ", ".join([*[f"{k} {t[k]}" for k in keys], f"{statistic} double", "p_value double"])
+    return result.sparkSession.createDataFrame(rows, sch)
+
+
 def residual_quantile(calibration: DataFrame, level: float = 0.95) -> Column:
     r = calibration.select(F.abs(F.col("p") - F.col("y_true")).alias("r"))
     return quantiles(r, [], "r", {"q": level}).select("q").scalar()

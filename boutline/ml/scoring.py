@@ -22,18 +22,28 @@ class DraftScorer:
     def __init__(self, features: FeatureModel, model):
         self.features, self.model = features, model
 
-    def score_rows(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        """(keep..., p) for match-like rows; all rows are one batch."""
+    def score_rows(self, rows: DataFrame, keep: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+        """(keep..., also..., p) for match-like rows; all rows are one batch. ``also``
+        names features to return."""
         v = self.features.vector(rows, "snapshot", ["row_id", *keep])
-        return predict(self.model, v.withColumn("result", F.lit(0)), ["row_id", *keep]).drop("y_true")
+        return predict(self.model, v.withColumn("result", F.lit(0)), ["row_id", *keep, *also]).drop("y_true")
 
     def score(self, drafts: DataFrame) -> DataFrame:
         """One row per draft: both win probabilities, level, bounds, team form."""
-        s = self.score_rows(D.side_rows(drafts), ["draft_id", "side"])
-        blue, red = F.max(F.when(F.col("side") == "Blue", F.col("p"))), F.max(F.when(F.col("side") == "Red", F.col("p")))
-        g = s.groupBy("draft_id").agg(((blue + 1 - red) / 2).alias("p"))
+        team = ("team_overall_winrate", "team_recent_winrate", "team_form_trend")
+        s = self.score_rows(D.side_rows(drafts), ["draft_id", "side"], team)
+        of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+        g = s.groupBy("draft_id").agg(
+            ((of("Blue", "p") + 1 - of("Red", "p")) / 2).alias("p"),
+            *[of(side, c).alias(f"{side.lower()}_{c}") for side in ("Blue", "Red") for c in team],
+        )
         return confidence(g).withColumnsRenamed({"p": "blue_win_prob"}).withColumn("red_win_prob", 1 - F.col("blue_win_prob"))
 
+    def checked(self, drafts: DataFrame, champions: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(scores of the valid drafts, errors of the others)."""
+        errors = D.validate(drafts, champions, teams)
+        return self.score(drafts.join(errors.select("draft_id").distinct(), "draft_id", "left_anti")), errors
+
     def pick_impact(self, drafts: DataFrame) -> DataFrame:
         """(draft_id, side, role, champion, impact_pct): the probability of the side
         minus that with the role's champion made neutral. Six rows per side."""

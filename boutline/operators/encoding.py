@@ -38,13 +38,22 @@ def _long(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(items).alias("x")).select(*keep, "x.*").filter("category IS NOT NULL")
 
 
-def fit_target_encoding(train: DataFrame, columns: list[str], roles: Roles = MATCH) -> DataFrame:
-    """(column_name, category, n, encoded, prior): one scan for all columns."""
+def fit_target_encoding(train: DataFrame, columns: list[str], roles: Roles = MATCH, smoothing: float | None = None) -> DataFrame:
+    """(column_name, category, n, encoded, prior): one scan for all columns.
+
+    The weight of a category is n/(n + smoothing) if that is given, as Spark's own
+    TargetEncoder has it, else the empirical-Bayes weight.
+    """
     y = F.col(roles.outcome)
     g = _long(train, columns, [roles.outcome]).groupBy("column_name", "category").agg(F.count(y).alias("n"), F.sum(y).alias("s"))
     tot = g.groupBy("column_name").agg(F.sum("n").alias("gn"), F.sum("s").alias("gs"))
-    return g.join(tot, "column_name").select(
-        "column_name", "category", "n", _shrunk(F.col("n"), F.col("s"), F.col("gn"), F.col("gs")).alias("encoded"),
+    if smoothing is None:
+        enc = _shrunk(F.col("n"), F.col("s"), F.col("gn"), F.col("gs"))
+    else:
+        enc = (F.col("s") + F.col("gs") / F.col("gn") * smoothing) / (F.col("n") + smoothing)
+    # one row per encoded column
+    return g.join(F.broadcast(tot), "column_name").select(
+        "column_name", "category", "n", enc.alias("encoded"),
         (F.col("gs") / F.col("gn")).alias("prior"),
     )
 

@@ -9,6 +9,7 @@ from boutline.ml import lifecycle, training
 from boutline.ml.scoring import DraftScorer
 from boutline.operators import form, splits
 from boutline.operators.features import CANONICAL_48, FeatureModel
+from boutline.roles import ROLES
 from boutline.session import cut_lineage
 from boutline.sources import snapshots
 from boutline.streaming import jobs
@@ -140,3 +141,36 @@ def test_learning_diagnosis():
     assert training.diagnose_learning([0.9, 0.9], [0.55, 0.56]) == "high_variance"
     assert training.diagnose_learning([0.82, 0.81], [0.8, 0.8]) == "well_fitted"
     assert training.diagnose_learning([0.6, 0.6], [0.6, 0.6]) == "high_bias"
+
+
+def test_invalid_drafts_are_not_scored(spark, sf, wide, scorer):
+    from boutline.operators import lookups
+
+    d = fx.drafts(spark, sf)
+    names = lambda a: [F.lit(f"C{i}") for i in range(a, a + 5)]
+    full = lambda a: F.map_from_arrays(F.array(*[F.lit(r) for r in ROLES]), F.array(*names(a)))
+    # the first half become clean drafts, but for their spoiled team
+    half = F.col("draft_id") < 300
+    new = {"blue_picks": full(0), "red_picks": full(5), "blue_bans": F.array(*names(10)), "red_bans": F.array(*names(15))}
+    d = d.withColumns({c: F.when(half, v).otherwise(F.col(c)) for c, v in new.items()})
+    known = lookups.champion_counts(wide).filter("champion <> 'Unknown'")
+    scores, errors = scorer.checked(d, known, lookups.team_counts(wide))
+    bad = {r.draft_id for r in errors.select("draft_id").distinct().collect()}
+    good = {r.draft_id for r in scores.collect()}
+    assert bad and good and not bad & good and len(bad | good) == d.count()
+
+
+def test_random_search(spark, wide):
+    from boutline.operators import splits as S
+
+    m = cut_lineage(form.entity_form(wide).select("row_id", "match_date", "result", "overall_winrate", "recent_winrate"))
+    d = cut_lineage(S.block_folds(m, 3))
+    _, grid = training.grid_search(d, ["overall_winrate", "recent_winrate"], "fold", 3, (0.1, 1.0, 10.0), (0.0, 0.5), samples=2)
+    assert grid.count() == 2
+
+
+def test_p_values_of_results(spark, sf):
+    from boutline.evaluation import metrics as M
+
+    r = M.with_p_value(M.mcnemar(fx.predictions(spark, sf), "p_a", "p_b"), "statistic", []).first()
+    assert 0 <= r.p_value <= 1
