@@ -119,33 +119,24 @@ def _files(spark, sf, name):
     """The player rows as yearly CSV folders, written by Spark."""
     room = _room(spark, name)
     p = fx.player_rows(spark, sf).select(
-        "gameid", "league", F.date_format("match_date", "yyyy-MM-dd").alias("date"), "patch", F.col("split_name").alias("split"), "year",
+        F.concat(F.col("year").cast("string"), F.lit("_match_data")).alias("file"),
+        "gameid", "league", F.date_format("match_date", "yyyy-MM-dd").alias("date"), "patch", F.col("split_name").alias("split"),
         F.concat_ws("@", "team", "row_id").alias("teamname"), "side", "result", "champion", "position", "playername", "kills", "totalgold",
     )
-    p.write.partitionBy("year").option("header", True).csv(f"{room}/by_year")
-    from py4j.java_gateway import java_import
-
-    jvm = spark.sparkContext._jvm
-    java_import(jvm, "org.apache.hadoop.fs.Path")
-    root = jvm.Path(f"{room}/by_year")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for st in fs.listStatus(root):  # folder names only
-        n = st.getPath().getName()
-        if n.startswith("year="):
-            fs.rename(st.getPath(), jvm.Path(f"{room}/by_year/{n[5:]}_match_data"))
+    p.write.partitionBy("file").option("header", True).csv(f"{room}/by_year")
     return room
 
 
 @query("a1_scan_year_files", with_views("SELECT year, COUNT(*) AS rows, COUNT(DISTINCT gameid) AS games FROM fx_players GROUP BY year", "fx_players"))
 def a1(spark, sf):
     room = _files(spark, sf, "a1")
-    return csv_matches.scan(spark, f"{room}/by_year/*_match_data*").groupBy("year").agg(F.count("*").alias("rows"), F.countDistinct("gameid").alias("games"))
+    return csv_matches.scan(spark, f"{room}/by_year/file=*_match_data*").groupBy("year").agg(F.count("*").alias("rows"), F.countDistinct("gameid").alias("games"))
 
 
 @query("a10_overview", with_views("SELECT year, COUNT(*) AS rows, 1 AS has_files FROM fx_players GROUP BY year", "fx_players"))
 def a10(spark, sf):
     room = _files(spark, sf, "a10")
-    d = csv_matches.overview(spark, f"{room}/by_year/*_match_data*")
+    d = csv_matches.overview(spark, f"{room}/by_year/file=*_match_data*")
     # how many files and bytes a year has depends on the run
     return d.select("year", "rows", ((F.col("files") > 0) & (F.col("bytes") > 0)).cast("int").alias("has_files"))
 
@@ -162,6 +153,6 @@ def a11(spark, sf):
     """A full load of the files up to 1997, then an increment of all of them."""
     room = _files(spark, sf, "a11")
     leagues = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    csv_matches.full_load(spark, f"{room}/by_year/199[0-7]_match_data*", f"{room}/store", leagues, min_games=1)
-    csv_matches.incremental_load(spark, f"{room}/by_year/*_match_data*", f"{room}/store", leagues)
+    csv_matches.full_load(spark, f"{room}/by_year/file=199[0-7]_match_data*", f"{room}/store", leagues, min_games=1)
+    csv_matches.incremental_load(spark, f"{room}/by_year/file=*_match_data*", f"{room}/store", leagues)
     return spark.read.parquet(f"{room}/store/data").groupBy("year").agg(F.count("*").alias("rows"))

@@ -20,7 +20,7 @@ RAW_TYPES = {
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, bytes, year) of the files of a glob; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path", F.col("length").alias("bytes"))
-    year = F.coalesce(F.regexp_extract("path", r"/(\d{4})_[^/]*(?:/[^/]*)?$", 1).try_cast("int"), F.lit(0))
+    year = F.coalesce(F.regexp_extract("path", r"[/=](\d{4})_[^/]*(?:/[^/]*)?$", 1).try_cast("int"), F.lit(0))
     return f.withColumn("year", year)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +69,11 @@ def restore_version(spark: SparkSession, root: str, tag: str, target: str) -> Da
     known = list_versions(spark, root).filter(F.col("tag") == tag).limit(1).count()
     if not known:
         raise ValueError(f"no version {tag}")
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(fs_path):
-        spark.read.parquet(target).write.mode("overwrite").parquet(f"{target}_backup")
+    try:
+        current = spark.read.parquet(target)
+    except AnalysisException:  # nothing to keep yet
+        current = None
+    if current is not None:
+        current.write.mode("overwrite").parquet(f"{target}_backup")
     spark.read.parquet(f"{root}/versions/tag={tag}").write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
