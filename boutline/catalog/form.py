@@ -4,6 +4,7 @@ from boutline import fixtures as fx
 from boutline.catalog.base import query, r6
 from boutline.fixtures import with_views
 from boutline.operators import form
+from boutline.session import cut_lineage
 from pyspark.sql import functions as F
 
 W = "(PARTITION BY team ORDER BY match_date, row_id"
@@ -190,7 +191,7 @@ def d15(spark, sf):
     ),
 )
 def w12(spark, sf):
-    d = form.patch_shift(fx.wide(spark, sf))
+    d = form.patch_shift(cut_lineage(fx.wide(spark, sf)))
     return d.select("patch", "patch_games_count", *[r6(c) for c in d.columns if c not in ("patch", "patch_games_count")])
 
 
@@ -204,7 +205,7 @@ SELECT row_id, ROUND(CASE WHEN COUNT(*) OVER {W} {PREV}) > 5 THEN COALESCE(AVG(C
     ),
 )
 def w11(spark, sf):
-    d = fx.wide(spark, sf)
+    d = cut_lineage(fx.wide(spark, sf))
     # the fixture's patches are calm: 0.98 splits them, the default 0.7 would flag none
     return form.meta_adaptation(d, form.patch_shift(d), unstable=0.98).select("row_id", r6("team_meta_adaptation"))
 

@@ -9,6 +9,7 @@ from boutline.fixtures import with_views
 from boutline.operators import encoding, lookups
 from boutline.plans.bounded import bounded
 from boutline.roles import ROLE_PREFIX
+from boutline.session import cut_lineage
 
 _L = """, lng AS (SELECT row_id, gameid, side, patch, team, result, UNNEST([{'r': 'top', 'l': 'Top', 'c': top_champion}, {'r': 'jungle', 'l': 'Jungle', 'c': jng_champion},
  {'r': 'mid', 'l': 'Mid', 'c': mid_champion}, {'r': 'bot', 'l': 'ADC', 'c': bot_champion}, {'r': 'support', 'l': 'Support', 'c': sup_champion}]) AS x FROM fx_wide),
@@ -172,7 +173,7 @@ lane AS (SELECT n.role, n.champion, COALESCE(a, 5e-1) AS lane_advantage, COALESC
 
 @query("d7_lane_summary", _q(_LANE + "SELECT role, champion, ROUND(lane_advantage, 6) AS lane_advantage, ROUND(lane_confidence, 6) AS lane_confidence, ROUND(archetype_advantage, 6) AS archetype_advantage FROM lane"))
 def d7(spark, sf):
-    return lookups.lane_summary(fx.wide(spark, sf)).select("role", "champion", r6("lane_advantage"), r6("lane_confidence"), r6("archetype_advantage"))
+    return lookups.lane_summary(cut_lineage(fx.wide(spark, sf))).select("role", "champion", r6("lane_advantage"), r6("lane_confidence"), r6("archetype_advantage"))
 
 
 _PEERSUM = _PEER + """, ps AS (SELECT t.team, COALESCE(AVG(wins / CAST(games AS DOUBLE)), 5e-1) AS adv, 1e0 - COALESCE(STDDEV_POP(wins / CAST(games AS DOUBLE)), 0e0) AS cons,

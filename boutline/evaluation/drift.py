@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutline.plans.ordered import HOT_ROWS, Past, history, running, value_levels
+from boutline.plans.ordered import HOT_ROWS, Past, history, running, value_levels, with_totals
 
 # Thresholds of metric drops, retraining rule.
 THRESHOLDS = {"auc": 0.02, "f1": 0.03, "accuracy": 0.03, "log_loss": 0.05}
@@ -74,7 +74,7 @@ def ks_statistic(long: DataFrame, keys: list[str]) -> DataFrame:
     tot = cells.groupBy(*keys).agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     run = running(cells, keys, value_levels("value"), ["value"], {"br": ("sum", F.col("r")), "bc": ("sum", F.col("c"))})
     gap = F.abs((F.col("br") + F.col("r")) / F.col("nr") - (F.col("bc") + F.col("c")) / F.col("nc"))
-    return run.join(tot, keys).groupBy(*keys).agg(F.max(gap).alias("ks"), F.first("nr").alias("reference_rows"), F.first("nc").alias("current_rows"))
+    return with_totals(run, tot, keys).groupBy(*keys).agg(F.max(gap).alias("ks"), F.first("nr").alias("reference_rows"), F.first("nc").alias("current_rows"))
 
 
 def feature_drift(long: DataFrame, min_rows: int = 100, psi_limit: float = 0.1, ks_limit: float = 0.1) -> DataFrame:
@@ -141,17 +141,15 @@ def _epsilon(n0: Column, n1: Column, var: Column, delta: float) -> Column:
 def adaptive_cut(df: DataFrame, keys: list[str], levels: list[Column], order: list[str], value: str, delta: float = 0.002) -> DataFrame:
     """Best cut of one whole window per key: the position whose two sides differ
     most, among those beyond the bound. Prefix sums and totals only."""
-    d, ks = (df, keys) if keys else (df.withColumn("__all", F.lit(1)), ["__all"])
     v = F.col(value)
-    r = running(d, ks, levels, order, {"n0": ("sum", F.lit(1)), "s0": ("sum", v)})
-    tot = d.groupBy(*ks).agg(F.count("*").alias("n"), F.sum(v).alias("s"), (F.var_pop(v) + F.lit(1e-10)).alias("var"))
-    j = r.join(tot, ks).filter((F.col("n0") >= 5) & (F.col("n0") < F.col("n") - 5))
+    r = running(df, keys, levels, order, {"n0": ("sum", F.lit(1)), "s0": ("sum", v)})
+    tot = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(v).alias("s"), (F.var_pop(v) + F.lit(1e-10)).alias("var"))
+    j = with_totals(r, tot, keys).filter((F.col("n0") >= 5) & (F.col("n0") < F.col("n") - 5))
     n0, n1 = F.col("n0").cast("double"), (F.col("n") - F.col("n0")).cast("double")
     diff = F.abs(F.col("s0") / n0 - (F.col("s") - F.col("s0")) / n1)
-    hit = j.select(*ks, "n0", diff.alias("diff"), _epsilon(n0, n1, F.col("var"), delta).alias("eps")).filter("diff > eps")
-    best = hit.groupBy(*ks).agg(F.max_by(F.struct("n0", "diff", "eps"), F.struct("diff", -F.col("n0"))).alias("x"))
-    out = best.select(*ks, F.col("x.n0").alias("cut"), F.col("x.diff").alias("mean_difference"), F.col("x.eps").alias("epsilon"))
-    return out if keys else out.drop("__all")
+    hit = j.select(*keys, "n0", diff.alias("diff"), _epsilon(n0, n1, F.col("var"), delta).alias("eps")).filter("diff > eps")
+    best = hit.groupBy(*keys).agg(F.max_by(F.struct("n0", "diff", "eps"), F.struct("diff", -F.col("n0"))).alias("x")).filter("x IS NOT NULL")
+    return best.select(*keys, F.col("x.n0").alias("cut"), F.col("x.diff").alias("mean_difference"), F.col("x.eps").alias("epsilon"))
 
 
 def adaptive_sequence(df: DataFrame, key: str, order: str, value: str, delta: float = 0.002, min_window: int = 30) -> DataFrame:

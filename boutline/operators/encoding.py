@@ -84,9 +84,13 @@ def out_of_fold_encoding(df: DataFrame, column: str, folds: int = 5, roles: Role
     cf = src.groupBy(column, "__f").agg(F.count(y).alias("n"), F.sum(y).alias("s"))
     cat = cf.groupBy(column).agg(F.sum("n").alias("cn"), F.sum("s").alias("cs"))
     fold = cf.groupBy("__f").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
-    tn, ts = cf.agg(F.sum("n")).scalar(), cf.agg(F.sum("s")).scalar()
-    enc = (
-        cf.join(cat, column).join(fold, "__f")
-        .select(column, "__f", _shrunk(F.col("cn") - F.col("n"), F.col("cs") - F.col("s"), tn - F.col("fn"), ts - F.col("fs")).alias(f"{column}_oof_encoded"))
+    all_rows = cf.agg(F.struct(F.sum("n").alias("n"), F.sum("s").alias("s"))).scalar()
+    rest = (
+        cf.join(cat, column).join(F.broadcast(fold), "__f").withColumn("t", all_rows)  # one row per fold
+        .select(
+            column, "__f", (F.col("cn") - F.col("n")).alias("n"), (F.col("cs") - F.col("s")).alias("s"),
+            (F.col("t.n") - F.col("fn")).alias("gn"), (F.col("t.s") - F.col("fs")).alias("gs"),
+        )
     )
-    return src.join(enc, [column, "__f"]).withColumnRenamed("__f", "fold")
+    enc = rest.select(column, "__f", _shrunk(F.col("n"), F.col("s"), F.col("gn"), F.col("gs")).alias(f"{column}_oof_encoded"))
+    return src.join(bounded(enc), [column, "__f"]).withColumnRenamed("__f", "fold")

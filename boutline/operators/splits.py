@@ -24,8 +24,8 @@ def _tag(rank: Column, n: Column, train: float, val: float) -> Column:
     )
 
 
-def time_rank(df: DataFrame, keys: list[str], roles: Roles = MATCH, name: str = "_rank") -> DataFrame:
-    return ranked(df, keys, time_levels(roles.time, roles.row), [roles.time, roles.row], name)
+def time_rank(df: DataFrame, keys: list[str], roles: Roles = MATCH, name: str = "_rank", source: DataFrame | None = None) -> DataFrame:
+    return ranked(df, keys, time_levels(roles.time, roles.row), [roles.time, roles.row], name, source)
 
 
 def temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.15, roles: Roles = MATCH) -> DataFrame:
@@ -44,29 +44,29 @@ def _with_size(df: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
 
 def stratified_temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.15, min_rows: int = 10, roles: Roles = MATCH) -> DataFrame:
     """The same cut within each year; years with too few rows are dropped."""
-    d = time_rank(_with_size(df, [roles.year], min_rows), [roles.year], roles)
+    d = time_rank(_with_size(df, [roles.year], min_rows), [roles.year], roles, source=df)
     return d.withColumn("split", _tag(F.col("_rank"), F.col("_n"), train, val))
 
 
-def shuffled(df: DataFrame, keys: list[str], seed: str, parts: list[str], roles: Roles = MATCH) -> DataFrame:
+def shuffled(df: DataFrame, keys: list[str], seed: str, parts: list[str], roles: Roles = MATCH, source: DataFrame | None = None) -> DataFrame:
     """Rank in the order of md5(seed-parts-row) within keys. The hash prefix is the
     slot, so slots are even whatever the data."""
     text = F.concat_ws("-", F.lit(seed), *[F.col(p).cast("string") for p in parts], F.col(roles.row).cast("string"))
-    d = df.withColumn("_h", F.md5(text))
+    hashed = lambda d: d.withColumn("_h", F.md5(text))
     slot = [F.substring("_h", 1, 2), F.substring("_h", 1, 4)]
-    return ranked(d, keys, slot, ["_h", roles.row]).drop("_h")
+    return ranked(hashed(df), keys, slot, ["_h", roles.row], source=None if source is None else hashed(source)).drop("_h")
 
 
 def stratified_random_split(df: DataFrame, train: float = 0.7, val: float = 0.15, seed: str = "42", by_label: bool = False, min_rows: int = 10, roles: Roles = MATCH) -> DataFrame:
     keys = [roles.year, roles.outcome] if by_label else [roles.year]
-    d = shuffled(_with_size(df, keys, min_rows), keys, seed, [roles.year], roles)
+    d = shuffled(_with_size(df, keys, min_rows), keys, seed, [roles.year], roles, df)
     return d.withColumn("split", _tag(F.col("_rank"), F.col("_n"), train, val))
 
 
 def stratified_folds(df: DataFrame, k: int = 5, val: float = 0.2, seed: str = "cv", roles: Roles = MATCH) -> DataFrame:
     """Long (fold, row, role): per fold and year a validation block of the shuffled
     year at offset fold*floor(n/k) mod (n - v), the rest train."""
-    d = shuffled(_with_size(df, [roles.year], k), [roles.year], seed, [roles.year], roles)
+    d = shuffled(_with_size(df, [roles.year], k), [roles.year], seed, [roles.year], roles, df)
     n, r = F.col("_n"), F.col("_rank")
     v = F.greatest(F.floor(n * F.lit(val)), F.lit(1))
     out = d.select(roles.row, roles.year, "_n", "_rank", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))

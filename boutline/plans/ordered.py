@@ -99,9 +99,18 @@ def running(
     )
 
 
-def ranked(df: DataFrame, keys: list[str], levels: list[Column], order: list[str], name: str = "_rank") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], levels: list[Column], order: list[str], name: str = "_rank", source: DataFrame | None = None) -> DataFrame:
     """0-based position of each row in its key's order (of all rows if no keys)."""
-    return running(df, keys, levels, order, {name: ("sum", F.lit(1))}).withColumn(name, F.col(name).cast("long"))
+    return running(df, keys, levels, order, {name: ("sum", F.lit(1))}, source=source).withColumn(name, F.col(name).cast("long"))
+
+
+def with_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """The totals of each row's key as columns. Without keys they are one row and
+    come as a scalar: a join on a constant would be planned as a cross join."""
+    if keys:
+        return df.join(totals, keys)
+    out = df.withColumn("__tot", totals.select(F.struct("*")).scalar())
+    return out.withColumns({c: F.col(f"__tot.{c}") for c in totals.columns}).drop("__tot")
 
 
 @dataclass(frozen=True)
@@ -212,11 +221,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     Values are counted first, so equal values meet map-side; the rank search
     runs over slots of distinct values, never over one group in one task.
     """
-    if not keys:
-        return quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, probs).drop("__all")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
     total = counts.groupBy(*keys).agg(F.sum("__n").alias("__t"))
-    pos = running(counts, keys, value_levels(value), [value], {"__before": ("sum", F.col("__n"))}).join(total, keys)
+    pos = with_totals(running(counts, keys, value_levels(value), [value], {"__before": ("sum", F.col("__n"))}), total, keys)
 
     def at(rank):
         return F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n")), F.col(value)))
