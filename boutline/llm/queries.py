@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boutline.llm import quality
+from boutline.llm import minhash, mixing, quality
 from boutline.llm.common import table
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    narrow = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"))
+    return mixing.mix(narrow, F.col("n")).drop("n", "source")
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_line_first_quality": op10_line_first_quality}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op7_minhash_near_dedup, op10_line_first_quality)}
 
 ORACLES: dict[str, str] = {}
