@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import minhash, mixing, quality
+from boutline.llm import decontaminate, minhash, mixing, quality
 from boutline.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(narrow, F.col("n")).drop("n", "source")
 
 
+def op2_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2").distinct()
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,6 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op7_minhash_near_dedup, op10_line_first_quality)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op7_minhash_near_dedup, op10_line_first_quality)}
 
 ORACLES: dict[str, str] = {}
