@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import decontaminate, minhash, mixing, quality
+from boutline.llm import decontaminate, minhash, mixing, pii, quality
 from boutline.llm.common import table
 
 
@@ -23,10 +23,14 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op7_minhash_near_dedup, op10_line_first_quality)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op7_minhash_near_dedup, op9_personal_data, op10_line_first_quality)}
 
 ORACLES: dict[str, str] = {}
