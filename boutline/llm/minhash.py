@@ -5,11 +5,12 @@
 2. Documents with equal sets are one class from here on (a grouped minimum).
 3. Every band bucket links its members to a hub, the member with the most company over
    all its bands. Links are confirmed on the full sets.
-4. Where a bucket still holds more than one component, members outside the hub's are held
-   against all others in blocks; the packed bits give a similarity, corrected for chance
-   agreement, and the best partners in other components are confirmed on full sets. This
-   repeats, sixteen times as many partners at a time, until no pair with an estimate
-   above the margin is left untested; nothing is capped.
+4. A hub and all that share a bucket with it are a neighbourhood. Where it still holds
+   more than one component, nodes outside the hub's are held against all its nodes, block
+   against block: the packed bits give a similarity, corrected for chance agreement, and
+   nodes with a likely partner in another component are compared on their full sets.
+   Every pair of different components that shares a bucket is judged; only links leave a
+   block, one for each node and component, never pairs of a group.
 
 A pair at the threshold shares a bucket with probability 1 - (1 - 0.75**4)**32 > 1 - 6e-6,
 and its estimate stays above threshold - margin but for about one pair in a million.
@@ -138,50 +139,95 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = cut_lineage(twice.select("node", F.coalesce("via", "to").alias("label")))
 
 
-def _estimates(t: int):
-    """Best ``t`` partners in other components of each outsider, block against block."""
-    floor, chance = THRESHOLD_PCT / 100 - MARGIN, 1 / (1 << BITS)
-
-    def block(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
-        return np.asarray(rows.field("node")), np.asarray(rows.field("label")), bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                (xd, xc, xb), (yd, yc, yb) = (block(batch.column(c)[row].values) for c in ("xs", "ys"))
-                a, b, more = [], [], []
-                for i in range(len(xd)):
-                    differ = yb ^ xb[i]
-                    odd = (differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)
-                    agree = 1 - np.bitwise_count(odd).sum(axis=1) / PERMUTATIONS
-                    estimate = (agree - chance) / (1 - chance)
-                    fit = np.flatnonzero((yc != xc[i]) & (estimate >= floor))
-                    cut = len(fit) > t
-                    if cut:
-                        fit = fit[np.lexsort((yd[fit], -estimate[fit]))[:t]]
-                    a.append(np.minimum(xd[i], yd[fit]))
-                    b.append(np.maximum(xd[i], yd[fit]))
-                    more.append(np.full(len(fit), cut))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, more)], ["a", "b", "more"])
-
-    return run
-
-
-def partners(members: DataFrame, labels: DataFrame, bits: DataFrame, t: int) -> DataFrame:
-    """Pairs (a, b) to test next, and whether there are more for one of them.
-
-    Only buckets with more than one component count. Their members, and among them those
-    outside the hub's component, are packed in blocks of about ``CHUNK``; every block of
-    outsiders meets every block of members of its bucket."""
-    now = members.join(labels, "node")
-    stats = now.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main"))
-    mixed = now.join(stats.filter("lo < hi").drop("lo", "hi"), "key").join(bits, "node")
-    mixed = mixed.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK).cast("long")))
-    packed = F.collect_list(F.struct("node", "label", "bits"))
-    ys = mixed.groupBy("key", "part").agg(packed.alias("ys")).drop("part")
-    xs = mixed.filter("label <> main").groupBy("key", "part").agg(packed.alias("xs")).drop("part")
-    return xs.join(ys, "key").select("xs", "ys").mapInArrow(_estimates(t), "a long, b long, more boolean")
+def _bit_block(x: pa.Table, y: pa.Table) -> pa.Table:
+    """Of two blocks of a neighbourhood, the nodes that have a partner in another
+    component whose estimated similarity is not below the threshold less the margin."""
+    chance = 1 / (1 << BITS)
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, PERMUTATIONS * BITS // 64)
+        return t.column("node").to_numpy(), t.column("label").to_numpy(), bits
+
+    (xn, xl, xb), (yn, yl, yb) = columns(x), columns(y)
+    x_in, y_in = np.zeros(len(xn), bool), np.zeros(len(yn), bool)
+    for i in range(len(xn) if len(yn) else 0):
+        differ = yb ^ xb[i]
+        odd = (differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)
+        agree = 1 - np.bitwise_count(odd).sum(axis=1) / PERMUTATIONS
+        fit = ((agree - chance) / (1 - chance) >= THRESHOLD_PCT / 100 - MARGIN) & (yl != xl[i])
+        x_in[i] = fit.any()
+        y_in |= fit
+    hub = (x if x.num_rows else y).column("hub")[0].as_py() if x.num_rows or y.num_rows else 0
+    nodes = np.unique(np.concatenate([xn[x_in], yn[y_in]]))
+    return pa.table({"hub": pa.array(np.full(len(nodes), hub, np.int64)), "node": pa.array(nodes, pa.int64())})
+
+
+def _set_block(x: pa.Table, y: pa.Table) -> pa.Table:
+    """Links between two blocks: for each node of ``x`` one to every other component of
+    ``y`` that has a similar enough set. All intersections at once are a product of two
+    incidence matrices over the shingles that both blocks have."""
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sets = t.column("shingles").combine_chunks()
+        counts = np.diff(sets.offsets.to_numpy()) if t.num_rows else np.zeros(0, np.int64)
+        return t.column("node").to_numpy(), t.column("label").to_numpy(), sets.flatten().to_numpy(), counts, np.repeat(np.arange(t.num_rows), counts)
+
+    (xn, xl, xs, xc, xr), (yn, yl, ys, yc, yr) = columns(x), columns(y)
+    both = np.zeros((len(xn), len(yn)), np.float32)
+    common = np.intersect1d(xs, ys)
+    for i in range(0, len(common), 4096):
+        part = common[i : i + 4096]
+
+        def incidence(values: np.ndarray, rows: np.ndarray, n: int, part: np.ndarray = part) -> np.ndarray:
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            m = np.zeros((n, len(part)), np.float32)
+            m[rows[hit], at[hit]] = 1
+            return m
+
+        both += incidence(xs, xr, len(xn)) @ incidence(ys, yr, len(yn)).T
+    linked = (100 * both >= THRESHOLD_PCT * (xc[:, None] + yc[None, :] - both)) & (both > 0) & (xl[:, None] != yl[None, :])
+    a, b = [], []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        at = np.flatnonzero(linked[i])
+        _, first = np.unique(yl[at], return_index=True)
+        a.append(np.full(len(first), xn[i]))
+        b.append(yn[at[first]])
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+
+def block_pairs(members: DataFrame, payload: str, weight: str):
+    """Blocks of nodes outside the main component of their neighbourhood, cogrouped with
+    every block of the same neighbourhood. ``members``: (hub, node, label, main, others);
+    a block has about ``CHUNK`` nodes and a bounded sum of ``weight``."""
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(weight) / (CHUNK * 1024))).cast("long")
+    sized = members.groupBy("hub").agg(parts.alias("parts"))
+    y = members.join(sized, "hub").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    x = y.filter("label <> main")
+    x_parts = x.groupBy("hub").agg(F.collect_set("part").alias("x_parts"))
+    xs = x.select("hub", F.col("part").alias("xp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("yp"), "node", "label", payload)
+    ys = y.join(x_parts, "hub").select(F.explode("x_parts").alias("xp"), F.col("part").alias("yp"), *(F.col(c).alias(c) for c in ("hub", "node", "label", payload)))
+    return xs.groupBy("hub", "xp", "yp").cogroup(ys.groupBy("hub", "xp", "yp"))
+
+
+def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [s.view(np.int64) for s in _distinct_sets(batch.column("text"))]
+        rest = [batch.column(c) for c in ("hub", "node", "label", "main", "n_shingles")]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(sets, pa.list_(pa.int64()))], ["hub", "node", "label", "main", "n_shingles", "shingles"])
+
+
+def other_links(around: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a neighbourhood ``around`` (hub, node)."""
+    now = around.join(labels, "node")
+    own = F.max(F.when(F.col("node") == F.col("hub"), F.col("label")))
+    open_hubs = now.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), own.alias("main")).filter("lo < hi").select("hub", "main")
+    mixed = cut_lineage(now.join(open_hubs, "hub").join(nodes.select("node", "bits", "n_shingles"), "node"))
+    likely = cut_lineage(block_pairs(mixed.withColumn("one", F.lit(1)), "bits", "one").applyInArrow(_bit_block, "hub long, node long").distinct())
+    few = mixed.drop("bits").join(likely, ["hub", "node"], "left_semi").join(texts, "node")
+    sets = cut_lineage(few.select("hub", "node", "label", "main", "n_shingles", "text").mapInArrow(_node_sets, "hub long, node long, label long, main long, n_shingles long, shingles array<long>"))
+    return block_pairs(sets, "shingles", "n_shingles").applyInArrow(_set_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -192,9 +238,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # a node is a set of shingles; the smallest document with it lends it name and text
     named = signed.filter("doc_id is not null and node is not null")
-    nodes = named.groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash", "bands", "bits"), F.struct("doc_id", "text_hash")).alias("s"))
+    nodes = named.groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "bands", "bits"), F.struct("doc_id", "text_hash")).alias("s"))
     nodes = cut_lineage(nodes.select("node", "s.*"))
-    bits = nodes.select("node", "bits")
 
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -206,26 +251,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     need = bounded(cut_lineage(nodes.join(company, "node", "left_semi").select("node", "doc_id", "text_hash")))
     texts = cut_lineage(rows.dropna(subset=["doc_id"]).join(need, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
 
-    pairs = members.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tested = cut_lineage(pairs)
-    links = cut_lineage(confirmed(tested, texts))
+    around = cut_lineage(members.select("hub", "node").distinct())
+    pairs = around.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = cut_lineage(confirmed(pairs, texts))
     # texts of one doc_id are one document
     ties = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a < hi").select("doc_id", "a")
     ties = named.join(ties, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     labels = components(nodes.select("node", F.col("doc_id").alias("label")), links.union(ties))
-    t = 1
-    while True:
-        found = cut_lineage(partners(members, labels, bits, t))
-        new = cut_lineage(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        fresh = new.limit(1).count()
-        if fresh:
-            tested = tested.union(new)
-            more = cut_lineage(confirmed(new, texts))
-            if more.limit(1).count():
-                labels = components(labels, more)
-        elif not found.filter("more").limit(1).count():
-            break
-        t *= 16
+    labels = components(labels, other_links(around, labels, nodes, texts))
     out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
