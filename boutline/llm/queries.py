@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import decontaminate, minhash, mixing, pii, quality, substrings
+from boutline.llm import automaton, decontaminate, minhash, mixing, pii, quality, substrings
 from boutline.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op5_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return automaton.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,6 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op5_countmin_substrings, op7_minhash_near_dedup, op9_personal_data, op10_line_first_quality)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op5_countmin_substrings, op6_backoff_automaton, op7_minhash_near_dedup, op9_personal_data, op10_line_first_quality)}
 
 ORACLES: dict[str, str] = {}
