@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import automaton, decontaminate, minhash, mixing, pii, quality, substrings
+from boutline.llm import automaton, decontaminate, langid, minhash, mixing, pii, quality, substrings
 from boutline.llm.common import table
 
 
@@ -19,14 +19,21 @@ def op2_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2").distinct()
 
 
+def _checksum(divisor: int):
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def op3_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), _checksum(3) == 1)
+
+
 def op5_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    return automaton.score(table(spark, sf_dir, "documents"), held_out)
+    return automaton.score(table(spark, sf_dir, "documents"), _checksum(7) == 2)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +48,6 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op5_countmin_substrings, op6_backoff_automaton, op7_minhash_near_dedup, op9_personal_data, op10_line_first_quality)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op3_language_ftrl, op5_countmin_substrings, op6_backoff_automaton, op7_minhash_near_dedup, op9_personal_data, op10_line_first_quality)}
 
 ORACLES: dict[str, str] = {}
