@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import automaton, decontaminate, langid, minhash, mixing, pii, quality, substrings
+from boutline.llm import automaton, chat, decontaminate, langid, licenses, minhash, mixing, pii, quality, substrings
 from boutline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), _checksum(3) == 1)
 
 
+def op4_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,6 +44,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.lit("\\### Assistant: </turn> ok")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), told.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.report(chat.expand(rows))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +59,6 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op3_language_ftrl, op5_countmin_substrings, op6_backoff_automaton, op7_minhash_near_dedup, op9_personal_data, op10_line_first_quality)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op3_language_ftrl, op4_license_bands, op5_countmin_substrings, op6_backoff_automaton, op7_minhash_near_dedup, op8_prefix_targets, op9_personal_data, op10_line_first_quality)}
 
 ORACLES: dict[str, str] = {}
