@@ -114,7 +114,7 @@ def m10(spark, sf):
 
 @query(
     "m10_bootstrap_interval",
-    with_views(_BOOT + "SELECT model, ROUND(AVG(auc), 6) AS mean, ROUND(STDDEV_SAMP(auc), 6) AS std, COUNT(*) AS replicates, ROUND(quantile_cont(auc, 25e-3), 6) AS ci_lower, ROUND(quantile_cont(auc, 975e-3), 6) AS ci_upper FROM br GROUP BY model", "fx_long"),
+    with_views(_BOOT + "SELECT model, ROUND(AVG(auc), 6) AS mean, ROUND(STDDEV_POP(auc), 6) AS std, COUNT(*) AS replicates, ROUND(quantile_cont(auc, 25e-3), 6) AS ci_lower, ROUND(quantile_cont(auc, 975e-3), 6) AS ci_upper FROM br GROUP BY model", "fx_long"),
 )
 def m10i(spark, sf):
     reps = M.bootstrap_metrics(fx.predictions_long(spark, sf), ["model"], "event_id", 20)

@@ -152,45 +152,70 @@ def adaptive_cut(df: DataFrame, keys: list[str], levels: list[Column], order: li
     return best.select(*keys, F.col("x.n0").alias("cut"), F.col("x.diff").alias("mean_difference"), F.col("x.eps").alias("epsilon"))
 
 
+class WindowScan:
+    """The adaptive window of one series, point by point: one kernel for batch and stream.
+
+    A window is cut at the place whose sides differ most beyond the bound, and goes on
+    after it. Prefix sums of the window are kept and extended, not built anew for each
+    point. No cut is looked for before ``2 * min_window`` points are known; then those
+    from ``min_window`` on are judged, so a stream and a table of the same points agree.
+    """
+
+    def __init__(self, delta: float = 0.002, min_window: int = 30, start: int = 0, points: tuple = (), seen: int = 0):
+        self.ln, self.min_window = math.log(2 / delta), min_window
+        self.start, self.points, self.seen = start, list(points), seen
+
+    def _cut(self, sums: list[float], squares: list[float]) -> int | None:
+        import numpy as np
+
+        n = len(sums)
+        if n < 11:
+            return None
+        c, left = np.asarray(sums), np.arange(5, n - 5)
+        right = n - left
+        mean = c[-1] / n
+        spread = max(squares[-1] / n - mean * mean, 0.0) + 1e-10
+        gap = np.abs(c[left - 1] / left - (c[-1] - c[left - 1]) / right)
+        m = left * right / n
+        beyond = gap > np.sqrt(2 / m * spread * self.ln) + 2 / (3 * m) * self.ln
+        return int(left[beyond][np.argmax(gap[beyond])]) if beyond.any() else None
+
+    def feed(self, values) -> list[tuple[int, int]]:
+        """(position, window size) of every cut that the new points bring."""
+        self.points += [float(v) for v in values]
+        self.seen += len(values)
+        if self.seen < 2 * self.min_window:
+            return []
+        judged = max(self.seen - len(values), self.min_window) if self.seen - len(values) >= 2 * self.min_window else self.min_window
+        found, window, self.points = [], self.points, []
+        sums, squares, first = [], [], self.seen - len(window)
+        for i, v in enumerate(window):
+            self.points.append(v)
+            sums.append((sums[-1] if sums else 0.0) + v)
+            squares.append((squares[-1] if squares else 0.0) + v * v)
+            if first + i >= judged:
+                k = self._cut(sums, squares)
+                if k is not None:
+                    found.append((self.start + k, len(self.points)))
+                    self.start, self.points = self.start + k + 1, self.points[k + 1 :]
+                    base, square = sums[k], squares[k]
+                    sums, squares = [x - base for x in sums[k + 1 :]], [x - square for x in squares[k + 1 :]]
+        return found
+
+
 def adaptive_sequence(df: DataFrame, key: str, order: str, value: str, delta: float = 0.002, min_window: int = 30) -> DataFrame:
-    """Cuts with restart at each drift, in order.
+    """Cuts with restart at each drift, in order, of many series.
 
     The recursion is sequential within a series, so the input is a metric series:
     one point per hour, day or run, aggregated from the rows beforehand (its length
     is bounded by the calendar, not by rows). ``adaptive_cut`` takes raw rows;
-    streaming.monitor keeps the window as state.
+    streaming.jobs.drift_stream keeps the window as state.
     """
-    import numpy as np
     import pandas as pd
 
-    ln = math.log(2 / delta)
-
-    def cut(x):
-        n = len(x)
-        if n < 10:
-            return None
-        c = np.cumsum(x)
-        n0 = np.arange(5, n - 5)
-        if not len(n0):
-            return None
-        n1 = n - n0
-        diff = np.abs(c[n0 - 1] / n0 - (c[-1] - c[n0 - 1]) / n1)
-        m = n0 * n1 / n
-        eps = np.sqrt(2 / m * (x.var() + 1e-10) * ln) + 2 / (3 * m) * ln
-        ok = diff > eps
-        return int(n0[ok][np.argmax(diff[ok])]) if ok.any() else None
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[value].to_numpy(float)
-        out, start = [], 0
-        if len(x) >= 2 * min_window:
-            for i in range(min_window, len(x)):
-                k = cut(x[start : i + 1])
-                if k is not None:
-                    out.append((pdf[key].iloc[0], start + k, i + 1 - start))
-                    start += k + 1
-        return pd.DataFrame(out, columns=[key, "position", "window_size"])
+        found = WindowScan(delta, min_window).feed(pdf.sort_values(order)[value].to_numpy(float))
+        return pd.DataFrame([(pdf[key].iloc[0], *x) for x in found], columns=[key, "position", "window_size"])
 
     kt = dict(df.dtypes)[key]
     return df.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kt}, position long, window_size long")

@@ -227,7 +227,7 @@ def bootstrap_interval(reps: DataFrame, keys: list[str], metric: str, level: flo
     """Mean, deviation and percentile interval over the replicates."""
     a = (1 - level) / 2
     q = quantiles(reps, keys, metric, {"ci_lower": a, "ci_upper": 1 - a})
-    s = reps.groupBy(*keys).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.count(metric).alias("replicates"))
+    s = reps.groupBy(*keys).agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), F.count(metric).alias("replicates"))
     return s.join(q, keys) if keys else s.withColumn("__k", F.lit(1)).join(q.withColumn("__k", F.lit(1)), "__k").drop("__k")
 
 

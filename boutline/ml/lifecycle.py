@@ -39,7 +39,7 @@ def retention(history: DataFrame, keep: int = 10) -> DataFrame:
     return versions(history).withColumn("__r", F.row_number().over(w)).filter((F.col("__r") > keep) & ~F.col("is_production")).drop("__r")
 
 
-def retrain(matches: DataFrame, months: int = 30, min_rows: int = 1000, roles: Roles = MATCH):
+def retrain(matches: DataFrame, months: int = 12, min_rows: int = 1000, roles: Roles = MATCH):
     """Rolling window -> temporal split -> features fitted on train -> logistic
     regression -> report. Returns (feature model, classifier, report)."""
     recent = rolling_window(matches, matches.agg(F.max(roles.time)).scalar(), months, roles)

@@ -16,8 +16,8 @@ def _half(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.5))
 
 
-def _setup(roles: Roles):
-    return [roles.time, roles.row], time_levels(roles.time, roles.row)
+def _setup(df: DataFrame, roles: Roles):
+    return [roles.time, roles.row], time_levels(df, roles.time, roles.row)
 
 
 def entity_form(df: DataFrame, roles: Roles = MATCH, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -28,7 +28,7 @@ def entity_form(df: DataFrame, roles: Roles = MATCH, hot_rows: int | None = HOT_
     current_streak, games_on_patch, patch_experience, patch_performance and
     league_recent. Unused ones are pruned by the optimizer.
     """
-    order, levels = _setup(roles)
+    order, levels = _setup(df, roles)
     y = F.col(roles.outcome)
     at = F.col("games_played")
     pasts = [
@@ -130,7 +130,7 @@ def player_form(df: DataFrame, roles: Roles = MATCH, hot_rows: int | None = HOT_
 
     Unknown players have no past: they keep the defaults.
     """
-    order, levels = _setup(roles)
+    order, levels = _setup(df, roles)
     long = role_long(df, roles, [roles.row, roles.time, roles.outcome], players=True, unknown=True)
     y = F.col(roles.outcome)
     known = long.filter(F.col("player").isNotNull() & (F.col("player") != UNKNOWN))
@@ -244,7 +244,7 @@ def patch_shift(df: DataFrame, roles: Roles = MATCH) -> DataFrame:
 def meta_adaptation(df: DataFrame, shifts: DataFrame, roles: Roles = MATCH, unstable: float = 0.7, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Mean of the entity's earlier outcomes on unstable patches; 0.5 until it has
     more than five earlier games."""
-    order, levels = _setup(roles)
+    order, levels = _setup(df, roles)
     s = shifts.select(roles.patch, "patch_stability")
     # one row per patch: as long as the release calendar
     src = df.join(F.broadcast(s), roles.patch, "left").withColumn("patch_stability", F.coalesce("patch_stability", F.lit(1.0)))
@@ -265,7 +265,7 @@ def latest_form(df: DataFrame, roles: Roles = MATCH, hot_rows: int | None = HOT_
     Every row carries the nine outcomes before it as a sum, so the last row of an
     entity, found by an aggregate, tells all: one pass, nothing collected.
     """
-    order, levels = _setup(roles)
+    order, levels = _setup(df, roles)
     y, at = F.col(roles.outcome), F.col("n")
     h = history(
         df.select(roles.entity, roles.time, roles.row, roles.outcome),

@@ -126,10 +126,11 @@ def nearest_in_time(df: DataFrame, column: str, roles: Roles = MATCH) -> DataFra
     a tie. The last known before and the first known after each row are prefix
     extremes over slots of the order; no task sorts all rows."""
     order = [roles.time, roles.row]
-    levels = time_levels(roles.time, roles.row)
+    levels = time_levels(df, roles.time, roles.row)
     known = F.when(F.col(column).isNotNull(), F.struct(F.col(roles.time).alias("t"), F.col(roles.row).alias("r"), F.col(column).alias("v")))
     d = running(df, [], levels, order, {"__b": ("max", known)})
     d = running(d, [], levels, order, {"__a": ("min", known)}, descending=True, source=df)
-    before, after = F.datediff(F.col(roles.time), F.col("__b.t")), F.datediff(F.col("__a.t"), F.col(roles.time))
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    before, after = at(roles.time) - at("__b.t"), at("__a.t") - at(roles.time)
     pick = F.when(F.col("__a.t").isNull() | (before <= after), F.col("__b.v")).otherwise(F.col("__a.v"))
     return d.withColumn(column, F.coalesce(F.col(column), pick)).drop("__b", "__a")

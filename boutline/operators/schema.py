@@ -69,7 +69,6 @@ def validate_schema(
     types: dict[str, str] | None = None,
     result: str = "result",
     strict: bool = False,
-    max_extra: int = 10,
 ) -> DataFrame:
     """Findings (level, kind, column_name, detail). Names are compared on the
     driver (metadata); the outcome domain is one aggregate."""
@@ -78,7 +77,7 @@ def validate_schema(
     found = [("error", "missing_required", c, "") for c in required if c not in have]
     found += [("warning", "missing_recommended", c, "") for c in recommended if c not in have]
     extra = [c for c in df.columns if c not in required and c not in recommended]
-    found += [("error" if strict else "info", "extra_column", c, "") for c in extra[:max_extra]]
+    found += [("error" if strict else "info", "extra_column", c, "") for c in extra]
     for c, want in (types or {}).items():
         if c in have and _kind(have[c]) != want:
             found.append(("error" if strict else "warning", "type_mismatch", c, f"{want} expected, {_kind(have[c])} found"))

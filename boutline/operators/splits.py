@@ -25,7 +25,7 @@ def _tag(rank: Column, n: Column, train: float, val: float) -> Column:
 
 
 def time_rank(df: DataFrame, keys: list[str], roles: Roles = MATCH, name: str = "_rank", source: DataFrame | None = None) -> DataFrame:
-    return ranked(df, keys, time_levels(roles.time, roles.row), [roles.time, roles.row], name, source)
+    return ranked(df, keys, time_levels(df, roles.time, roles.row), [roles.time, roles.row], name, source)
 
 
 def temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.15, roles: Roles = MATCH) -> DataFrame:
@@ -117,7 +117,7 @@ def temporal_samples(df: DataFrame, window: int = 10, step: int = 5, roles: Role
                 frames={"__s": (F.sum, y, window - 1), "__c": (F.count, y, window - 1), "__first": (F.min, F.col(roles.time), window - 1)},
             )
         ],
-        [roles.time, roles.row], time_levels(roles.time, roles.row), hot_rows,
+        [roles.time, roles.row], time_levels(df, roles.time, roles.row), hot_rows,
     )
     start = F.col("_rank") - (window - 1)
     return h.filter((start >= 0) & (start % step == 0)).select(

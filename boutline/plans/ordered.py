@@ -29,6 +29,9 @@ _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 # the slot aggregate is computed once and reused.
 _FIRST_VALUE = {"date": "0001-01-01", "string": "", "int": -(1 << 31), "bigint": -(1 << 62)}
 
+# Mantissa steps of one value level.
+_STEPS = 1 << 16
+
 
 def _join(kind: str, a: Column, b: Column) -> Column:
     if kind == "sum":
@@ -36,16 +39,32 @@ def _join(kind: str, a: Column, b: Column) -> Column:
     return F.greatest(a, b) if kind == "max" else F.least(a, b)
 
 
-def time_levels(time: str, row: str, chunk: int = ID_CHUNK) -> list[Column]:
-    """Slots for an order by (time, numeric row id)."""
-    return [F.to_date(time), F.floor(F.col(row) / chunk)]
+def time_levels(df: DataFrame, time: str, row: str, chunk: int = ID_CHUNK) -> list[Column]:
+    """Slots for an order by (time, numeric row id). Each level grows with the order
+    within the levels before it: a range of ids only counts among rows of one time,
+    which is a day for dates and an exact moment for timestamps."""
+    ids = F.floor(F.col(row) / chunk)
+    if dict(df.dtypes)[time] == "date":
+        return [F.col(time), ids]
+    if dict(df.dtypes)[time] == "string":
+        return [F.substring(time, 1, 10), F.col(time), ids]
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    return [F.floor(at / 86_400_000_000), F.floor(at / 1_000_000), at, ids]
 
 
 def value_levels(value: str) -> list[Column]:
-    """Slots for an order by a double: octave, then 65536 steps per octave of
-    sign(v)*log2(1+|v|), which grows with v."""
-    s = F.signum(value) * F.log2(F.abs(F.col(value)) + 1)
-    return [F.floor(s), F.floor(s * 65536)]
+    """Slots for an order by a double: its octave, then two times 16 bits of its
+    mantissa, all with its sign, so each level grows with the value within the ones
+    before. Dividing by a power of two is exact; a slot holds at most 2**21 values,
+    however narrow the range they come from."""
+    v = F.col(value).cast("double")
+    size, sign = F.abs(v), F.when(F.isnan(v), 1.0).otherwise(F.signum(v))
+    finite = (size > 0) & (size < float("inf"))
+    octave = F.when(finite, F.greatest(F.floor(F.log2(size)), F.lit(-1074)))
+    mantissa = F.when(finite, size / F.pow(F.lit(2.0), octave)).otherwise(1.0) * _STEPS
+    rest = (mantissa - F.floor(mantissa)) * _STEPS
+    first = F.when(F.isnan(v), 6000).when(v == float("inf"), 5000).when(v == float("-inf"), -5000).when(v == 0, 0).otherwise(sign * (octave + 1200)).cast("bigint")
+    return [first, (sign * F.floor(mantissa)).cast("bigint"), (sign * F.floor(rest)).cast("bigint")]
 
 
 def _slot_prefix(slots: DataFrame, keys: list[str], levels: list[str], measures, descending: bool) -> DataFrame:

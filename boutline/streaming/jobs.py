@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
+import json
+import threading
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import StructType
 
+from boutline.evaluation.drift import WindowScan
 from boutline.evaluation.metrics import log_loss_of
 from boutline.operators import setops
 
@@ -30,19 +31,53 @@ def with_event_time(df: DataFrame, column: str, delay: str = "1 hour") -> DataFr
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
+class _Progress(StreamingQueryListener):
+    """Progress of all micro-batches of one query (a query itself keeps the last 100)."""
+
+    def __init__(self) -> None:
+        self.run_id, self.batches, self.ended = None, [], threading.Event()
+        self._early: list = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = json.loads(event.progress.json)
+        self.batches.append({"runId": p["runId"], "batchId": p["batchId"], "numInputRows": p.get("numInputRows", 0), "stateOperators": p["stateOperators"]})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run_id:
+            self.ended.set()
+        self._early.append(str(event.runId))
+
+    def of(self, run_id: str) -> list:
+        self.run_id = run_id
+        if run_id not in self._early:
+            self.ended.wait(60)
+        return [p for p in self.batches if p["runId"] == run_id]
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> list:
     """Run a stream over what is there into a parquet folder; returns its progress.
 
     Append goes to the file sink (exactly once). Complete results, which are small
     aggregates, replace the folder in every batch, so a repeated batch is harmless.
     """
+    listener = _Progress()
+    df.sparkSession.streams.addListener(listener)
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         q = w.format("parquet").option("path", path).start()
     else:
         q = w.foreachBatch(lambda b, _i: b.write.mode("overwrite").parquet(path)).start()
-    q.awaitTermination()
-    return q.recentProgress
+    try:
+        q.awaitTermination()
+        return listener.of(str(q.runId))
+    finally:
+        df.sparkSession.streams.removeListener(listener)
 
 
 def late_rows(progress: list) -> int:
@@ -147,54 +182,31 @@ def form_stream(stream: DataFrame, key: str = "team", order: tuple[str, ...] = (
 
 
 class AdaptiveWindow(StatefulProcessor):
-    """Per series: the window since the last drift, position of its first point.
+    """Per series: the window since the last drift and the position of its first point.
+    A metric series has as many points as the calendar, so the whole window is state."""
 
-    At most ``most`` points are state; a longer quiet window forgets its oldest
-    points, which bounds the state of a stream that never drifts.
-    """
-
-    def __init__(self, key: str, order: str, value: str, delta: float, min_window: int, most: int):
+    def __init__(self, key: str, order: str, value: str, delta: float, min_window: int):
         self.key, self.order, self.value = key, order, value
-        self.ln, self.min_window, self.most = math.log(2 / delta), min_window, most
+        self.delta, self.min_window = delta, min_window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("window", "start long, seen long, points array<double>")
 
-    def _cut(self, x: np.ndarray):
-        n = len(x)
-        if n < 11:
-            return None
-        c, n0 = np.cumsum(x), np.arange(5, n - 5)
-        n1 = n - n0
-        diff = np.abs(c[n0 - 1] / n0 - (c[-1] - c[n0 - 1]) / n1)
-        m = n0 * n1 / n
-        ok = diff > np.sqrt(2 / m * (x.var() + 1e-10) * self.ln) + 2 / (3 * m) * self.ln
-        return int(n0[ok][np.argmax(diff[ok])]) if ok.any() else None
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, seen, pts = self.state.get() if self.state.exists() else (0, 0, [])
-        win, out = list(pts), []
-        for v in pd.concat(rows).sort_values(self.order)[self.value].to_numpy(float):
-            win.append(float(v))
-            seen += 1
-            if seen > self.min_window:
-                k = self._cut(np.asarray(win))
-                if k is not None:
-                    out.append((key[0], start + k, len(win)))
-                    start, win = start + k + 1, win[k + 1 :]
-            if len(win) > self.most:
-                start, win = start + 1, win[1:]
-        self.state.update((int(start), int(seen), [float(v) for v in win]))
-        yield pd.DataFrame(out, columns=[self.key, "position", "window_size"])
+        start, seen, points = self.state.get() if self.state.exists() else (0, 0, [])
+        scan = WindowScan(self.delta, self.min_window, start, points, seen)
+        found = scan.feed(pd.concat(rows).sort_values(self.order)[self.value].to_numpy(float))
+        self.state.update((int(scan.start), int(scan.seen), scan.points))
+        yield pd.DataFrame([(key[0], *x) for x in found], columns=[self.key, "position", "window_size"])
 
     def close(self) -> None:
         pass
 
 
-def drift_stream(stream: DataFrame, key: str, order: str, value: str, delta: float = 0.002, min_window: int = 30, most: int = 100_000) -> DataFrame:
+def drift_stream(stream: DataFrame, key: str, order: str, value: str, delta: float = 0.002, min_window: int = 30) -> DataFrame:
     """Drift points of metric series as they arrive."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kt = dict(stream.dtypes)[key]
     return stream.select(key, order, value).groupBy(key).transformWithStateInPandas(
-        AdaptiveWindow(key, order, value, delta, min_window, most), StructType.fromDDL(f"{key} {kt}, position long, window_size long"), "Append", "None"
+        AdaptiveWindow(key, order, value, delta, min_window), StructType.fromDDL(f"{key} {kt}, position long, window_size long"), "Append", "None"
     )

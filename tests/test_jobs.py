@@ -174,3 +174,36 @@ def test_p_values_of_results(spark, sf):
 
     r = M.with_p_value(M.mcnemar(fx.predictions(spark, sf), "p_a", "p_b"), "statistic", []).first()
     assert 0 <= r.p_value <= 1
+
+
+def test_drift_window_forgets_nothing():
+    """A shift after a long quiet stretch is found, in one go or point by point."""
+    from boutline.evaluation.drift import WindowScan
+
+    series = [1.0] * 3000 + [0.7] * 400
+    whole = WindowScan().feed(series)
+    scan, parts = WindowScan(), []
+    for i in range(0, len(series), 7):
+        parts += scan.feed(series[i : i + 7])
+    assert whole == parts and 2990 <= whole[0][0] <= 3010
+    short = [1.0] * 28 + [0.0] * 28
+    scan = WindowScan()
+    assert WindowScan().feed(short) == [] == [x for v in short for x in scan.feed([v])]
+
+
+def test_progress_of_many_batches(spark, tmp_path):
+    from boutline.streaming import jobs
+
+    src = f"{tmp_path}/in"
+    spark.range(120).selectExpr("id", "timestamp_seconds(id * 60) AS ts").repartition(120, "id").write.parquet(src)
+    s = jobs.with_event_time(spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src), "ts", "1 minute")
+    n = len([f for f in __import__("os").listdir(src) if f.endswith(".parquet")])
+    progress = jobs.run_available(s, f"{tmp_path}/out", f"{tmp_path}/chk")
+    assert sum(p["numInputRows"] for p in progress) == 120 and len(progress) >= n
+
+
+def test_all_extra_columns_are_told(spark):
+    from boutline.operators import schema
+
+    d = spark.createDataFrame([tuple(range(12))], ", ".join(f"c{i} int" for i in range(12)))
+    assert schema.validate_schema(d).filter("kind = 'extra_column'").count() == 12

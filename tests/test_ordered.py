@@ -22,14 +22,14 @@ def toy(spark, n=400, seed=3):
 
 def test_rank_is_a_global_order(spark):
     d = toy(spark)
-    got = ordered.ranked(d, [], ordered.time_levels("match_date", "row_id", 64), ["match_date", "row_id"]).collect()
+    got = ordered.ranked(d, [], ordered.time_levels(d, "match_date", "row_id", 64), ["match_date", "row_id"]).collect()
     want = sorted(got, key=lambda r: (r.match_date, r.row_id))
     assert [r._rank for r in want] == list(range(len(want)))
 
 
 def test_running_both_ways(spark):
     d = toy(spark)
-    got = ordered.running(d, ["team"], ordered.time_levels("match_date", "row_id", 64), ["match_date", "row_id"],
+    got = ordered.running(d, ["team"], ordered.time_levels(d, "match_date", "row_id", 64), ["match_date", "row_id"],
                           {"after": ("sum", F.col("result"))}, descending=True).collect()
     for r in got:
         later = [s.result for s in got if s.team == r.team and (s.match_date, s.row_id) > (r.match_date, r.row_id)]
@@ -41,7 +41,7 @@ def test_split_history_equals_plain(spark):
     y = F.col("result")
     pasts = [ordered.Past(["team"], "n", totals={"w": ("sum", y)}, late={"lw": ("max", F.when(y == 1, F.col("n")))},
                           frames={"a3": (F.avg, y, 3), "s10": (F.stddev_samp, y, 10)})]
-    levels = ordered.time_levels("match_date", "row_id", 64)
+    levels = ordered.time_levels(d, "match_date", "row_id", 64)
     args = (d, ["team"], pasts, ["match_date", "row_id"], levels)
     plain = ordered.history(*args, hot_rows=None)
     for block in (10, 17, 1000):
@@ -64,3 +64,42 @@ def test_quantiles_are_exact(spark):
     d = spark.createDataFrame([(v,) for v in vals], "v double")
     got = ordered.quantiles(d, [], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.975}).first()
     assert np.allclose([got.q1, got.q2, got.q3], np.quantile(vals, [0.25, 0.5, 0.975]))
+
+
+def test_timestamps_and_sparse_ids(spark):
+    """Order within a day is by moment, whatever the ids; both ways agree."""
+    data = [("a", f"2024-01-0{1 + i // 40} {i % 24:02d}:{(i * 7) % 60:02d}:00", (i * 2654435761) % (1 << 40), i % 3 % 2) for i in range(90)]
+    data += [("a", "2024-02-01 10:00:00", 2097152, 1), ("a", "2024-02-01 12:00:00", 5, 0), ("a", "2024-02-01 15:00:00", 9, 1)]
+    d = spark.createDataFrame(data, "team string, t string, row_id long, y int").withColumn("t", F.col("t").cast("timestamp"))
+    want = {r: i for i, (_, r) in enumerate(sorted((t, r) for _, t, r, _ in data))}
+    levels = ordered.time_levels(d, "t", "row_id")
+    got = ordered.ranked(d, [], levels, ["t", "row_id"]).collect()
+    assert {r.row_id: r._rank for r in got} == want
+    pasts = [ordered.Past(["team"], "n", totals={"w": ("sum", F.col("y"))})]
+    plain = ordered.history(d, ["team"], pasts, ["t", "row_id"], levels, hot_rows=None)
+    split = ordered.history(d, ["team"], pasts, ["t", "row_id"], levels, hot_rows=1)
+    assert rows(split.select(*plain.columns)) == rows(plain)
+
+
+def test_value_slots_stay_small(spark):
+    """A million scores in a narrow range fall in many slots, in order."""
+    for expr in ("id * 1e-12 + 1e-6", "1.7e9 + id * 1e-3", "-1.7e9 - id * 1e-3", "id * 5e-324"):
+        d = spark.range(1_000_000).selectExpr(f"{expr} AS v")
+        levels = [c.alias(f"l{i}") for i, c in enumerate(ordered.value_levels("v"))]
+        slots = d.select("v", *levels).groupBy("l0", "l1", "l2").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        top = slots.agg(F.max("n")).first()[0]
+        assert top <= (1 << 21 if "e-324" in expr else 5_000)
+        s = slots.orderBy("l0", "l1", "l2").limit(3000).collect()
+        assert all(a.hi < b.lo for a, b in zip(s, s[1:]))
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (0.0,), (1.0,), (-1.0,)], "v double")
+    got = [r.v for r in odd.select("v", *[c.alias(f"l{i}") for i, c in enumerate(ordered.value_levels("v"))]).orderBy("l0", "l1", "l2").collect()]
+    assert got[:5] == [float("-inf"), -1.0, 0.0, 1.0, float("inf")]
+
+
+def test_nearest_in_time_uses_hours(spark):
+    from boutline.operators import quality
+    from boutline.roles import Roles
+
+    d = spark.createDataFrame([("2024-01-01 00:30:00", 1, "A"), ("2024-01-01 22:00:00", 2, None), ("2024-01-01 23:00:00", 3, "B")], "match_date string, row_id long, x string")
+    d = d.withColumn("match_date", F.col("match_date").cast("timestamp"))
+    assert {r.row_id: r.x for r in quality.nearest_in_time(d, "x", Roles()).collect()}[2] == "B"
