@@ -86,7 +86,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = hashing.mixed(keys + minima[:, r::ROWS], r)
             keys = hashing.mixed(keys ^ np.arange(BANDS, dtype=np.uint64))
             low = (minima & np.uint64((1 << BITS) - 1)).astype(np.uint8)
-            packed = np.packbits(np.unpackbits(low[:, :, None], axis=2)[:, :, -BITS:].reshape(len(filled), -1), axis=1)
+            packed = np.packbits(np.unpackbits(low[:, :, None], axis=2)[:, :, -BITS:].reshape(len(filled), PERMUTATIONS * BITS), axis=1)
             bands, bits = [None] * n, [None] * n
             for row, d in enumerate(filled):
                 bands[d], bits[d] = keys[row].view(np.int64), packed[row].tobytes()
