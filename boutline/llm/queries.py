@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boutline.llm import automaton, chat, decontaminate, langid, licenses, minhash, mixing, pii, quality, substrings
 from boutline.llm.common import table
+from boutline.llm.oracles import ORACLES
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,4 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op3_language_ftrl, op4_license_bands, op5_countmin_substrings, op6_backoff_automaton, op7_minhash_near_dedup, op8_prefix_targets, op9_personal_data, op10_line_first_quality)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
