@@ -1,12 +1,13 @@
 """Queries over projections, filters, schema operators and set operations."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boutline import fixtures as fx
 from boutline.catalog.base import day, query, r6
 from boutline.fixtures import table, with_views
 from boutline.operators import filters, schema, setops
-from boutline.roles import Roles
+from boutline.roles import ROLE_PREFIX, Roles
 
 EV = Roles(row="event_id", time="ts", entity="event_type")
 
@@ -270,11 +271,22 @@ def s5(spark, sf):
     return setops.two_sided_games(m.filter((F.col("side") == "Red") | (F.col("result") == 1)))
 
 
-@query("s6_champion_union", with_views("SELECT patch, COUNT(DISTINCT c) AS champions FROM (SELECT patch, top_champion AS c FROM fx_wide UNION SELECT patch, jng_champion FROM fx_wide) GROUP BY patch", "fx_wide"))
+_S6 = """, c AS (SELECT DISTINCT patch, c FROM (""" + " UNION ALL ".join(f"SELECT patch, {p}_champion AS c FROM fx_wide" for p in ROLE_PREFIX) + """)),
+o AS (SELECT patch, LEAD(patch) OVER (ORDER BY CAST(split_part(patch, '.', 1) AS INT), CAST(split_part(patch, '.', 2) AS INT)) AS next_patch FROM (SELECT DISTINCT patch FROM c))
+SELECT o.patch, o.next_patch, COUNT(DISTINCT c.c) AS champions FROM o JOIN c ON c.patch = o.patch OR c.patch = o.next_patch WHERE o.next_patch IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("s6_champion_union", with_views(_S6, "fx_wide"))
 def s6(spark, sf):
+    """Champions of two consecutive patches, by version, in any role."""
     w = fx.wide(spark, sf)
-    both = w.select("patch", F.explode(F.array("top_champion", "jng_champion")).alias("c"))
-    return both.groupBy("patch", "c").agg(F.lit(1).alias("x")).groupBy("patch").agg(F.count("*").alias("champions"))
+    c = w.select("patch", F.explode(F.array(*[f"{p}_champion" for p in ROLE_PREFIX])).alias("c")).distinct()
+    part = lambda i: F.split_part("patch", F.lit("."), F.lit(i)).cast("int")
+    # one row a patch, as short as the calendar
+    pairs = c.select("patch").distinct().withColumn("next_patch", F.lead("patch").over(Window.orderBy(part(1), part(2)))).dropna(subset=["next_patch"])
+    both = pairs.select(F.explode(F.array("patch", "next_patch")).alias("of"), F.col("patch").alias("first"), "next_patch")
+    d = c.join(both, c["patch"] == both["of"]).select("first", "next_patch", "c").distinct()
+    return d.groupBy(F.col("first").alias("patch"), "next_patch").agg(F.count("*").alias("champions"))
 
 
 @query(

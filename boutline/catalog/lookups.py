@@ -252,6 +252,24 @@ def d14s(spark, sf):
     return encoding.fit_target_encoding(fx.wide(spark, sf), ENC_COLS, smoothing=10.0).select("column_name", "category", "n", r6("encoded"))
 
 
+_APPLY = ["league", "team", "patch", "top_champion"]
+_FIT = """, tr AS (SELECT * FROM fx_wide WHERE year < 1998), el AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS category, result FROM tr" for c in _APPLY) + """),
+gm AS (SELECT AVG(CAST(result AS DOUBLE)) AS gm FROM tr), ec AS (SELECT column_name, category, COUNT(*) AS n, AVG(CAST(result AS DOUBLE)) AS m FROM el GROUP BY 1, 2),
+enc AS (SELECT column_name, category, n * gm * (1e0 - gm) / (m * (1e0 - m) + n * gm * (1e0 - gm)) * m + (1e0 - n * gm * (1e0 - gm) / (m * (1e0 - m) + n * gm * (1e0 - gm))) * gm AS e FROM ec, gm)
+SELECT row_id, """ + ", ".join(f"ROUND(COALESCE(e_{c}.e, (SELECT gm FROM gm)), 6) AS {c}_target_encoded" for c in _APPLY) + " FROM fx_wide w " + " ".join(
+    f"LEFT JOIN enc e_{c} ON e_{c}.column_name = '{c}' AND e_{c}.category = CAST(w.{c} AS VARCHAR)" for c in _APPLY
+) + " WHERE w.year >= 1998"
+
+
+@query("d14_encoding_applied", with_views(_FIT, "fx_wide"))
+def d14a(spark, sf):
+    """Fitted on earlier years, applied to later ones, whose patches are all unseen."""
+    w = fx.wide(spark, sf)
+    fitted = encoding.fit_target_encoding(w.filter("year < 1998"), _APPLY)
+    d = encoding.apply_target_encoding(w.filter("year >= 1998"), fitted, _APPLY)
+    return d.select("row_id", *[r6(f"{c}_target_encoded") for c in _APPLY])
+
+
 @query(
     "d14_out_of_fold",
     with_views(

@@ -138,7 +138,7 @@ def p9(spark, sf):
 
 @query("p10_swap_suggestions")
 def p10(spark, sf):
-    return _scorer(spark, sf).suggestions(fx.drafts(spark, sf), cut_lineage(lookups.meta_indicators(fx.wide(spark, sf))))
+    return _scorer(spark, sf).both_suggestions(fx.drafts(spark, sf), cut_lineage(lookups.meta_indicators(fx.wide(spark, sf))))
 
 
 @query("p12_learning_curve")

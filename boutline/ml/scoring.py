@@ -63,6 +63,10 @@ class DraftScorer:
             "draft_id", "side", "x.role", "x.champion", F.round((F.col("b") - F.col("x.p")) * 100, 1).alias("impact_pct")
         )
 
+    def both_suggestions(self, drafts: DataFrame, meta: DataFrame) -> DataFrame:
+        """Suggestions for each side of every draft."""
+        return reduce(DataFrame.unionByName, [self.suggestions(drafts, meta, s).withColumn("side", F.lit(s)) for s in ("blue", "red")])
+
     def suggestions(self, drafts: DataFrame, meta: DataFrame, side: str = "blue") -> DataFrame:
         """Up to five swaps per draft: candidates, one batch of scores, greedy pick."""
         rows = D.side_rows(drafts).filter(F.lower("side") == side)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boutline.plans.bounded import bounded
 from boutline.roles import MATCH, Roles
+from boutline.session import cut_lineage
 
 
 def leave_one_out(df: DataFrame, key: str, roles: Roles = MATCH, name: str | None = None) -> DataFrame:
@@ -59,13 +60,15 @@ def fit_target_encoding(train: DataFrame, columns: list[str], roles: Roles = MAT
 
 
 def apply_target_encoding(df: DataFrame, fitted: DataFrame, columns: list[str], prior: Column | None = None) -> DataFrame:
-    """Adds <column>_target_encoded; unseen categories get the prior. The encoder
-    has one row per category seen; see plans.bounded for when it is broadcast."""
+    """Adds <column>_target_encoded; unseen categories get the prior. The encoder has
+    one row per category seen: it is landed once, and each column's part is broadcast
+    if it is small, so a column of few values is never joined by shuffle."""
+    fitted = cut_lineage(fitted)
     prior = fitted.agg(F.max("prior")).scalar() if prior is None else prior
 
     def add(d, c):
         e = fitted.filter(F.col("column_name") == c).select(F.col("category").alias(f"__k_{c}"), F.col("encoded").alias(f"__e_{c}"))
-        return d.join(e, F.col(c).cast("string") == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
+        return d.join(bounded(e), F.col(c).cast("string") == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
 
     out = reduce(add, columns, df)
     out = out.withColumns({f"{c}_target_encoded": F.coalesce(F.col(f"__e_{c}"), prior) for c in columns})

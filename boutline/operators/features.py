@@ -390,7 +390,7 @@ class FeatureModel:
         long = form.role_long(self.train, r, [r.row, r.time, r.outcome], players=True, unknown=True).filter(F.col("player") != UNKNOWN)
         y = F.col(r.outcome)
         frames = {"__s": (F.sum, y, 9), "__c": (F.count, y, 9)}
-        h = history(long, ["player"], [Past(["player"], "__n", frames=frames)], [r.time, r.row], time_levels(r.time, r.row), self.hot_rows)
+        h = history(long, ["player"], [Past(["player"], "__n", frames=frames)], [r.time, r.row], time_levels(long, r.time, r.row), self.hot_rows)
         recent = (F.coalesce("__s", F.lit(0)) + y) / (F.col("__c") + 1)
         return cut_lineage(h.groupBy("player").agg(F.max_by(recent, F.struct(r.time, r.row)).alias("player_recent")))
 
