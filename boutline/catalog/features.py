@@ -237,14 +237,20 @@ def v12i(spark, sf):
     return features.indicator_pairs(fx.wide(spark, sf)).groupBy("indicator").agg(F.count("*").alias("rows"))
 
 
-@query("v12_one_hot", with_views("SELECT row_id, 6 AS ones FROM fx_matches", "fx_matches"))
+@query("v12_one_hot", with_views(" UNION ALL ".join(f"SELECT row_id, '{c}' AS column_name, {c} AS category FROM fx_wide" for c in [*_CHAMP, "league"]), "fx_wide"))
 def v12o(spark, sf):
+    """The categories that a row's indicators stand for, decoded from their places."""
     from pyspark.ml.functions import vector_to_array
 
     w = fx.wide(spark, sf)
-    m = features.one_hot(w, [*_CHAMP, "league"])
-    hot = F.aggregate(vector_to_array("indicators"), F.lit(0.0), lambda a, x: a + x)
-    return m.transform(w).select("row_id", hot.cast("int").alias("ones"))
+    columns = [*_CHAMP, "league"]
+    m = features.one_hot(w, columns)
+    # names of the places: the labels of each column, then one for values unseen
+    places = [(c, v) for c, labels in zip(columns, m.stages[0].labelsArray) for v in [*labels, None]]
+    names = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(v).cast("string").alias("category")) for c, v in places])
+    on = F.transform(vector_to_array("indicators"), lambda x, i: F.when(x == 1.0, i))
+    d = m.transform(w).select("row_id", F.explode(F.filter(on, lambda i: i.isNotNull())).alias("i"))
+    return d.select("row_id", F.get(names, F.col("i")).alias("x")).select("row_id", "x.column_name", "x.category")
 
 
 @query(

@@ -71,6 +71,14 @@ def p8(spark, sf):
     return top.groupBy("row_id").agg(F.round(F.sum(F.abs("contribution")), 4).alias("top_size"))
 
 
+@query("p8_contributions", with_views(_scaled_sql(list(COEF)) + f", cn AS ({_CON}) SELECT row_id, feature, ROUND(v, 4) AS contribution FROM cn", "fx_wide"))
+def p8a(spark, sf):
+    """Every feature's contribution in every row."""
+    d = _small(spark, sf)
+    c = training.linear_contributions(d, features.scale_fit(d, list(COEF)), COEF, "row_id", top=len(COEF))
+    return c.select("row_id", "feature", F.round("contribution", 4).alias("contribution"))
+
+
 @query("p8_global_importance", with_views(_scaled_sql(list(COEF)) + f", cn AS ({_CON}) SELECT feature, ROUND(AVG(ABS(v)), 6) AS importance FROM cn GROUP BY feature", "fx_wide"))
 def p8g(spark, sf):
     d = _small(spark, sf)
