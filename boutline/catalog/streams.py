@@ -157,5 +157,5 @@ def a11(spark, sf):
     room = _files(spark, sf, "a11")
     leagues = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     csv_matches.full_load(spark, f"{room}/by_year/file=199[0-7]_match_data*", f"{room}/store", leagues, min_games=1)
-    csv_matches.incremental_load(spark, f"{room}/by_year/file=*_match_data*", f"{room}/store", leagues)
+    csv_matches.incremental_load(spark, f"{room}/by_year/file=*_match_data*", f"{room}/store", leagues, min_games=1)
     return spark.read.parquet(f"{room}/store/data").groupBy("year").agg(F.count("*").alias("rows"))

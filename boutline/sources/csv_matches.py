@@ -83,14 +83,19 @@ def full_load(spark: SparkSession, pattern: str, target: str, leagues: list[str]
     return create_version(stored, target, "full load", F.current_date())
 
 
-def incremental_load(spark: SparkSession, pattern: str, target: str, leagues: list[str]) -> int:
-    """Append the games that are not stored yet; returns the number of new rows.
+def incremental_load(spark: SparkSession, pattern: str, target: str, leagues: list[str], min_games: int = 5, roles: Roles = MATCH) -> int:
+    """Append the rows that are not stored yet; returns the number of new rows.
 
-    Stored rows are not rewritten: only their game keys are read, for the anti join.
-    The new rows are written once to a staging folder and appended from there.
+    Entities need ``min_games`` rows among stored and new ones, so a load in parts
+    over the same files ends with the table of a full load. Stored rows are not
+    rewritten: only their keys are read, for the anti join and the counts. The new
+    rows are written once to a staging folder and appended from there.
     """
     stored = spark.read.parquet(f"{target}/data")
-    fresh = setops.new_games(to_match_rows(scan(spark, pattern), leagues, 1), stored)
+    key = [roles.game, roles.side]
+    fresh = to_match_rows(scan(spark, pattern), leagues, 1).join(stored.select(*key).distinct(), key, "left_anti")
+    often = stored.select(roles.entity).union(fresh.select(roles.entity)).groupBy(roles.entity).count().filter(F.col("count") >= min_games).select(roles.entity)
+    fresh = fresh.join(often, roles.entity, "left_semi")
     staging = f"{target}/staging"
     fresh.write.mode("overwrite").parquet(staging)
     new = spark.read.schema(fresh.schema).parquet(staging)

@@ -207,3 +207,21 @@ def test_all_extra_columns_are_told(spark):
 
     d = spark.createDataFrame([tuple(range(12))], ", ".join(f"c{i} int" for i in range(12)))
     assert schema.validate_schema(d).filter("kind = 'extra_column'").count() == 12
+
+
+def test_load_in_parts_equals_full_load(spark, sf, tmp_path):
+    """The same files, at once or in parts, give the same rows under a minimum of games."""
+    from boutline.sources import csv_matches
+
+    p = fx.player_rows(spark, sf).select(
+        F.concat(F.col("year").cast("string"), F.lit("_match_data")).alias("file"), "gameid", "league", F.date_format("match_date", "yyyy-MM-dd").alias("date"), "patch", F.col("split_name").alias("split"),
+        F.concat_ws("@", "team", F.col("row_id") % 2).alias("teamname"), "side", "result", "champion", "position", "playername",
+    )
+    p.write.partitionBy("file").option("header", True).csv(f"{tmp_path}/by_year")
+    leagues = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    every = f"{tmp_path}/by_year/file=*_match_data*"
+    csv_matches.full_load(spark, every, f"{tmp_path}/one", leagues, min_games=11)
+    csv_matches.full_load(spark, f"{tmp_path}/by_year/file=199[0-7]_match_data*", f"{tmp_path}/two", leagues, min_games=11)
+    added = csv_matches.incremental_load(spark, every, f"{tmp_path}/two", leagues, min_games=11)
+    got = [sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{x}/data").select("gameid", "side", "team").collect())) for x in ("one", "two")]
+    assert added > 0 and got[0] == got[1]
