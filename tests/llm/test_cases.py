@@ -145,6 +145,19 @@ def test_redaction(spark):
     assert got[2].text is None and got[3].text == "clean text" and got[3].n_chars == 10
 
 
+def test_generators_add_by_format_and_context(spark):
+    told = [
+        ("Reach us at (555) 123-4567 today", ["(555) 123-4567"]), ("id 123-45-6789 on file", ["123-45-6789"]), ("call 5551234567 now", ["5551234567"]), ("write (555) 123-4567 (555) 765-4321", ["(555) 123-4567", "(555) 765-4321"]),
+        ("password: correcthorsebattery", ["password: correcthorsebattery"]), ("kim [at] site [dot] org", ["kim [at] site [dot] org"]),
+        ("apples @ 3.50 each", []), ("on 2024-01-15 we met", []), ("order 555123456789", []), ("total 12.500.000", []), ("password: required", []), ("token = get_token()", []),
+    ]
+    for part in (told, told[:1], told[4:5], told[6:7]):  # whether or not the corpus has the other kinds
+        d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(part)], "doc_id long, text string")
+        got = {r.doc_id: sorted(part[r.doc_id][0][s.start : s.stop] for s in r.added) for r in pii.find(d).collect()}
+        assert got == {i: sorted(w) for i, (_, w) in enumerate(part)}
+    assert [r.text for r in pii.redact(d).collect()] == ["apples @ 3.50 each"]
+
+
 def test_cleaning(spark):
     prose = "\n".join(" ".join(f"word{i}{j}" for j in range(8)) for i in range(5))
     d = spark.createDataFrame([(1, prose + "\n### *** $$$\nClick here to read more", 1), (2, "home | news | about | contact | help\n" * 9, 1), (3, None, 1), (4, prose, 7)], "doc_id long, text string, n_words long")
