@@ -158,6 +158,15 @@ def test_generators_add_by_format_and_context(spark):
     assert [r.text for r in pii.redact(d).collect()] == ["apples @ 3.50 each"]
 
 
+def test_long_secrets_and_contacts_go_whole(spark):
+    secret = 'token = "' + "ab12" * 2_000
+    contact = "k" * 500 + " [at] " + "site" * 100 + " [dot] " + "org" * 30
+    told = [f'x {secret}" y', f"x {contact} y", "x" * 200_000 + " @", "x@" * 50_000, "token=" * 20_000, "(at)" * 20_000, "password=" + "ab-" * 50_000, "a @ " + "b." * 50_000 + "c"]
+    d = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert got[0] == 'x [SECRET]" y' and got[1] == "x [CONTACT] y" and got[2] == told[2]
+
+
 def test_cleaning(spark):
     prose = "\n".join(" ".join(f"word{i}{j}" for j in range(8)) for i in range(5))
     d = spark.createDataFrame([(1, prose + "\n### *** $$$\nClick here to read more", 1), (2, "home | news | about | contact | help\n" * 9, 1), (3, None, 1), (4, prose, 7)], "doc_id long, text string, n_words long")
