@@ -4,12 +4,15 @@ Numbers, names and units become typed placeholders, so a question keeps its temp
 its values are changed. Five-token windows of the templates are hash-joined; the values
 that fill the slots of an aligned occurrence must then map one to one from the benchmark
 item to the document; and an item is found where consistent windows cover half of its
-windows. DataFrame functions only; texts are not shuffled, only windows that match are.
-
-Defined cases: null or empty texts, on either side, match nothing; items of fewer than
-five tokens are not searched; items of equal text count as the one with the smallest
-item_id; a window with fewer than three tokens besides placeholders is not searched (it
-would fit anything); repeated rows and rows sharing a doc_id are judged by id and text; a
+windows. Besides, windows of the words as they are (``exact_tokens``) are searched in the
+same way, without slots, so that a verbatim copy of any item is found. The cover is counted
+for each variant of an item by itself. DataFrame functions only; texts are not shuffled, only windows that match are.
+
+Defined cases: null or empty texts, on either side, match nothing; an item of fewer
+than five words is searched whole (one of a single word is in every text with that word),
+one without letters and digits not at all; items of equal text count as the one with the smallest
+item_id; a template window with fewer than three tokens besides placeholders is not searched
+(it would fit anything); repeated rows and rows sharing a doc_id are judged by id and text; a
 null doc_id is carried; empty tables give no matches; extra columns are ignored by
 :func:`matches` and kept by :func:`without_leaks`.
 """
@@ -29,6 +32,8 @@ MIN_COVER_PCT = 50
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 PLACEHOLDER = f"[{NUMBER}{NAME}{UNIT}]"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+TEMPLATE, PLAIN, EXACT = 0, 1, 2
 # Units that may follow a number.
 UNITS = (
     "km|m|cm|mm|kg|g|mg|lb|lbs|oz|l|ml|h|hr|hrs|hours?|min|mins|minutes?|s|sec|secs|seconds?|days?|weeks?|months?|years?|miles?|met(?:er|re)s?|"
@@ -50,6 +55,13 @@ def raw_tokens(text: Column) -> Column:
     return _tokens(_stripped(F.coalesce(text, F.lit(""))))
 
 
+def exact_tokens(text: Column) -> Column:
+    """Words in lower case, nothing replaced; in scripts without spaces, characters."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED})", " $1 ")).otherwise(t)
+    return F.array_remove(F.split(t, "[^\\p{L}\\p{N}\\p{M}]+"), "")
+
+
 def template_tokens(text: Column, names: bool = True) -> Column:
     """Tokens with placeholders. A name is a capitalised word after a word and a space
     (not one that begins a sentence or line); a unit follows or clings to a number.
@@ -81,33 +93,46 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_item_windows, n_matched, n_slots, n_changed), a row for every
     item that a document contains, besides the key of the document."""
     items = benchmark.filter("text is not null").groupBy(F.col("text").cast("string").alias("text")).agg(F.min("item_id").alias("item_id"))
-    items = cut_lineage(items.select("item_id", template_tokens(F.col("text")).alias("template"), template_tokens(F.col("text"), False).alias("plain"), raw_tokens(F.col("text")).alias("raw")))
-    variants = items.select("item_id", F.explode(F.array("template", "plain")).alias("template"))
+    text = F.col("text")
+    items = cut_lineage(items.select("item_id", template_tokens(text).alias("template"), template_tokens(text, False).alias("plain"), raw_tokens(text).alias("raw"), exact_tokens(text).alias("exact")))
+    variants = items.select("item_id", F.lit(TEMPLATE).alias("variant"), "template").unionByName(items.filter("plain <> template").select("item_id", F.lit(PLAIN).alias("variant"), F.col("plain").alias("template")))
     literal = F.transform("template", lambda t: F.when(t.rlike(PLACEHOLDER), 0).otherwise(1))
-    each = variants.withColumn("literal", literal).select("item_id", "literal", F.posexplode(let(F.col("template"), lambda t: grams(t, WINDOW))).alias("q", "window"))
+    each = variants.withColumn("literal", literal).select("item_id", "variant", "literal", F.posexplode(let(F.col("template"), lambda t: grams(t, WINDOW))).alias("q", "window"))
     told = F.aggregate(F.slice("literal", F.col("q") + 1, WINDOW), F.lit(0), lambda a, b: a + b) >= MIN_LITERAL
-    wanted = cut_lineage(each.filter(told).select("item_id", "q", "window").distinct())
-    sizes = wanted.groupBy("item_id").agg(F.countDistinct("q").alias("n_item_windows"))
+    # whole items where they are shorter than a window
+    n_words = F.size("exact")
+    short = sorted(r["n"] for r in items.filter((n_words > 0) & (n_words < WINDOW)).select(n_words.alias("n")).distinct().collect())
+    whole = F.lit(None).cast("array<bigint>")
+    for n in short:
+        whole = F.when(n_words == n, grams(F.col("exact"), n)).otherwise(whole)
+    exact = items.select("item_id", F.lit(EXACT).alias("variant"), F.posexplode(F.when(n_words >= WINDOW, let(F.col("exact"), lambda t: grams(t, WINDOW))).otherwise(whole)).alias("q", "window"))
+    wanted = cut_lineage(each.filter(told).select("item_id", "variant", "q", "window").unionByName(exact))
+    sizes = cut_lineage(wanted.groupBy("item_id", "variant").agg(F.countDistinct("q").alias("n_item_windows")))
 
     keyed = _keyed(docs)
-    each = keyed.select("doc_id", "k1", "k2", F.posexplode(let(template_tokens(F.col("text")), lambda t: grams(t, WINDOW))).alias("p", "window"))
-    hits = each.join(bounded(wanted), "window").select("doc_id", "k1", "k2", "item_id", "q", (F.col("p") - F.col("q")).alias("diagonal"))
-    hits = cut_lineage(hits.distinct())
-
     doc, pair = ["k1", "k2"], ["k1", "k2", "item_id"]
+    each = keyed.select("doc_id", *doc, F.posexplode(let(template_tokens(text), lambda t: grams(t, WINDOW))).alias("p", "window"))
+    hits = each.join(bounded(wanted.filter(F.col("variant") != EXACT)), "window").select("doc_id", *pair, "variant", "q", (F.col("p") - F.col("q")).alias("diagonal"))
+    stretches = let(exact_tokens(text), lambda t: F.concat(grams(t, WINDOW), *(F.array_distinct(grams(t, n)) for n in short)))
+    same = keyed.select("doc_id", *doc, F.explode(stretches).alias("window")).join(bounded(wanted.filter(F.col("variant") == EXACT)), "window")
+    hits = hits.unionByName(same.select("doc_id", *pair, "variant", "q", F.lit(None).cast("int").alias("diagonal")))
+    hits = cut_lineage(hits.distinct())
 
     def covered(windows: DataFrame) -> DataFrame:
-        distinct = windows.select(*pair, "doc_id", "q").distinct().groupBy(*pair, "doc_id").agg(F.count("*").alias("n_matched"))
-        return distinct.join(bounded(sizes), "item_id").filter(100 * F.col("n_matched") >= MIN_COVER_PCT * F.col("n_item_windows"))
+        """Of the variants that are covered well enough, the one covered best."""
+        distinct = windows.select(*pair, "doc_id", "variant", "q").distinct().groupBy(*pair, "doc_id", "variant").agg(F.count("*").alias("n_matched"))
+        enough = distinct.join(bounded(sizes), ["item_id", "variant"]).filter(100 * F.col("n_matched") >= MIN_COVER_PCT * F.col("n_item_windows"))
+        best = F.max(F.struct((F.col("n_matched") / F.col("n_item_windows")).alias("share"), (-F.col("variant")).alias("first"), "n_item_windows", "n_matched")).alias("best")
+        return enough.groupBy(*pair, "doc_id").agg(best).select(*pair, "doc_id", "best.n_item_windows", "best.n_matched")
 
     likely = cut_lineage(covered(hits))
     hits = hits.join(bounded(likely.select(*pair)), pair, "left_semi")
 
     # what fills the slots of an occurrence, on both sides
     own = _slots(items, "item_id")
-    places = hits.select(*pair, "diagonal", F.explode(F.sequence(F.col("q"), F.col("q") + WINDOW - 1)).alias("place")).distinct()
+    places = hits.filter("diagonal is not null").select(*pair, "diagonal", F.explode(F.sequence(F.col("q"), F.col("q") + WINDOW - 1)).alias("place")).distinct()
     asked = places.join(own, ["item_id", "place"]).withColumn("at", F.col("place") + F.col("diagonal"))
-    found = keyed.join(bounded(likely.select(*doc).distinct()), doc, "left_semi").select(*doc, template_tokens(F.col("text")).alias("template"), raw_tokens(F.col("text")).alias("raw"))
+    found = keyed.join(bounded(likely.select(*doc).distinct()), doc, "left_semi").select(*doc, template_tokens(text).alias("template"), raw_tokens(text).alias("raw"))
     theirs = _slots(found.dropDuplicates(doc), *doc).select(*doc, F.col("place").alias("at"), F.col("value").alias("filled"))
     filled = asked.join(theirs, [*doc, "at"]).select(*pair, "diagonal", "value", "filled").distinct()
     by_item = filled.groupBy(*pair, "diagonal", "value").agg(F.count("*").alias("n"), F.max(F.when(F.col("value") != F.col("filled"), 1).otherwise(0)).alias("changed"))

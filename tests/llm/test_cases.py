@@ -114,6 +114,15 @@ def test_templates(spark):
     assert decontaminate.matches(d, b.limit(0)).count() == 0 and decontaminate.matches(d.limit(0), b).count() == 0
 
 
+def test_verbatim_items_dense_in_slots_or_short(spark):
+    items = ["Who wrote The Old Man and the Sea, Ernest Hemingway, John Steinbeck or William Faulkner", "Compute 17 * 24 + 9 - 3 * 8 / 2", "Solve x + 5 = 12", "小明有五个苹果"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"Some words before it: {t}. And some after.") for i, t in enumerate(items)] + [(9, "Compute 1 * 2 + 3 - 4. Solve y + 5 = 13, who wrote the old 小明有"), (3, f"问题:{items[3]}吗")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(d, b).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3), (3, 3)]
+    assert [r.doc_id for r in decontaminate.without_leaks(d, b).collect()] == [9]
+
+
 def test_licenses_of_cases(spark):
     d = spark.createDataFrame([(1, "x Released, under the MIT License. y"), (2, None), (3, ""), (4, "released under the"), (None, "Licensed under CC BY-NC 4.0."), (1, "x Released, under the MIT License. y")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.license) for r in licenses.scan(d).collect()) == [(0, "CC-BY-NC-4.0"), (1, "MIT")]
