@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question keeps its template when
-its values are changed. Five-token windows of the templates are hash-joined; the values
+its values are changed. Five-token windows of the templates are hash-joined; the names
 that fill the slots of an aligned occurrence must then map one to one from the benchmark
-item to the document; and an item is found where consistent windows cover half of its
+item to the document, and so must half of its numbers and units unless the whole item is
+there (small numbers are often equal, or become equal, by chance); and an item is found where consistent windows cover half of its
 windows. Besides, windows of the words as they are (``exact_tokens``) are searched in the
 same way, without slots, so that a verbatim copy of any item is found. The cover is counted
 for each variant of an item by itself. DataFrame functions only; texts are not shuffled, only windows that match are.
@@ -29,6 +30,7 @@ from boutline.session import cut_lineage
 WINDOW = 5
 MIN_LITERAL = 3
 MIN_COVER_PCT = 50
+MIN_AGREE_PCT = 50
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 PLACEHOLDER = f"[{NUMBER}{NAME}{UNIT}]"
@@ -134,14 +136,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = places.join(own, ["item_id", "place"]).withColumn("at", F.col("place") + F.col("diagonal"))
     found = keyed.join(bounded(likely.select(*doc).distinct()), doc, "left_semi").select(*doc, template_tokens(text).alias("template"), raw_tokens(text).alias("raw"))
     theirs = _slots(found.dropDuplicates(doc), *doc).select(*doc, F.col("place").alias("at"), F.col("value").alias("filled"))
-    filled = asked.join(theirs, [*doc, "at"]).select(*pair, "diagonal", "value", "filled").distinct()
-    by_item = filled.groupBy(*pair, "diagonal", "value").agg(F.count("*").alias("n"), F.max(F.when(F.col("value") != F.col("filled"), 1).otherwise(0)).alias("changed"))
-    by_doc = filled.groupBy(*pair, "diagonal", "filled").agg(F.count("*").alias("n"))
-    alike = by_item.groupBy(*pair, "diagonal").agg(F.max("n").alias("most"), F.count("*").alias("n_slots"), F.sum("changed").alias("n_changed"))
-    torn = by_doc.groupBy(*pair, "diagonal").agg(F.max("n").alias("most2"))
-    slots = cut_lineage(alike.join(torn, [*pair, "diagonal"]))
-    hits = hits.join(bounded(slots.filter("most > 1 or most2 > 1").select(*pair, "diagonal")), [*pair, "diagonal"], "left_anti")
-    filling = slots.groupBy(*pair).agg(F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
+    filled = asked.join(theirs, [*doc, "at"])
+    place = [*pair, "diagonal"]
+    pairs = filled.groupBy(*place, "value", "filled").agg(F.count("*").alias("n")).withColumn("name", F.contains(F.col("value"), F.lit(NAME)))
+    by_item = pairs.groupBy(*place, "value", "name").agg(F.count("*").alias("kinds"), F.max("n").alias("top"), F.sum("n").alias("n"), F.max(F.when(F.col("value") != F.col("filled"), 1).otherwise(0)).alias("changed"))
+    by_doc = pairs.groupBy(*place, "filled", "name").agg(F.count("*").alias("kinds"), F.max("n").alias("top"))
+    most, agreed = F.max(F.when(F.col("name"), F.col("kinds"))), F.sum(F.when(~F.col("name"), F.col("top")))
+    alike = by_item.groupBy(*place).agg(most.alias("most"), agreed.alias("agreed"), F.sum(F.when(~F.col("name"), F.col("n"))).alias("n_numbers"), F.count("*").alias("n_slots"), F.sum("changed").alias("n_changed"))
+    alike = alike.join(by_doc.groupBy(*place).agg(most.alias("most2"), agreed.alias("agreed2")), place)
+    windows = hits.filter("diagonal is not null").groupBy(*place, "variant").agg(F.countDistinct("q").alias("n")).join(bounded(sizes), ["item_id", "variant"])
+    whole = windows.groupBy(*place).agg(F.max(F.col("n") == F.col("n_item_windows")).alias("whole"))
+    names_torn = F.greatest("most", "most2") > 1
+    numbers_torn = ~F.col("whole") & (100 * F.least("agreed", "agreed2") < MIN_AGREE_PCT * F.col("n_numbers"))
+    torn = F.coalesce(names_torn, F.lit(False)) | F.coalesce(numbers_torn, F.lit(False))
+    slots = cut_lineage(alike.join(whole, place).withColumn("torn", torn))
+    hits = hits.join(bounded(slots.filter("torn").select(*place)), place, "left_anti")
+    filling = slots.filter("not torn").groupBy(*pair).agg(F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
     out = covered(hits).join(filling, pair, "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "item_id", "n_item_windows", "n_matched", F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"), *doc)

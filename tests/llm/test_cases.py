@@ -123,6 +123,19 @@ def test_verbatim_items_dense_in_slots_or_short(spark):
     assert [r.doc_id for r in decontaminate.without_leaks(d, b).collect()] == [9]
 
 
+def test_numbers_that_coincide_by_chance(spark):
+    told = "the basket of the old farmer has {} apples and another basket has {} pears while {} sits there and then {} eats some, how many fruits are left for {} now"
+    one, two = told.format(5, 5, "Tom", "Tom", "Mary"), told.format(3, 4, "Tom", "Tom", "Mary")
+    b = spark.createDataFrame([(1, one), (2, two.replace("basket", "wagon"))], "item_id long, text string")
+    docs = [
+        (1, told.format(3, 8, "Ann", "Ann", "Lisa")), (2, told.format(6, 6, "Ann", "Ann", "Lisa").replace("basket", "wagon")),
+        (3, told.format(3, 8, "Ann", "Ann", "Lisa").replace("left for", "there for")), (4, told.format(6, 6, "Ann", "Ann", "Lisa").replace("basket", "wagon").replace("left for", "there for")),
+        (8, told.format(3, 8, "Ann", "Bob", "Lisa")), (9, told.format(6, 6, "Ann", "Ann", "Ann").replace("basket", "wagon")),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert {(1, 1), (2, 2), (3, 1), (4, 2)} <= got and not {8, 9} & {d for d, _ in got}
+
+
 def test_licenses_of_cases(spark):
     d = spark.createDataFrame([(1, "x Released, under the MIT License. y"), (2, None), (3, ""), (4, "released under the"), (None, "Licensed under CC BY-NC 4.0."), (1, "x Released, under the MIT License. y")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.license) for r in licenses.scan(d).collect()) == [(0, "CC-BY-NC-4.0"), (1, "MIT")]
