@@ -79,6 +79,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z of UTF-8 bytes in lower case."""
+    return _LOWER[data]
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes; a longer text is a run of its own."""
     i, n = 0, len(offsets) - 1

@@ -56,9 +56,31 @@ v AS (SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repea
 SELECT *, NOT base_failed AND 100 * n_lost_words <= {_R.max_lost_pct} * n_words AS kept FROM v
 """
 
+TOP_K = r"""
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)]) AS BIGINT) AS score
+ FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM s WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 5
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}') AS ws FROM documents),
+t AS (SELECT COUNT(*) FILTER (WHERE len(ws) > 0) AS n_docs, CAST(SUM(len(ws)) AS BIGINT) AS n_terms FROM d),
+f AS (SELECT doc_id, n, term, COUNT(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM f, t GROUP BY term, n_docs),
+q AS (SELECT item_id, term, COUNT(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(SUM(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+ FROM q JOIN w USING (term) JOIN f USING (term), t GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
+
 ORACLES = {
     "op5_countmin_substrings": SUBSTRINGS,
     "op7_minhash_near_dedup": NEAR,
     "op8_prefix_targets": CHAT,
     "op10_line_first_quality": QUALITY,
+    "op11_pivot_distance": TOP_K,
+    "op12_term_pipeline": LEXICAL,
 }

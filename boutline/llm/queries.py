@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import automaton, chat, decontaminate, langid, licenses, minhash, mixing, pii, quality, substrings
+from boutline.llm import alignment, automaton, chat, decontaminate, langid, lexical, licenses, minhash, mixing, pii, pivots, quality, substrings
 from boutline.llm.common import table
 from boutline.llm.oracles import ORACLES
 
@@ -60,6 +60,22 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_benchmark_templates, op3_language_ftrl, op4_license_bands, op5_countmin_substrings, op6_backoff_automaton, op7_minhash_near_dedup, op8_prefix_targets, op9_personal_data, op10_line_first_quality)}
+def op11_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.compare(table(spark, sf_dir, "documents"), *alignment.files())
+
+
+_OPERATORS = [
+    op1_source_mix, op2_benchmark_templates, op3_language_ftrl, op4_license_bands, op5_countmin_substrings, op6_backoff_automaton, op7_minhash_near_dedup,
+    op8_prefix_targets, op9_personal_data, op10_line_first_quality, op11_pivot_distance, op12_term_pipeline, op13_token_incidence,
+]
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 __all__ = ["ORACLES", "QUERIES"]
