@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from boutline import fixtures as fx
 from boutline.catalog.base import query, r6
+from boutline.evaluation import bootstrap as B
 from boutline.evaluation import metrics as M
 from boutline.fixtures import with_views
 from boutline.roles import ROLE_PREFIX  # noqa: F401
@@ -96,7 +97,7 @@ def m9(spark, sf):
 
 
 _CUTS = " + ".join(f"CAST(u >= '{c}' AS INT)" for c in M.poisson_cuts())
-_BOOT = f""", bw AS (SELECT model, p, y_true, g * 8 + i AS replicate, substr(md5(CAST(event_id AS VARCHAR) || '-' || CAST(g AS VARCHAR)), 4 * i + 1, 4) AS u
+_ROWS = f""", bw AS (SELECT model, p, y_true, g * 8 + i AS replicate, substr(md5(CAST(event_id AS VARCHAR) || '-' || CAST(g AS VARCHAR)), 4 * i + 1, 4) AS u
   FROM fx_long, (SELECT UNNEST([0, 1, 2]) AS g), (SELECT UNNEST([0, 1, 2, 3, 4, 5, 6, 7]) AS i) WHERE g * 8 + i < 20),
 bx AS (SELECT model, replicate, p, y_true, {_CUTS} AS w FROM bw),
 bc AS (SELECT model, replicate, p, CAST(SUM(w * y_true) AS DOUBLE) AS pos, CAST(SUM(w * (1 - y_true)) AS DOUBLE) AS neg FROM bx GROUP BY 1, 2, 3),
@@ -106,20 +107,51 @@ br AS (SELECT model, replicate, SUM(CASE WHEN p >= 5e-1 THEN pos ELSE neg END) /
 """
 
 
-@query("m10_bootstrap_replicates", with_views(_BOOT + "SELECT model, replicate, ROUND(accuracy, 6) AS accuracy, ROUND(brier, 6) AS brier, ROUND(auc, 6) AS auc FROM br", "fx_long"))
+# Weights of score cells: the same numbers from the same hashes as evaluation.bootstrap.
+_CELLS = f""", bk AS (SELECT n, k, SUM(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS c FROM (SELECT UNNEST(range(1, {B.TABLE_ROWS + 1})) AS n), (SELECT UNNEST(range(0, {2 * B.TABLE_ROWS + 41})) AS k) WHERE k < 2 * n + 41),
+bt AS (SELECT n, list(c ORDER BY k) AS cdf FROM bk GROUP BY n),
+ba AS (SELECT model, p, CAST(SUM(y_true) AS BIGINT) AS n1, CAST(SUM(1 - y_true) AS BIGINT) AS n0 FROM fx_long GROUP BY 1, 2),
+bi AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY model ORDER BY p) - 1 AS cell FROM ba),
+bl AS (SELECT model, p, cell, 1 AS y, n1 AS n FROM bi UNION ALL SELECT model, p, cell, 0, n0 FROM bi),
+bh AS (SELECT *, md5(model || '-' || CAST(cell AS VARCHAR) || '-' || CAST(y AS VARCHAR) || '-' || CAST(r // 2 AS VARCHAR)) AS h FROM bl, (SELECT UNNEST(range(0, {{r}})) AS r) WHERE n > 0),
+bu AS (SELECT *, (CAST('0x' || substr(h, CAST(16 * (r % 2) + 1 AS BIGINT), 8) AS BIGINT) + 5e-1) / 4294967296e0 AS u, (CAST('0x' || substr(h, CAST(16 * (r % 2) + 9 AS BIGINT), 8) AS BIGINT) + 5e-1) / 4294967296e0 AS v FROM bh),
+bx AS (SELECT bu.model, r AS replicate, p, y, CASE WHEN bu.n <= {B.TABLE_ROWS} THEN len([c FOR c IN cdf IF c <= u]) ELSE greatest(0, floor(bu.n + sqrt(bu.n) * sqrt(-2 * ln(u)) * cos(2 * pi() * v) + 5e-1)) END AS w FROM bu LEFT JOIN bt ON bt.n = bu.n),
+bc AS (SELECT model, replicate, p, CAST(SUM(w * y) AS DOUBLE) AS pos, CAST(SUM(w * (1 - y)) AS DOUBLE) AS neg FROM bx GROUP BY 1, 2, 3),
+bb AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY model, replicate ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS below FROM bc),
+br AS (SELECT model, replicate, SUM(CASE WHEN p >= 5e-1 THEN pos ELSE neg END) / SUM(pos + neg) AS accuracy, 2e0 * SUM(CASE WHEN p >= 5e-1 THEN pos ELSE 0 END) / (SUM(CASE WHEN p >= 5e-1 THEN pos + neg ELSE 0 END) + SUM(pos)) AS f1,
+ SUM(pos * (1e0 - p) * (1e0 - p) + neg * p * p) / SUM(pos + neg) AS brier, SUM(pos * (below + neg / 2e0)) / (SUM(pos) * SUM(neg)) AS auc FROM bb GROUP BY 1, 2)
+"""
+REPLICATES = 1000
+_BOOT = _CELLS.replace("{r}", str(REPLICATES))
+
+
+def _replicates(spark, sf):
+    return B.bootstrap(fx.predictions_long(spark, sf), ["model"], REPLICATES)
+
+
+@query("m10_bootstrap_replicates", with_views(_BOOT + "SELECT model, CAST(replicate AS INT) AS replicate, ROUND(accuracy, 6) AS accuracy, ROUND(f1, 6) AS f1, ROUND(brier, 6) AS brier, ROUND(auc, 6) AS auc FROM br", "fx_long"))
 def m10(spark, sf):
-    d = M.bootstrap_metrics(fx.predictions_long(spark, sf), ["model"], "event_id", 20)
-    return d.select("model", "replicate", r6("accuracy"), r6("brier"), r6("auc"))
+    return _replicates(spark, sf).select("model", "replicate", *[r6(c) for c in ("accuracy", "f1", "brier", "auc")])
 
 
-@query(
-    "m10_bootstrap_interval",
-    with_views(_BOOT + "SELECT model, ROUND(AVG(auc), 6) AS mean, ROUND(STDDEV_POP(auc), 6) AS std, COUNT(*) AS replicates, ROUND(quantile_cont(auc, 25e-3), 6) AS ci_lower, ROUND(quantile_cont(auc, 975e-3), 6) AS ci_upper FROM br GROUP BY model", "fx_long"),
+_INTERVALS = " UNION ALL ".join(
+    f"SELECT model, '{m}' AS metric, ROUND(AVG({m}), 6) AS mean, ROUND(STDDEV_POP({m}), 6) AS std, COUNT(*) AS replicates, ROUND(quantile_cont({m}, 25e-3), 6) AS ci_lower, ROUND(quantile_cont({m}, 975e-3), 6) AS ci_upper FROM br GROUP BY model"
+    for m in ("auc", "f1", "accuracy")
 )
+
+
+@query("m10_bootstrap_interval", with_views(_BOOT + _INTERVALS, "fx_long"))
 def m10i(spark, sf):
-    reps = M.bootstrap_metrics(fx.predictions_long(spark, sf), ["model"], "event_id", 20)
-    d = M.bootstrap_interval(reps, ["model"], "auc")
-    return d.select("model", r6("mean"), r6("std"), "replicates", r6("ci_lower"), r6("ci_upper"))
+    """Intervals of three metrics from the same replicates."""
+    reps = M.to_long(_replicates(spark, sf), ["model"], ["auc", "f1", "accuracy"])
+    d = M.bootstrap_interval(reps, ["model", "metric"], "value")
+    return d.select("model", "metric", r6("mean"), r6("std"), "replicates", r6("ci_lower"), r6("ci_upper"))
+
+
+@query("m10_bootstrap_rows", with_views(_ROWS + "SELECT model, replicate, ROUND(accuracy, 6) AS accuracy, ROUND(brier, 6) AS brier, ROUND(auc, 6) AS auc FROM br", "fx_long"))
+def m10r(spark, sf):
+    d = M.bootstrap_metrics(fx.predictions_long(spark, sf), ["model"], "event_id", 20)
+    return d.select("model", "replicate", r6("accuracy"), r6("brier"), r6("auc"))
 
 
 @query("m11_compare_models", _q("SELECT model, split, ROUND(auc, 6) AS auc, CAST(ROW_NUMBER() OVER (PARTITION BY split ORDER BY auc DESC, model) AS INT) AS rank FROM rep"))
@@ -134,12 +166,19 @@ def k4(spark, sf):
 
 @query(
     "m13_t_against_baseline",
-    with_views(_BOOT + "SELECT model, ROUND(AVG(accuracy) - 6e-1, 6) AS mean_difference, ROUND((AVG(accuracy) - 6e-1) / (STDDEV_SAMP(accuracy) / SQRT(COUNT(*))), 4) AS t, ROUND((AVG(accuracy) - 6e-1) / 6e-1 * 1e2, 6) AS improvement_pct FROM br GROUP BY model", "fx_long"),
+    with_views(
+        _BOOT + " UNION ALL ".join(
+            f"SELECT model, '{m}' AS metric, ROUND(AVG({m}) - 6e-1, 6) AS mean_difference, ROUND((AVG({m}) - 6e-1) / (STDDEV_SAMP({m}) / SQRT(COUNT(*))), 4) AS t, ROUND((AVG({m}) - 6e-1) / 6e-1 * 1e2, 6) AS improvement_pct FROM br GROUP BY model"
+            for m in ("f1", "accuracy")
+        ),
+        "fx_long",
+    ),
 )
 def m13(spark, sf):
-    reps = M.bootstrap_metrics(fx.predictions_long(spark, sf), ["model"], "event_id", 20)
-    d = M.t_against(reps, ["model"], "accuracy", 0.6)
-    return d.select("model", r6("mean_difference"), F.round("t", 4).alias("t"), r6("improvement_pct"))
+    """Both tested metrics against a baseline of 0.6; the deviation is the sample's."""
+    reps = M.to_long(_replicates(spark, sf), ["model"], ["f1", "accuracy"])
+    d = M.t_against(reps, ["model", "metric"], "value", 0.6)
+    return d.select("model", "metric", r6("mean_difference"), F.round("t", 4).alias("t"), r6("improvement_pct"))
 
 
 _CONF = """, q AS (SELECT quantile_cont(ABS(p - y_true), 95e-2) AS q FROM fx_long WHERE ts < TIMESTAMP '2024-01-16'),
