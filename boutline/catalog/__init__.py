@@ -4,7 +4,7 @@ import importlib
 
 from boutline.catalog.base import ORACLES, QUERIES
 
-for _m in ("filters", "form", "lookups", "splits", "features", "quality", "evaluation", "drift", "drafts", "ml", "streams"):
+for _m in ("filters", "form", "lookups", "splits", "features", "quality", "evaluation", "drift", "drafts", "ml", "fits", "streams"):
     try:
         importlib.import_module(f"boutline.catalog.{_m}")
     except ModuleNotFoundError as e:

@@ -85,13 +85,6 @@ def p8g(spark, sf):
     return training.global_importance(d, features.scale_fit(d, list(COEF)), COEF).select("feature", r6("importance"))
 
 
-@query("p2_logistic_regression")
-def p2(spark, sf):
-    d = splits.temporal_split(_form(spark, sf))
-    m = training.fit_logistic(d.filter("split = 'train'"), FORM)
-    return M.report(training.predict(m, d, ["split"]), ["split"])
-
-
 @query("p3_other_learners")
 def p3(spark, sf):
     d = cut_lineage(splits.temporal_split(_form(spark, sf)))
@@ -102,12 +95,6 @@ def p3(spark, sf):
     return M.rank_models(M.report(out, ["model"]), "auc")
 
 
-@query("p4_grid_search")
-def p4(spark, sf):
-    d = cut_lineage(splits.block_folds(_form(spark, sf), 3))
-    return training.grid_search(d, FORM, "fold", 3, (0.1, 1.0, 10.0))[1]
-
-
 def _oof(spark, sf):
     d = cut_lineage(_form(spark, sf).withColumn("fold", encoding.fold_of("row_id", 3)))
     models = {"logistic": None, "forest": training.learners(len(FORM))["random_forest"]}
@@ -149,18 +136,6 @@ def p10(spark, sf):
     return _scorer(spark, sf).both_suggestions(fx.drafts(spark, sf), cut_lineage(lookups.meta_indicators(fx.wide(spark, sf))))
 
 
-@query("p12_learning_curve")
-def p12(spark, sf):
-    d = cut_lineage(splits.temporal_split(_form(spark, sf)))
-    return training.learning_curve(d.filter("split = 'train'"), d.filter("split = 'val'"), FORM, [0.1, 0.5, 1.0])
-
-
-@query("p12_validation_curve")
-def p12v(spark, sf):
-    d = cut_lineage(splits.temporal_split(_form(spark, sf)))
-    return training.validation_curve(d.filter("split = 'train'"), d.filter("split = 'val'"), FORM, [0.01, 1.0])
-
-
 @query(
     "p14_retention",
     with_views(
@@ -179,26 +154,6 @@ def p15(spark, sf):
     return lifecycle.retrain(cut_lineage(fx.wide(spark, sf)))[2]
 
 
-@query("p16_compare_splits")
-def p16(spark, sf):
-    d = _form(spark, sf)
-    cols = ["row_id", "result", "split", *FORM]
-    return training.compare_splits(
-        {
-            "pure": cut_lineage(splits.temporal_split(d).select(*cols)),
-            "stratified": cut_lineage(splits.stratified_temporal_split(d).select(*cols)),
-            "random": cut_lineage(splits.stratified_random_split(d).select(*cols)),
-        },
-        FORM,
-    )
-
-
-@query("p16_fold_scores")
-def p16f(spark, sf):
-    d = _form(spark, sf)
-    return training.fold_scores(d, cut_lineage(splits.expanding_folds(d, splits.INNER_WINDOWS)), FORM)
-
-
 @query("m6_calibration_slope")
 def m6(spark, sf):
     p = preds(spark, sf)

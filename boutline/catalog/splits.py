@@ -132,7 +132,7 @@ SELECT preset, CASE WHEN k < FLOOR(n * a) THEN 'train' WHEN k < FLOOR(n * b) THE
 def w22(spark, sf):
     m = fx.matches(spark, sf)
     d = splits.time_rank(m, []).withColumn("_n", m.agg(F.count("*")).scalar())
-    tags = F.array(*[F.struct(F.lit(n).alias("preset"), splits._tag(F.col("_rank"), F.col("_n"), a, b).alias("split")) for n, (a, b, _) in splits.PRESETS.items()])
+    tags = F.array(*[F.struct(F.lit(n).alias("preset"), splits.tag(F.col("_rank"), F.col("_n"), a, b).alias("split")) for n, (a, b, _) in splits.PRESETS.items()])
     return d.select("match_date", F.explode(tags).alias("x")).groupBy("x.preset", "x.split").agg(F.count("*").alias("rows"), day_min()).select("preset", "split", "rows", "first_date")
 
 

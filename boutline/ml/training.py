@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -13,16 +12,12 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.evaluation import metrics as M
-
 
 def balanced_weights(df: DataFrame, label: str = "result", name: str = "class_weight") -> DataFrame:
     """n / (2 * n_class), from one count of both classes."""
@@ -80,29 +75,6 @@ def predict(model, df: DataFrame, keep: list[str], label: str = "result") -> Dat
     return d.select(*keep, F.col(label).alias("y_true"), p.alias("p"))
 
 
-def grid_search(
-    train: DataFrame, features: list[str], fold: str, folds: int, cs=(0.1, 1.0, 10.0), l1=(0.0,), label: str = "result", parallelism: int = 4,
-    samples: int | None = None, seed: int = 42,
-):
-    """Grid over C and l1 share by cross-validated AUC on a fold column (W18/W23);
-    with ``samples``, a random search over that many points of the grid."""
-    n = train.count()
-    d = Pipeline(stages=scaled_vector(features)).fit(train).transform(balanced_weights(train, label))
-    lr = logistic(n, label=label)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in cs]).addGrid(lr.elasticNetParam, list(l1)).build()
-    if samples is not None and samples < len(grid):
-        grid = random.Random(seed).sample(grid, samples)
-    cv = CrossValidator(
-        estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-        numFolds=folds, foldCol=fold, parallelism=parallelism,
-    )
-    model = cv.fit(d.select("features", label, "class_weight", fold))
-    rows = [
-        (1.0 / (m[lr.regParam] * n), float(m[lr.elasticNetParam]), float(a), float(s)) for m, a, s in zip(grid, model.avgMetrics, model.stdMetrics)
-    ]
-    return model.bestModel, train.sparkSession.createDataFrame(rows, "c double, l1_share double, mean_auc double, std_auc double")
-
-
 def out_of_fold(df: DataFrame, features: list[str], fold: str, folds: int, models: dict, keep: list[str], label: str = "result") -> DataFrame:
     """Long (keep..., y_true, p, model): every row scored by models that did not see
     its fold. One fit per (fold, model)."""
@@ -212,56 +184,16 @@ def global_importance(df: DataFrame, fitted: DataFrame, coef: dict[str, float])
     return g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in names])).alias("x")).select("x.*")
 
 
-def diagnose_learning(train_scores: list[float], val_scores: list[float]) -> str:
-    """Verdict on a learning curve (a handful of result values)."""
-    t, v = train_scores[-1], val_scores[-1]
-    settled = abs(v - val_scores[len(val_scores) // 2]) < 0.01
-    if t - v > 0.1:
-        return "high_variance" if v < 0.6 else "moderate_overfitting"
-    if t < 0.7 and v < 0.7:
-        return "high_bias"
-    if settled and v > 0.75:
-        return "well_fitted"
-    return "acceptable" if settled else "not_converged"
-
-
-def learning_curve(train: DataFrame, val: DataFrame, features: list[str], sizes: list[float], row: str = "row_id", label: str = "result") -> DataFrame:
-    """AUC on the subset and on validation per training share (nested subsets by the
-    hash of the row id)."""
-    frac = F.conv(F.substring(F.md5(F.concat(F.lit("lc-"), F.col(row).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    parts = []
-    for s in sizes:
-        sub = train.filter(frac < s)
-        m = fit_logistic(sub, features, label=label)
-        for tag, d in (("train", sub), ("val", val)):
-            parts.append(predict(m, d, [row], label).select(F.lit(float(s)).alias("size"), F.lit(tag).alias("part"), "y_true", "p"))
-    return M.auc(reduce(lambda a, b: a.unionByName(b), parts), ["size", "part"])
-
-
-def validation_curve(train: DataFrame, val: DataFrame, features: list[str], cs: list[float], label: str = "result") -> DataFrame:
-    parts = []
-    for c in cs:
-        m = fit_logistic(train, features, c=c, label=label)
-        for tag, d in (("train", train), ("val", val)):
-            parts.append(predict(m, d, [], label).select(F.lit(float(c)).alias("c"), F.lit(tag).alias("part"), "y_true", "p"))
-    return M.auc(reduce(lambda a, b: a.unionByName(b), parts), ["c", "part"])
-
-
-def compare_splits(tagged: dict[str, DataFrame], features: list[str], label: str = "result") -> DataFrame:
-    """One report row per (strategy, split): each strategy's tags, one model each."""
-    parts = []
-    for name, df in tagged.items():
-        m = fit_logistic(df.filter("split = 'train'"), features, label=label)
-        parts.append(predict(m, df, ["split"], label).withColumn("strategy", F.lit(name)))
-    return M.report(reduce(lambda a, b: a.unionByName(b), parts), ["strategy", "split"])
-
-
-def fold_scores(df: DataFrame, folds: DataFrame, features: list[str], row: str = "row_id", label: str = "result") -> DataFrame:
-    """AUC per fold of a long (fold, row, role) table, e.g. expanding windows."""
-    ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # fold numbers only
-    parts = []
-    for k in ids:
-        d = df.join(folds.filter(F.col("fold") == k).select(row, "role"), row)
-        m = fit_logistic(d.filter("role = 'train'"), features, label=label)
-        parts.append(predict(m, d.filter("role = 'val'"), [], label).withColumn("fold", F.lit(k)))
-    return M.auc(reduce(lambda a, b: a.unionByName(b), parts), ["fold"])
+def diagnose(curve: DataFrame, size: str = "size") -> DataFrame:
+    """Verdict on a learning curve (size, part train/held, mean_auc): one row with the
+    scores at the largest size, the held score of the middle one, and the verdict."""
+    at = F.array_sort(F.collect_list(F.when(F.col("part") == "held", F.struct(F.col(size).alias("s"), F.col("mean_auc").alias("v")))))  # one entry a size
+    last = F.max_by(F.when(F.col("part") == "train", F.col("mean_auc")), F.when(F.col("part") == "train", F.col(size)))
+    d = curve.agg(last.alias("train_auc"), at.alias("h")).select("train_auc", F.element_at("h", -1)["v"].alias("held_auc"), F.element_at("h", F.floor(F.size("h") / 2).cast("int") + 1)["v"].alias("middle_auc"))
+    t, v = F.col("train_auc"), F.col("held_auc")
+    settled = F.abs(v - F.col("middle_auc")) < 0.01
+    verdict = (
+        F.when((t - v > 0.1) & (v < 0.6), "high_variance").when(t - v > 0.1, "moderate_overfitting").when((t < 0.7) & (v < 0.7), "high_bias")
+        .when(settled & (v > 0.75), "well_fitted").when(settled, "acceptable").otherwise("not_converged")
+    )
+    return d.withColumn("verdict", verdict)

@@ -137,10 +137,10 @@ def test_record_and_promote(spark, sf, tmp_path, wide):
     assert training.predict(again, d, ["row_id"]).count() == d.count()
 
 
-def test_learning_diagnosis():
-    assert training.diagnose_learning([0.9, 0.9], [0.55, 0.56]) == "high_variance"
-    assert training.diagnose_learning([0.82, 0.81], [0.8, 0.8]) == "well_fitted"
-    assert training.diagnose_learning([0.6, 0.6], [0.6, 0.6]) == "high_bias"
+@pytest.mark.parametrize("train, held, verdict", [([0.9, 0.9], [0.55, 0.56], "high_variance"), ([0.82, 0.81], [0.8, 0.8], "well_fitted"), ([0.6, 0.6], [0.6, 0.6], "high_bias"), ([0.8, 0.8], [0.6, 0.72], "not_converged")])
+def test_learning_diagnosis(spark, train, held, verdict):
+    rows = [(float(i), part, v) for part, vs in (("train", train), ("held", held)) for i, v in enumerate([vs[0], *vs])]
+    assert training.diagnose(spark.createDataFrame(rows, "size double, part string, mean_auc double")).first().verdict in (verdict,)
 
 
 def test_invalid_drafts_are_not_scored(spark, sf, wide, scorer):
@@ -160,13 +160,51 @@ def test_invalid_drafts_are_not_scored(spark, sf, wide, scorer):
     assert bad and good and not bad & good and len(bad | good) == d.count()
 
 
-def test_random_search(spark, wide):
-    from boutline.operators import splits as S
+def test_joint_fits_equal_single_ones(spark):
+    """All folds and penalties in one scan a step: coefficients as by one fit each."""
+    import numpy as np
+
+    from boutline.ml import newton
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(3000, 4)) * [1, 3, 0.1, 1] + [0, 1, 5, 0]
+    x[:, 3] = 0.5  # a constant feature stays out
+    y = (r.random(3000) < 1 / (1 + np.exp(-(x @ [1, -0.5, 4, 0] - 20)))).astype(int)
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(3000)], "row_id long, result int, a double, b double, c double, d double")
+    subsets = {str(k): (F.col("row_id") % 3 != k, F.col("row_id") % 3 == k) for k in range(3)} | {"none": (F.lit(False), F.lit(True))}
+    fits = [newton.Fit(f"{k}-{c}-{a}", k, c, a) for k in ("0", "1") for c in (0.001, 1.0) for a in (0.0, 0.6)] + [newton.Fit("none", "none")]
+    rows = newton.design(df, names, subsets, keep=["row_id"])
+    got = newton.fit_many(rows, names, list(subsets), fits)
+    assert got.gradient.max() < 1e-8 and not got.coefficients[-1].any()
+    for i in (0, 1, 7):
+        f = fits[i]
+        one = training.fit_logistic(df.filter(subsets[f.subset][0]), names, f.c, f.l1_share).stages[-1]
+        assert np.allclose(got.coefficients[i] * got.deviations[i], one.coefficients.toArray(), atol=1e-3)
+    worst = newton.optimality(rows, newton.fit_many(rows, names, list(subsets), fits[:2]), list(subsets)).agg(F.max(F.abs("gradient"))).first()[0]
+    assert worst < 1e-8
+    from boutline.evaluation import metrics as M
+
+    exact = {(x.fit, x.part): x for x in M.report(newton.scores(rows, got, list(subsets)), ["fit", "part"]).collect()}
+    for m in newton.held_metrics(rows, got, list(subsets)).filter("fit <> 'none'").collect():
+        e = exact[m.fit, m.part]
+        assert m.rows == e.rows and abs(m.auc - e.auc) < 1e-3 and abs(m.log_loss - e.log_loss) < 1e-9 and abs(m.f1 - e.f1) < 1e-9 and abs(m.accuracy - e.accuracy) < 1e-9
+
+
+def test_cell_bootstrap_in_slots(spark, sf):
+    """Slots of any size give the same replicates, close to drawing rows one by one."""
+    import numpy as np
+
+    from boutline.evaluation import bootstrap as B
 
-    m = cut_lineage(form.entity_form(wide).select("row_id", "match_date", "result", "overall_winrate", "recent_winrate"))
-    d = cut_lineage(S.block_folds(m, 3))
-    _, grid = training.grid_search(d, ["overall_winrate", "recent_winrate"], "fold", 3, (0.1, 1.0, 10.0), (0.0, 0.5), samples=2)
-    assert grid.count() == 2
+    p = fx.predictions_long(spark, sf)
+    whole, parts = ({(x.model, x.replicate): (x.accuracy, x.f1, x.auc) for x in B.bootstrap(p, ["model"], 60, n).collect()} for n in (4096, 7))
+    assert whole.keys() == parts.keys() and all(np.allclose(whole[k], parts[k], atol=1e-12) for k in whole)
+    table = np.array([(x.y_true, x.p) for x in p.filter("model = 'a'").collect()])
+    r = np.random.default_rng(1)
+    acc = [((s[:, 1] >= 0.5) == s[:, 0]).mean() for s in (table[r.integers(0, len(table), len(table))] for _ in range(60))]
+    own = [v[0] for k, v in whole.items() if k[0] == "a"]
+    assert abs(np.mean(own) - np.mean(acc)) < 4 * np.std(acc) / 60**0.5 * 2 and 0.6 < np.std(own) / np.std(acc) < 1.7
 
 
 def test_p_values_of_results(spark, sf):
