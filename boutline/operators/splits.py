@@ -18,7 +18,7 @@ from boutline.roles import MATCH, Roles
 PRESETS = {"70_15_15": (0.70, 0.15, 0.15), "60_20_20": (0.60, 0.20, 0.20), "70_20_10": (0.70, 0.20, 0.10)}
 
 
-def _tag(rank: Column, n: Column, train: float, val: float) -> Column:
+def tag(rank: Column, n: Column, train: float, val: float) -> Column:
     return (
         F.when(rank < F.floor(n * F.lit(train)), "train").when(rank < F.floor(n * F.lit(train + val)), "val").otherwise("test")
     )
@@ -31,7 +31,7 @@ def time_rank(df: DataFrame, keys: list[str], roles: Roles = MATCH, name: str =
 def temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.15, roles: Roles = MATCH) -> DataFrame:
     """First part of the whole order, next part, rest."""
     n = df.agg(F.count("*")).scalar()
-    return time_rank(df, [], roles).withColumn("split", _tag(F.col("_rank"), n, train, val))
+    return time_rank(df, [], roles).withColumn("split", tag(F.col("_rank"), n, train, val))
 
 
 def _with_size(df: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
@@ -45,7 +45,7 @@ def _with_size(df: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
 def stratified_temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.15, min_rows: int = 10, roles: Roles = MATCH) -> DataFrame:
     """The same cut within each year; years with too few rows are dropped."""
     d = time_rank(_with_size(df, [roles.year], min_rows), [roles.year], roles, source=df)
-    return d.withColumn("split", _tag(F.col("_rank"), F.col("_n"), train, val))
+    return d.withColumn("split", tag(F.col("_rank"), F.col("_n"), train, val))
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: str, parts: list[str], roles: Roles = MATCH, source: DataFrame | None = None) -> DataFrame:
@@ -60,7 +60,7 @@ def shuffled(df: DataFrame, keys: list[str], seed: str, parts: list[str], roles:
 def stratified_random_split(df: DataFrame, train: float = 0.7, val: float = 0.15, seed: str = "42", by_label: bool = False, min_rows: int = 10, roles: Roles = MATCH) -> DataFrame:
     keys = [roles.year, roles.outcome] if by_label else [roles.year]
     d = shuffled(_with_size(df, keys, min_rows), keys, seed, [roles.year], roles, df)
-    return d.withColumn("split", _tag(F.col("_rank"), F.col("_n"), train, val))
+    return d.withColumn("split", tag(F.col("_rank"), F.col("_n"), train, val))
 
 
 def stratified_folds(df: DataFrame, k: int = 5, val: float = 0.2, seed: str = "cv", roles: Roles = MATCH) -> DataFrame:
