@@ -140,14 +140,44 @@ def r6_cut(spark, sf):
     return out.select(F.col("cut").cast("long").alias("cut"), r6("mean_difference"), r6("epsilon"))
 
 
-@query("r6_adaptive_sequence")
+def series(spark, sf):
+    """Many series in event order: each model's hits for groups of four users, of which
+    every third turns round in the middle; and hourly accuracy, which is longer."""
+    p = fx.predictions_long(spark, sf)
+    ok = ((F.col("p") >= 0.5).cast("int") == F.col("y_true")).cast("double")
+    late, group = F.col("ts") >= F.lit(CUT).cast("timestamp_ntz"), F.floor(F.col("user_id") / 4)
+    hits = p.select("model", F.concat(F.lit("u"), group.cast("string")).alias("series"), "ts", "event_id", F.when(late & (group % 3 == 0), 1 - ok).otherwise(ok).alias("v"))
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    hourly = p.groupBy("model", hour.alias("ts")).agg(F.sum(F.when(late, 1 - ok).otherwise(ok)).alias("s"), F.count("*").alias("n"))
+    return hits.unionByName(hourly.select("model", F.lit("hourly").alias("series"), "ts", F.lit(0).cast(dict(hits.dtypes)["event_id"]).alias("event_id"), (F.col("s") / F.col("n")).alias("v")))
+
+
+# Borders that age leaves, and cuts one after the other: each step finds, in every series,
+# the first position with a border beyond the bound and the best border there.
+SEQUENCE = """, sk AS (SELECT model, user_id // 4 AS g, ts, event_id, CASE WHEN CAST(p >= 5e-1 AS INT) = y_true THEN 1e0 ELSE 0e0 END AS ok FROM fx_long),
+sa AS (SELECT model, 'u' || CAST(g AS VARCHAR) AS series, ts, event_id, CASE WHEN ts >= TIMESTAMP '2024-01-16' AND g % 3 = 0 THEN 1e0 - ok ELSE ok END AS v FROM sk
+  UNION ALL SELECT model, 'hourly', date_trunc('hour', ts), 0, SUM(CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 1e0 - ok ELSE ok END) / COUNT(*) FROM sk GROUP BY 1, 2, 3),
+sp AS (SELECT model, series, v, ROW_NUMBER() OVER w - 1 AS i, COUNT(*) OVER (PARTITION BY model, series) AS n, SUM(v) OVER w - v AS s, SUM(v * v) OVER w - v * v AS q FROM sa WINDOW w AS (PARTITION BY model, series ORDER BY ts, event_id)),
+bo AS MATERIALIZED (SELECT a.model, a.series, a.i AS t, a.s + a.v AS st, a.q + a.v * a.v AS qt, b.i AS b, b.s AS sb FROM sp a JOIN sp b ON a.model = b.model AND a.series = b.series AND b.i < a.i - 4
+  WHERE a.n >= 60 AND a.i >= 30 AND b.i % CAST(power(2, floor(log2(greatest(1e0, (a.i - b.i) / 32e0)))) AS BIGINT) = 0),
+rc AS (SELECT DISTINCT model, series, CAST(0 AS BIGINT) AS start, CAST(30 AS BIGINT) AS lo, CAST(-1 AS BIGINT) AS position, CAST(0 AS BIGINT) AS window_size FROM sp
+ UNION ALL SELECT model, series, x.b + 1, x.t + 1, x.b, x.t + 1 - start FROM (
+  SELECT model, series, start, MIN(struct_pack(t := t, d := -gap, b := b)) AS x FROM (
+   SELECT rc.model, rc.series, rc.start, c.t, c.b, ABS((c.sb - z.s) / (c.b - rc.start) - (c.st - c.sb) / (c.t + 1 - c.b)) AS gap,
+    (c.b - rc.start) * CAST(c.t + 1 - c.b AS DOUBLE) / (c.t + 1 - rc.start) AS m,
+    greatest((c.qt - z.q) / (c.t + 1 - rc.start) - ((c.st - z.s) / (c.t + 1 - rc.start)) * ((c.st - z.s) / (c.t + 1 - rc.start)), 0e0) + 1e-10 AS var
+   FROM rc JOIN bo c ON c.model = rc.model AND c.series = rc.series AND c.t >= rc.lo AND c.b - rc.start >= 5 JOIN sp z ON z.model = rc.model AND z.series = rc.series AND z.i = rc.start)
+  WHERE gap > sqrt(2e0 / m * var * LN(1e3)) + 2e0 / (3e0 * m) * LN(1e3) GROUP BY model, series, start))
+"""
+
+
+def recursive(sql):
+    return with_views(SEQUENCE + sql, "fx_long").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("r6_adaptive_sequence", recursive("SELECT model, series, position, window_size FROM rc WHERE position >= 0"))
 def r6_seq(spark, sf):
-    # accuracy by hour; the two models one after the other make the change
-    p = fx.predictions(spark, sf)
-    pr = F.when(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"), F.col("p_a")).otherwise(F.col("p_b"))
-    ok = ((pr >= 0.5).cast("int") == F.col("y_true")).cast("int")
-    hourly = p.groupBy(F.lit("switch").alias("model"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("t")).agg((F.sum(ok) / F.count("*")).alias("v"))
-    return drift.adaptive_sequence(hourly, "model", "t", "v")
+    return drift.adaptive_sequence(series(spark, sf), ["model", "series"], ["ts", "event_id"], "v")
 
 
 @query(

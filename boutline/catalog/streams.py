@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boutline import fixtures as fx
 from boutline.catalog.base import query, r6
+from boutline.catalog.drift import recursive, series
 from boutline.evaluation import drift
 from boutline.fixtures import table, with_views
 from boutline.session import checkpoint_dir
@@ -89,19 +90,21 @@ def t3(spark, sf):
     return spark.read.parquet(f"{room}/out").select("o_orderkey", "o_orderpriority", "games_played", r6("overall_winrate"), r6("recent_winrate"), "current_streak")
 
 
-@query("t4_stream_drift_monitor")
+@query("t4_stream_drift_monitor", recursive("SELECT model, series, position, window_size, form FROM rc, (SELECT UNNEST(['stream', 'batch']) AS form) WHERE position >= 0"))
 def t4(spark, sf):
+    """The series as a table written in three parts by time, read back as a stream with
+    one part a micro-batch, beside the batch form."""
     room = _room(spark, "t4")
-    # hourly accuracy as a metric table, read back as a stream
-    p = fx.predictions(spark, sf)
-    pr = F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), F.col("p_a")).otherwise(F.col("p_b"))
-    ok = ((pr >= 0.5).cast("int") == F.col("y_true")).cast("int")
-    hourly = p.groupBy(F.lit("switch").alias("model"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("t")).agg((F.sum(ok) / F.count("*")).alias("v"))
-    hourly.write.parquet(f"{room}/hourly")
-    s = spark.readStream.schema(hourly.schema).parquet(f"{room}/hourly")
-    jobs.run_available(jobs.drift_stream(s, "model", "t", "v"), f"{room}/out", f"{room}/chk")
-    got = spark.read.schema("model string, position long, window_size long").parquet(f"{room}/out")
-    batch = drift.adaptive_sequence(spark.read.parquet(f"{room}/hourly"), "model", "t", "v")
+    points = series(spark, sf)
+    cuts = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-03-01"]
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        part = points.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
+        part.coalesce(1).write.mode("append").parquet(f"{room}/points/part={i}")
+    s = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{room}/points")
+    jobs.run_available(jobs.drift_stream(s, ["model", "series"], ["ts", "event_id"], "v"), f"{room}/out", f"{room}/chk")
+    got = spark.read.schema("model string, series string, position long, window_size long").parquet(f"{room}/out")
+    stored = spark.read.schema(points.schema).option("recursiveFileLookup", "true").parquet(f"{room}/points")
+    batch = drift.adaptive_sequence(stored, ["model", "series"], ["ts", "event_id"], "v")
     return got.withColumn("form", F.lit("stream")).unionByName(batch.withColumn("form", F.lit("batch")))
 
 

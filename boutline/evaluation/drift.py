@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,73 +154,132 @@ def adaptive_cut(df: DataFrame, keys: list[str], levels: list[Column], order: li
     return best.select(*keys, F.col("x.n0").alias("cut"), F.col("x.diff").alias("mean_difference"), F.col("x.eps").alias("epsilon"))
 
 
-class WindowScan:
-    """The adaptive window of one series, point by point: one kernel for batch and stream.
+@dataclass
+class DyadicWindow:
+    """The adaptive window of one series in logarithmic memory, a point at a time.
 
-    A window is cut at the place whose sides differ most beyond the bound, and goes on
-    after it. Prefix sums of the window are kept and extended, not built anew for each
-    point. No cut is looked for before ``2 * min_window`` points are known; then those
-    from ``min_window`` on are judged, so a stream and a table of the same points agree.
-    """
-
-    def __init__(self, delta: float = 0.002, min_window: int = 30, start: int = 0, points: tuple = (), seen: int = 0):
-        self.ln, self.min_window = math.log(2 / delta), min_window
-        self.start, self.points, self.seen = start, list(points), seen
+    A window is cut at the border whose sides differ most beyond the bound, and goes on
+    after the point at the border. Borders thin out with age: at position t a border b may
+    be used if it is a multiple of 2**k, where k = floor(log2((t - b) / exact)) is 0 for
+    ages below 2 * ``exact``. So near borders are all there, the window of an age is
+    summed in blocks of doubling size, two neighbours of which become one as they grow
+    old, and a border once gone never returns: about ``exact`` * log2(n) of them are kept,
+    whatever the window's length. Windows of up to 2 * ``exact`` points are cut exactly.
 
-    def _cut(self, sums: list[float], squares: list[float]) -> int | None:
-        import numpy as np
+    A border holds the sums of values and squares before it and its own value; no point
+    is read twice. No cut is looked for before ``2 * min_window`` points are known; then
+    those from ``min_window`` on are judged, so a stream and a table agree.
+    """
 
-        n = len(sums)
-        if n < 11:
+    delta: float = 0.002
+    min_window: int = 30
+    exact: int = 32
+    start: int = 0
+    seen: int = 0
+    total: float = 0.0
+    square: float = 0.0
+    start_total: float = 0.0
+    start_square: float = 0.0
+    borders: list = field(default_factory=list)
+    sums: list = field(default_factory=list)
+    squares: list = field(default_factory=list)
+    values: list = field(default_factory=list)
+    first: list = field(default_factory=list)
+
+    def state(self) -> tuple:
+        return tuple(getattr(self, f.name) for f in fields(self)[3:])
+
+    def _thin(self) -> None:
+        """Drop the borders that their age rules out."""
+        b, at = np.asarray(self.borders, np.int64), self.seen - 1
+        level = np.floor(np.log2(np.maximum(1.0, (at - b) / self.exact))).astype(np.int64)
+        stays = np.flatnonzero((b >> level) << level == b)
+        if len(stays) < len(b):
+            for name in ("borders", "sums", "squares", "values"):
+                own = getattr(self, name)
+                setattr(self, name, [own[i] for i in stays])
+
+    def _cut(self) -> int | None:
+        """Place of the best border beyond the bound."""
+        n, b = self.seen - self.start, np.asarray(self.borders, np.int64)
+        left = b - self.start
+        ok = (left >= 5) & (left < n - 5)
+        if not ok.any():
+            return None
+        left, right = np.where(ok, left, 1), np.where(ok, n - left, 1)
+        before = np.asarray(self.sums) - self.start_total
+        whole = self.total - self.start_total
+        mean = whole / n
+        spread = max((self.square - self.start_square) / n - mean * mean, 0.0) + 1e-10
+        gap = np.where(ok, np.abs(before / left - (whole - before) / right), -1.0)
+        m, ln = left * right / n, math.log(2 / self.delta)
+        gap[gap <= np.sqrt(2 / m * spread * ln) + 2 / (3 * m) * ln] = -1.0
+        best = int(gap.argmax())
+        return best if gap[best] > 0 else None
+
+    def _add(self, v: float) -> tuple[int, int] | None:
+        self.borders.append(self.seen)
+        self.sums.append(self.total)
+        self.squares.append(self.square)
+        self.values.append(v)
+        self.total, self.square, self.seen = self.total + v, self.square + v * v, self.seen + 1
+        self._thin()
+        if self.seen <= self.min_window or self.seen - self.start < 11:
+            return None
+        k = self._cut()
+        if k is None:
             return None
-        c, left = np.asarray(sums), np.arange(5, n - 5)
-        right = n - left
-        mean = c[-1] / n
-        spread = max(squares[-1] / n - mean * mean, 0.0) + 1e-10
-        gap = np.abs(c[left - 1] / left - (c[-1] - c[left - 1]) / right)
-        m = left * right / n
-        beyond = gap > np.sqrt(2 / m * spread * self.ln) + 2 / (3 * m) * self.ln
-        return int(left[beyond][np.argmax(gap[beyond])]) if beyond.any() else None
+        found = (self.borders[k], self.seen - self.start)
+        self.start = self.borders[k] + 1
+        self.start_total, self.start_square = self.sums[k] + self.values[k], self.squares[k] + self.values[k] ** 2
+        for name in ("borders", "sums", "squares", "values"):
+            setattr(self, name, getattr(self, name)[k + 1 :])
+        return found
 
     def feed(self, values) -> list[tuple[int, int]]:
         """(position, window size) of every cut that the new points bring."""
-        self.points += [float(v) for v in values]
-        self.seen += len(values)
-        if self.seen < 2 * self.min_window:
+        self.first += [float(v) for v in values]
+        if self.seen + len(self.first) < 2 * self.min_window and self.seen == 0:
             return []
-        judged = max(self.seen - len(values), self.min_window) if self.seen - len(values) >= 2 * self.min_window else self.min_window
-        found, window, self.points = [], self.points, []
-        sums, squares, first = [], [], self.seen - len(window)
-        for i, v in enumerate(window):
-            self.points.append(v)
-            sums.append((sums[-1] if sums else 0.0) + v)
-            squares.append((squares[-1] if squares else 0.0) + v * v)
-            if first + i >= judged:
-                k = self._cut(sums, squares)
-                if k is not None:
-                    found.append((self.start + k, len(self.points)))
-                    self.start, self.points = self.start + k + 1, self.points[k + 1 :]
-                    base, square = sums[k], squares[k]
-                    sums, squares = [x - base for x in sums[k + 1 :]], [x - square for x in squares[k + 1 :]]
-        return found
+        points, self.first = self.first, []
+        return [x for x in map(self._add, points) if x is not None]
 
 
-def adaptive_sequence(df: DataFrame, key: str, order: str, value: str, delta: float = 0.002, min_window: int = 30) -> DataFrame:
-    """Cuts with restart at each drift, in order, of many series.
+def adaptive_sequence(df: DataFrame, keys: list[str], order: list[str], value: str, delta: float = 0.002, min_window: int = 30, exact: int = 32) -> DataFrame:
+    """(keys..., position, window_size): cuts with restart at each drift, of any number
+    of series.
 
-    The recursion is sequential within a series, so the input is a metric series:
-    one point per hour, day or run, aggregated from the rows beforehand (its length
-    is bounded by the calendar, not by rows). ``adaptive_cut`` takes raw rows;
-    streaming.jobs.drift_stream keeps the window as state.
+    Series are dealt over tasks and come to a task in their order; a task walks through
+    them batch by batch with one small window as its state, so neither a series nor a
+    task's share is held. ``adaptive_cut`` judges one whole window in parallel;
+    streaming.jobs.drift_stream has the same window as its state.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = WindowScan(delta, min_window).feed(pdf.sort_values(order)[value].to_numpy(float))
-        return pd.DataFrame([(pdf[key].iloc[0], *x) for x in found], columns=[key, "position", "window_size"])
-
-    kt = dict(df.dtypes)[key]
-    return df.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kt}, position long, window_size long")
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "position long, window_size long"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        window, at = None, None
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            values = batch.column(value).to_numpy(zero_copy_only=False)
+            found, i = [], 0
+            while i < len(names):
+                j = i
+                while j < len(names) and names[j] == names[i]:
+                    j += 1
+                if names[i] != at:
+                    window, at = DyadicWindow(delta, min_window, exact), names[i]
+                found += [(*names[i], *x) for x in window.feed(values[i:j])]
+                i = j
+            if found:
+                columns = list(zip(*found))
+                fixed = [pa.array(c, batch.schema.field(k).type) for k, c in zip(keys, columns)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(columns[-2], pa.int64()), pa.array(columns[-1], pa.int64())], names=[*keys, "position", "window_size"])
+
+    dealt = df.select(*keys, *order, F.col(value).cast("double").alias(value)).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.select(*keys, value).mapInArrow(run, schema)
 
 
 def sliding_drift(df: DataFrame, keys: list[str], levels, order: list[str], value: str, size: int = 50, step: int = 10, threshold: float = 0.1, hot_rows: int | None = HOT_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from boutline.evaluation.drift import WindowScan
+from boutline.evaluation.drift import DyadicWindow
 from boutline.evaluation.metrics import log_loss_of
 from boutline.operators import setops
 
@@ -182,31 +182,34 @@ def form_stream(stream: DataFrame, key: str = "team", order: tuple[str, ...] = (
 
 
 class AdaptiveWindow(StatefulProcessor):
-    """Per series: the window since the last drift and the position of its first point.
-    A metric series has as many points as the calendar, so the whole window is state."""
+    """Per series the dyadic window: sums at some borders, about log2(n) times a constant."""
 
-    def __init__(self, key: str, order: str, value: str, delta: float, min_window: int):
-        self.key, self.order, self.value = key, order, value
-        self.delta, self.min_window = delta, min_window
+    def __init__(self, keys: list[str], order: list[str], value: str, delta: float, min_window: int, exact: int):
+        self.keys, self.order, self.value = keys, order, value
+        self.sizes = (delta, min_window, exact)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start long, seen long, points array<double>")
+        numbers = "start long, seen long, total double, square double, start_total double, start_square double"
+        lists = "borders array<long>, sums array<double>, squares array<double>, vals array<double>, first array<double>"
+        self.state = handle.getValueState("window", f"{numbers}, {lists}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, seen, points = self.state.get() if self.state.exists() else (0, 0, [])
-        scan = WindowScan(self.delta, self.min_window, start, points, seen)
-        found = scan.feed(pd.concat(rows).sort_values(self.order)[self.value].to_numpy(float))
-        self.state.update((int(scan.start), int(scan.seen), scan.points))
-        yield pd.DataFrame([(key[0], *x) for x in found], columns=[self.key, "position", "window_size"])
+        kept = [list(v) if isinstance(v, (list, tuple)) else v for v in self.state.get()] if self.state.exists() else ()
+        window = DyadicWindow(*self.sizes, *kept)
+        found = window.feed(pd.concat(rows).sort_values(self.order)[self.value].to_numpy(float))
+        self.state.update(tuple([x.item() if hasattr(x, "item") else x for x in v] if isinstance(v, list) else v.item() if hasattr(v, "item") else v for v in window.state()))
+        yield pd.DataFrame([(*key, *x) for x in found], columns=[*self.keys, "position", "window_size"])
 
     def close(self) -> None:
         pass
 
 
-def drift_stream(stream: DataFrame, key: str, order: str, value: str, delta: float = 0.002, min_window: int = 30) -> DataFrame:
-    """Drift points of metric series as they arrive."""
+def drift_stream(stream: DataFrame, keys: list[str], order: list[str], value: str, delta: float = 0.002, min_window: int = 30, exact: int = 32) -> DataFrame:
+    """Drift points of series as they arrive. Points come in order between micro-batches;
+    within one they are sorted."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    kt = dict(stream.dtypes)[key]
-    return stream.select(key, order, value).groupBy(key).transformWithStateInPandas(
-        AdaptiveWindow(key, order, value, delta, min_window), StructType.fromDDL(f"{key} {kt}, position long, window_size long"), "Append", "None"
+    kinds = dict(stream.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "position long, window_size long"])
+    return stream.select(*keys, *order, value).groupBy(*keys).transformWithStateInPandas(
+        AdaptiveWindow(keys, order, value, delta, min_window, exact), StructType.fromDDL(schema), "Append", "None"
     )

@@ -167,7 +167,7 @@ def test_adaptive_sequence_by_brute_force(spark):
             want.append((start + c, len(w)))
             start += c + 1
     d = spark.createDataFrame([("k", i, x) for i, x in enumerate(xs)], "k string, i int, x double")
-    got = [(r.position, r.window_size) for r in drift.adaptive_sequence(d, "k", "i", "x").orderBy("position").collect()]
+    got = [(r.position, r.window_size) for r in drift.adaptive_sequence(d, ["k"], ["i"], "x", exact=10_000).orderBy("position").collect()]
     assert want and got == want
 
 

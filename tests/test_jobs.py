@@ -65,9 +65,9 @@ def test_drift_stream_equals_batch(spark, tmp_path):
     for n in range(2):
         d.filter(f"i >= {n * 300} AND i < {(n + 1) * 300}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/p={n}")
     s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    jobs.run_available(jobs.drift_stream(s, "model", "i", "v"), f"{tmp_path}/out", f"{tmp_path}/chk")
+    jobs.run_available(jobs.drift_stream(s, ["model"], ["i"], "v"), f"{tmp_path}/out", f"{tmp_path}/chk")
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("model", "position").collect())
-    want = sorted(tuple(r) for r in drift.adaptive_sequence(d, "model", "i", "v").select("model", "position").collect())
+    want = sorted(tuple(r) for r in drift.adaptive_sequence(d, ["model"], ["i"], "v").select("model", "position").collect())
     assert want and got == want
 
 
@@ -215,18 +215,27 @@ def test_p_values_of_results(spark, sf):
 
 
 def test_drift_window_forgets_nothing():
-    """A shift after a long quiet stretch is found, in one go or point by point."""
-    from boutline.evaluation.drift import WindowScan
+    """A shift after a long quiet stretch is found, in one go or point by point, and
+    memory follows the logarithm of the window."""
+    from boutline.evaluation.drift import DyadicWindow
 
     series = [1.0] * 3000 + [0.7] * 400
-    whole = WindowScan().feed(series)
-    scan, parts = WindowScan(), []
+    whole = DyadicWindow().feed(series)
+    scan, parts = DyadicWindow(), []
     for i in range(0, len(series), 7):
         parts += scan.feed(series[i : i + 7])
+        scan = DyadicWindow(0.002, 30, 32, *scan.state())  # as a stream restores it
     assert whole == parts and 2990 <= whole[0][0] <= 3010
     short = [1.0] * 28 + [0.0] * 28
-    scan = WindowScan()
-    assert WindowScan().feed(short) == [] == [x for v in short for x in scan.feed([v])]
+    scan = DyadicWindow()
+    assert DyadicWindow().feed(short) == [] == [x for v in short for x in scan.feed([v])]
+    quiet = DyadicWindow()
+    quiet.feed([0.5] * 20_000)
+    assert len(quiet.borders) < 32 * 12 and quiet.seen == 20_000
+    # with every border kept, cuts are those of the exhaustive search
+    exact = DyadicWindow(exact=10_000)
+    near = exact.feed(series)
+    assert abs(near[0][0] - whole[0][0]) <= 64 and len(exact.borders) > len(scan.borders)
 
 
 def test_progress_of_many_batches(spark, tmp_path):
