@@ -55,8 +55,8 @@ class _Progress(StreamingQueryListener):
 
     def of(self, run_id: str) -> list:
         self.run_id = run_id
-        if run_id not in self._early:
-            self.ended.wait(60)
+        if run_id not in self._early and not self.ended.wait(60):
+            raise TimeoutError("the end of the query was not reported: its progress may be incomplete")
         return [p for p in self.batches if p["runId"] == run_id]
 
 
@@ -131,50 +131,87 @@ def sessions(df: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:
     return g.select(*keys, F.col("w.start").alias("session_start"), "last_event", "events")
 
 
+def open_sessions(rows: DataFrame, closed: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:
+    """Sessions that the watermark has not closed yet, of the rows that no closed session
+    holds: those after their key's last closed session. Read-only, so it may be asked as
+    often as one likes; with ``closed`` it gives the sessions of all rows."""
+    last = closed.groupBy(*keys).agg(F.max("last_event").alias("__last"))
+    rest = rows.join(last, keys, "left").filter(F.col("__last").isNull() | (F.col(time) > F.col("__last")))
+    return sessions(rest.drop("__last"), keys, time, gap)
+
+
 # -- T-3 form state ------------------------------------------------------------
 
 
 class FormState(StatefulProcessor):
-    """Per entity: games, wins, ranks of the last win and loss, last ten outcomes."""
+    """Per entity: games, wins, ranks of the last win and loss, last ten outcomes, and the
+    rows that wait for the watermark. A row is given out when nothing before it can come
+    any more, in the order of time and id, whatever order rows arrived in."""
 
-    def __init__(self, key: str, order: list[str], outcome: str, row: str):
-        self.key, self.order, self.outcome, self.row = key, order, outcome, row
+    def __init__(self, key: str, outcome: str, row: str, row_type: str):
+        self.key, self.outcome, self.row, self.row_type = key, outcome, row, row_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("form", "games long, wins long, last_win long, last_loss long, ring string")
+        self.pending = handle.getListState("pending", f"t long, id {self.row_type}, y int")
+
+    def _wake(self, earliest: int, expired: int | None = None) -> None:
+        """One timer a key, at its earliest waiting row; an expired one is still listed."""
+        at = earliest // 1000
+        timers = [t for t in self.handle.listTimers() if t != expired]
+        if not timers or at < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = self.state.get() if self.state.exists() else (0, 0, -1, -1, "")
-        games, wins, lw, ll, ring = got
-        pdf = pd.concat(rows).sort_values(self.order)  # one micro-batch of one key
+        new = [x for f in rows if len(f) for x in zip(f["at_micros"].tolist(), f[self.row].tolist(), f[self.outcome].tolist())]
+        if new:
+            self.pending.appendList(new)
+            self._wake(min(new)[0])
+        yield self._result(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(x) for x in self.pending.get())
+        ready = [x for x in waiting if x[0] < passed]
+        left = waiting[len(ready) :]
+        games, wins, lw, ll, ring = self.state.get() if self.state.exists() else (0, 0, -1, -1, "")
         out = []
-        for y in pdf[self.outcome].to_numpy():
+        for _, row, y in ready:
             recent = ring.count("1") / len(ring) if ring else 0.5
-            out.append((games, wins / games if games else 0.5, recent, lw - ll if games else 0))
+            out.append((row, key[0], games, wins / games if games else 0.5, recent, lw - ll if games else 0))
             if y:
                 wins, lw = wins + 1, games
             else:
                 ll = games
             games, ring = games + 1, (ring + ("1" if y else "0"))[-10:]
         self.state.update((int(games), int(wins), int(lw), int(ll), ring))
-        res = pd.DataFrame(out, columns=["games_played", "overall_winrate", "recent_winrate", "current_streak"])
-        res.insert(0, self.key, key[0])
-        res.insert(0, self.row, pdf[self.row].to_numpy())
-        yield res
+        if left:
+            self.pending.put(left)
+            self._wake(left[0][0], expiredTimerInfo.getExpiryTimeInMs())
+        else:
+            self.pending.clear()
+        yield self._result(key, out)
+
+    def _result(self, key, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.row, self.key, "games_played", "overall_winrate", "recent_winrate", "current_streak"])
 
     def close(self) -> None:
         pass
 
 
-def form_stream(stream: DataFrame, key: str = "team", order: tuple[str, ...] = ("match_date", "row_id"), outcome: str = "result", row: str = "row_id") -> DataFrame:
-    """Each arriving row with its entity's form before it. Rows must arrive in order
-    between micro-batches; within one they are sorted."""
+def form_stream(stream: DataFrame, key: str = "team", time: str = "match_date", outcome: str = "result", row: str = "row_id", delay: str = "1 hour") -> DataFrame:
+    """Each row with its entity's form before it, once the watermark has passed the row.
+    Rows may come in any order within ``delay``; later ones are dropped and counted
+    (:func:`late_rows`). State is a key's form and its rows within the delay."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     t = dict(stream.dtypes)
     schema = f"{row} {t[row]}, {key} {t[key]}, games_played long, overall_winrate double, recent_winrate double, current_streak long"
-    need = list(dict.fromkeys([key, row, outcome, *order]))
-    return stream.select(*need).groupBy(key).transformWithStateInPandas(
-        FormState(key, list(order), outcome, row), StructType.fromDDL(schema), "Append", "None"
+    timed = with_event_time(stream.select(key, row, F.col(outcome).cast("int").alias(outcome), time), time, delay)
+    return timed.withColumn("at_micros", F.unix_micros(time)).groupBy(key).transformWithStateInPandas(
+        FormState(key, outcome, row, t[row]), StructType.fromDDL(schema), "Append", "EventTime"
     )
 
 

@@ -42,23 +42,47 @@ def test_save_prunes_years(spark, tmp_path, wide):
     assert '"rows":' in spark.read.text(f"{tmp_path}/data/metadata").first()[0]
 
 
-def test_form_stream_equals_batch(spark, tmp_path, wide):
-    """Rows in three files, in order: three micro-batches with state between them."""
+def test_form_stream_of_shuffled_rows_equals_batch(spark, tmp_path, wide):
+    """Rows in any order within a year of delay, in four files; a last row far ahead lets
+    the watermark pass all others. One row comes too late and is counted."""
     src = f"{tmp_path}/in"
-    m = wide.select("row_id", "team", "match_date", "result", "league", "patch")
-    cuts = ["1994-06-01", "1997-01-01", "2100-01-01"]
-    lo = "1900-01-01"
-    for i, hi in enumerate(cuts):
-        m.filter(f"match_date >= '{lo}' AND match_date < '{hi}'").coalesce(1).write.mode("append").parquet(f"{src}/part={i}")
-        lo = hi
+    m = wide.select("row_id", "team", F.col("match_date").cast("timestamp").alias("match_date"), "result", "league", "patch")
+    months = F.months_between("match_date", F.lit("1992-01-01")) + F.pmod(F.xxhash64("row_id"), F.lit(11))
+    for i in range(4):
+        part = F.least(F.greatest(F.floor(months / 24), F.lit(0)), F.lit(3)) == i
+        m.filter(part).repartition(1, F.xxhash64("row_id", F.lit(7))).write.mode("append").parquet(f"{src}/part={i}")
+    late = "SELECT -2L AS row_id, 'nobody' AS team, TIMESTAMP '1980-01-01' AS match_date, 1 AS result, 'x' AS league, '1.1' AS patch"
+    for i, day in enumerate(("2100-01-01", "2100-01-02")):
+        ahead = spark.sql(f"SELECT -1L AS row_id, 'nobody' AS team, TIMESTAMP '{day}' AS match_date, 1 AS result, 'x' AS league, '1.1' AS patch UNION ALL {late}" if i else f"SELECT -1L AS row_id, 'nobody' AS team, TIMESTAMP '{day}' AS match_date, 1 AS result, 'x' AS league, '1.1' AS patch")
+        ahead.select(*[F.col(c).cast(t).alias(c) for c, t in m.dtypes]).coalesce(1).write.mode("append").parquet(f"{src}/part={4 + i}")
     s = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
-    progress = jobs.run_available(jobs.form_stream(s), f"{tmp_path}/out", f"{tmp_path}/chk")
-    assert len(progress) >= 3
+    progress = jobs.run_available(jobs.form_stream(s, delay="400 days"), f"{tmp_path}/out", f"{tmp_path}/chk")
+    assert len(progress) >= 5 and jobs.late_rows(progress) == 1
     cols = ["row_id", "games_played", "overall_winrate", "recent_winrate", "current_streak"]
     rows = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.select(*cols).collect())
     assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(form.entity_form(m))
 
 
+def test_sessions_after_a_restart(spark, tmp_path):
+    """Two parts with a stop between: closed sessions once each, open ones when read."""
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1)
+    rows = [(u, at + timedelta(hours=h)) for u, hs in ((1, (0, 1, 2, 20, 21, 60)), (2, (0, 30, 31, 59, 60))) for h in hs]
+    d = spark.createDataFrame(rows, "user_id int, ts timestamp")
+    closed_schema = "user_id int, session_start timestamp, last_event timestamp, events long"
+    for part, condition in enumerate(("ts < '2024-01-02 07:00:00'", "ts >= '2024-01-02 07:00:00'")):
+        d.filter(condition).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for _ in range(2):  # nothing new the second time
+            s = jobs.with_event_time(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in"), "ts", "1 hour")
+            jobs.run_available(jobs.sessions(s, ["user_id"], "ts", "6 hours"), f"{tmp_path}/out", f"{tmp_path}/chk")
+        seen = d if part else d.filter(condition)
+        closed = spark.read.schema(closed_schema).parquet(f"{tmp_path}/out")
+        every = closed.unionByName(jobs.open_sessions(seen, closed, ["user_id"], "ts", "6 hours"))
+        assert sorted(map(tuple, every.collect())) == sorted(map(tuple, jobs.sessions(seen, ["user_id"], "ts", "6 hours").select(*closed.columns).collect()))
+        assert closed.count() > 0
+
+
 def test_drift_stream_equals_batch(spark, tmp_path):
     xs = [(["a", "b"][i % 2], i, float((i * 7919 % 100) < (20 if i < 300 else 80))) for i in range(600)]
     d = spark.createDataFrame(xs, "model string, i int, v double")
