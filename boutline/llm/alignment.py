@@ -27,8 +27,10 @@ import hashlib
 import importlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,18 @@ from pyspark.sql import functions as F
 from boutline.llm import hashing
 from boutline.session import cut_lineage
 
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
+#: Characters of stretches that are encoded at once.
+RUN_CHARS = 1 << 16
 #: Documents whose links are multiplied out at once, by stretches.
 SLICE = 1 << 18
 _CUT = re.compile("(?<=[!-~])(?= )")
 
 
+#: Token ids one after another, and how many each stretch has.
+Ids = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Csr:
     """A sparse matrix: the columns of row i are indices[indptr[i]:indptr[i + 1]]."""
@@ -120,18 +128,38 @@ class Pair:
         self.a_bytes = [bytes(byte_of.get(c, 0) for c in names.get(i, "")) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes)]
+        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
         self.space = self.b.piece_to_id("▁")
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
 
+    def lengths(self, of: list[bytes]) -> np.ndarray:
+        return self.sizes[0] if of is self.a_bytes else self.sizes[1]
+
     def stretches(self, text: str) -> list[str]:
         whole = " " + text
         return _CUT.split(whole) if self.cuts else [whole]
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of stretches, each of which starts with a space; the pieces' model adds it."""
-        first = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        second = self.b.encode([p[1:] for p in parts], num_threads=1)
-        return first, [ids if len(p) > 1 else [self.space] for p, ids in zip(parts, second)]
+    def encode(self, parts: list[str]) -> tuple[Ids, Ids]:
+        """Ids of stretches, each of which starts with a space; the pieces' model adds it.
+        A run at a time: an encoding takes many times the memory of its ids."""
+        out = [(array("i"), array("q")), (array("i"), array("q"))]
+        at = 0
+        while at < len(parts):
+            to, size = at + 1, len(parts[at])
+            while to < len(parts) and size + len(parts[to]) <= RUN_CHARS:
+                size += len(parts[to])
+                to += 1
+            run = parts[at:to]
+            first = [e.ids for e in self.a.encode_batch_fast(run, add_special_tokens=False)]
+            second = self.b.encode([p[1:] for p in run], num_threads=1)
+            if " " in run:
+                second = [ids if len(p) > 1 else [self.space] for p, ids in zip(run, second)]
+            for (ids, counts), own in zip(out, (first, second)):
+                ids.extend(chain.from_iterable(own))
+                counts.extend(map(len, own))
+            at = to
+        return tuple((np.frombuffer(i, np.int32).astype(np.int64) if i else np.zeros(0, np.int64), np.frombuffer(n, np.int64) if n else np.zeros(0, np.int64)) for i, n in out)
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -167,15 +195,22 @@ class Aligned:
 
 def align(parts: list[str], both: Pair) -> Aligned:
     """Products of distinct stretches, side by side as one block-diagonal matrix."""
-    a, b = both.encode(parts)
-    good = np.ones(len(parts), bool)
-    for i, p in enumerate(parts):
-        raw = p.encode()
-        if b"".join([both.a_bytes[t] for t in a[i]]) != raw or b"".join([both.b_bytes[t] for t in b[i]]) != raw:
-            good[i], a[i], b[i] = False, [], []
-    cuts_a, cuts_b = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64) for ids in (a, b))
-    ids_a, ids_b = (np.fromiter((t for x in ids for t in x), np.int64) for ids in (a, b))
-    len_a, len_b = np.array([len(x) for x in both.a_bytes])[ids_a], np.array([len(x) for x in both.b_bytes])[ids_b]
+    encoded, sizes = both.encode(parts), np.array([len(p.encode()) for p in parts], np.int64)
+    raw, good = np.frombuffer("".join(parts).encode(), np.uint8), np.ones(len(parts), bool)
+    starts = np.cumsum(sizes) - sizes
+    for (ids, counts), of in zip(encoded, (both.a_bytes, both.b_bytes)):
+        # bytes of the tokens of each stretch: as many as its own, and the same
+        of_stretch = np.repeat(np.arange(len(parts)), counts)
+        length = both.lengths(of)[ids]
+        good &= np.bincount(of_stretch, length, minlength=len(parts)).astype(np.int64) == sizes
+        fit = good[of_stretch]
+        own = np.frombuffer(b"".join(map(of.__getitem__, ids[fit].tolist())), np.uint8)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(sizes * good) - sizes * good, sizes * good) + np.repeat(starts, sizes * good)
+        good[np.searchsorted(starts, at[raw[at] != own], "right") - 1] = False
+    fits = [np.repeat(good, counts) for _, counts in encoded]
+    cuts_a, cuts_b = (np.concatenate([[0], np.cumsum(np.where(good, counts, 0))]) for _, counts in encoded)
+    ids_a, ids_b = (ids[fit] for (ids, _), fit in zip(encoded, fits))
+    len_a, len_b = both.lengths(both.a_bytes)[ids_a], both.lengths(both.b_bytes)[ids_b]
     rows_a, rows_b = incidence(len_a), incidence(len_b)
     overlap = gustavson(rows_a, transposed(rows_b))
     # a byte's group: how many offsets before it end a token of both
@@ -186,19 +221,20 @@ def align(parts: list[str], both: Pair) -> Aligned:
     starts_a, starts_b = np.cumsum(len_a) - len_a, np.cumsum(len_b) - len_b
     n = int(ends.sum())
     groups_a, groups_b = (Csr(np.arange(len(s) + 1), group[s], np.ones(len(s), np.int64), n) for s in (starts_a, starts_b))
-    bytes_of = np.array([len(p.encode()) if g else 0 for p, g in zip(parts, good)], np.int64)
-    group_cuts = np.concatenate([[0], np.cumsum(ends)[np.cumsum(bytes_of)]])
+    group_cuts = np.concatenate([[0], np.cumsum(ends)[np.cumsum(sizes * good)]])
     return Aligned(ids_a, ids_b, cuts_a, cuts_b, good, overlap, groups_a, groups_b, group_cuts)
 
 
-def written_groups(x: Aligned) -> list[str]:
-    """``a1,a2|b1;a3|b2`` of each stretch."""
+def written_groups(x: Aligned, names: list[str]) -> list[str]:
+    """``a1,a2|b1;a3|b2`` of each stretch; ``names`` are the ids as text."""
     by_group = []
     for ids, member in ((x.ids_a, x.groups_a), (x.ids_b, x.groups_b)):
-        cuts = np.searchsorted(member.indices, np.arange(member.width + 1)).tolist()
-        names = [str(t) for t in ids.tolist()]
-        by_group.append([",".join(names[i:j]) for i, j in zip(cuts, cuts[1:])])
-    both = [f"{a}|{b}" for a, b in zip(*by_group)]
+        cuts = np.searchsorted(member.indices, np.arange(member.width + 1))
+        first = [names[t] for t in ids[cuts[:-1]].tolist()]
+        for g in np.flatnonzero(np.diff(cuts) > 1).tolist():
+            first[g] = ",".join([names[t] for t in ids[cuts[g] : cuts[g + 1]].tolist()])
+        by_group.append(first)
+    both = list(map("|".join, zip(*by_group)))
     cuts = x.group_cuts.tolist()
     return [";".join(both[i:j]) for i, j in zip(cuts, cuts[1:])]
 
@@ -221,7 +257,7 @@ def block(texts: list[str | None], both: Pair) -> Block:
     cut = [[known.setdefault(p, len(known)) for p in both.stretches(t)] if t else [] for t in texts]
     x = align(list(known), both)
     bad = ~x.good
-    written = written_groups(x)
+    written = written_groups(x, both.names)
     # links of each stretch by (A id, B id), with their number
     i, j = x.overlap.row_of(), x.overlap.indices
     key = x.ids_a[i] * np.int64(len(both.b_bytes)) + x.ids_b[j]
