@@ -10,8 +10,8 @@ same way, without slots, so that a verbatim copy of any item is found. The cover
 for each variant of an item by itself. DataFrame functions only; texts are not shuffled, only windows that match are.
 
 Defined cases: null or empty texts, on either side, match nothing; an item of fewer
-than five words is searched whole (one of a single word is in every text with that word),
-one without letters and digits not at all; items of equal text count as the one with the smallest
+than five words is searched whole, one of a single word as a line of its own (inside
+lines it would be in every text with that word), one without letters and digits not at all; items of equal text count as the one with the smallest
 item_id; a template window with fewer than three tokens besides placeholders is not searched
 (it would fit anything); repeated rows and rows sharing a doc_id are judged by id and text; a
 null doc_id is carried; empty tables give no matches; extra columns are ignored by
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import SPACES, grams, let
+from boutline.llm.common import SPACES, let
 from boutline.plans.bounded import bounded
 from boutline.session import cut_lineage
 
@@ -34,6 +34,8 @@ MIN_AGREE_PCT = 50
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 PLACEHOLDER = f"[{NUMBER}{NAME}{UNIT}]"
+# The first code point of these scripts: texts below it need no look at scripts.
+MAY_BE_UNSPACED = r"[\u0E00-\x{10FFFF}]"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 TEMPLATE, PLAIN, EXACT = 0, 1, 2
 # Units that may follow a number.
@@ -46,7 +48,7 @@ UNITS = (
 def _stripped(text: Column) -> Column:
     """Letters, digits, placeholders and spaces only; the words that are left keep their
     order, so the n-th token of a template is the n-th of the raw text."""
-    return F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D{NUMBER}{NAME}{UNIT}]+", "")
+    return F.regexp_replace(text, f"[^a-zA-Z0-9\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D{NUMBER}{NAME}{UNIT}]+", "")
 
 
 def _tokens(text: Column) -> Column:
@@ -60,8 +62,21 @@ def raw_tokens(text: Column) -> Column:
 def exact_tokens(text: Column) -> Column:
     """Words in lower case, nothing replaced; in scripts without spaces, characters."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED})", " $1 ")).otherwise(t)
-    return F.array_remove(F.split(t, "[^\\p{L}\\p{N}\\p{M}]+"), "")
+    spaced = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED})", " $1 ")).otherwise(t)
+    t = F.when(t.rlike(MAY_BE_UNSPACED), spaced).otherwise(t)
+    return F.array_remove(F.split(t, "[^a-z0-9\\p{L}\\p{N}\\p{M}]+"), "")
+
+
+def window_hashes(tokens: Column, n: int = WINDOW) -> Column:
+    """64-bit hashes of the ``n`` tokens from each place on: one pass, no arrays between."""
+    places = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
+
+
+def lone_words(text: Column) -> Column:
+    """Hashes of the lines that are one word."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), exact_tokens)
+    return F.array_distinct(F.transform(F.filter(lines, lambda t: F.size(t) == 1), lambda t: F.xxhash64(F.get(t, F.lit(0)))))
 
 
 def template_tokens(text: Column, names: bool = True) -> Column:
@@ -99,23 +114,25 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = cut_lineage(items.select("item_id", template_tokens(text).alias("template"), template_tokens(text, False).alias("plain"), raw_tokens(text).alias("raw"), exact_tokens(text).alias("exact")))
     variants = items.select("item_id", F.lit(TEMPLATE).alias("variant"), "template").unionByName(items.filter("plain <> template").select("item_id", F.lit(PLAIN).alias("variant"), F.col("plain").alias("template")))
     literal = F.transform("template", lambda t: F.when(t.rlike(PLACEHOLDER), 0).otherwise(1))
-    each = variants.withColumn("literal", literal).select("item_id", "variant", "literal", F.posexplode(let(F.col("template"), lambda t: grams(t, WINDOW))).alias("q", "window"))
+    each = variants.withColumn("literal", literal).select("item_id", "variant", "literal", F.posexplode(let(F.col("template"), lambda t: window_hashes(t))).alias("q", "window"))
     told = F.aggregate(F.slice("literal", F.col("q") + 1, WINDOW), F.lit(0), lambda a, b: a + b) >= MIN_LITERAL
     # whole items where they are shorter than a window
     n_words = F.size("exact")
     short = sorted(r["n"] for r in items.filter((n_words > 0) & (n_words < WINDOW)).select(n_words.alias("n")).distinct().collect())
     whole = F.lit(None).cast("array<bigint>")
     for n in short:
-        whole = F.when(n_words == n, grams(F.col("exact"), n)).otherwise(whole)
-    exact = items.select("item_id", F.lit(EXACT).alias("variant"), F.posexplode(F.when(n_words >= WINDOW, let(F.col("exact"), lambda t: grams(t, WINDOW))).otherwise(whole)).alias("q", "window"))
+        whole = F.when(n_words == n, window_hashes(F.col("exact"), n)).otherwise(whole)
+    exact = items.select("item_id", F.lit(EXACT).alias("variant"), F.posexplode(F.when(n_words >= WINDOW, let(F.col("exact"), lambda t: window_hashes(t))).otherwise(whole)).alias("q", "window"))
     wanted = cut_lineage(each.filter(told).select("item_id", "variant", "q", "window").unionByName(exact))
     sizes = cut_lineage(wanted.groupBy("item_id", "variant").agg(F.countDistinct("q").alias("n_item_windows")))
 
     keyed = _keyed(docs)
     doc, pair = ["k1", "k2"], ["k1", "k2", "item_id"]
-    each = keyed.select("doc_id", *doc, F.posexplode(let(template_tokens(text), lambda t: grams(t, WINDOW))).alias("p", "window"))
+    each = keyed.select("doc_id", *doc, F.posexplode(let(template_tokens(text), lambda t: window_hashes(t))).alias("p", "window"))
     hits = each.join(bounded(wanted.filter(F.col("variant") != EXACT)), "window").select("doc_id", *pair, "variant", "q", (F.col("p") - F.col("q")).alias("diagonal"))
-    stretches = let(exact_tokens(text), lambda t: F.concat(grams(t, WINDOW), *(F.array_distinct(grams(t, n)) for n in short)))
+    stretches = let(exact_tokens(text), lambda t: F.concat(window_hashes(t), *(F.array_distinct(window_hashes(t, n)) for n in short if n > 1)))
+    if 1 in short:
+        stretches = F.concat(stretches, lone_words(text))
     same = keyed.select("doc_id", *doc, F.explode(stretches).alias("window")).join(bounded(wanted.filter(F.col("variant") == EXACT)), "window")
     hits = hits.unionByName(same.select("doc_id", *pair, "variant", "q", F.lit(None).cast("int").alias("diagonal")))
     hits = cut_lineage(hits.distinct())

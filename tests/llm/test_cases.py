@@ -123,6 +123,74 @@ def test_verbatim_items_dense_in_slots_or_short(spark):
     assert [r.doc_id for r in decontaminate.without_leaks(d, b).collect()] == [9]
 
 
+def test_items_of_one_word_are_lines(spark):
+    b = spark.createDataFrame([(1, "Paris"), (2, "two words"), (3, "水")], "item_id long, text string")
+    docs = [(1, "The city of Paris is fine."), (2, "Capital?\n  paris!\nyes"), (3, "Here two, words stand"), (4, "Paris"), (5, "我喝水\n水"), (6, "我喝水"), (7, None), (4, "Paris")]
+    d = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in docs], "doc_id long, text string, window int, variant string, item_id string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(d, b).select("doc_id", "item_id").distinct().collect()) == [(2, 1), (3, 2), (4, 1), (5, 3)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(d, b).collect()) == [1, 6, 7] and decontaminate.without_leaks(d, b).columns == d.columns
+
+
+def test_leaks_in_very_long_and_repeated_texts(spark):
+    item = "how many red apples does a farmer pick in the old garden behind the mill"
+    long = "filler words without any meaning " * 100_000
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame([(None, long + item), (None, long + item), (5, long), (6, item.upper()), (6, item.upper())], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(d, b).collect()} == {(None, 1), (6, 1)}
+    assert [r.doc_id for r in decontaminate.without_leaks(d, b).collect()] == [5]
+
+
+def test_templates_against_brute_force(spark):
+    """Generated items, re-parameterised copies and mixtures, judged by the same rules in Python."""
+    r = random.Random(11)
+    names = ["Tom", "Ann", "Lisa", "Bob", "Mary", "Carl"]
+    made = []
+    for _ in range(12):
+        words = [word(r) for _ in range(24)]
+        for at in r.sample(range(2, 24), 5):
+            words[at] = "#" if r.random() < 0.5 else "@"
+        made.append(words)
+
+    def fill(words, rename, renumber):
+        out, n = [], 0
+        for w in words:
+            if w == "#":
+                n += 1
+                w = str(renumber(n))
+            elif w == "@":
+                w = rename
+            out.append(w)
+        return out
+
+    items = [fill(w, "Tom", lambda n: 10 + n) for w in made]
+    docs, want = [], set()
+    for i, w in enumerate(made):
+        filler = [word(r) for _ in range(30)]
+        docs.append((10 * i, filler[:10] + fill(w, r.choice(names), lambda n: 90 + 7 * n) + filler[10:]))
+        want.add((10 * i, i))
+        half = fill(w, "Ann", lambda n: n)
+        docs.append((10 * i + 1, half[:6] + filler[:15] + half[18:]))  # too little of it
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+
+    def template(tokens):
+        return [("\ue000" if t.isdigit() else "\ue001" if t in names and k else t).lower() for k, t in enumerate(tokens)]
+
+    def searched(tokens):
+        return {tuple(tokens[k : k + 5]) for k in range(len(tokens) - 4) if sum(t not in ("\ue000", "\ue001") for t in tokens[k : k + 5]) >= 3}
+
+    brute = set()
+    for i, t in docs:
+        theirs = template(t)
+        have = {tuple(theirs[k : k + 5]) for k in range(len(theirs) - 4)}
+        for j, item in enumerate(items):
+            need = searched(template(item))
+            if 2 * len(need & have) >= len(need):
+                brute.add((i, j))
+    assert brute == want
+    assert {(x.doc_id, x.item_id) for x in decontaminate.matches(d, b).collect()} == brute
+
+
 def test_numbers_that_coincide_by_chance(spark):
     told = "the basket of the old farmer has {} apples and another basket has {} pears while {} sits there and then {} eats some, how many fruits are left for {} now"
     one, two = told.format(5, 5, "Tom", "Tom", "Mary"), told.format(3, 4, "Tom", "Tom", "Mary")
