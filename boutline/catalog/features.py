@@ -274,22 +274,27 @@ def v13(spark, sf):
 _FORM = ("overall_winrate", "recent_winrate", "form_trend", "performance_volatility", "patch_experience", "current_streak")
 
 
+_CATS = ", ".join(f"('{n}', '{p}')" for n, p in features.CATEGORIES.items())
+
+
 @query(
     "v14_feature_categories",
     with_views(
-        ", k AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(feature, '{p}') THEN '{n}'" for n, p in features.CATEGORIES) + " END AS category FROM (SELECT UNNEST([" + ", ".join(f"'{c}'" for c in _FORM)
-        + "]) AS feature)) SELECT category, COUNT(*) AS features, COUNT(*) * (SELECT COUNT(*) FROM fx_matches) AS present FROM k GROUP BY category",
-        "fx_matches",
+        _ENH + ", lgv AS (SELECT feature, COUNT(value) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {'en' if c in ENH else 'vec'}" for c in [*CANONICAL_48, *ENH])
+        + f") GROUP BY feature), ct(category, pattern) AS (VALUES {_CATS}) SELECT category, COUNT(*) AS features, CAST(SUM(n) AS BIGINT) AS present FROM lgv JOIN ct ON regexp_matches(feature, pattern) GROUP BY category",
+        "fx_wide",
     ),
 )
 def v14(spark, sf):
-    """Features and present values per category."""
+    """Features and present values per category, of the 48 and the enhanced ones."""
     from boutline.evaluation.drift import features_long
 
-    long = features_long(form.entity_form(fx.matches(spark, sf)), list(_FORM), [])
-    n = long.groupBy("feature").agg(F.count("*").alias("n"))
-    c = features.feature_categories(n, _FORM)
-    return n.join(c, "feature").groupBy("category").agg(F.count("*").alias("features"), F.sum("n").alias("present"))
+    w = _landed(spark, sf)
+    names = list(dict.fromkeys([*CANONICAL_48, *ENH]))
+    d = FeatureModel.fit(w).enhanced(w, "rows")
+    n = features_long(d, names, []).groupBy("feature").agg(F.count("*").alias("n"))
+    c = features.feature_categories(n, names)
+    return n.join(F.broadcast(c), "feature").groupBy("category").agg(F.count("*").alias("features"), F.sum("n").alias("present"))
 
 
 @query(

@@ -17,7 +17,8 @@ NEUTRAL = "__neutral__"
 
 
 class DraftScorer:
-    """A fitted feature model and a fitted classifier over its 48 features."""
+    """A fitted feature model and a classifier over its 48 features: a fitted pipeline, or
+    plain coefficients by feature (with an ``intercept``), applied as one expression."""
 
     def __init__(self, features: FeatureModel, model):
         self.features, self.model = features, model
@@ -26,6 +27,8 @@ class DraftScorer:
         """(keep..., also..., p) for match-like rows; all rows are one batch. ``also``
         names features to return."""
         v = self.features.vector(rows, "snapshot", ["row_id", *keep])
+        if isinstance(self.model, dict):
+            return weighted_features(v, self.model).select("row_id", *keep, *also, "p")
         return predict(self.model, v.withColumn("result", F.lit(0)), ["row_id", *keep, *also]).drop("y_true")
 
     def score(self, drafts: DataFrame) -> DataFrame:
@@ -81,9 +84,9 @@ class DraftScorer:
         return D.resolve_suggestions(gains)
 
 
-def weighted_features(df: DataFrame, coef: dict[str, float], intercept: float = 0.0) -> DataFrame:
+def weighted_features(df: DataFrame, coef: dict[str, float]) -> DataFrame:
     """A linear score as a column expression, for models kept as plain numbers."""
-    z = reduce(lambda a, b: a + b, [F.col(c) * v for c, v in coef.items()], F.lit(intercept))
+    z = reduce(lambda a, b: a + b, [F.col(c) * v for c, v in coef.items() if c != "intercept"], F.lit(coef.get("intercept", 0.0)))
     return df.withColumn("p", 1 / (1 + F.exp(-z)))
 
 

@@ -475,21 +475,19 @@ def indicator_pairs(df: DataFrame, roles: Roles = MATCH) -> DataFrame:
     return df.select(roles.row, F.explode(F.array_distinct(F.array(*items))).alias("indicator"))
 
 
-# Name patterns of the feature categories, first match wins.
-CATEGORIES = (
-    ("target_encoding", r"_encoded$"), ("player", r"player|mastery"), ("lane_matchup", r"lane|archetype"),
-    ("meta", r"meta|popularity"), ("ban", r"ban"), ("interaction", r"interaction|synergy"),
-    ("history", r"winrate|form|experience|advantage|matchup"), ("composition", r"strength|scaling|flexibility|composition|champion"),
-    ("context", r".*"),
-)
+# Name patterns of the feature categories; a feature may be in several.
+CATEGORIES = {
+    "champion_characteristics": r"team_avg|team_scaling", "meta_features": r"(?i)meta", "team_performance": r"team_.*(?i:winrate)|(?i:winrate).*team_",
+    "side_features": r"(?i)side", "patch_features": r"(?i)patch", "interaction_features": r"(?i)interaction|synergy", "matchup_features": r"(?i)matchup|advantage|h2h",
+}
 
 
 def feature_categories(df: DataFrame, names: list[str] | tuple[str, ...]) -> DataFrame:
-    """(category, features) over the given column names: metadata only."""
-    spark = df.sparkSession
-    t = spark.createDataFrame([(n,) for n in names], "feature string")
-    cat = reduce(lambda acc, kv: F.when(F.col("feature").rlike(kv[1]), kv[0]).otherwise(acc), reversed(CATEGORIES[:-1]), F.lit(CATEGORIES[-1][0]))
-    return t.select("feature", cat.alias("category"))
+    """(feature, category) over the given column names, a row for each category that a
+    name belongs to: metadata only."""
+    found = F.array(*[F.when(F.col("feature").rlike(p), F.lit(n)) for n, p in CATEGORIES.items()])
+    t = df.sparkSession.createDataFrame([(n,) for n in names], "feature string")
+    return t.select("feature", F.explode(F.array_compact(found)).alias("category"))
 
 
 def balanced_subset(df: DataFrame, patterns: list[str], keep: list[str]) -> DataFrame:
