@@ -7,6 +7,8 @@ from boutline.catalog.base import query, r6
 from boutline.evaluation import bootstrap as B
 from boutline.evaluation import metrics as M
 from boutline.fixtures import with_views
+from boutline.ml import training
+from boutline.operators.encoding import fold_of
 from boutline.roles import ROLE_PREFIX  # noqa: F401
 
 
@@ -307,3 +309,51 @@ def p5(spark, sf):
 @query("p7_prediction_correlation", with_views("SELECT 'a' AS first, 'b' AS second, ROUND(CORR(p_a, p_b), 6) AS corr FROM fx_preds", "fx_preds"))
 def p7(spark, sf):
     return M.prediction_correlation(preds(spark, sf), "event_id").select("first", "second", r6("corr"))
+
+
+_VOTES = """, vf AS (SELECT model, p, y_true, CAST(CAST('0x' || substr(md5('te-' || CAST(event_id AS VARCHAR)), 1, 6) AS BIGINT) % 5 AS INT) AS fold FROM fx_long),
+vs AS (SELECT model, fold, p, CAST(SUM(y_true) AS DOUBLE) AS pos, CAST(SUM(1 - y_true) AS DOUBLE) AS neg FROM (SELECT model, fold, p, y_true FROM vf UNION ALL SELECT model, -1, p, y_true FROM vf) GROUP BY 1, 2, 3),
+vb AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY model, fold ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS below FROM vs),
+va AS (SELECT model, fold, SUM(pos * (below + neg / 2e0)) / (SUM(pos) * SUM(neg)) AS auc FROM vb GROUP BY 1, 2),
+v1 AS (SELECT model, 2e0 * SUM(CASE WHEN p >= 5e-1 THEN y_true ELSE 0 END) / (SUM(CASE WHEN p >= 5e-1 THEN 1 ELSE 0 END) + SUM(y_true)) AS f1 FROM fx_long GROUP BY model),
+vw AS (SELECT model, f1, (SELECT auc FROM va x WHERE x.model = v1.model AND fold = -1) AS auc, cv_mean, cv_std FROM v1 JOIN (SELECT model, AVG(auc) AS cv_mean, STDDEV_POP(auc) AS cv_std FROM va WHERE fold >= 0 GROUP BY model) USING (model)),
+wt AS (SELECT 'f1' AS kind, model, f1 / (1e0 + cv_std) AS weight FROM vw UNION ALL SELECT 'balanced', model, 5e-1 * auc + 3e-1 * cv_mean + 2e-1 * (1e0 - cv_std) FROM vw UNION ALL SELECT 'performance', model, 4e-1 * auc + 4e-1 * f1 + 2e-1 * cv_mean FROM vw)
+"""
+
+
+def _weights(spark, sf):
+    p = fx.predictions_long(spark, sf)
+    scores = M.vote_scores(p, fold_of("event_id", 5))
+    return p, [(kind, training.vote_weights(scores, kind)) for kind in ("f1", "balanced", "performance")]
+
+
+@query("p5_vote_weights", with_views(_VOTES + "SELECT kind, model, ROUND(weight, 6) AS weight FROM wt", "fx_long"))
+def p5w(spark, sf):
+    """Three ways to weigh the models, from whole and out-of-fold results."""
+    parts = [w.select(F.lit(kind).alias("kind"), "model", r6("weight")) for kind, w in _weights(spark, sf)[1]]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("p5_weighted_votes", with_views(_VOTES + ", sv AS (SELECT kind, event_id, MAX(y_true) AS y, SUM(p * weight) / SUM(weight) AS p FROM fx_long JOIN wt USING (model) GROUP BY 1, 2) SELECT kind, COUNT(*) AS rows, ROUND(AVG((p - y) * (p - y)), 6) AS brier, ROUND(AVG(CASE WHEN CAST(p >= 5e-1 AS INT) = y THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM sv GROUP BY kind", "fx_long"))
+def p5v(spark, sf):
+    """What each way of weighing gives."""
+    p, kinds = _weights(spark, sf)
+    truth = p.groupBy("event_id").agg(F.max("y_true").alias("y_true"))
+    parts = [M.soft_vote(p, w, "event_id").withColumn("kind", F.lit(kind)) for kind, w in kinds]
+    d = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(truth, "event_id")
+    hit = ((F.col("p") >= 0.5).cast("int") == F.col("y_true")).cast("double")
+    return d.groupBy("kind").agg(F.count("*").alias("rows"), F.round(F.avg((F.col("p") - F.col("y_true")) * (F.col("p") - F.col("y_true"))), 6).alias("brier"), F.round(F.avg(hit), 6).alias("accuracy"))
+
+
+@query(
+    "p5_weight_search",
+    with_views(
+        """, g AS (SELECT i / 1e1 AS w, CAST(i AS VARCHAR) || '-' || CAST(10 - i AS VARCHAR) AS weights FROM (SELECT UNNEST(range(0, 11)) AS i)), m AS (SELECT weights, y_true AS y, p_a * w + p_b * (1e0 - w) AS p FROM fx_preds, g)
+SELECT weights, ROUND(AVG((p - y) * (p - y)), 6) AS brier, ROUND(AVG(-CASE WHEN y = 1 THEN LN(p) ELSE LN(1e0 - p) END), 6) AS log_loss FROM m GROUP BY weights""",
+        "fx_preds",
+    ),
+)
+def p5s(spark, sf):
+    """Every mix of the two models in tenths, in one aggregate of the rows."""
+    d = M.search_weights(fx.predictions_long(spark, sf), "event_id", ["a", "b"])
+    return d.select("weights", r6("brier"), r6("log_loss"))

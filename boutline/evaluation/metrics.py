@@ -355,6 +355,35 @@ def soft_vote(long: DataFrame, weights: DataFrame, row: str, model: str = "model
     return j.groupBy(row).agg((F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("p"))
 
 
+def vote_scores(long: DataFrame, fold: Column, model: str = "model") -> DataFrame:
+    """(model, f1, auc, cv_mean, cv_std): metrics over all rows, and mean and deviation of
+    AUC over folds; what weights of a vote are made from."""
+    whole = report(long, [model]).select(model, "f1", "auc")
+    by_fold = auc(long.withColumn("__fold", fold), [model, "__fold"]).groupBy(model).agg(F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_std"))
+    return whole.join(by_fold, model)
+
+
+def search_weights(long: DataFrame, row: str, models: list[str], steps: int = 10, model: str = "model") -> DataFrame:
+    """(weights, accuracy, brier, log_loss) of every mix of the models whose weights are
+    multiples of 1 / steps and sum to 1. Rows are read once: a row's mixes are made in
+    place and summed map-side; the grid has as many points as compositions of ``steps``
+    in ``models``, so few models are meant."""
+    def compositions(left: int, n: int):
+        if n == 1:
+            return [(left,)]
+        return [(i, *rest) for i in range(left + 1) for rest in compositions(left - i, n - 1)]
+
+    wide = long.groupBy(row, "y_true").agg(*[F.max(F.when(F.col(model) == m, F.col("p"))).alias(f"__{i}") for i, m in enumerate(models)])
+    y, sums = F.col("y_true"), []
+    grid = compositions(steps, len(models))
+    for g in grid:
+        p = reduce(lambda a, b: a + b, [F.col(f"__{i}") * (w / steps) for i, w in enumerate(g)])
+        sums.append(F.struct(F.avg(((p >= 0.5).cast("int") == y).cast("double")).alias("accuracy"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(log_loss_of(y, p)).alias("log_loss")))
+    names = ["-".join(map(str, g)) for g in grid]
+    each = wide.agg(*[s.alias(n) for n, s in zip(names, sums)])
+    return each.select(F.explode(F.array(*[F.struct(F.lit(n).alias("weights"), F.col(f"`{n}`").alias("m")) for n in names])).alias("x")).select("x.weights", "x.m.*")
+
+
 def prediction_correlation(long: DataFrame, row: str, model: str = "model") -> DataFrame:
     """Pearson correlation of every pair of models over common rows: the rows of one
     id form one small array (one entry per model), no self-join."""
