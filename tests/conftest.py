@@ -1,4 +1,5 @@
 import sys
+import threading
 from pathlib import Path
 
 import pytest
@@ -21,3 +22,21 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shared_vectors():
+    """The model queries' feature table, made once a session and table folder."""
+    from boutline.catalog import fits
+
+    made, own, lock = {}, fits.vectors, threading.Lock()
+
+    def vectors(spark, sf):
+        with lock:
+            if sf not in made:
+                made[sf] = own(spark, sf)
+            return made[sf]
+
+    fits.vectors = vectors
+    yield
+    fits.vectors = own
