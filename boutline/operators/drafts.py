@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from boutline.functions.scalar import patch_part
 from boutline.operators import lookups
+from boutline.plans.bounded import bounded
 from boutline.roles import MATCH, NO_BAN, ROLE_PREFIX, ROLES, UNKNOWN, Roles
 
 # Penalties of edge cases, their sum's cap, row counts that suffice.
@@ -73,13 +74,19 @@ def validate(drafts: DataFrame, champions: DataFrame, teams: DataFrame) -> DataF
     return d.select("draft_id", F.explode(F.concat(*errs)).alias("error"))
 
 
+# Pieces of a name that may be spared, and names from which on a piece counts as common.
+MORE_PIECES = 4
+COMMON_PIECE = 50
+
+
 def resolve_names(queries: DataFrame, known: DataFrame, aliases: DataFrame | None = None, distance: int = 2, top: int = 3) -> DataFrame:
     """(query, resolved, how, suggestion, edit_distance, place).
 
     An alias, then equality without case, then up to ``top`` names within the edit
-    distance. Candidates share a piece: a known name is cut into distance + 1
-    pieces, one of which every name within the distance contains near its place.
-    That is exact, and no name meets all others.
+    distance. Candidates share a piece: a known name is cut into distance + m pieces, of
+    which every name within the distance contains m near their places. So it is enough
+    to index all but m - 1 of them, and those left out are the commonest: what half of
+    the names begin with joins nothing. That is exact, and no name meets all others.
     """
     q = queries.select("query").distinct()
     names = known.select("name").distinct().withColumn("low", F.lower("name"))
@@ -95,13 +102,19 @@ def resolve_names(queries: DataFrame, known: DataFrame, aliases: DataFrame | Non
         F.lit("").alias("suggestion"), F.lit(0).alias("edit_distance"), F.lit(0).alias("place"),
     )
     k = distance
-    piece_len = lambda n, i: F.floor(n / (k + 1)) + (i >= (k + 1) - n % (k + 1)).cast("int")
-    piece_at = lambda n, i: i * F.floor(n / (k + 1)) + F.greatest(F.lit(0), i - ((k + 1) - n % (k + 1)))
-    pieces = F.sequence(F.lit(0), F.lit(k))
-    kn = names.select("name", "low", F.length("low").alias("n"), F.explode(pieces).alias("i"))
+    # pieces of a name of n letters: one more than needed for each 3 letters it can spare
+    many = lambda n: F.lit(k) + F.greatest(F.lit(1), F.least(F.lit(MORE_PIECES), F.floor(n / 3).cast("int") - k))
+    piece_len = lambda n, i: F.floor(n / many(n)) + (i >= many(n) - n % many(n)).cast("int")
+    piece_at = lambda n, i: i * F.floor(n / many(n)) + F.greatest(F.lit(0), i - (many(n) - n % many(n)))
+    pieces = lambda n: F.sequence(F.lit(0), many(n) - 1)
+    kn = names.withColumn("n", F.length("low")).select("name", "low", "n", F.explode(pieces(F.col("n"))).alias("i"))
     kn = kn.select("name", "low", "n", "i", F.substring(F.col("low"), (piece_at(F.col("n"), F.col("i")) + 1).cast("int"), piece_len(F.col("n"), F.col("i")).cast("int")).alias("piece"))
+    common = kn.groupBy("n", "i", "piece").agg(F.count("*").alias("__often")).filter(F.col("__often") >= COMMON_PIECE)
+    rare = Window.partitionBy("name").orderBy(F.coalesce("__often", F.lit(0)), "i")
+    kn = kn.join(bounded(common), ["n", "i", "piece"], "left").withColumn("__r", F.row_number().over(rare)).filter(F.col("__r") <= k + 1).drop("__r", "__often")
     open_q = q.filter("__alias IS NULL AND __same IS NULL").select("query", "low_q", F.length("low_q").alias("m"))
-    qs = open_q.select("*", F.explode(F.sequence(F.greatest(F.col("m") - k, F.lit(1)), F.col("m") + k)).alias("n")).select("*", F.explode(pieces).alias("i"))
+    qs = open_q.select("*", F.explode(F.sequence(F.greatest(F.col("m") - k, F.lit(1)), F.col("m") + k)).alias("n"))
+    qs = qs.select("*", F.explode(pieces(F.col("n"))).alias("i"))
     at, ln = piece_at(F.col("n"), F.col("i")), piece_len(F.col("n"), F.col("i"))
     qs = qs.withColumns({"__f": F.greatest(at - k, F.lit(0)).cast("int"), "__l": F.least(at + k, F.col("m") - ln).cast("int"), "__n": ln.cast("int")}).filter("__f <= __l")
     qs = qs.select("query", "low_q", "n", "i", "__n", F.explode(F.sequence("__f", "__l")).alias("s"))

@@ -171,7 +171,10 @@ def test_adaptive_sequence_by_brute_force(spark):
     assert want and got == want
 
 
-def test_name_resolution_by_brute_force(spark):
+@pytest.mark.parametrize("common", [None, "team of "])
+def test_name_resolution_by_brute_force(spark, common, monkeypatch):
+    """Short names, and long ones that begin alike, whose common pieces are not indexed."""
+    from boutline.operators import drafts
     from boutline.operators.drafts import resolve_names
 
     import itertools
@@ -180,6 +183,14 @@ def test_name_resolution_by_brute_force(spark):
     rnd = random.Random(2)
     known = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 8))) for _ in range(60)})
     asked = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 9))) for _ in range(60)} - set(known))
+    if common:
+        monkeypatch.setattr(drafts, "COMMON_PIECE", 5)
+        known = [common + n + rnd.choice(["", " united", " city"]) for n in known]
+        changed = []
+        for n in known:
+            i = rnd.randrange(len(n))
+            changed.append(n[:i] + rnd.choice(["", "x", "ab"]) + n[i + rnd.randrange(2) :])
+        asked = sorted({*changed, "team oaf " + known[0][8:], "tem of " + known[1][8:]} - set(known))
 
     def dist(a, b):
         row = list(range(len(b) + 1))
