@@ -216,6 +216,20 @@ n{k + 1} AS (SELECT model, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) A
     return out + f", nw AS (SELECT * FROM n{steps})"
 
 
+@query(
+    "p15_retrain_rows",
+    with_views(
+        """, w AS (SELECT result, ROW_NUMBER() OVER (ORDER BY match_date, row_id) - 1 AS k, COUNT(*) OVER () AS n FROM fx_matches WHERE match_date >= (SELECT MAX(match_date) FROM fx_matches) - 360)
+SELECT CASE WHEN k < FLOOR(n * 7e-1) THEN 'train' WHEN k < FLOOR(n * 85e-2) THEN 'val' ELSE 'test' END AS split, COUNT(*) AS rows, CAST(SUM(result) AS BIGINT) AS wins FROM w GROUP BY 1""",
+        "fx_matches",
+    ),
+)
+def p15r(spark, sf):
+    """Which rows the retraining job learns from and is judged on."""
+    report = lifecycle.retrain(cut_lineage(fx.wide(spark, sf)), min_rows=100)[2]
+    return report.select("split", F.col("rows").cast("long").alias("rows"), (F.col("tp") + F.col("fn")).cast("long").alias("wins"))
+
+
 @query("m6_calibration_slope", with_views(_newton_sql("true") + " SELECT model, ROUND(b, 4) AS slope, ROUND(a, 4) AS intercept FROM nw", "fx_long"))
 def m6(spark, sf):
     p = preds(spark, sf)
