@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import json
 import os
 import re
 from array import array
@@ -46,6 +47,9 @@ BLOCK_BYTES = 1 << 22
 RUN_CHARS = 1 << 16
 #: Documents whose links are multiplied out at once, by stretches.
 SLICE = 1 << 18
+# The byte-level pre-tokenizer that SPLIT stands for, and its pattern.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile("(?<=[!-~])(?= )")
 
 
@@ -119,6 +123,7 @@ class Pair:
 
         self.a = Tokenizer.from_file(byte_file)
         self.a.encode_special_tokens = True
+        self.fast = None
         self.b = SentencePieceProcessor(model_file=piece_file)
         # byte-level alphabet: printable Latin-1 stands for itself, the rest for 256 and up
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -126,6 +131,17 @@ class Pair:
         byte_of = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
         names = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.a_bytes = [bytes(byte_of.get(c, 0) for c in names.get(i, "")) for i in range(max(names) + 1)]
+        model = json.loads(self.a.to_str())
+        order = [names_of[0] + names_of[1] for names_of in model["model"]["merges"]]
+        special = {t["id"] for t in model["added_tokens"]}
+        vocabulary = {t: i for t, i in model["model"]["vocab"].items() if i not in special}
+        in_order = len(vocabulary) == 256 + len(order) and all(vocabulary.get(t) == 256 + i for i, t in enumerate(order))
+        if in_order and model["pre_tokenizer"] == BYTE_LEVEL:
+            import tiktoken
+
+            # ids in the order of merges are ranks: the same encoding by a faster engine
+            ranks = {self.a_bytes[i]: i for i in vocabulary.values()}
+            self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = [np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes)]
@@ -151,7 +167,7 @@ class Pair:
                 size += len(parts[to])
                 to += 1
             run = parts[at:to]
-            first = [e.ids for e in self.a.encode_batch_fast(run, add_special_tokens=False)]
+            first = list(map(self.fast.encode_ordinary, run)) if self.fast else [e.ids for e in self.a.encode_batch_fast(run, add_special_tokens=False)]
             second = self.b.encode([p[1:] for p in run], num_threads=1)
             if " " in run:
                 second = [ids if len(p) > 1 else [self.space] for p, ids in zip(run, second)]

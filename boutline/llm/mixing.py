@@ -3,10 +3,12 @@
 Van der Corput points, mapped through the cumulated targets, name the source of each
 slot of the mix; slots are ranked within their source; and the r-th slot of a source
 takes the r-th block of equally many words of that source's documents in shuffled
-order, which begins anew when it is used up.
+order, which begins anew when it is used up. The mix is read in the order of slots: every
+document tells which slots hold words of it, so after any number of slots each source
+has had its share to within a few slots.
 
 Orders and ranks are two-level: rows are ranked inside parts of bounded share (4096
-ranges of a hash, 65,536 slots) and the totals of parts are cumulated, so a source with
+ranges of a hash, 4,096 slots) and the totals of parts are cumulated, so a source with
 a third of all rows is spread over as many tasks as its parts.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a
@@ -25,7 +27,7 @@ from boutline.llm.common import WORD
 from boutline.session import cut_lineage
 
 BUCKETS = 4096
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 GRID = 1 << 12
 
 
@@ -81,14 +83,16 @@ def schedule(spark: SparkSession, shares: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, size: Column | None = None, block_words: int = 1024, max_epochs: int = 3) -> DataFrame:
-    """``docs`` (doc_id, source, any others) with size, source_size, target and taken.
+    """``docs`` (doc_id, source, any others) with size, source_size, target, taken,
+    first_slot and slots.
 
     taken is the number of words of the document in the mix, repeats counted: what its
-    places in the shuffled order share with the blocks that slots have taken. Columns of
-    ``docs`` with these four names are replaced.
+    places in the shuffled order share with the blocks that slots have taken. slots lists
+    (slot, words) in order, first_slot the first of them (null without words); see
+    :func:`in_order`. Columns of ``docs`` with these six names are replaced.
     """
     spark = docs.sparkSession
-    carried = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    carried = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "first_slot", "slots")]
     rest = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)]
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     hashed = F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else []))
@@ -96,6 +100,9 @@ def mix(docs: DataFrame, size: Column | None = None, block_words: int = 1024, ma
     rows = docs.select(*rest, F.col("source").cast("string").alias("_source"), key.alias("_key"), size.alias("_size"), hashed.alias("_hash"), F.col("doc_id").alias("_id"))
     rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - BUCKETS.bit_length() + 1))
 
+    if "text" not in docs.columns:
+        rows = cut_lineage(rows)  # narrow, and read three times: sizes are counted once
+
     parts = cut_lineage(rows.groupBy("_key", "_source", "_bucket").agg(F.sum("_size").alias("_n")))
     total = parts.groupBy("_key", "_source").agg(F.sum("_n").alias("_source_size"))
     shares = targets(total, max_epochs).withColumn("_words", F.round("_target").cast("long")).withColumn("_slots", F.ceil(F.col("_words") / block_words).cast("long"))
@@ -114,8 +121,17 @@ def mix(docs: DataFrame, size: Column | None = None, block_words: int = 1024, ma
     first, last = F.floor(F.col("_from") / block_words), F.floor((F.col("_upto") - 1) / block_words)
     pieces = at.withColumn("_block", F.explode(F.sequence(first, last)))
     pieces = pieces.select("_key", "_start", "_block", (F.least("_upto", (F.col("_block") + 1) * block_words) - F.greatest("_from", F.col("_block") * block_words)).alias("_part"))
-    taken = pieces.join(schedule(spark, shares, slots), ["_key", "_block"]).groupBy("_key", "_start").agg(F.sum("_part").alias("_taken"))
+    taken = pieces.join(schedule(spark, shares, slots), ["_key", "_block"])
+    held = F.array_sort(F.collect_list(F.struct(F.col("_slot").alias("slot"), F.col("_part").alias("words"))))  # as many as its words ask for
+    taken = taken.groupBy("_key", "_start").agg(F.sum("_part").alias("_taken"), held.alias("_held"))
 
     out = placed.withColumn("_place", F.when(F.col("_size") > 0, F.col("_start"))).join(taken.withColumnRenamed("_start", "_place"), ["_key", "_place"], "left")
     back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)]
-    return out.select(*back, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("_taken", F.lit(0).cast("long")).alias("taken"))
+    return out.select(*back, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("_taken", F.lit(0).cast("long")).alias("taken"), F.get("_held", F.lit(0))["slot"].alias("first_slot"), F.col("_held").alias("slots"))
+
+
+def in_order(mixed: DataFrame, *keep: str) -> DataFrame:
+    """(slot, words, keep...): the mix as it is to be read, a row for each piece of a
+    document, repeats as often as they are taken, ranges of slots after one another."""
+    pieces = mixed.select(*keep, F.explode("slots").alias("_s")).select("_s.slot", "_s.words", *keep)
+    return pieces.repartitionByRange("slot").sortWithinPartitions("slot")

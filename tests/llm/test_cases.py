@@ -98,6 +98,33 @@ def test_mix_repeats_up_to_three_times(spark):
     assert got[0] == 30 and sum(got.values()) == 100 and max(got.values()) <= 30
 
 
+def test_mix_follows_its_schedule(spark, monkeypatch):
+    """After any k slots each source has had its share to within a few slots, and another
+    order of slots gives another mix."""
+    d = spark.createDataFrame([(i, "w " * (5 + i % 40), "abc"[min(2, i % 7 // 2)]) for i in range(900)], "doc_id long, text string, source string")
+    mixed = mixing.mix(d, block_words=16)
+    rows = [(r.slot, r.source, r.words, r.doc_id) for r in mixing.in_order(mixed, "source", "doc_id").collect()]
+    assert [r[0] for r in rows] == sorted(r[0] for r in rows)
+    assert {r.doc_id: r.taken for r in mixed.collect() if r.taken} == {i: sum(w for _, _, w, j in rows if j == i) for i in {r[3] for r in rows}}
+    owner = {slot: source for slot, source, _, _ in rows}
+    goal = {r.source: r.target for r in mixed.select("source", "target").distinct().collect()}
+    total, seen = sum(goal.values()), dict.fromkeys(goal, 0)
+    worst = 0.0
+    for k, slot in enumerate(sorted(owner), 1):
+        seen[owner[slot]] += 1
+        worst = max(worst, max(abs(seen[s] - k * goal[s] / total) for s in goal))
+    assert worst < 8
+    assert all(r.first_slot == r.slots[0].slot for r in mixed.collect() if r.slots) and mixed.filter("slots is null and taken > 0").count() == 0
+
+    def plain(spark, shares, slots):
+        up = shares.select("_key", "_slots").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1)))
+        return up.select((F.xxhash64("_key") % 7 * 100_000 + F.col("_block")).alias("_slot"), "_key", "_block")
+
+    before = {(r.doc_id, r.first_slot) for r in mixed.collect()}
+    monkeypatch.setattr(mixing, "schedule", plain)
+    assert {(r.doc_id, r.first_slot) for r in mixing.mix(d, block_words=16).collect()} != before
+
+
 def test_templates(spark):
     b = spark.createDataFrame([(1, "If Tom has 12 apples and then Tom gives Mary 5 apples over 3 days, how many apples does Tom have left"), (2, None), (3, "short one"), (4, "")], "item_id long, text string")
     docs = [
