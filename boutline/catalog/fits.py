@@ -151,9 +151,10 @@ def _sized(spark, sf):
 
 
 def _curve(d, fitted, names, point):
-    """Mean and deviation over folds of the AUC on learnt and on held rows."""
+    """Mean and deviation over folds of the AUC on learnt and on held rows. A fit is named
+    by its point and, after the last dash, its fold; the point may hold a dash (1e-06)."""
     m = newton.held_metrics(d, fitted, names)
-    return m.groupBy(F.substring_index("fit", "-", 1).cast("double").alias(point), "part").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.avg("log_loss").alias("log_loss"), F.count("*").alias("folds"))
+    return m.groupBy(F.regexp_replace("fit", "-[^-]*$", "").cast("double").alias(point), "part").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.avg("log_loss").alias("log_loss"), F.count("*").alias("folds"))
 
 
 @query("p12_learning_curve")

@@ -296,3 +296,12 @@ def test_load_in_parts_equals_full_load(spark, sf, tmp_path):
     added = csv_matches.incremental_load(spark, every, f"{tmp_path}/two", leagues, min_games=11)
     got = [sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{x}/data").select("gameid", "side", "team").collect())) for x in ("one", "two")]
     assert added > 0 and got[0] == got[1]
+
+
+def test_validation_curve_has_every_point(spark, sf):
+    """C goes down to 1e-06, whose name holds a dash."""
+    from boutline.catalog import QUERIES
+
+    rows = QUERIES["p12_validation_curve"](spark, sf).collect()
+    assert sorted({r["c"] for r in rows}) == [10.0**e for e in range(-6, 4)]
+    assert len(rows) == 20 and all(r["folds"] == 5 and 0 <= r["mean_auc"] <= 1 for r in rows)
