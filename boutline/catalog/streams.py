@@ -91,10 +91,10 @@ def t3(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_totalprice") > 250000).cast("int").alias("y"))
     days = F.datediff("o_orderdate", F.lit("1992-01-01")) + F.pmod(F.xxhash64("o_orderkey"), F.lit(60))
     part = F.least(F.greatest(F.floor(days / 600), F.lit(0)), F.lit(4)).cast("int")
-    for i in range(5):  # a file a part, written one after the other: the source takes the oldest first
-        o.filter(part == i).repartition(1, F.xxhash64("o_orderkey")).write.mode("append").parquet(f"{room}/in/part={i}")
-    s = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{room}/in")
-    jobs.run_available(jobs.form_stream(s, "o_custkey", "o_orderdate", "y", "o_orderkey", "61 days 12 hours"), f"{room}/out", f"{room}/chk")
+    for i in range(5):  # a part is one micro-batch, whatever its files: each run takes what has come since the last
+        o.filter(part == i).repartition(F.xxhash64("o_orderkey")).write.mode("append").parquet(f"{room}/in/part={i}")
+        s = spark.readStream.schema(o.schema).option("recursiveFileLookup", "true").parquet(f"{room}/in")
+        jobs.run_available(jobs.form_stream(s, "o_custkey", "o_orderdate", "y", "o_orderkey", "61 days 12 hours"), f"{room}/out", f"{room}/chk")
     return spark.read.parquet(f"{room}/out").select("o_orderkey", "o_custkey", "games_played", r6("overall_winrate"), r6("recent_winrate"), "current_streak")
 
 

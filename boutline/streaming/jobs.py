@@ -144,20 +144,23 @@ def open_sessions(rows: DataFrame, closed: DataFrame, keys: list[str], time: str
 
 
 class FormState(StatefulProcessor):
-    """Per entity: games, wins, ranks of the last win and loss, last ten outcomes, and the
-    rows that wait for the watermark. A row is given out when nothing before it can come
-    any more, in the order of time and id, whatever order rows arrived in."""
+    """For the entities of a slot: games, wins, ranks of the last win and loss, last ten
+    outcomes, and the rows that wait for the watermark. A row is given out when nothing
+    before it can come any more, in the order of time and id, whatever order rows arrived
+    in. A call serves a slot of entities, since calls, timers and state requests each cost
+    about a millisecond whatever they carry."""
 
     def __init__(self, key: str, outcome: str, row: str, row_type: str):
         self.key, self.outcome, self.row, self.row_type = key, outcome, row, row_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("form", "games long, wins long, last_win long, last_loss long, ring string")
-        self.pending = handle.getListState("pending", f"t long, id {self.row_type}, y int")
+        longs = ", ".join(f"{c} array<long>" for c in ("games", "wins", "last_win", "last_loss"))
+        self.state = handle.getValueState("form", f"entity array<string>, {longs}, ring array<string>")
+        self.pending = handle.getListState("pending", f"t array<long>, id array<{self.row_type}>, y array<int>, entity array<string>")
 
     def _wake(self, earliest: int, expired: int | None = None) -> None:
-        """One timer a key, at its earliest waiting row; an expired one is still listed."""
+        """One timer a slot, at its earliest waiting row; an expired one is still listed."""
         at = earliest // 1000
         timers = [t for t in self.handle.listTimers() if t != expired]
         if not timers or at < min(timers):
@@ -166,53 +169,70 @@ class FormState(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [x for f in rows if len(f) for x in zip(f["at_micros"].tolist(), f[self.row].tolist(), f[self.outcome].tolist())]
-        if new:
-            self.pending.appendList(new)
-            self._wake(min(new)[0])
-        yield self._result(key, [])
+        earliest = None
+        for f in rows:
+            if len(f):
+                t = f["at_micros"].tolist()
+                self.pending.appendValue((t, f[self.row].tolist(), f[self.outcome].astype(int).tolist(), f["entity"].tolist()))
+                earliest = min(t) if earliest is None else min(earliest, min(t))
+        if earliest is not None:
+            self._wake(earliest)
+        yield self._result([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(x) for x in self.pending.get())
-        ready = [x for x in waiting if x[0] < passed]
-        left = waiting[len(ready) :]
-        games, wins, lw, ll, ring = self.state.get() if self.state.exists() else (0, 0, -1, -1, "")
+        ready, left = [], []
+        for chunk in self.pending.get():
+            for x in zip(*chunk):
+                (ready if x[0] < passed else left).append(x)
+        ready.sort(key=lambda x: x[:3])
+        forms = {x[0]: x[1:] for x in zip(*self.state.get())} if self.state.exists() else {}
         out = []
-        for _, row, y in ready:
+        for _, row, y, entity in ready:
+            games, wins, lw, ll, ring = forms.get(entity, (0, 0, -1, -1, ""))
             recent = ring.count("1") / len(ring) if ring else 0.5
-            out.append((row, key[0], games, wins / games if games else 0.5, recent, lw - ll if games else 0))
+            out.append((row, entity, games, wins / games if games else 0.5, recent, lw - ll if games else 0))
             if y:
                 wins, lw = wins + 1, games
             else:
                 ll = games
-            games, ring = games + 1, (ring + ("1" if y else "0"))[-10:]
-        self.state.update((int(games), int(wins), int(lw), int(ll), ring))
+            forms[entity] = (games + 1, wins, lw, ll, (ring + ("1" if y else "0"))[-10:])
+        if ready:
+            self.state.update(tuple([list(forms), *map(list, zip(*forms.values()))]))
         if left:
-            self.pending.put(left)
-            self._wake(left[0][0], expiredTimerInfo.getExpiryTimeInMs())
+            self.pending.put([tuple(map(list, zip(*left[at : at + WAITING_CHUNK]))) for at in range(0, len(left), WAITING_CHUNK)])
+            self._wake(min(x[0] for x in left), expiredTimerInfo.getExpiryTimeInMs())
         else:
             self.pending.clear()
-        yield self._result(key, out)
+        yield self._result(out)
 
-    def _result(self, key, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[self.row, self.key, "games_played", "overall_winrate", "recent_winrate", "current_streak"])
+    def _result(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.row, "entity", "games_played", "overall_winrate", "recent_winrate", "current_streak"])
 
     def close(self) -> None:
         pass
 
 
-def form_stream(stream: DataFrame, key: str = "team", time: str = "match_date", outcome: str = "result", row: str = "row_id", delay: str = "1 hour") -> DataFrame:
+# Slots that the entities of a form stream are dealt to, and waiting rows of one state value.
+FORM_SLOTS = 1024
+WAITING_CHUNK = 10_000
+
+
+def form_stream(stream: DataFrame, key: str = "team", time: str = "match_date", outcome: str = "result", row: str = "row_id", delay: str = "1 hour", slots: int = FORM_SLOTS) -> DataFrame:
     """Each row with its entity's form before it, once the watermark has passed the row.
     Rows may come in any order within ``delay``; later ones are dropped and counted
-    (:func:`late_rows`). State is a key's form and its rows within the delay."""
+    (:func:`late_rows`). State is an entity's form and its rows within the delay, kept by
+    ``slots`` of entities: a task holds one slot at a time, and a batch reads and writes the
+    slots that it touches. A stream keeps its number of slots for as long as its checkpoint."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     t = dict(stream.dtypes)
-    schema = f"{row} {t[row]}, {key} {t[key]}, games_played long, overall_winrate double, recent_winrate double, current_streak long"
+    schema = f"{row} {t[row]}, entity string, games_played long, overall_winrate double, recent_winrate double, current_streak long"
     timed = with_event_time(stream.select(key, row, F.col(outcome).cast("int").alias(outcome), time), time, delay)
-    return timed.withColumn("at_micros", F.unix_micros(time)).groupBy(key).transformWithStateInPandas(
-        FormState(key, outcome, row, t[row]), StructType.fromDDL(schema), "Append", "EventTime"
+    slotted = timed.select(
+        F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot"), F.col(key).cast("string").alias("entity"), row, outcome, time, F.unix_micros(time).alias("at_micros")
     )
+    found = slotted.groupBy("slot").transformWithStateInPandas(FormState(key, outcome, row, t[row]), StructType.fromDDL(schema), "Append", "EventTime")
+    return found.select(row, F.col("entity").cast(t[key]).alias(key), "games_played", "overall_winrate", "recent_winrate", "current_streak")
 
 
 # -- T-4 drift monitor ----------------------------------------------------------

@@ -305,3 +305,23 @@ def test_validation_curve_has_every_point(spark, sf):
     rows = QUERIES["p12_validation_curve"](spark, sf).collect()
     assert sorted({r["c"] for r in rows}) == [10.0**e for e in range(-6, 4)]
     assert len(rows) == 20 and all(r["folds"] == 5 and 0 <= r["mean_auc"] <= 1 for r in rows)
+
+
+def test_form_state_is_kept_by_slots(spark, tmp_path):
+    """Many entities, one of them null, share a few timers and state values, however many they are."""
+    rows = [(i, None if i % 301 == 0 else i * 7919 % 300 + 2**60, (i * 13 % 7 < 3), 5 * i - (i * 31 % 900)) for i in range(1, 3000)]
+    d = spark.createDataFrame(rows, "row_id long, team long, won boolean, minute long").select("row_id", "team", F.col("won").cast("int").alias("result"), F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000).alias("match_date"))
+    progress = []
+    for lo, hi in ((0, 1000), (1000, 2000), (2000, 3000)):
+        d.filter(f"row_id >= {lo} AND row_id < {hi}").write.mode("append").parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in")
+        progress += jobs.run_available(jobs.form_stream(s, delay="16 hours", slots=8), f"{tmp_path}/out", f"{tmp_path}/chk")
+    assert jobs.late_rows(progress) == 0 and 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in progress) < 300
+    want, past = {}, {}
+    for row, team, won, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        ys = past.setdefault(team, [])
+        want[row] = (team, len(ys), sum(ys) / len(ys) if ys else 0.5, sum(ys[-10:]) / len(ys[-10:]) if ys else 0.5)
+        ys.append(int(won))
+    ahead = max(r[3] for r in rows) - 16 * 60
+    got = {r.row_id: (r.team, r.games_played, r.overall_winrate, r.recent_winrate) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {r[0]: want[r[0]] for r in rows if r[3] < ahead}
