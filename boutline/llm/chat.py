@@ -4,14 +4,15 @@ A turn is written as ``<turn role>``, a line end, its text, ``</turn>`` and a li
 texts and roles a backslash becomes ``\\b`` and ``<`` becomes ``\\l`` (in roles also ``>``
 and line ends, ``\\g`` and ``\\n``), so no text can hold a marker and all are read back.
 
-Every assistant turn is an example of its own: all that stands before its text in the
-formatted conversation is context, and its text alone is trainable. As every context is a
-prefix of the same text, :func:`expand` keeps each turn once and gives an example as three
-offsets (code points), so the output grows with the turns, not with their square;
-:func:`examples` writes prompts and replies out.
+Every assistant turn is an example of its own: its prompt is all that stands before its
+text in the formatted conversation, and its text alone is trainable. :func:`expand` writes
+both out, a row an example. The examples of a conversation grow with the square of its
+turns, as the method has it; a task makes them one after the other and holds one beside the
+conversation. :func:`report` reads digests back from these rows.
 
-Offsets are running sums in two levels (runs of 1,024 turn numbers, then turns), so a
-conversation with a large share of all turns is spread over tasks. DataFrame functions only.
+:func:`placed` gives each turn once with its offsets (code points). These are running sums
+in two levels (runs of 1,024 turn numbers, then turns), so a conversation with a large share
+of all turns is spread over tasks up to there. DataFrame functions only.
 
 Defined cases: a null text or role is empty; turns are ordered by turn (null last), then
 role and text; repeated rows are turns each; rows with a null conv_id are one conversation;
@@ -48,10 +49,10 @@ def unescaped(text: Column, role: bool = False) -> Column:
     return _swapped(text, [(b, a) for a, b in reversed(_ROLE if role else _TEXT)])
 
 
-def expand(conversations: DataFrame) -> DataFrame:
+def placed(conversations: DataFrame) -> DataFrame:
     """One row a turn: conv_id, start and stop of its ``segment`` in the formatted
-    conversation, and for an assistant turn context_stop, loss_start and loss_stop of the
-    example that it ends (else null). A segment starts where the turns before it end."""
+    conversation, and for an assistant turn loss_start and loss_stop of its text (else
+    null). A segment starts where the turns before it end."""
     head = F.concat(F.lit("<turn "), escaped(F.col("role"), True), F.lit(">\n"))
     t = conversations.select(F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     t = t.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / RUN).alias("run"), F.length(head).cast("long").alias("head"), F.concat(head, escaped(F.col("text")), F.lit(CLOSE)).alias("segment"))
@@ -66,28 +67,42 @@ def expand(conversations: DataFrame) -> DataFrame:
     start = F.col("stop") - F.col("size")
     reply = F.col("role") == "assistant"
     loss_start, loss_stop = start + F.col("head"), F.col("stop") - len(CLOSE)
-    return placed.select("conv_id", start.alias("start"), "stop", "segment", F.when(reply, loss_start).alias("context_stop"), F.when(reply, loss_start).alias("loss_start"), F.when(reply, loss_stop).alias("loss_stop"))
+    return placed.select("conv_id", start.alias("start"), "stop", "segment", F.when(reply, loss_start).alias("loss_start"), F.when(reply, loss_stop).alias("loss_stop"))
 
 
-def formatted(expanded: DataFrame) -> DataFrame:
-    """(conv_id, text, spans): the formatted conversation in one text and the examples'
-    spans in order. A conversation is then one value, as for any digest of it."""
+def formatted(turns: DataFrame) -> DataFrame:
+    """(conv_id, text, spans) from rows of :func:`placed`: the formatted conversation in one
+    text and the spans of its replies in order."""
     ordered = F.array_sort(F.collect_list(F.struct("start", "segment", "loss_start", "loss_stop")))
-    c = expanded.groupBy("conv_id").agg(ordered.alias("t"))
+    c = turns.groupBy("conv_id").agg(ordered.alias("t"))
     spans = F.transform(F.filter("t", lambda x: x["loss_start"].isNotNull()), lambda x: F.struct(x["loss_start"].alias("start"), x["loss_stop"].alias("stop")))
     return c.select("conv_id", F.array_join(F.transform("t", lambda x: x["segment"]), "").alias("text"), spans.alias("spans"))
 
 
+def expand(conversations: DataFrame) -> DataFrame:
+    """(conv_id, example, prompt, reply, last), texts still escaped: a row for each assistant
+    turn, numbered from 0 in order, with all that stands before its text and the text itself;
+    and for each conversation a row with a null example and reply, whose prompt is the rest
+    after its last reply (everything, if it has none)."""
+    c = formatted(placed(conversations)).withColumn("n", F.size("spans"))
+    numbered = F.transform("spans", lambda s, i: F.struct(i.alias("example"), s["start"].cast("int").alias("start"), s["stop"].cast("int").alias("stop")))
+    done = F.coalesce(F.get("spans", F.col("n") - 1)["stop"].cast("int"), F.lit(0))
+    rest = F.struct(F.lit(None).cast("int").alias("example"), done.alias("start"), F.length("text").alias("stop"))
+    each = c.select("conv_id", "text", "n", F.explode(F.concat(numbered, F.array(rest))).alias("x"))
+    own, at = F.col("x.example").isNotNull(), F.col("x.start")
+    target = F.substring(F.col("text"), at + 1, F.col("x.stop") - at)
+    prompt = F.when(own, F.substring(F.col("text"), F.lit(1), at)).otherwise(target)
+    return each.select("conv_id", "x.example", prompt.alias("prompt"), F.when(own, target).alias("reply"), F.coalesce(F.col("x.example") == F.col("n") - 1, F.lit(False)).alias("last"))
+
+
 def examples(expanded: DataFrame) -> DataFrame:
-    """(conv_id, example, prompt, reply) written out, all still escaped; quadratic in the
-    length of a conversation, so for conversations of ordinary length."""
-    each = formatted(expanded).select("conv_id", "text", F.posexplode("spans").alias("example", "span"))
-    return each.select("conv_id", "example", F.expr("substring(text, 1, int(span.start))").alias("prompt"), F.expr("substring(text, int(span.start) + 1, int(span.stop - span.start))").alias("reply"))
+    """The rows of :func:`expand` that are examples."""
+    return expanded.filter("example IS NOT NULL")
 
 
 def report(expanded: DataFrame) -> DataFrame:
-    """Counts and digests of a conversation, parsed back from the formatted text: turns by
-    their markers, trainable text by the spans."""
+    """Counts and digests of a conversation, read back from rows of :func:`expand`: turns by
+    their markers in the last example and the rest, trainable text from all replies."""
     pieces = F.filter(F.split("text", F.lit(CLOSE), -1), lambda p: p != "")
 
     def turn(p: Column) -> Column:
@@ -95,8 +110,13 @@ def report(expanded: DataFrame) -> DataFrame:
         own = F.substring(p, F.length(head) + 3, F.length(p))
         return F.concat(unescaped(F.substring(head, F.lit(7), F.length(head)), True), F.lit("\n"), unescaped(own), F.lit("\n"))
 
-    masked = F.transform("spans", lambda s: unescaped(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
-    r = formatted(expanded).select("conv_id", "text", F.transform(pieces, turn).alias("turns"), F.array_join(masked, "").alias("loss"))
+    rows = expanded.select(
+        "conv_id", F.when(F.col("example").isNotNull(), F.struct("example", "reply")).alias("x"),
+        F.when(F.col("last"), F.concat("prompt", "reply")).alias("head"), F.when(F.col("example").isNull(), F.col("prompt")).alias("rest"),
+    )  # of all prompts only the last goes on
+    per = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.concat(F.coalesce(F.max("head"), F.lit("")), F.max("rest")).alias("text"))
+    loss = F.array_join(F.transform("xs", lambda x: unescaped(x["reply"])), "")
+    r = per.select("conv_id", "text", F.transform(pieces, turn).alias("turns"), loss.alias("loss"))
     return r.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boutline.llm import alignment, automaton, chat, decontaminate, langid, lexical, licenses, minhash, mixing, pii, pivots, quality, substrings
 from boutline.llm.common import table
 from boutline.llm.oracles import ORACLES
+from boutline.session import cut_lineage
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.lit("\\### Assistant: </turn> ok")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), told.alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.report(chat.expand(rows))
+    return chat.report(cut_lineage(chat.expand(rows)))  # the examples, written out, are read back
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,6 +255,30 @@ def test_chat_of_cases(spark):
     assert chat.report(chat.expand(d.limit(0))).count() == 0
 
 
+def test_chat_writes_each_example_out(spark, monkeypatch):
+    """A row for every assistant turn, its prompt the whole text before it; the query reads those rows."""
+    told = [(c, i, ("user", "assistant")[(i + c) % 2], f"<t{c}> \\{i}" * (i + 1)) for c in range(5) for i in range(c)]
+    d = spark.createDataFrame(told, "conv_id long, turn long, role string, text string")
+    esc = lambda x: x.replace("\\", "\\b").replace("<", "\\l")
+    want, whole = {}, {}
+    for c, _, role, x in told:
+        prompt = whole.get(c, "") + f"<turn {role}>\n"
+        if role == "assistant":
+            want[c, sum(k[0] == c for k in want)] = (prompt, esc(x))
+        whole[c] = prompt + esc(x) + "</turn>\n"
+    written = chat.expand(d).collect()
+    assert {(r.conv_id, r.example): (r.prompt, r.reply) for r in written if r.example is not None} == want
+    rest = {r.conv_id: r.prompt for r in written if r.example is None}
+    for c, text in whole.items():
+        own = [v for k, v in sorted(want.items()) if k[0] == c]
+        assert ("".join(own[-1]) if own else "") + rest[c] == text
+    from boutline.llm import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "cut_lineage", lambda df: seen.append(df.columns) or df)
+    assert queries.op8_prefix_targets(spark, "/root/testdata/sf0.001").count() > 0 and {"prompt", "reply"} <= set(seen[0])
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(1, "mail a.b@c.de now 1.2.3.4", 3, "k"), (2, None, None, None), (3, "clean text", 10, "z")], "doc_id long, text string, n_chars long, base string")
     got = {r.doc_id: r for r in pii.redact(d).collect()}
