@@ -11,10 +11,12 @@ are base spans: phones with a plus, national formats and numbers after a word fo
 identity number are positive, plain ids, dates and amounts negative; contacts with a valid
 domain are positive, those without negative; hexadecimal, mixed and word passwords are
 positive, placeholders and code negative. All others are unlabelled and only scored. They
-are fitted on about ``TRAIN_ROWS`` of them, drawn by hash with an equal share for each
-generator and label, and on ``EXAMPLES``, so that formats which a corpus lacks or has
-rarely are known. Each generator has its own threshold, from the weighted held-out
-candidates that may be added.
+are fitted on three quarters of all labelled candidates (by hash) and of ``EXAMPLES``, so
+that formats which a corpus lacks or has rarely are known. Candidates with equal features
+and label are one row with their number, so a fit on all of them reads few rows. A
+generator's label weighs at most as much as ``GROUP_WEIGHT`` candidates, so that none
+drowns the others or the examples. Each generator has its own threshold, from all held-out candidates
+that may be added.
 
 Patterns whose plain form could overflow Java's stack or take quadratic time on long runs
 are written with a sentinel for a separator between two digits or a dot between two
@@ -27,6 +29,8 @@ columns are ignored by :func:`find` and kept by :func:`redact`.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -38,7 +42,8 @@ from boutline.plans.bounded import bounded
 from boutline.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20_000
+#: Weight of a corpus's candidates of one generator and label together, at most.
+GROUP_WEIGHT = 1_666.0
 PRECISION = 0.99
 CONTEXT_CHARS = 24
 
@@ -222,19 +227,18 @@ def added_spans(found: DataFrame) -> DataFrame:
     each = each.select("k1", "k2", "base", "own", F.explode("candidates").alias("c")).select("k1", "k2", "base", "own", "c.*")
     free = ~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))
     rows = cut_lineage(_labelled(_features(each)).withColumn("free", free).withColumn("draw", F.xxhash64("value", "before", "k1", "start")))
-    # an equal share for each generator, label and whether it may be added
-    group = ["gen", "label", "free"]
-    strata = rows.filter("own and label is not null").groupBy(*group).agg(F.count("*").alias("n")).collect()  # at most 12 rows
-    quota = TRAIN_ROWS // max(1, len(strata))
-    weight = F.when(~F.col("own"), 1.0)
-    for x in strata:
-        weight = weight.when((F.col("gen") == x["gen"]) & (F.col("label") == x["label"]) & (F.col("free") == x["free"]), max(1.0, x["n"] / quota))
-    drawn = F.pmod(F.xxhash64("draw"), F.lit(1 << 32)) * F.col("weight") < float(1 << 32)
-    sample = rows.filter("label is not null").withColumn("weight", weight).filter(drawn)
-    sample = cut_lineage(sample.select("gen", "free", "label", "weight", "draw", *FEATURES).coalesce(4))
-    learn, hold = sample.filter("pmod(draw, 4) <> 0"), sample.filter("pmod(draw, 4) = 0 and free")
+    # every labelled candidate counts; those that are alike are one row with their number
+    alike = ["gen", "free", "label", "own", "hold", *FEATURES]
+    counted = cut_lineage(rows.filter("label is not null").withColumn("hold", F.pmod("draw", F.lit(4)) == 0).groupBy(*alike).agg(F.count("*").cast("double").alias("n")))
+    # the weight of a generator's label, and whether it may be added, is bounded
+    group = ["gen", "label", "free", "own"]
+    share = F.when(F.col("own"), F.least(F.lit(1.0), F.lit(GROUP_WEIGHT) / F.sum("n"))).otherwise(1.0)
+    shares = F.broadcast(counted.groupBy(*group).agg(share.alias("share")))  # at most 24 rows
+    learn = counted.filter("not hold").join(shares, group).withColumn("weight", F.col("n") * F.col("share"))
+    hold = counted.filter("hold and free").withColumnRenamed("n", "weight")
+    bins = max(32, isqrt(counted.count()) + 1)  # Spark samples rows for the borders of bins from bins squared rows on
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = GBTClassifier(maxIter=10, maxDepth=4, seed=7, labelCol="label", maxBins=32).fit(assembler.transform(learn).select("features", "label"))
+    model = GBTClassifier(maxIter=10, maxDepth=4, seed=7, labelCol="label", weightCol="weight", maxBins=bins).fit(assembler.transform(learn).select("features", "label", "weight"))
     score = lambda df: model.transform(assembler.transform(df)).withColumn("p", vector_to_array("probability")[1])
     # for each generator the lowest threshold, in hundredths, from which the held-out precision holds
     steps = score(hold).groupBy("gen", F.floor(F.col("p") * 100).alias("step")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("hit")).orderBy("gen", F.desc("step")).collect()

@@ -299,6 +299,20 @@ def test_generators_add_by_format_and_context(spark):
     assert [r.text for r in pii.redact(d).collect()] == ["apples @ 3.50 each"]
 
 
+def test_trees_and_thresholds_count_every_candidate(spark, monkeypatch):
+    """40,000 labelled candidates: three quarters are learned from, all others are held out."""
+    seen, own = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii, "GROUP_WEIGHT", 1e9, raising=False)
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, data: seen.append((self.getOrDefault("maxBins") ** 2, data)) or own(self, data))
+    text = F.concat(F.lit("call 555"), F.lpad(F.col("id").cast("string"), 7, "1"), F.lit(" or "), F.lit("mail ann"), F.col("id") % 100, F.lit("@host.org"))
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    added = pii.find(d).selectExpr("sum(size(added))", "sum(size(base))").first()
+    bound, data = seen[0]
+    weight = data.agg(F.sum("weight") if "weight" in data.columns else F.count("*")).first()[0]
+    assert abs(weight - 0.75 * (40_000 + len(pii.EXAMPLES))) < 600 and data.count() < 1_000 < bound
+    assert tuple(added) == (20_000, 20_000)
+
+
 def test_long_secrets_and_contacts_go_whole(spark):
     secret = 'token = "' + "ab12" * 2_000
     contact = "k" * 500 + " [at] " + "site" * 100 + " [dot] " + "org" * 30
