@@ -58,6 +58,7 @@ class DraftScorer:
         v = v.withColumns({c: F.when(F.col("variant") == r, F.lit(NEUTRAL)).otherwise(F.col(c)) for r, c in zip(ROLES, champs)})
         v = v.withColumns({"champion": F.element_at("champion_map", F.col("variant")), "base_row": F.col("row_id")})
         v = v.withColumn("row_id", F.col("row_id") * 6 + F.array_position(variants, F.col("variant")) - 1).drop("champion_map")
+        v = v.repartition("draft_id", "side")  # rows are six times the drafts here, which few tasks hold
         s = self.score_rows(v, ["base_row", "draft_id", "side", "variant", "champion"])
         base = F.max(F.when(F.col("variant") == "none", F.col("p")))
         item = F.struct(F.col("variant").alias("role"), "champion", "p")
@@ -67,21 +68,32 @@ class DraftScorer:
         )
 
     def both_suggestions(self, drafts: DataFrame, meta: DataFrame) -> DataFrame:
-        """Suggestions for each side of every draft."""
-        return reduce(DataFrame.unionByName, [self.suggestions(drafts, meta, s).withColumn("side", F.lit(s)) for s in ("blue", "red")])
+        """Suggestions for each side of every draft, from one batch of scores."""
+        return self._suggestions(drafts, meta, ("blue", "red"))
 
     def suggestions(self, drafts: DataFrame, meta: DataFrame, side: str = "blue") -> DataFrame:
         """Up to five swaps per draft: candidates, one batch of scores, greedy pick."""
-        rows = D.side_rows(drafts).filter(F.lower("side") == side)
-        now = self.score_rows(rows, ["draft_id"]).select("draft_id", F.col("p").alias("p_now"))
-        cand = D.swap_candidates(drafts, meta, side).withColumnRenamed("role", "swap_role")
-        v = rows.join(cand.select("draft_id", "swap_role", "champion", "place"), "draft_id")
+        return self._suggestions(drafts, meta, (side,)).drop("side")
+
+    def _suggestions(self, drafts: DataFrame, meta: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+        """The draft as it is (no swap role) and its 25 swaps, 26 rows a side, scored
+        together. They are dealt over tasks before features are looked up: drafts alone
+        are so small that a task or two would get them all."""
+        rows = D.side_rows(drafts).withColumn("side_name", F.lower("side")).filter(F.col("side_name").isin(*sides))
+        cand = D.swap_candidates(drafts, meta).select("draft_id", F.col("role").alias("swap_role"), "champion", "place")
+        as_is = drafts.select("draft_id", *[F.lit(None).cast(t).alias(c) for c, t in cand.dtypes[1:]])
+        v = rows.join(cand.unionByName(as_is), "draft_id").repartition("draft_id", "side_name")
         swap = {f"{p}_champion": F.when(F.col("swap_role") == r, F.col("champion")).otherwise(F.col(f"{p}_champion")) for p, r in zip(ROLE_PREFIX, ROLES)}
         at = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("swap_role"))
-        v = v.withColumns(swap).withColumn("row_id", F.col("draft_id") * 32 + (at - 1) * 5 + F.col("place"))
-        s = self.score_rows(v, ["draft_id", "swap_role", "champion"]).join(now, "draft_id")
-        gains = s.select("draft_id", F.col("swap_role").alias("role"), "champion", F.round((F.col("p") - F.col("p_now")) * 100, 1).alias("gain"))
-        return D.resolve_suggestions(gains)
+        v = v.withColumns(swap).withColumn("row_id", F.col("row_id") * 32 + F.coalesce((at - 1) * 5 + F.col("place"), F.lit(0)))
+        s = self.score_rows(v, ["draft_id", "side_name", "swap_role", "champion"])
+        item = F.struct(F.col("swap_role").alias("role"), "champion", "p")
+        per = s.groupBy("draft_id", "side_name").agg(
+            F.max(F.when(F.col("swap_role").isNull(), F.col("p"))).alias("p_now"), F.collect_list(F.when(F.col("swap_role").isNotNull(), item)).alias("xs")
+        )  # 25 items
+        gains = per.select("draft_id", F.col("side_name").alias("side"), "p_now", F.explode("xs").alias("x"))
+        gains = gains.select("draft_id", "side", "x.role", "x.champion", F.round((F.col("x.p") - F.col("p_now")) * 100, 1).alias("gain"))
+        return D.resolve_suggestions(gains, keys=("draft_id", "side")).select("draft_id", "place", "role", "champion", "gain", "side")
 
 
 def weighted_features(df: DataFrame, coef: dict[str, float]) -> DataFrame:

@@ -224,17 +224,17 @@ def swap_candidates(drafts: DataFrame, meta: DataFrame, side: str = "blue", top:
     )
 
 
-def resolve_suggestions(gains: DataFrame, least: float = 0.5, top: int = 5) -> DataFrame:
-    """Per draft, from (draft_id, role, champion, gain): best first, each role and
+def resolve_suggestions(gains: DataFrame, least: float = 0.5, top: int = 5, keys: tuple[str, ...] = ("draft_id",)) -> DataFrame:
+    """Per draft (or ``keys``), from (keys..., role, champion, gain): best first, each role and
     champion once, at most ``top``. A draft has at most 25 candidates (five roles,
     five champions), folded in one row."""
     item = F.struct((-F.col("gain")).alias("g"), "role", "champion")
-    per = gains.filter(F.col("gain") >= least).groupBy("draft_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    per = gains.filter(F.col("gain") >= least).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("c"))
     start = F.array().cast("array<struct<g:double,role:string,champion:string>>")
     taken = lambda acc, x: F.exists(acc, lambda t: (t["role"] == x["role"]) | (t["champion"] == x["champion"]))
     fold = F.aggregate("c", start, lambda acc, x: F.when((F.size(acc) < top) & ~taken(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return per.select("draft_id", F.posexplode(fold).alias("i", "x")).select(
-        "draft_id", (F.col("i") + 1).alias("place"), "x.role", "x.champion", (-F.col("x.g")).alias("gain")
+    return per.select(*keys, F.posexplode(fold).alias("i", "x")).select(
+        *keys, (F.col("i") + 1).alias("place"), "x.role", "x.champion", (-F.col("x.g")).alias("gain")
     )
 
 

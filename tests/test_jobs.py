@@ -325,3 +325,18 @@ def test_form_state_is_kept_by_slots(spark, tmp_path):
     ahead = max(r[3] for r in rows) - 16 * 60
     got = {r.row_id: (r.team, r.games_played, r.overall_winrate, r.recent_winrate) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {r[0]: want[r[0]] for r in rows if r[3] < ahead}
+
+
+def test_swaps_of_both_sides_are_one_batch(spark, sf, scorer, monkeypatch):
+    """Each side's draft and its swaps are scored together, dealt over tasks before the lookups."""
+    from boutline import fixtures as fx
+    from boutline.operators import lookups
+
+    seen, own = [], scorer.score_rows
+    monkeypatch.setattr(scorer, "score_rows", lambda rows, keep, also=(): seen.append(rows) or own(rows, keep, also))
+    d = fx.drafts(spark, sf).limit(20).localCheckpoint()
+    scorer.both_suggestions(d, lookups.meta_indicators(fx.wide(spark, sf)))
+    assert len(seen) == 1
+    rows = seen[0]
+    assert rows.groupBy("draft_id", "side").count().filter("count <> 26").count() == 0 and rows.select("row_id").distinct().count() == 20 * 2 * 26
+    assert "RepartitionByExpression [draft_id" in rows._jdf.queryExecution().optimizedPlan().toString()
