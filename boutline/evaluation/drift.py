@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 from functools import reduce
 
@@ -189,52 +190,48 @@ class DyadicWindow:
     def state(self) -> tuple:
         return tuple(getattr(self, f.name) for f in fields(self)[3:])
 
-    def _thin(self) -> None:
-        """Drop the borders that their age rules out."""
-        b, at = np.asarray(self.borders, np.int64), self.seen - 1
-        level = np.floor(np.log2(np.maximum(1.0, (at - b) / self.exact))).astype(np.int64)
-        stays = np.flatnonzero((b >> level) << level == b)
-        if len(stays) < len(b):
-            for name in ("borders", "sums", "squares", "values"):
-                own = getattr(self, name)
-                setattr(self, name, [own[i] for i in stays])
-
-    def _cut(self) -> int | None:
-        """Place of the best border beyond the bound."""
-        n, b = self.seen - self.start, np.asarray(self.borders, np.int64)
-        left = b - self.start
-        ok = (left >= 5) & (left < n - 5)
-        if not ok.any():
+    def _thin(self, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the borders that their age rules out."""
+        level = np.floor(np.log2(np.maximum(1.0, (self.seen - 1 - b) / self.exact))).astype(np.int64)
+        stays = (b >> level) << level == b
+        return (b, own) if stays.all() else (b[stays], own[:, stays])
+
+    def _cut(self, b: np.ndarray, own: np.ndarray) -> int | None:
+        """Place of the best border beyond the bound. Borders are in order, so those with
+        five points on either side are one stretch."""
+        n = self.seen - self.start
+        lo, hi = np.searchsorted(b, (self.start + 5, self.start + n - 5))
+        if lo >= hi:
             return None
-        left, right = np.where(ok, left, 1), np.where(ok, n - left, 1)
-        before = np.asarray(self.sums) - self.start_total
+        left = b[lo:hi] - self.start
+        right = n - left
+        before = own[0, lo:hi] - self.start_total
         whole = self.total - self.start_total
         mean = whole / n
         spread = max((self.square - self.start_square) / n - mean * mean, 0.0) + 1e-10
-        gap = np.where(ok, np.abs(before / left - (whole - before) / right), -1.0)
+        gap = np.abs(before / left - (whole - before) / right)
         m, ln = left * right / n, math.log(2 / self.delta)
         gap[gap <= np.sqrt(2 / m * spread * ln) + 2 / (3 * m) * ln] = -1.0
         best = int(gap.argmax())
-        return best if gap[best] > 0 else None
-
-    def _add(self, v: float) -> tuple[int, int] | None:
-        self.borders.append(self.seen)
-        self.sums.append(self.total)
-        self.squares.append(self.square)
-        self.values.append(v)
-        self.total, self.square, self.seen = self.total + v, self.square + v * v, self.seen + 1
-        self._thin()
-        if self.seen <= self.min_window or self.seen - self.start < 11:
-            return None
-        k = self._cut()
-        if k is None:
-            return None
-        found = (self.borders[k], self.seen - self.start)
-        self.start = self.borders[k] + 1
-        self.start_total, self.start_square = self.sums[k] + self.values[k], self.squares[k] + self.values[k] ** 2
-        for name in ("borders", "sums", "squares", "values"):
-            setattr(self, name, getattr(self, name)[k + 1 :])
-        return found
+        return int(lo) + best if gap[best] > 0 else None
+
+    def _walk(self, points: list[float]) -> Iterator[tuple[int, int]]:
+        """Adds points one by one; borders are arrays while a stretch of points is walked."""
+        b, own = np.asarray(self.borders, np.int64), np.asarray([self.sums, self.squares, self.values], float)
+        for v in points:
+            b = np.concatenate((b, (self.seen,)))
+            own = np.concatenate((own, ((self.total,), (self.square,), (v,))), axis=1)
+            self.total, self.square, self.seen = self.total + v, self.square + v * v, self.seen + 1
+            b, own = self._thin(b, own)
+            if self.seen <= self.min_window or self.seen - self.start < 11:
+                continue
+            k = self._cut(b, own)
+            if k is not None:
+                yield int(b[k]), self.seen - self.start
+                self.start = int(b[k]) + 1
+                self.start_total, self.start_square = float(own[0, k] + own[2, k]), float(own[1, k] + own[2, k] ** 2)
+                b, own = b[k + 1 :], own[:, k + 1 :]
+        self.borders, (self.sums, self.squares, self.values) = b.tolist(), own.tolist()
 
     def feed(self, values) -> list[tuple[int, int]]:
         """(position, window size) of every cut that the new points bring."""
@@ -242,7 +239,7 @@ class DyadicWindow:
         if self.seen + len(self.first) < 2 * self.min_window and self.seen == 0:
             return []
         points, self.first = self.first, []
-        return [x for x in map(self._add, points) if x is not None]
+        return list(self._walk(points))
 
 
 def adaptive_sequence(df: DataFrame, keys: list[str], order: list[str], value: str, delta: float = 0.002, min_window: int = 30, exact: int = 32) -> DataFrame:
