@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from boutline.functions.scalar import patch_part, row_mean, row_std
 from boutline.operators import encoding, form, lookups
 from boutline.plans.bounded import BROADCAST_ROWS, bounded, within
-from boutline.plans.ordered import HOT_ROWS, Past, history, time_levels
+from boutline.plans.ordered import HOT_ROWS, Past, history, hot_keys, time_levels
 from boutline.roles import MATCH, NO_BAN, ROLE_PREFIX, ROLES, UNKNOWN, Roles
 from boutline.session import cut_lineage
 
@@ -78,23 +78,32 @@ def role_lookup(
     return out.withColumns({f"{v}_{i}": F.coalesce(f"{v}_{i}", F.lit(d)) for v, d in values.items() for i in range(5) if d is not None})
 
 
-def _known(roles: Roles, include_unknown: bool) -> list[Column]:
-    if include_unknown:
-        return [F.lit(1)] * 5
-    return [(F.coalesce(F.col(c), F.lit(UNKNOWN)) != UNKNOWN).cast("int") for c in roles.champions]
+#: Columns that tell which picks count, and how many; made once for all means of a row.
+_FLAGS = [f"__known_{i}" for i in range(5)]
 
 
-def _mean_of(cols: list[Column], flags: list[Column], default: float) -> Column:
-    n = reduce(lambda a, b: a + b, flags)
-    s = reduce(lambda a, b: a + b, [F.when(f == 1, c).otherwise(F.lit(0.0)) for c, f in zip(cols, flags)])
-    return F.when(n > 0, s / n).otherwise(F.lit(default))
+def _known(df: DataFrame, roles: Roles, include_unknown: bool) -> DataFrame:
+    if _FLAGS[0] in df.columns:
+        return df
+    one = lambda c: F.lit(1) if include_unknown else (F.coalesce(F.col(c), F.lit(UNKNOWN)) != UNKNOWN).cast("int")
+    out = df.withColumns(dict(zip(_FLAGS, map(one, roles.champions))))
+    return out.withColumn("__known", _sum([F.col(f) for f in _FLAGS]))
 
 
-def _std_of(cols: list[Column], flags: list[Column]) -> Column:
-    n = reduce(lambda a, b: a + b, flags)
-    m = _mean_of(cols, flags, 0.0)
-    ss = reduce(lambda a, b: a + b, [F.when(f == 1, (c - m) * (c - m)).otherwise(F.lit(0.0)) for c, f in zip(cols, flags)])
-    return F.when(n > 1, F.sqrt(ss / (n - 1))).otherwise(F.lit(0.0))
+def _sum(cols: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, cols)
+
+
+def _mean_of(name: str, default: float) -> Column:
+    s = _sum([F.when(F.col(f) == 1, c).otherwise(F.lit(0.0)) for c, f in zip(_cols(name), _FLAGS)])
+    return F.when(F.col("__known") > 0, s / F.col("__known")).otherwise(F.lit(default))
+
+
+def _std_of(name: str, mean: str) -> Column:
+    """Sample deviation of the known picks' values around the column ``mean``, a column
+    of its own: as an expression it would be evaluated again for each pick."""
+    ss = _sum([F.when(F.col(f) == 1, (c - F.col(mean)) * (c - F.col(mean))).otherwise(F.lit(0.0)) for c, f in zip(_cols(name), _FLAGS)])
+    return F.when(F.col("__known") > 1, F.sqrt(ss / (F.col("__known") - 1))).otherwise(F.lit(0.0))
 
 
 def _cols(name: str) -> list[Column]:
@@ -105,6 +114,14 @@ def _without(df: DataFrame, names) -> DataFrame:
     return df.drop(*[f"{n}_{i}" for n in names for i in range(5)])
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The same rows in the same tasks. Spark makes one Java method of neighbouring joins
+    and projections, and Java does not compile a method of more than 8,000 bytes: all
+    feature groups in one would be interpreted. A coalesce to no fewer tasks moves nothing
+    and ends the method."""
+    return df.coalesce(1 << 20)
+
+
 class FeatureModel:
     """Lookups of one training set. Each is computed on first use and then kept as a
     table in the shared folder, because several joins and a size check read it."""
@@ -190,63 +207,45 @@ class FeatureModel:
 
     # -- feature groups -----------------------------------------------------
 
-    def champions(self, df: DataFrame) -> DataFrame:
-        """<value>_<role number> of every pick, for ``composition`` and ``lanes``."""
-        values = CHAMPION_DEFAULTS | {"archetype_advantage": None}
-        out = role_lookup(df, self.role_champion, [], values, True, self.roles, fits=self._fits("role_champion"))
-        out = out.withColumn("__other", self.balanced.scalar())
-        unseen = [
-            F.when(F.coalesce(F.col(c), F.lit(UNKNOWN)) == UNKNOWN, 0.5).otherwise(F.coalesce(F.element_at("__other", F.lit(r)), F.lit(0.5)))
-            for c, r in zip(self.roles.champions, ROLES)
-        ]
-        return out.withColumns({f"archetype_advantage_{i}": F.coalesce(f"archetype_advantage_{i}", u) for i, u in enumerate(unseen)}).drop("__other")
-
     def composition(self, df: DataFrame) -> DataFrame:
-        if "win_rate_0" not in df.columns:
-            return _without(self.composition(self.champions(df)), CHAMPION_DEFAULTS)
-        fl = _known(self.roles, self.include_unknown)
-        return df.withColumns(
+        values = {v: CHAMPION_DEFAULTS[v] for v in ("win_rate", "early_game_strength", "late_game_strength", "scaling_factor", "flexibility")}
+        out = role_lookup(_known(df, self.roles, self.include_unknown), self.role_champion, [], values, True, self.roles, fits=self._fits("role_champion"))
+        out = out.withColumns(
             {
-                "team_avg_winrate": _mean_of(_cols("win_rate"), fl, 0.5),
-                "team_early_strength": _mean_of(_cols("early_game_strength"), fl, 0.5),
-                "team_late_strength": _mean_of(_cols("late_game_strength"), fl, 0.5),
-                "team_scaling": _mean_of(_cols("scaling_factor"), fl, 0.0),
-                "team_flexibility": _mean_of(_cols("flexibility"), fl, 1.0),
-                "composition_balance": _std_of(_cols("scaling_factor"), fl),
+                "team_avg_winrate": _mean_of("win_rate", 0.5),
+                "team_early_strength": _mean_of("early_game_strength", 0.5),
+                "team_late_strength": _mean_of("late_game_strength", 0.5),
+                "team_scaling": _mean_of("scaling_factor", 0.0),
+                "team_flexibility": _mean_of("flexibility", 1.0),
             }
         )
+        out = out.withColumn("composition_balance", _std_of("scaling_factor", "team_scaling"))
+        return _without(out, values).drop(*([] if _FLAGS[0] in df.columns else [*_FLAGS, "__known"]))
 
     def meta(self, df: DataFrame) -> DataFrame:
-        r, fl = self.roles, _known(self.roles, self.include_unknown)
+        r = self.roles
         out = role_lookup(df, self.patch_champion, [r.patch], {"meta_strength": 0.5, "popularity": 0.0}, False, r, fits=self._fits("patch_champion"))
-        m = _mean_of(_cols("meta_strength"), fl, 0.5)
-        out = out.withColumns(
-            {
-                "team_meta_strength": m,
-                "team_meta_consistency": 1 - _std_of(_cols("meta_strength"), fl),
-                "team_popularity": _mean_of(_cols("popularity"), fl, 0.0),
-                "meta_advantage": m - 0.5,
-            }
-        )
-        return _without(out, ("meta_strength", "popularity"))
+        out = _known(out, r, self.include_unknown).withColumns({"team_meta_strength": _mean_of("meta_strength", 0.5), "team_popularity": _mean_of("popularity", 0.0)})
+        out = out.withColumns({"team_meta_consistency": 1 - _std_of("meta_strength", "team_meta_strength"), "meta_advantage": F.col("team_meta_strength") - 0.5})
+        return _without(out, ("meta_strength", "popularity")).drop(*([] if _FLAGS[0] in df.columns else [*_FLAGS, "__known"]))
 
     def bans(self, df: DataFrame) -> DataFrame:
-        valid = F.filter(F.array(*[F.col(b) for b in self.roles.bans]), lambda x: x.isNotNull() & (x != NO_BAN) & (x != ""))
-        out = df.withColumn("__high", self.priority_bans.scalar())
-        out = out.withColumns(
-            {
-                "ban_count": F.size(valid),
-                "ban_diversity": F.size(F.array_distinct(valid)),
-                "high_priority_bans": F.size(F.filter(valid, lambda x: F.array_contains(F.col("__high"), x))),
-            }
-        )
-        return out.drop("__high")
-
-    def past(self, df: DataFrame, past: str) -> DataFrame:
+        named = [f"__ban_{i}" for i in range(len(self.roles.bans))]
+        out = df.withColumns({n: F.when((F.col(b) != NO_BAN) & (F.col(b) != ""), F.col(b)) for n, b in zip(named, self.roles.bans)})
+        out = out.withColumn("__high", self.priority_bans.scalar())
+        valid = [F.col(n) for n in named]
+        fresh = [reduce(lambda a, b: a & b, [~v.eqNullSafe(w) for w in valid[:i]], v.isNotNull()) for i, v in enumerate(valid)]
+        high = [F.coalesce(F.array_contains(F.col("__high"), v), F.lit(False)) for v in valid]
+        count = lambda flags: _sum([f.cast("int") for f in flags])
+        out = out.withColumns({"ban_count": count([v.isNotNull() for v in valid]), "ban_diversity": count(fresh), "high_priority_bans": count(high)})
+        return out.drop("__high", *named)
+
+    def past(self, df: DataFrame, past: str, hot: bool | None = None) -> DataFrame:
         """Team history: of the row itself (training rows) or the training
-        snapshot of its team (all later rows)."""
+        snapshot of its team (all later rows). ``hot=False`` states that no team has
+        more than ``hot_rows`` rows."""
         if past == "rows":
-            out = form.entity_form(df, self.roles, self.hot_rows)
+            out = form.entity_form(df, self.roles, None if hot is False else self.hot_rows)
             keep = [*df.columns, "games_played", "overall_winrate", "recent_winrate", "form_trend"]
             out = out.select(*keep)
         else:
@@ -263,7 +262,7 @@ class FeatureModel:
 
     def context(self, df: DataFrame) -> DataFrame:
         r = self.roles
-        n = reduce(lambda a, b: a + b, [(F.coalesce(F.col(c), F.lit(UNKNOWN)) != UNKNOWN).cast("int") for c in r.champions])
+        n = _sum([(F.coalesce(F.col(c), F.lit(UNKNOWN)) != UNKNOWN).cast("int") for c in r.champions])
         return df.withColumns(
             {
                 "playoffs": (F.col(r.playoffs) == 1).cast("int"),
@@ -281,10 +280,16 @@ class FeatureModel:
         return cut_lineage(m.agg(F.map_from_entries(F.collect_list(F.struct("role", "v"))).alias("m")))
 
     def lanes(self, df: DataFrame) -> DataFrame:
-        if "lane_advantage_0" not in df.columns:
-            return _without(self.lanes(self.champions(df)), CHAMPION_DEFAULTS)
+        values = {"lane_advantage": CHAMPION_DEFAULTS["lane_advantage"], "lane_confidence": CHAMPION_DEFAULTS["lane_confidence"], "archetype_advantage": None}
+        out = role_lookup(df, self.role_champion, [], values, True, self.roles, fits=self._fits("role_champion"))
+        out = out.withColumn("__other", self.balanced.scalar())
+        unseen = [
+            F.when(F.coalesce(F.col(c), F.lit(UNKNOWN)) == UNKNOWN, 0.5).otherwise(F.coalesce(F.element_at("__other", F.lit(r)), F.lit(0.5)))
+            for c, r in zip(self.roles.champions, ROLES)
+        ]
+        out = out.withColumns({f"archetype_advantage_{i}": F.coalesce(f"archetype_advantage_{i}", u) for i, u in enumerate(unseen)}).drop("__other")
         a = _cols("lane_advantage")
-        return df.withColumns(
+        out = out.withColumns(
             {
                 "team_lane_advantage": row_mean(a),
                 "lane_advantage_consistency": 1 - row_std(a),
@@ -295,6 +300,7 @@ class FeatureModel:
                 "team_archetype_advantage": row_mean(_cols("archetype_advantage")),
             }
         )
+        return _without(out, values)
 
     def peers(self, df: DataFrame) -> DataFrame:
         defaults = {"team_historical_advantage": 0.5, "team_matchup_consistency": 1.0, "favorable_matchups": 0, "unfavorable_matchups": 0}
@@ -340,11 +346,17 @@ class FeatureModel:
         default is the constant 0.5 used by models trained without it."""
         lookups_used = ("role_champion", "encoders", "teams", "patch_champion", "balanced")
         self.prepare(*lookups_used, *(() if past == "rows" else ("snapshot",)))
-        out = self.past(df, past)
-        out = self.lanes(self.composition(self.champions(self.context(self.bans(self.meta(out))))))
-        out = self.peers(_without(out, CHAMPION_DEFAULTS))
+        # Teams may be few, and their history then runs in few tasks. So the lookups come
+        # before its shuffle, in as many tasks as the rows have, unless a hot team splits it.
+        last = past == "rows" and hot_keys(df, [self.roles.entity], self.hot_rows) is None
+        out = _apart(_known(df if last else self.past(df, past), self.roles, self.include_unknown))
+        for step in (self.meta, self.composition):
+            out = _apart(step(out))
+        for step in (self.lanes, self.bans, self.encode):
+            out = _apart(step(out.drop(*_FLAGS, "__known")))
+        out = self.peers(self.context(out))
         out = self.composition_rate(out) if composition == "fitted" else out.withColumn("composition_historical_winrate", F.lit(0.5))
-        return self.encode(self.interactions(out))
+        return self.interactions(self.past(out, past, False) if last else out)
 
     def vector(self, df: DataFrame, past: str = "snapshot", keep: list[str] | None = None, **kw) -> DataFrame:
         """Key columns, then the canonical features as doubles in their order."""
