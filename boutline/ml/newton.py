@@ -4,8 +4,10 @@ Folds, training shares, split strategies and penalties make dozens or hundreds o
 the same rows. Each Newton step of all of them is one job: a task keeps, for every fit
 that has not settled, the gradient and the weighted Gram matrix of its rows (sums of
 fixed size, added up as a grouped aggregate), and the new coefficients of a fit are
-solved from its sums in the group's task. Only coefficients come to the driver: fits x
-features numbers. Rows are never copied, whatever the number of fits, since a fit names
+solved from its sums in the group's task. A Gram matrix serves for further steps as long
+as each brings the gradient down tenfold, since a gradient costs a fraction of it; at the
+first step, from 0, fits of one subset share theirs. Coefficients and Gram matrices come to
+the driver: fits x features squared numbers. Rows are never copied, whatever the number of fits, since a fit names
 the subset that it learns from and a row holds one flag a subset.
 
 The objective is that of ``training.fit_logistic``: balanced class weights n / (2 n_class)
@@ -31,6 +33,8 @@ SUMS = "key int, part int, values array<double>"
 #: Rows of a task that are multiplied out at once, and task sums added by one group.
 CHUNK_ROWS = 2048
 GROUP_TASKS = 256
+#: What a step must leave of the gradient at most for its Gram matrix to be used again.
+KEEP_GRAM = 0.1
 #: Steps of the grid on which scores meet in :func:`held_metrics`.
 SCORE_BINS = 8192
 
@@ -114,12 +118,15 @@ def _logistic(eta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
 
 
-def _derivatives(d: int, s: int, live: list[int], beta: np.ndarray, shift: np.ndarray, scale: np.ndarray, subset: np.ndarray, weights: np.ndarray):
-    """Per live fit: loss, gradient and the upper half of the Gram matrix at ``beta``."""
+def _derivatives(d: int, s: int, live: list[int], beta: np.ndarray, shift: np.ndarray, scale: np.ndarray, subset: np.ndarray, weights: np.ndarray, owner: dict[int, int]):
+    """Per live fit: loss and gradient at ``beta``; for those with an ``owner`` (a fit of
+    the same subset and coefficients) also the upper half of the owner's Gram matrix."""
     first, second = np.triu_indices(d + 1)
+    made = sorted(set(owner.values()))
+    at = [live.index(k) for k in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, grad, gram = np.zeros(len(live)), np.zeros((len(live), d + 1)), np.zeros((len(live), len(first)))
+        loss, grad, gram = np.zeros(len(live)), np.zeros((len(live), d + 1)), np.zeros((len(made), len(first)))
         of = subset[live]
         for _, x, y, learns in _chunks(batches, d, s):
             z = np.concatenate([(x - shift) / scale, np.ones((len(x), 1))], axis=1)
@@ -128,8 +135,10 @@ def _derivatives(d: int, s: int, live: list[int], beta: np.ndarray, shift: np.nd
             w = learns[:, of] * np.where(y[:, None] == 1, weights[of, 1], weights[of, 0])
             loss += (w * (np.logaddexp(0, eta) - y[:, None] * eta)).sum(axis=0)
             grad += (w * (p - y[:, None])).T @ z
-            gram += (w * p * (1 - p)).T @ (z[:, first] * z[:, second])
-        yield _sums(live, list(np.concatenate([loss[:, None], grad, gram], axis=1)))
+            if made:
+                q = p[:, at]
+                gram += (w[:, at] * q * (1 - q)).T @ (z[:, first] * z[:, second])
+        yield _sums(live, [np.concatenate([[loss[i]], grad[i], gram[made.index(owner[k])] if k in owner else []]) for i, k in enumerate(live)])
 
     return run
 
@@ -190,22 +199,24 @@ def _unsettled(g: np.ndarray, beta: np.ndarray, unit: np.ndarray, l2: float, l1:
     return float(at.max()) / max(1.0, n)
 
 
-def _solve(d: int, fits: list[Fit], beta, units, rows, subset, before, worth):
-    """Adds a fit's sums and takes its step; halves the last one if it went too far.
-    Gives violation, objective, whether the coefficients stand, and the next ones."""
+def _solve(d: int, fits: list[Fit], beta, units, rows, subset, before, worth, grams: dict[int, np.ndarray]):
+    """Adds a fit's sums and takes its step; halves the last one if it went too far. Gives
+    violation, objective, whether the coefficients stand, the next ones, and the Gram
+    matrix if it is new; else that of ``grams`` is used."""
     first, second = np.triu_indices(d + 1)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         k = key[0].as_py()
         total = np.stack(table.column("values").to_numpy()).sum(axis=0)
         g, h = total[1 : d + 2], np.zeros((d + 1, d + 1))
-        h[first, second] = h[second, first] = total[d + 2 :]
+        fresh = total[d + 2 :]
+        h[first, second] = h[second, first] = fresh if len(fresh) else grams[k]
         f, b, unit = fits[k], beta[k], units[subset[k]]
         l2, l1 = (1 - f.l1_share) / f.c, f.l1_share / f.c
         cost = total[0] + l2 / 2 * ((b[:-1] * unit) ** 2).sum() + l1 * np.abs(b[:-1] * unit).sum()
         stands = not cost > worth[k] + 1e-10 * max(1.0, abs(worth[k]))
         nxt = penalised_step(g, h, b, unit, l2, l1) if stands else (b + before[k]) / 2
-        values = [_unsettled(g, b, unit, l2, l1, rows[subset[k]]), cost, float(stands), *nxt]
+        values = [_unsettled(g, b, unit, l2, l1, rows[subset[k]]), cost, float(stands), *nxt, *fresh]
         return pa.table({"key": pa.array([k], pa.int32()), "part": pa.array([0], pa.int32()), "values": pa.array([values], pa.list_(pa.float64()))})
 
     return run
@@ -235,22 +246,29 @@ def fit_many(rows: DataFrame, features: list[str], subsets: list[str], fits: lis
     beta = np.zeros((len(fits), d + 1))
     before, worth, off = beta.copy(), np.full(len(fits), np.inf), np.zeros(len(fits))
     live = [k for k in range(len(fits)) if 0 < pos[subset[k]] < n[subset[k]]]
-    steps = 0
+    steps, grams = 0, {}
+    owner = {k: min(j for j in live if subset[j] == subset[k]) for k in live}  # all coefficients are 0
     while live and steps < most:
         steps += 1
-        sums = narrow.mapInArrow(_derivatives(d, s, live, beta, shift, scale, subset, weights), SUMS)
+        sums = narrow.mapInArrow(_derivatives(d, s, live, beta, shift, scale, subset, weights, owner), SUMS)
         if groups > 1:
             sums = sums.groupBy("key", "part").applyInArrow(_added, SUMS)
-        open_, nxt = [], beta.copy()
-        for r in sums.groupBy("key").applyInArrow(_solve(d, fits, beta, units, n, subset, before, worth), SUMS).collect():
+        open_, nxt, anew = [], beta.copy(), {}
+        kept = {k: g for k, g in grams.items() if k in live and k not in owner}
+        for r in sums.groupBy("key").applyInArrow(_solve(d, fits, beta, units, n, subset, before, worth, kept), SUMS).toLocalIterator():
             k, v = r.key, np.array(r["values"])
+            if len(v) > d + 4:
+                grams[k] = v[d + 4 :]
+            if not v[2] or (steps > 1 and v[0] > KEEP_GRAM * off[k]):
+                anew[k] = k
             if v[2]:
                 off[k], worth[k], before[k] = v[0], v[1], beta[k]
                 if v[0] < tolerance:
                     continue
-            nxt[k] = v[3:]
+            nxt[k] = v[3 : d + 4]
             open_.append(k)
         beta, live = nxt, sorted(open_)
+        owner = {k: k for k in live if k in anew}
     beta[live] = before[live]
     raw = beta[:, :d] / scale
     raw[spread[subset] == 0] = 0.0
