@@ -23,11 +23,16 @@ FEATURES = list(CANONICAL_48)
 FOLDS = 5
 
 
-def vectors(spark, sf):
-    """Every row's 48 features: lookups of the training part, history before the row."""
-    tagged = cut_lineage(splits.temporal_split(fx.wide(spark, sf)).drop("_rank"))
-    model = FeatureModel.fit(tagged.filter("split = 'train'").drop("split"))
-    return cut_lineage(model.vector(tagged, "rows", ["row_id", "match_date", "result", "split"]))
+def vectors(spark, sf, marked=None):
+    """Every row's 48 features: lookups of the training part, history before the row.
+    ``marked`` (rows -> rows, names) adds columns to the rows, which are kept. Not written:
+    the design, which reads them once, is."""
+    tagged, names = cut_lineage(splits.temporal_split(fx.wide(spark, sf)).drop("_rank")), []
+    if marked is not None:
+        tagged, names = marked(tagged)
+        tagged = cut_lineage(tagged)
+    model = FeatureModel.fit(tagged.filter("split = 'train'").drop("split", *names))
+    return model.vector(tagged, "rows", ["row_id", "match_date", "result", "split", *names])
 
 
 def _in(split):
@@ -72,16 +77,22 @@ def _points(samples=50, seed=42):
     return random.Random(seed).sample(grid, samples)
 
 
-def _fold_subsets(rows=None, folds=FOLDS, seed="te"):
-    """Per fold of a hash of the row id: learn from the others' training rows."""
-    fold, train = encoding.fold_of("row_id", folds, seed), _in("train")
+def _folded(rows, folds=FOLDS, seed="te"):
+    """Rows with their fold, a column of its own: as an expression its hash would be made
+    again for every subset that asks for it."""
+    return rows.withColumn("_fold", encoding.fold_of("row_id", folds, seed))
+
+
+def _fold_subsets(folds=FOLDS):
+    """Per fold of rows of :func:`_folded`: learn from the others' training rows."""
+    fold, train = F.col("_fold"), _in("train")
     return {f"fold{k}": (train & (fold != k), train & (fold == k)) for k in range(folds)}
 
 
 def _grid(spark, sf):
     subsets = _fold_subsets()
     fits = [Fit(f"{i}-{k}", k, c, a) for i, (c, a) in enumerate(_points()) for k in subsets]
-    d = newton.design(vectors(spark, sf), FEATURES, subsets)
+    d = newton.design(_folded(vectors(spark, sf)), FEATURES, subsets)
     return d, newton.fit_many(d, FEATURES, list(subsets), fits), list(subsets)
 
 
@@ -116,9 +127,9 @@ BASE = (("ridge", 1.0, 0.0), ("stiff", 0.001, 0.0), ("lasso", 0.01, 1.0))
 def _base_scores(spark, sf):
     """Every training row scored by the models that did not see its fold."""
     subsets = _fold_subsets()
-    d = newton.design(vectors(spark, sf), FEATURES, subsets, keep=["row_id"])
+    d = newton.design(_folded(vectors(spark, sf)), FEATURES, subsets, keep=["row_id"])
     fitted = newton.fit_many(d, FEATURES, list(subsets), [Fit(f"{m}-{k}", k, c, a) for m, c, a in BASE for k in subsets])
-    s = newton.scores(d, fitted, list(subsets), ["row_id"]).filter("part = 'held'")
+    s = newton.scores(d, fitted, list(subsets), ["row_id"], ("held",))
     return s.select("row_id", "y_true", "p", F.substring_index("fit", "-", 1).alias("model"))
 
 
@@ -145,8 +156,8 @@ SIZES = [i / 10 for i in range(1, 11)]
 
 def _sized(spark, sf):
     frac = F.conv(F.substring(F.md5(F.concat(F.lit("lc-"), F.col("row_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    subsets = {f"{s}-{k}": (learn & (frac < s), held) for s in SIZES for k, (learn, held) in _fold_subsets().items()}
-    d = newton.design(vectors(spark, sf), FEATURES, subsets)
+    subsets = {f"{s}-{k}": (learn & (F.col("_frac") < s), held) for s in SIZES for k, (learn, held) in _fold_subsets().items()}
+    d = newton.design(_folded(vectors(spark, sf)).withColumn("_frac", frac), FEATURES, subsets)
     return d, newton.fit_many(d, FEATURES, list(subsets), [Fit(k, k) for k in subsets]), list(subsets)
 
 
@@ -182,7 +193,7 @@ def p12v(spark, sf):
     """Ten values of C by five folds."""
     subsets = _fold_subsets()
     fits = [Fit(f"{10.0**e!r}-{k}", k, 10.0**e) for e in range(-6, 4) for k in subsets]
-    d = newton.design(vectors(spark, sf), FEATURES, subsets)
+    d = newton.design(_folded(vectors(spark, sf)), FEATURES, subsets)
     return _curve(d, newton.fit_many(d, FEATURES, list(subsets), fits), list(subsets), "c")
 
 
@@ -193,8 +204,8 @@ def p12d(spark, sf):
 
 
 def _when(d):
-    """What splits are made from; among the features the year is a double."""
-    return d.select("row_id", "match_date", "result", F.col("year").cast("int").alias("year"))
+    """What splits are made from."""
+    return d.select("row_id", "match_date", "result", "year")
 
 
 def _strategies(d):
@@ -204,15 +215,15 @@ def _strategies(d):
     for name, ranked in (("pure", pure), ("stratified", splits.stratified_temporal_split(rows)), ("random", splits.stratified_random_split(rows))):
         parts.append(ranked.select("row_id", *[splits.tag(F.col("_rank"), F.col("_n"), r[0], r[1]).alias(f"{name}-{key}") for key, r in splits.PRESETS.items()]))
     out = d
-    for p in parts:
+    for p in parts:  # before the features are looked up, while the rows are narrow
         out = out.join(p, "row_id", "left")
     return out, [f"{n}-{k}" for n in ("pure", "stratified", "random") for k in splits.PRESETS]
 
 
 def _compared(spark, sf):
-    d, names = _strategies(vectors(spark, sf).drop("split"))
+    names = [f"{n}-{k}" for n in ("pure", "stratified", "random") for k in splits.PRESETS]
     subsets = {f"{n}-{part}": (F.col(f"`{n}`") == "train", F.col(f"`{n}`") == part) for n in names for part in ("val", "test")}
-    rows = newton.design(d, FEATURES, subsets)
+    rows = newton.design(vectors(spark, sf, _strategies), FEATURES, subsets)
     return rows, newton.fit_many(rows, FEATURES, list(subsets), [Fit(k, k) for k in subsets]), list(subsets)
 
 
@@ -247,13 +258,17 @@ def p16o(spark, sf):
 @query("p16_fold_scores")
 def p16f(spark, sf):
     """Year-stratified folds and expanding windows side by side."""
-    d = vectors(spark, sf)
-    subsets, rows = {}, d
-    for name, folds, n in (("strat", splits.stratified_folds(_when(d)), 5), ("inner", splits.expanding_folds(_when(d), splits.INNER_WINDOWS), len(splits.INNER_WINDOWS))):
-        bit = lambda role: F.coalesce(F.bit_or(F.when(F.col("role") == role, F.expr("1 << fold"))), F.lit(0))
-        rows = rows.join(folds.groupBy("row_id").agg(bit("train").alias(f"{name}_train"), bit("val").alias(f"{name}_val")), "row_id", "left")
-        subsets |= {f"{name}-{k}": tuple(F.col(f"{name}_{r}").bitwiseAND(F.lit(1 << k)) != 0 for r in ("train", "val")) for k in range(n)}
-    rows = newton.design(rows, FEATURES, subsets)
+    roles = [(name, n, r) for name, n in (("strat", 5), ("inner", len(splits.INNER_WINDOWS))) for r in ("train", "val")]
+    subsets = {f"{name}-{k}": tuple(F.col(f"{name}_{r}").bitwiseAND(F.lit(1 << k)) != 0 for r in ("train", "val")) for name, n, r in roles if r == "train" for k in range(n)}
+
+    def marked(d):
+        rows = d
+        for name, folds in (("strat", splits.stratified_folds(_when(d))), ("inner", splits.expanding_folds(_when(d), splits.INNER_WINDOWS))):
+            bit = lambda role: F.coalesce(F.bit_or(F.when(F.col("role") == role, F.expr("1 << fold"))), F.lit(0))
+            rows = rows.join(folds.groupBy("row_id").agg(bit("train").alias(f"{name}_train"), bit("val").alias(f"{name}_val")), "row_id", "left")
+        return rows, [f"{name}_{r}" for name, _, r in roles]
+
+    rows = newton.design(vectors(spark, sf, marked), FEATURES, subsets)
     m = newton.held_metrics(rows, newton.fit_many(rows, FEATURES, list(subsets), [Fit(k, k) for k in subsets]), list(subsets))
     return m.filter("part = 'held'").select(F.substring_index("fit", "-", 1).alias("scheme"), F.substring_index("fit", "-", -1).cast("int").alias("fold"), "rows", "auc", "accuracy", "f1")
 
@@ -262,9 +277,10 @@ def p16f(spark, sf):
 def p16n(spark, sf):
     """Five outer folds; within each, C is chosen by four inner folds."""
     outer, inner, cs = FOLDS, 4, (0.001, 0.01, 0.1, 1.0, 10.0)
-    o, i = encoding.fold_of("row_id", outer, "outer"), encoding.fold_of("row_id", inner, "inner")
+    o, i = F.col("_outer"), F.col("_inner")
+    rows = vectors(spark, sf).withColumns({"_outer": encoding.fold_of("row_id", outer, "outer"), "_inner": encoding.fold_of("row_id", inner, "inner")})
     subsets = {f"{a}-{b}": ((o != a) & (i != b), (o != a) & (i == b)) for a in range(outer) for b in range(inner)} | {f"{a}-all": (o != a, o == a) for a in range(outer)}
-    d = newton.design(vectors(spark, sf), FEATURES, subsets)
+    d = newton.design(rows, FEATURES, subsets)
     fitted = newton.fit_many(d, FEATURES, list(subsets), [Fit(f"{k}-{c}", k, c) for k in subsets for c in cs])
     m = newton.held_metrics(d, fitted, list(subsets)).filter("part = 'held'")
     piece = lambda k: F.element_at(F.split("fit", "-"), k)
