@@ -11,12 +11,12 @@ are base spans: phones with a plus, national formats and numbers after a word fo
 identity number are positive, plain ids, dates and amounts negative; contacts with a valid
 domain are positive, those without negative; hexadecimal, mixed and word passwords are
 positive, placeholders and code negative. All others are unlabelled and only scored. They
-are fitted on three quarters of all labelled candidates (by hash) and of ``EXAMPLES``, so
-that formats which a corpus lacks or has rarely are known. Candidates with equal features
-and label are one row with their number, so a fit on all of them reads few rows. A
-generator's label weighs at most as much as ``GROUP_WEIGHT`` candidates, so that none
-drowns the others or the examples. Each generator has its own threshold, from all held-out candidates
-that may be added.
+are fitted on all labelled candidates and ``EXAMPLES``, so that formats which a corpus
+lacks or has rarely are known. Candidates with equal features and label are one row with
+their number, so a fit on all of them reads few rows. A generator's label weighs at most
+as much as ``GROUP_WEIGHT`` candidates, so that none drowns the others or the examples.
+Each generator has its own threshold, from all labelled candidates that may be added:
+each of the ``FOLDS`` parts (by hash) is scored by trees fitted on the others.
 
 Patterns whose plain form could overflow Java's stack or take quadratic time on long runs
 are written with a sentinel for a separator between two digits or a dot between two
@@ -29,6 +29,7 @@ columns are ignored by :func:`find` and kept by :func:`redact`.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
@@ -45,6 +46,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Weight of a corpus's candidates of one generator and label together, at most.
 GROUP_WEIGHT = 1_666.0
 PRECISION = 0.99
+#: Parts of the labelled candidates, each held out once.
+FOLDS = 4
 CONTEXT_CHARS = 24
 
 _SEP, _DOT, _OTHER = "\ue000", "\ue001", "\ue00f"
@@ -228,20 +231,21 @@ def added_spans(found: DataFrame) -> DataFrame:
     free = ~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))
     rows = cut_lineage(_labelled(_features(each)).withColumn("free", free).withColumn("draw", F.xxhash64("value", "before", "k1", "start")))
     # every labelled candidate counts; those that are alike are one row with their number
-    alike = ["gen", "free", "label", "own", "hold", *FEATURES]
-    counted = cut_lineage(rows.filter("label is not null").withColumn("hold", F.pmod("draw", F.lit(4)) == 0).groupBy(*alike).agg(F.count("*").cast("double").alias("n")))
+    alike = ["gen", "free", "label", "own", "fold", *FEATURES]
+    counted = cut_lineage(rows.filter("label is not null").withColumn("fold", F.pmod("draw", F.lit(FOLDS))).groupBy(*alike).agg(F.count("*").cast("double").alias("n")))
     # the weight of a generator's label, and whether it may be added, is bounded
     group = ["gen", "label", "free", "own"]
     share = F.when(F.col("own"), F.least(F.lit(1.0), F.lit(GROUP_WEIGHT) / F.sum("n"))).otherwise(1.0)
     shares = F.broadcast(counted.groupBy(*group).agg(share.alias("share")))  # at most 24 rows
-    learn = counted.filter("not hold").join(shares, group).withColumn("weight", F.col("n") * F.col("share"))
-    hold = counted.filter("hold and free").withColumnRenamed("n", "weight")
-    bins = max(32, isqrt(counted.count()) + 1)  # Spark samples rows for the borders of bins from bins squared rows on
+    weighed = cut_lineage(counted.join(shares, group).withColumn("weight", F.col("n") * F.col("share")))
+    bins = max(32, isqrt(weighed.count()) + 1)  # Spark samples rows for the borders of bins from bins squared rows on
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = GBTClassifier(maxIter=10, maxDepth=4, seed=7, labelCol="label", weightCol="weight", maxBins=bins).fit(assembler.transform(learn).select("features", "label", "weight"))
-    score = lambda df: model.transform(assembler.transform(df)).withColumn("p", vector_to_array("probability")[1])
-    # for each generator the lowest threshold, in hundredths, from which the held-out precision holds
-    steps = score(hold).groupBy("gen", F.floor(F.col("p") * 100).alias("step")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("hit")).orderBy("gen", F.desc("step")).collect()
+    trees = GBTClassifier(maxIter=10, maxDepth=4, seed=7, labelCol="label", weightCol="weight", maxBins=bins)
+    fit = lambda df: trees.fit(assembler.transform(df).select("features", "label", "weight"))
+    score = lambda model, df: model.transform(assembler.transform(df)).withColumn("p", vector_to_array("probability")[1])
+    # for each generator the lowest threshold, in hundredths, from which the precision of the held-out scores holds
+    held = reduce(DataFrame.unionByName, [score(fit(weighed.filter(F.col("fold") != k)), weighed.filter((F.col("fold") == k) & F.col("free"))).select("gen", "p", "n", "label") for k in range(FOLDS)])
+    steps = held.groupBy("gen", F.floor(F.col("p") * 100).alias("step")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hit")).orderBy("gen", F.desc("step")).collect()
     enough = F.lit(False)
     for gen in GENERATORS:
         threshold, n, hit = 101, 0.0, 0.0
@@ -250,7 +254,7 @@ def added_spans(found: DataFrame) -> DataFrame:
             if hit >= PRECISION * n:
                 threshold = s["step"]
         enough = enough | ((F.col("gen") == gen) & (F.col("p") * 100 >= threshold))
-    chosen = score(rows.filter("own and free")).filter(enough)
+    chosen = score(fit(weighed), rows.filter("own and free")).filter(enough)
     spans = chosen.groupBy("k1", "k2").agg(F.collect_set(F.struct("gen", "start", "stop")).alias("all"))
 
     def inner(a: Column, b: Column) -> Column:

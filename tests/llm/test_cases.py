@@ -313,6 +313,18 @@ def test_trees_and_thresholds_count_every_candidate(spark, monkeypatch):
     assert tuple(added) == (20_000, 20_000)
 
 
+def test_every_candidate_is_learned_and_held_out_once(spark, monkeypatch):
+    """Four parts, each held out of one fit and so judged once; the last fit has them all."""
+    weights, own = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii, "GROUP_WEIGHT", 1e9, raising=False)
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, data: weights.append(data.agg(F.sum("weight")).first()[0]) or own(self, data))
+    d = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("call 555"), F.lpad(F.col("id").cast("string"), 7, "1")).alias("text"))
+    pii.find(d).count()
+    whole = weights[-1]
+    assert len(weights) == pii.FOLDS + 1 and whole >= 2_000 + len(pii.EXAMPLES)
+    assert sum(weights[:-1]) == (pii.FOLDS - 1) * whole
+
+
 def test_long_secrets_and_contacts_go_whole(spark):
     secret = 'token = "' + "ab12" * 2_000
     contact = "k" * 500 + " [at] " + "site" * 100 + " [dot] " + "org" * 30
