@@ -110,6 +110,7 @@ def mix(docs: DataFrame, size: Column | None = None, block_words: int = 1024, ma
     slots = shares.agg(F.sum("_slots")).first()[0] or 0
     before = parts.withColumn("_before", F.sum("_n").over(W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n"))
     before = before.join(shares.drop("_source"), "_key").select("_key", "_bucket", "_before", "_source_size", "_target", "_words")
+    before = cut_lineage(before)  # the tables that follow are small and end a plan each, so that the driver holds no plan of the whole job
 
     inside = F.sum("_size").over(W.partitionBy("_key", "_bucket").orderBy("_hash", "_id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size")
     placed = rows.withColumn("_in", inside).join(before, ["_key", "_bucket"]).withColumn("_start", F.col("_before") + F.col("_in"))
@@ -121,9 +122,9 @@ def mix(docs: DataFrame, size: Column | None = None, block_words: int = 1024, ma
     first, last = F.floor(F.col("_from") / block_words), F.floor((F.col("_upto") - 1) / block_words)
     pieces = at.withColumn("_block", F.explode(F.sequence(first, last)))
     pieces = pieces.select("_key", "_start", "_block", (F.least("_upto", (F.col("_block") + 1) * block_words) - F.greatest("_from", F.col("_block") * block_words)).alias("_part"))
-    taken = pieces.join(schedule(spark, shares, slots), ["_key", "_block"])
+    taken = pieces.join(cut_lineage(schedule(spark, shares, slots)), ["_key", "_block"])
     held = F.array_sort(F.collect_list(F.struct(F.col("_slot").alias("slot"), F.col("_part").alias("words"))))  # as many as its words ask for
-    taken = taken.groupBy("_key", "_start").agg(F.sum("_part").alias("_taken"), held.alias("_held"))
+    taken = cut_lineage(taken.groupBy("_key", "_start").agg(F.sum("_part").alias("_taken"), held.alias("_held")))
 
     out = placed.withColumn("_place", F.when(F.col("_size") > 0, F.col("_start"))).join(taken.withColumnRenamed("_start", "_place"), ["_key", "_place"], "left")
     back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)]

@@ -325,6 +325,13 @@ def test_every_candidate_is_learned_and_held_out_once(spark, monkeypatch):
     assert sum(weights[:-1]) == (pii.FOLDS - 1) * whole
 
 
+def test_mix_ends_in_a_small_plan(spark):
+    """The schedule and what is taken are tables: no plan, which the driver holds, has the whole job."""
+    d = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 50)) for i in range(200)], "doc_id long, source string, text string")
+    plan = mixing.mix(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6
+
+
 def test_long_secrets_and_contacts_go_whole(spark):
     secret = 'token = "' + "ab12" * 2_000
     contact = "k" * 500 + " [at] " + "site" * 100 + " [dot] " + "org" * 30
