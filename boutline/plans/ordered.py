@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 5_000_000
 # Rows of one block of a split key when fixed-length frames are evaluated.
 BLOCK_ROWS = 1_000_000
+# Rows that a task of plain windows gets, unless a key has more.
+TASK_ROWS = 250_000
 # Width of the id range used as the second slot level.
 ID_CHUNK = 1 << 20
 
@@ -196,6 +198,14 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame
     return None if hot.isEmpty() else hot
 
 
+def _dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` by ``keys`` over as many tasks as its ``rows`` ask for: the sorts and
+    aggregates of a task keep its rows in memory, and few large tasks may not have it."""
+    tasks = -(-rows // TASK_ROWS)
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys) if tasks > few else df
+
+
 def history(
     df: DataFrame,
     base: list[str],
@@ -207,8 +217,8 @@ def history(
 ) -> DataFrame:
     """All ``pasts`` of every row; their keys all start with ``base``.
 
-    Keys of at most ``hot_rows`` rows share one shuffle on ``base`` and plain
-    windows. Hotter keys (at most rows / hot_rows of them, so the broadcast list
+    Keys of at most ``hot_rows`` rows share one shuffle on ``base``, over tasks of about
+    ``TASK_ROWS`` rows, and plain windows. Hotter keys (at most rows / hot_rows of them, so the broadcast list
     is bounded) are split by slot and block. Whether there are any is asked once,
     by a count per key that reads the key columns only; ``hot_rows=None`` states
     that none is. Both ways give the same rows.
@@ -216,11 +226,14 @@ def history(
     for p in pasts:
         if p.frames and max(k for _, _, k in p.frames.values()) > block_rows:
             raise ValueError("a frame is longer than a block")
-    hot = hot_keys(df, base, hot_rows)
-    if hot is None:
+    if hot_rows is None:
         return reduce(lambda d, p: _past_in_one_task(d, p, order), pasts, df)
-    hot = F.broadcast(hot)
-    cold_rows = df.join(hot, base, "left_anti").select(*df.columns)
+    sizes = df.groupBy(*base).count()
+    most, rows = sizes.agg(F.max("count"), F.sum("count")).first()
+    if (most or 0) <= hot_rows:
+        return reduce(lambda d, p: _past_in_one_task(d, p, order), pasts, _dealt(df, base, rows or 0))
+    hot = F.broadcast(sizes.filter(F.col("count") > hot_rows).select(*base))
+    cold_rows = _dealt(df.join(hot, base, "left_anti").select(*df.columns), base, rows)
     hot_part = df.join(hot, base, "left_semi").select(*df.columns)
     cold_out = reduce(lambda d, p: _past_in_one_task(d, p, order), pasts, cold_rows)
 

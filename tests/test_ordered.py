@@ -103,3 +103,16 @@ def test_nearest_in_time_uses_hours(spark):
     d = spark.createDataFrame([("2024-01-01 00:30:00", 1, "A"), ("2024-01-01 22:00:00", 2, None), ("2024-01-01 23:00:00", 3, "B")], "match_date string, row_id long, x string")
     d = d.withColumn("match_date", F.col("match_date").cast("timestamp"))
     assert {r.row_id: r.x for r in quality.nearest_in_time(d, "x", Roles()).collect()}[2] == "B"
+
+
+def test_history_is_dealt_by_rows(spark, monkeypatch):
+    """More rows than the session's partitions would hold: tasks are added, rows are the same."""
+    from boutline.plans import ordered as o
+
+    d = spark.range(3000).selectExpr("id", "id % 40 as k", "date_add(date'2020-01-01', cast(id % 17 as int)) as day", "id % 3 as v")
+    past = [o.Past(["k"], "n", totals={"s": ("sum", F.col("v"))})]
+    run = lambda: o.history(d, ["k"], past, ["day", "id"], o.time_levels(d, "day", "id"))
+    plain = sorted(run().collect())
+    monkeypatch.setattr(o, "TASK_ROWS", 20)
+    more = run()
+    assert more.rdd.getNumPartitions() == 150 and sorted(more.collect()) == plain
