@@ -108,7 +108,7 @@ def _oof(spark, sf):
 def p6(spark, sf):
     oof = cut_lineage(_oof(spark, sf))
     model, wide = training.stack(oof, ["logistic", "forest"], "row_id")
-    return M.report(training.predict(model, wide, [], "y_true").withColumn("model", F.lit("stack")), ["model"])
+    return M.report(cut_lineage(training.predict(model, wide, [], "y_true")).withColumn("model", F.lit("stack")), ["model"])
 
 
 @query("p7_diverse_models")
