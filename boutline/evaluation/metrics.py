@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.functions.scalar import clip, interval_bin, ratio
-from boutline.plans.ordered import quantiles, running, value_levels
+from boutline.plans.ordered import quantiles, running, value_levels, value_slots
+from boutline.session import cut_lineage
 
 EPS = 1e-15
 
@@ -132,14 +133,14 @@ def composite(weights: dict[str, float] = COMPOSITE_5) -> Column:
 
 def report(df: DataFrame, keys: list[str]) -> DataFrame:
     """All of the above, one row per key. Rows are reduced once to (key, score)
-    cells, and everything is computed from the cells: one shuffle of the rows."""
+    cells, and everything is computed from the written cells: one shuffle of the rows."""
     d, ks = _one_key(df, keys)
-    cells = d.groupBy(*ks, "p").agg(F.sum("y_true").alias("pos"), F.count("*").alias("n"))
+    cells = cut_lineage(d.groupBy(*ks, "p").agg(F.sum("y_true").alias("pos"), F.count("*").alias("n")))
     p, n, pos = F.col("p"), F.col("n"), F.col("pos")
     neg = n - pos
     ll = -(pos * F.ln(F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))) + neg * F.ln(1 - F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))))
     br = pos * (1 - p) * (1 - p) + neg * p * p
-    r = running(cells, ks, value_levels("p"), ["p"], {"below": ("sum", n - pos)}).withColumn("bin", interval_bin(p))
+    r = running(cells, ks, value_slots(cells, ks, "p"), ["p"], {"below": ("sum", n - pos)}).withColumn("bin", interval_bin(p))
     by_bin = r.groupBy(*ks, "bin").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(p * n).alias("sp"), F.sum(ll).alias("ll"), F.sum(br).alias("br"),
         F.sum(pos * (F.col("below") + neg / 2)).alias("u"),

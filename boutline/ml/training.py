@@ -18,6 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutline.ml import forest, newton
 from boutline.session import cut_lineage
 
 
@@ -67,8 +68,26 @@ def fit_learner(train: DataFrame, features: list[str], learner):
     return Pipeline(stages=[*scaled_vector(features), learner]).fit(train)
 
 
+def fit_learners(train: DataFrame, features: list[str], models: dict, label: str = "result") -> dict:
+    """Every model fitted on the same rows. Tree learners see binned rows, which are counted
+    once a number of bins (scaling does not move a row's bin)."""
+    counted, out = {}, {}
+    for name, learner in models.items():
+        if not (forest.covers(learner) or forest.covers_boosting(learner)):
+            out[name] = fit_learner(train, features, learner)
+            continue
+        most = learner.getMaxBins()
+        if most not in counted:
+            bins = forest.find_bins(train, features, most)
+            counted[most] = forest.cells(train, bins, label), bins
+        out[name] = forest.grow(*counted[most], learner) if forest.covers(learner) else forest.boost(*counted[most], learner, label)
+    return out
+
+
 def predict(model, df: DataFrame, keep: list[str], label: str = "result") -> DataFrame:
     """(keep..., y_true, p). Margins without a probability go through a sigmoid."""
+    if isinstance(model, (forest.Forest, forest.OnBins)):
+        return model.predict(df, keep, label)
     d = model.transform(df.withColumn("class_weight", F.lit(1.0)) if "class_weight" not in df.columns else df)
     if "probability" in d.columns:
         p = vector_to_array("probability")[1]
@@ -79,12 +98,27 @@ def predict(model, df: DataFrame, keep: list[str], label: str = "result") -> Dat
 
 def out_of_fold(df: DataFrame, features: list[str], fold: str, folds: int, models: dict, keep: list[str], label: str = "result") -> DataFrame:
     """Long (keep..., y_true, p, model): every row scored by models that did not see
-    its fold. One fit per (fold, model)."""
+    its fold. One fit per (fold, model); the forests of all folds are grown together, and
+    so are the logistic models (``None``) fitted, with the objective of ``fit_logistic``."""
     parts = []
-    for k in range(folds):
-        train, held = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
-        for name, make in models.items():
-            m = fit_logistic(train, features, label=label) if make is None else fit_learner(train, features, make)
+    for name, make in models.items():
+        if make is None:
+            subsets = {str(k): (F.col(fold) != k, F.col(fold) == k) for k in range(folds)}
+            rows = newton.design(df, features, subsets, label, keep)
+            fitted = newton.fit_many(rows, features, list(subsets), [newton.Fit(k, k) for k in subsets])
+            s = newton.scores(rows, fitted, list(subsets), keep, ("held",))
+            parts.append(s.select(*keep, F.col("y_true").cast(dict(df.dtypes)[label]).alias("y_true"), "p", F.lit(name).alias("model")))
+            continue
+        if forest.covers(make):
+            known = df.filter(F.col(fold).between(0, folds - 1))
+            dealt = df.filter(F.col(fold).isNotNull())
+            bins = forest.find_bins(dealt, features, make.getMaxBins(), fold, folds)
+            grown = forest.grow(forest.cells(dealt, bins, label, fold), bins, make)
+            parts.append(grown.predict(known, keep, label, fold).withColumn("model", F.lit(name)))
+            continue
+        for k in range(folds):
+            train, held = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
+            m = fit_learner(train, features, make)
             parts.append(predict(m, held, keep, label).withColumn("model", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -21,6 +21,8 @@ HOT_ROWS = 5_000_000
 BLOCK_ROWS = 1_000_000
 # Rows that a task of plain windows gets, unless a key has more.
 TASK_ROWS = 250_000
+# Rows of a slot of values from which on the next level splits it.
+SLOT_ROWS = 100_000
 # Width of the id range used as the second slot level.
 ID_CHUNK = 1 << 20
 
@@ -69,6 +71,18 @@ def value_levels(value: str) -> list[Column]:
     return [first, (sign * F.floor(mantissa)).cast("bigint"), (sign * F.floor(rest)).cast("bigint")]
 
 
+def value_slots(df: DataFrame, keys: list[str], value: str, most: int = SLOT_ROWS) -> list[Column]:
+    """The first of :func:`value_levels`, as many as it takes until no slot of a key has
+    more than ``most`` rows: the last one alone makes almost as many slots as there are
+    values. Asked by one aggregate; best called on a table that is written."""
+    levels = value_levels(value)
+    lv = [f"__l{i}" for i in range(2)]
+    fine = df.select(*keys, *[c.alias(n) for n, c in zip(lv, levels)]).groupBy(*keys, *lv).count()
+    coarse = fine.groupBy(*keys, lv[0]).agg(F.max("count").alias("two"), F.sum("count").alias("one"))
+    one, two = coarse.agg(F.max("one"), F.max("two")).first()
+    return levels[:1] if (one or 0) <= most else levels[:2] if two <= most else levels
+
+
 def _slot_prefix(slots: DataFrame, keys: list[str], levels: list[str], measures, descending: bool) -> DataFrame:
     """Exclusive prefix of each measure over the slots of each key."""
     first = F.col(levels[0]).desc() if descending else F.col(levels[0]).asc()

@@ -116,3 +116,15 @@ def test_history_is_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(o, "TASK_ROWS", 20)
     more = run()
     assert more.rdd.getNumPartitions() == 150 and sorted(more.collect()) == plain
+
+
+def test_values_get_no_more_slot_levels_than_they_need(spark):
+    d = spark.range(3000).selectExpr("0 AS k", "0.5 + id / 10000.0D AS v")
+    near = spark.range(3000).selectExpr("0 AS k", "0.5 + id / 1e12D AS v")
+    assert [len(ordered.value_slots(d, ["k"], "v", n)) for n in (3000, 100)] == [1, 2]
+    assert len(ordered.value_slots(near, ["k"], "v", 100)) == 3
+    assert len(ordered.value_slots(d.filter("v > 9"), ["k"], "v")) == 1
+    for rows in (d, near):
+        for n in (3000, 100):
+            got = ordered.ranked(rows, ["k"], ordered.value_slots(rows, ["k"], "v", n), ["v"]).orderBy("v").collect()
+            assert [r["_rank"] for r in got] == list(range(3000))
