@@ -91,11 +91,10 @@ def p8g(spark, sf):
 @query("p3_other_learners")
 def p3(spark, sf):
     d = cut_lineage(splits.temporal_split(_form(spark, sf)))
-    out = None
-    for name, learner in training.learners(len(FORM)).items():
-        s = training.predict(training.fit_learner(d.filter("split = 'train'"), FORM, learner), d.filter("split = 'val'"), []).withColumn("model", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return M.rank_models(M.report(out, ["model"]), "auc")
+    fitted = training.fit_learners(d.filter("split = 'train'"), FORM, training.learners(len(FORM)))
+    val = d.filter("split = 'val'")
+    scored = [training.predict(m, val, []).withColumn("model", F.lit(name)) for name, m in fitted.items()]
+    return M.rank_models(M.report(reduce(lambda a, b: a.unionByName(b), scored), ["model"]), "auc")
 
 
 def _oof(spark, sf):
