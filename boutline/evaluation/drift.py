@@ -155,6 +155,10 @@ def adaptive_cut(df: DataFrame, keys: list[str], levels: list[Column], order: li
     return best.select(*keys, F.col("x.n0").alias("cut"), F.col("x.diff").alias("mean_difference"), F.col("x.eps").alias("epsilon"))
 
 
+#: Points that a window judges together.
+STRETCH = 64
+
+
 @dataclass
 class DyadicWindow:
     """The adaptive window of one series in logarithmic memory, a point at a time.
@@ -168,7 +172,8 @@ class DyadicWindow:
     whatever the window's length. Windows of up to 2 * ``exact`` points are cut exactly.
 
     A border holds the sums of values and squares before it and its own value; no point
-    is read twice. No cut is looked for before ``2 * min_window`` points are known; then
+    is read twice. Points are judged in stretches: one bound over a stretch rules out almost
+    all borders at once, and only the others are judged point by point. No cut is looked for before ``2 * min_window`` points are known; then
     those from ``min_window`` on are judged, so a stream and a table agree.
     """
 
@@ -190,52 +195,87 @@ class DyadicWindow:
     def state(self) -> tuple:
         return tuple(getattr(self, f.name) for f in fields(self)[3:])
 
-    def _thin(self, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Without the borders that their age rules out."""
-        level = np.floor(np.log2(np.maximum(1.0, (self.seen - 1 - b) / self.exact))).astype(np.int64)
-        stays = (b >> level) << level == b
-        return (b, own) if stays.all() else (b[stays], own[:, stays])
-
-    def _cut(self, b: np.ndarray, own: np.ndarray) -> int | None:
-        """Place of the best border beyond the bound. Borders are in order, so those with
-        five points on either side are one stretch."""
-        n = self.seen - self.start
-        lo, hi = np.searchsorted(b, (self.start + 5, self.start + n - 5))
-        if lo >= hi:
-            return None
-        left = b[lo:hi] - self.start
+    def _until(self, b: np.ndarray) -> np.ndarray:
+        """Last position at which each border may be used: 2**k divides it for the age's k."""
+        step = np.where(b == 0, 1 << 40, b & -b)
+        return b + 2 * self.exact * step - 1
+
+    def _gaps(self, b, before, n, whole, square):
+        """How far the two sides of each border differ, -1 within the bound; all arguments
+        but ``b`` and ``before`` may be columns with a row a position."""
+        left = b - self.start
         right = n - left
-        before = own[0, lo:hi] - self.start_total
-        whole = self.total - self.start_total
         mean = whole / n
-        spread = max((self.square - self.start_square) / n - mean * mean, 0.0) + 1e-10
-        gap = np.abs(before / left - (whole - before) / right)
+        spread = np.maximum(square / n - mean * mean, 0.0) + 1e-10
         m, ln = left * right / n, math.log(2 / self.delta)
-        gap[gap <= np.sqrt(2 / m * spread * ln) + 2 / (3 * m) * ln] = -1.0
-        best = int(gap.argmax())
-        return int(lo) + best if gap[best] > 0 else None
+        with np.errstate(divide="ignore", invalid="ignore"):  # borders that are still to come at a position
+            gap = np.abs(before / left - (whole - before) / right)
+            return np.where(gap > np.sqrt(2 / m * spread * ln) + 2 / (3 * m) * ln, gap, -1.0)
+
+    def _open(self, b, before, n, whole, square) -> np.ndarray:
+        """Places of the borders that may exceed the bound in any of the windows, which have
+        ``n`` points. With E = sum before the border - mean
+        of the window x points before it, and m = left x right / n, the bound reads |E| >
+        sqrt(2 spread ln m) + 2 ln / 3: E lies between its values at the least and largest
+        mean, and m grows with the window. The allowance is far above what rounding moves."""
+        ln = math.log(2 / self.delta)
+        mean = whole / n
+        spread = max(float((square / n - mean * mean).min()), 0.0) + 1e-10
+        left = b - self.start
+        low, high = left * mean.min(), left * mean.max()
+        far = np.maximum(np.abs(before - low), np.abs(before - high))
+        least = np.maximum(n[0], left + 6)  # a border is judged once five points follow it
+        m = left - left / least * left
+        slack = 1e-9 * (1 + np.abs(before) + np.abs(low) + np.abs(high))
+        return np.flatnonzero(far + slack > np.sqrt(2 * spread * ln * m) * (1 - 1e-9) + 2 / 3 * ln)
+
+    def _stretch(self, b, own, v, total, square) -> tuple[int, int] | None:
+        """(point of the stretch, place of the border) of the first cut among the points
+        ``v``, the last of ``b`` and ``own``; ``total`` and ``square`` are sums up to each."""
+        seen = self.seen + 1 + np.arange(len(v))
+        judged = np.flatnonzero((seen > self.min_window) & (seen - self.start >= 11))
+        if not len(judged):
+            return None
+        seen = seen[judged]
+        lo, hi = np.searchsorted(b, (self.start + 5, seen[-1] - 5))
+        if lo >= hi:
+            return None
+        n, whole, squares = seen - self.start, total[judged] - self.start_total, square[judged] - self.start_square
+        before = own[0, lo:hi] - self.start_total
+        open_ = self._open(b[lo:hi], before, n, whole, squares)
+        if not len(open_):
+            return None
+        c = b[lo:hi][open_]
+        gap = self._gaps(c, before[open_], n[:, None], whole[:, None], squares[:, None])
+        gap[(c >= seen[:, None] - 5) | (self._until(c) < seen[:, None] - 1)] = -1.0
+        hit = np.flatnonzero((gap > 0).any(axis=1))
+        return (int(judged[hit[0]]), int(lo + open_[gap[hit[0]].argmax()])) if len(hit) else None
 
     def _walk(self, points: list[float]) -> Iterator[tuple[int, int]]:
-        """Adds points one by one; borders are arrays while a stretch of points is walked."""
+        """Adds points, a stretch at a time; one with a cut ends at it."""
         b, own = np.asarray(self.borders, np.int64), np.asarray([self.sums, self.squares, self.values], float)
-        for v in points:
-            b = np.concatenate((b, (self.seen,)))
-            own = np.concatenate((own, ((self.total,), (self.square,), (v,))), axis=1)
-            self.total, self.square, self.seen = self.total + v, self.square + v * v, self.seen + 1
-            b, own = self._thin(b, own)
-            if self.seen <= self.min_window or self.seen - self.start < 11:
-                continue
-            k = self._cut(b, own)
-            if k is not None:
-                yield int(b[k]), self.seen - self.start
-                self.start = int(b[k]) + 1
-                self.start_total, self.start_square = float(own[0, k] + own[2, k]), float(own[1, k] + own[2, k] ** 2)
-                b, own = b[k + 1 :], own[:, k + 1 :]
-        self.borders, (self.sums, self.squares, self.values) = b.tolist(), own.tolist()
+        points, at = np.asarray(points, float), 0
+        while at < len(points):
+            v = points[at : at + STRETCH]
+            total, square = np.cumsum((self.total, *v)), np.cumsum((self.square, *(v * v)))
+            wide = np.concatenate((b, self.seen + np.arange(len(v))))
+            sums = np.concatenate((own, (total[:-1], square[:-1], v)), axis=1)
+            cut = self._stretch(wide, sums, v, total[1:], square[1:])
+            done = len(v) if cut is None else cut[0] + 1
+            start = self.start
+            self.total, self.square, self.seen, at = float(total[done]), float(square[done]), self.seen + done, at + done
+            if cut is not None:
+                k = cut[1]
+                yield int(wide[k]), self.seen - start
+                self.start = int(wide[k]) + 1
+                self.start_total, self.start_square = float(sums[0, k] + sums[2, k]), float(sums[1, k] + sums[2, k] ** 2)
+            kept = np.flatnonzero((wide >= (self.start if cut is not None else 0)) & (wide < self.seen) & (self._until(wide) >= self.seen - 1))
+            b, own = wide[kept], sums[:, kept]
+        self.borders, (self.sums, self.squares, self.values) = b, own
 
     def feed(self, values) -> list[tuple[int, int]]:
         """(position, window size) of every cut that the new points bring."""
-        self.first += [float(v) for v in values]
+        self.first = [*self.first, *np.asarray(values, float).tolist()]
         if self.seen + len(self.first) < 2 * self.min_window and self.seen == 0:
             return []
         points, self.first = self.first, []
@@ -259,16 +299,18 @@ def adaptive_sequence(df: DataFrame, keys: list[str], order: list[str], value: s
 
         window, at = None, None
         for batch in batches:
-            names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            turns = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                turns[1:] |= code[1:] != code[:-1]
+            ends = [*np.flatnonzero(turns).tolist(), batch.num_rows]
             values = batch.column(value).to_numpy(zero_copy_only=False)
             found, i = [], 0
-            while i < len(names):
-                j = i
-                while j < len(names) and names[j] == names[i]:
-                    j += 1
-                if names[i] != at:
-                    window, at = DyadicWindow(delta, min_window, exact), names[i]
-                found += [(*names[i], *x) for x in window.feed(values[i:j])]
+            for j in ends if batch.num_rows else ():
+                name = tuple(batch.column(k)[i].as_py() for k in keys)
+                if name != at:
+                    window, at = DyadicWindow(delta, min_window, exact), name
+                found += [(*name, *x) for x in window.feed(values[i:j])]
                 i = j
             if found:
                 columns = list(zip(*found))

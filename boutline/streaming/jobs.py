@@ -6,6 +6,7 @@ import json
 import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -238,35 +239,74 @@ def form_stream(stream: DataFrame, key: str = "team", time: str = "match_date",
 # -- T-4 drift monitor ----------------------------------------------------------
 
 
+# Slots that the series of a drift stream are dealt to.
+DRIFT_SLOTS = 1024
+_WINDOW_LISTS = ("borders", "sums", "squares", "values", "first")
+
+
 class AdaptiveWindow(StatefulProcessor):
-    """Per series the dyadic window: sums at some borders, about log2(n) times a constant."""
+    """For each series of a slot the dyadic window: sums at some borders, about log2(n) times
+    a constant. A call serves a slot of series, since calls and state requests each cost about
+    a millisecond whatever they carry; numbers and lists of all its windows are kept end to end."""
 
     def __init__(self, keys: list[str], order: list[str], value: str, delta: float, min_window: int, exact: int):
         self.keys, self.order, self.value = keys, order, value
         self.sizes = (delta, min_window, exact)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        numbers = "start long, seen long, total double, square double, start_total double, start_square double"
-        lists = "borders array<long>, sums array<double>, squares array<double>, vals array<double>, first array<double>"
-        self.state = handle.getValueState("window", f"{numbers}, {lists}")
+        names = ", ".join(f"key_{i} array<string>" for i in range(len(self.keys)))
+        lists = ", ".join(f"{c} binary" for c in _WINDOW_LISTS)
+        self.state = handle.getValueState("windows", f"{names}, places binary, totals binary, lengths binary, {lists}")
+
+    def _stored(self) -> dict[tuple, DyadicWindow]:
+        if not self.state.exists():
+            return {}
+        kept = self.state.get()
+        names, (places, totals, lengths, *lists) = list(zip(*kept[: len(self.keys)])), kept[len(self.keys) :]
+        places, totals = np.frombuffer(places, np.int64).reshape(-1, 2), np.frombuffer(totals, float).reshape(-1, 4)
+        lengths = np.frombuffer(lengths, np.int64).reshape(-1, len(lists))
+        parts = [np.split(np.frombuffer(x, np.int64 if c == "borders" else float), np.cumsum(n)[:-1]) for c, x, n in zip(_WINDOW_LISTS, lists, lengths.T)]
+        return {name: DyadicWindow(*self.sizes, *places[i].tolist(), *totals[i].tolist(), *[p[i] for p in parts]) for i, name in enumerate(names)}
+
+    def _store(self, windows: dict[tuple, DyadicWindow]) -> None:
+        states = [w.state() for w in windows.values()]
+        places, totals = np.array([s[:2] for s in states], np.int64), np.array([s[2:6] for s in states], float)
+        lists = list(zip(*[s[6:] for s in states]))
+        lengths = np.array([[len(x) for x in c] for c in lists], np.int64).T
+        flat = [np.concatenate([np.asarray(x, np.int64 if c == "borders" else float) for x in parts]) for c, parts in zip(_WINDOW_LISTS, lists)]
+        names = [list(k) for k in zip(*windows)]
+        self.state.update((*names, *[np.ascontiguousarray(x).tobytes() for x in (places, totals, lengths, *flat)]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [list(v) if isinstance(v, (list, tuple)) else v for v in self.state.get()] if self.state.exists() else ()
-        window = DyadicWindow(*self.sizes, *kept)
-        found = window.feed(pd.concat(rows).sort_values(self.order)[self.value].to_numpy(float))
-        self.state.update(tuple([x.item() if hasattr(x, "item") else x for x in v] if isinstance(v, list) else v.item() if hasattr(v, "item") else v for v in window.state()))
-        yield pd.DataFrame([(*key, *x) for x in found], columns=[*self.keys, "position", "window_size"])
+        points = pd.concat(rows)
+        series = points.groupby(self.keys, sort=False, dropna=False)
+        points = points.assign(series_no=series.ngroup()).sort_values(["series_no", *self.order], kind="stable")
+        ends = np.flatnonzero(np.diff(points["series_no"].to_numpy(), append=-1)) + 1
+        values, firsts = points[self.value].to_numpy(float), points[self.keys].iloc[np.concatenate(([0], ends[:-1]))]
+        names = [tuple(None if pd.isna(x) else x for x in n) for n in firsts.itertuples(index=False, name=None)]
+        windows, found = self._stored(), []
+        for name, i, j in zip(names, (0, *ends[:-1]), ends):
+            window = windows.setdefault(name, DyadicWindow(*self.sizes))
+            found += [(*name, *x) for x in window.feed(values[i:j])]
+        self._store(windows)
+        yield pd.DataFrame(found, columns=[*self.keys, "position", "window_size"])
 
     def close(self) -> None:
         pass
 
 
-def drift_stream(stream: DataFrame, keys: list[str], order: list[str], value: str, delta: float = 0.002, min_window: int = 30, exact: int = 32) -> DataFrame:
+def drift_stream(stream: DataFrame, keys: list[str], order: list[str], value: str, delta: float = 0.002, min_window: int = 30, exact: int = 32, slots: int = DRIFT_SLOTS) -> DataFrame:
     """Drift points of series as they arrive. Points come in order between micro-batches;
-    within one they are sorted."""
+    within one they are sorted. State is kept by ``slots`` of series: a task holds the rows of
+    a batch and the windows of one slot at a time. A stream keeps its number of slots for as
+    long as its checkpoint."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = dict(stream.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "position long, window_size long"])
-    return stream.select(*keys, *order, value).groupBy(*keys).transformWithStateInPandas(
-        AdaptiveWindow(keys, order, value, delta, min_window, exact), StructType.fromDDL(schema), "Append", "None"
+    schema = ", ".join([*[f"{k} string" for k in keys], "position long, window_size long"])
+    names = [F.col(k).cast("string").alias(k) for k in keys]
+    # an order column that is a key as well would be sorted as text
+    slotted = stream.select(F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("slot_no"), *names, *[F.col(o).alias(f"order_{o}") for o in order], F.col(value).cast("double").alias("point"))
+    found = slotted.groupBy("slot_no").transformWithStateInPandas(
+        AdaptiveWindow(keys, [f"order_{o}" for o in order], "point", delta, min_window, exact), StructType.fromDDL(schema), "Append", "None"
     )
+    return found.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], "position", "window_size")

@@ -340,3 +340,35 @@ def test_swaps_of_both_sides_are_one_batch(spark, sf, scorer, monkeypatch):
     rows = seen[0]
     assert rows.groupBy("draft_id", "side").count().filter("count <> 26").count() == 0 and rows.select("row_id").distinct().count() == 20 * 2 * 26
     assert "RepartitionByExpression [draft_id" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_series_of_a_drift_stream_share_slots(spark, tmp_path):
+    """Many series in few calls: a call costs the same whatever it carries. Keys of other
+    types than text, null among them, come back as they were."""
+    xs = [(i % 40 if i % 40 else None, i, float(i * 7919 % 100 < (20 if i < 6000 else 80))) for i in range(12000)]
+    d = spark.createDataFrame(xs, "k int, i int, v double")
+    for n in range(3):
+        d.filter(f"i >= {n * 4000} AND i < {(n + 1) * 4000}").coalesce(1).write.parquet(f"{tmp_path}/in/p={n}")
+    s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    progress = jobs.run_available(jobs.drift_stream(s, ["k"], ["i"], "v", slots=2), f"{tmp_path}/out", f"{tmp_path}/chk")
+    assert max(int(o["numRowsTotal"]) for p in progress for o in p["stateOperators"]) <= 2  # a state row a slot, not a series
+    key = lambda r: (r[0] is None, r)
+    got = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=key)
+    want = sorted((tuple(r) for r in drift.adaptive_sequence(d, ["k"], ["i"], "v").collect()), key=key)
+    assert got == want and len({r[0] for r in got}) > 30
+
+
+def test_window_judges_points_together():
+    """A stretch of points shares a bound; one by one they would take some 90 numpy calls each."""
+    from unittest import mock
+
+    from boutline.evaluation.drift import DyadicWindow
+
+    series = [float(i * 7919 % 100 < 70) for i in range(20_000)]
+    with mock.patch.object(DyadicWindow, "_gaps", autospec=True, side_effect=DyadicWindow._gaps) as judged:
+        found = DyadicWindow().feed(series)
+    assert judged.call_count < len(series) / 50
+    one, window = [], DyadicWindow()
+    for v in series:
+        one += window.feed([v])
+    assert found == one
