@@ -23,14 +23,16 @@ FEATURES = list(CANONICAL_48)
 FOLDS = 5
 
 
-def vectors(spark, sf, marked=None):
-    """Every row's 48 features: lookups of the training part, history before the row.
-    ``marked`` (rows -> rows, names) adds columns to the rows, which are kept. Not written:
-    the design, which reads them once, is."""
-    tagged, names = cut_lineage(splits.temporal_split(fx.wide(spark, sf)).drop("_rank")), []
-    if marked is not None:
-        tagged, names = marked(tagged)
-        tagged = cut_lineage(tagged)
+def vectors(spark, sf):
+    """Every row's 48 features: lookups of the training part, history before the row. Not
+    written: the design, which reads them once, is."""
+    return _marked_vectors(spark, sf, lambda rows: (rows, []))
+
+
+def _marked_vectors(spark, sf, marked):
+    """:func:`vectors`; ``marked`` (rows -> rows, names) adds columns to the rows, which are kept."""
+    rows = cut_lineage(fx.wide(spark, sf))
+    tagged, names = marked(splits.temporal_tags(rows, {"split": splits.PRESETS["70_15_15"]}))
     model = FeatureModel.fit(tagged.filter("split = 'train'").drop("split", *names))
     return model.vector(tagged, "rows", ["row_id", "match_date", "result", "split", *names])
 
@@ -209,21 +211,18 @@ def _when(d):
 
 
 def _strategies(d):
-    """Rows with one split column for each strategy and ratio; ranks are made once."""
-    parts, rows = [], _when(d)
-    pure = splits.temporal_split(rows).withColumn("_n", rows.agg(F.count("*")).scalar())
-    for name, ranked in (("pure", pure), ("stratified", splits.stratified_temporal_split(rows)), ("random", splits.stratified_random_split(rows))):
-        parts.append(ranked.select("row_id", *[splits.tag(F.col("_rank"), F.col("_n"), r[0], r[1]).alias(f"{name}-{key}") for key, r in splits.PRESETS.items()]))
-    out = d
-    for p in parts:  # before the features are looked up, while the rows are narrow
-        out = out.join(p, "row_id", "left")
-    return out, [f"{n}-{k}" for n in ("pure", "stratified", "random") for k in splits.PRESETS]
+    """Rows with one split column for each strategy and ratio, before the features are
+    looked up."""
+    cuts = lambda name: {f"{name}-{key}": r for key, r in splits.PRESETS.items()}
+    d = splits.temporal_tags(d, cuts("pure"))
+    d = splits.temporal_tags(d, cuts("stratified"), ["year"], 10)
+    return splits.random_tags(d, cuts("random")), [f"{n}-{k}" for n in ("pure", "stratified", "random") for k in splits.PRESETS]
 
 
 def _compared(spark, sf):
     names = [f"{n}-{k}" for n in ("pure", "stratified", "random") for k in splits.PRESETS]
     subsets = {f"{n}-{part}": (F.col(f"`{n}`") == "train", F.col(f"`{n}`") == part) for n in names for part in ("val", "test")}
-    rows = newton.design(vectors(spark, sf, _strategies), FEATURES, subsets)
+    rows = newton.design(_marked_vectors(spark, sf, _strategies), FEATURES, subsets)
     return rows, newton.fit_many(rows, FEATURES, list(subsets), [Fit(k, k) for k in subsets]), list(subsets)
 
 
@@ -266,9 +265,10 @@ def p16f(spark, sf):
         for name, folds in (("strat", splits.stratified_folds(_when(d))), ("inner", splits.expanding_folds(_when(d), splits.INNER_WINDOWS))):
             bit = lambda role: F.coalesce(F.bit_or(F.when(F.col("role") == role, F.expr("1 << fold"))), F.lit(0))
             rows = rows.join(folds.groupBy("row_id").agg(bit("train").alias(f"{name}_train"), bit("val").alias(f"{name}_val")), "row_id", "left")
+        rows = cut_lineage(rows)
         return rows, [f"{name}_{r}" for name, _, r in roles]
 
-    rows = newton.design(vectors(spark, sf, marked), FEATURES, subsets)
+    rows = newton.design(_marked_vectors(spark, sf, marked), FEATURES, subsets)
     m = newton.held_metrics(rows, newton.fit_many(rows, FEATURES, list(subsets), [Fit(k, k) for k in subsets]), list(subsets))
     return m.filter("part = 'held'").select(F.substring_index("fit", "-", 1).alias("scheme"), F.substring_index("fit", "-", -1).cast("int").alias("fold"), "rows", "auc", "accuracy", "f1")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutline.functions.scalar import clip, patch_number
-from boutline.plans.ordered import HOT_ROWS, Past, history, ranked, time_levels
+from boutline.plans.ordered import HOT_ROWS, Past, border_rows, history, ranked, time_levels, with_totals
 from boutline.roles import MATCH, Roles
 
 # Ratio presets (train, validation, test).
@@ -34,6 +34,30 @@ def temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.15, roles:
     return time_rank(df, [], roles).withColumn("split", tag(F.col("_rank"), n, train, val))
 
 
+def _tagged(df: DataFrame, keys: list[str], levels: list[Column], order: list[str], cuts: dict[str, tuple], min_rows: int) -> DataFrame:
+    """``df`` with a split column for each of ``cuts`` (name -> shares of train, validation and more): a row's order
+    values are compared with those of the rows at the cuts, so no row is moved."""
+    places = {f"{name}-{i}": F.floor(F.col("_n") * F.lit(sum(r[: i + 1]))) for name, r in cuts.items() for i in range(2)}
+    b = border_rows(df, keys, levels, order, places).filter(F.col("_n") >= min_rows)
+    out = df.join(F.broadcast(b), keys, "left") if keys else with_totals(df, b, [])  # a row a key: as short as the calendar
+    before = lambda place: F.col(f"`{place}`").isNull() | (F.struct(*order) < F.col(f"`{place}`"))
+    tag = lambda name: F.when(F.col("_n").isNotNull(), F.when(before(f"{name}-0"), "train").when(before(f"{name}-1"), "val").otherwise("test"))
+    return out.select(*[f"`{c}`" for c in df.columns], *[tag(name).alias(name) for name in cuts])
+
+
+def temporal_tags(df: DataFrame, cuts: dict[str, tuple], keys: list[str] | None = None, min_rows: int = 0, roles: Roles = MATCH) -> DataFrame:
+    """The splits of :func:`temporal_split` (of :func:`stratified_temporal_split` with
+    ``keys``) for several ratios, without ranks; null where a key has too few rows. Reads
+    ``df`` a few times, so it should be written."""
+    return _tagged(df, keys or [], time_levels(df, roles.time, roles.row), [roles.time, roles.row], cuts, min_rows)
+
+
+def random_tags(df: DataFrame, cuts: dict[str, tuple], seed: str = "42", min_rows: int = 10, roles: Roles = MATCH) -> DataFrame:
+    """The splits of :func:`stratified_random_split` likewise."""
+    hashed = df.withColumn("_h", F.md5(_hash_text(seed, [roles.year], roles)))
+    return _tagged(hashed, [roles.year], _hash_slots(), ["_h", roles.row], cuts, min_rows).drop("_h")
+
+
 def _with_size(df: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
     """Rows of groups of at least min_rows, with the group's size. The counted table
     has one row per year (and label): as short as the calendar, so it is broadcast
@@ -48,13 +72,19 @@ def stratified_temporal_split(df: DataFrame, train: float = 0.7, val: float = 0.
     return d.withColumn("split", tag(F.col("_rank"), F.col("_n"), train, val))
 
 
+def _hash_text(seed: str, parts: list[str], roles: Roles) -> Column:
+    return F.concat_ws("-", F.lit(seed), *[F.col(p).cast("string") for p in parts], F.col(roles.row).cast("string"))
+
+
+def _hash_slots() -> list[Column]:
+    return [F.substring("_h", 1, 2), F.substring("_h", 1, 4)]
+
+
 def shuffled(df: DataFrame, keys: list[str], seed: str, parts: list[str], roles: Roles = MATCH, source: DataFrame | None = None) -> DataFrame:
     """Rank in the order of md5(seed-parts-row) within keys. The hash prefix is the
     slot, so slots are even whatever the data."""
-    text = F.concat_ws("-", F.lit(seed), *[F.col(p).cast("string") for p in parts], F.col(roles.row).cast("string"))
-    hashed = lambda d: d.withColumn("_h", F.md5(text))
-    slot = [F.substring("_h", 1, 2), F.substring("_h", 1, 4)]
-    return ranked(hashed(df), keys, slot, ["_h", roles.row], source=None if source is None else hashed(source)).drop("_h")
+    hashed = lambda d: d.withColumn("_h", F.md5(_hash_text(seed, parts, roles)))
+    return ranked(hashed(df), keys, _hash_slots(), ["_h", roles.row], source=None if source is None else hashed(source)).drop("_h")
 
 
 def stratified_random_split(df: DataFrame, train: float = 0.7, val: float = 0.15, seed: str = "42", by_label: bool = False, min_rows: int = 10, roles: Roles = MATCH) -> DataFrame:

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutline.session import cut_lineage
+
 # Rows of one key above which its windows are split over several tasks.
 HOT_ROWS = 5_000_000
 # Rows of one block of a split key when fixed-length frames are evaluated.
@@ -139,6 +141,29 @@ def ranked(df: DataFrame, keys: list[str], levels: list[Column], order: list[str
     return running(df, keys, levels, order, {name: ("sum", F.lit(1))}, source=source).withColumn(name, F.col(name).cast("long"))
 
 
+def border_rows(df: DataFrame, keys: list[str], levels: list[Column], order: list[str], places: dict[str, Column]) -> DataFrame:
+    """(keys..., _n, <place>...): of each key its rows, and for each place (a 0-based position
+    as a column over ``_n``) the order's values of the row there, null past the end. Rows
+    are before a place if their order's values are smaller, so cuts by position need no rank
+    of every row: they are counted by slot, and only the slots that hold a place are ordered.
+    Keys must not be null and come with few places: one row a key, written."""
+    lv = [f"__l{i}" for i in range(len(levels))]
+    src = df.select(*keys, F.struct(*order).alias("__x"), *[c.alias(n) for n, c in zip(lv, levels)])
+    types = dict(src.dtypes)
+    src = src.withColumns({c: F.coalesce(c, F.lit(_FIRST_VALUE[types[c]]).cast(types[c])) for c in lv})
+    slots = cut_lineage(src.groupBy(*keys, *lv).agg(F.count("*").alias("__c")))
+    totals = slots.groupBy(*keys).agg(F.sum("__c").alias("_n"))
+    at = with_totals(slots.join(_slot_prefix(slots, keys, lv, {"__c": "sum"}, False), [*keys, *lv]), totals, keys)
+    first = F.coalesce("__o___c", F.lit(0))
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), (p - first).alias("k")) for n, p in places.items()])
+    held = at.withColumn("__w", F.filter(wanted, lambda w: (w["k"] >= 0) & (w["k"] < F.col("__c")))).filter(F.size("__w") > 0).select(*keys, *lv, "__w")
+    w = Window.partitionBy(*keys, *lv).orderBy("__x")
+    near = src.join(F.broadcast(held), [*keys, *lv]).withColumn("__k", F.row_number().over(w) - 1)
+    found = near.select(*keys, "__x", F.explode(F.filter("__w", lambda w: w["k"] == F.col("__k"))).alias("__w"))
+    rows = found.groupBy(*keys).agg(*[F.max(F.when(F.col("__w.name") == n, F.col("__x"))).alias(n) for n in places])
+    return cut_lineage(totals.join(rows, keys, "left") if keys else with_totals(rows, totals, []))
+
+
 def with_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """The totals of each row's key as columns. Without keys they are one row and
     come as a scalar: a join on a constant would be planned as a cross join."""

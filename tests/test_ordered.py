@@ -128,3 +128,23 @@ def test_values_get_no_more_slot_levels_than_they_need(spark):
         for n in (3000, 100):
             got = ordered.ranked(rows, ["k"], ordered.value_slots(rows, ["k"], "v", n), ["v"]).orderBy("v").collect()
             assert [r["_rank"] for r in got] == list(range(3000))
+
+
+def test_tags_by_border_rows_are_those_of_the_ranks(spark):
+    from boutline.operators import splits
+
+    d = toy(spark, 700).withColumn("year", F.year("match_date") + (F.col("row_id") % 5 == 0).cast("int") * 3 + (F.col("row_id") > 694).cast("int"))
+    few = d.groupBy("year").count().filter("count < 10").count()
+    assert few == 2  # years that are left out
+    for name, r in splits.PRESETS.items():
+        for ranks, tags in (
+            (splits.temporal_split(d, *r[:2]), splits.temporal_tags(d, {name: r})),
+            (splits.stratified_temporal_split(d, *r[:2]), splits.temporal_tags(d, {name: r}, ["year"], 10)),
+            (splits.stratified_random_split(d, *r[:2]), splits.random_tags(d, {name: r})),
+        ):
+            assert tags.columns == [*d.columns, name] and tags.count() == 700
+            assert rows(ranks.select("row_id", "split")) == rows(tags.filter(F.col(f"`{name}`").isNotNull()).select("row_id", f"`{name}`"))
+            moved = tags._jdf.queryExecution().executedPlan().toString()
+            assert "Window" not in moved and "hashpartitioning" not in moved
+    assert {r[0] for r in splits.temporal_tags(d.limit(1), {"s": (0.0, 0.0)}).select("s").collect()} == {"test"}
+    assert {r[0] for r in splits.temporal_tags(d, {"s": (0.5, 0.5)}).select("s").collect()} == {"train", "val"}
