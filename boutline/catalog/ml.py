@@ -11,7 +11,7 @@ from boutline.catalog.evaluation import preds
 from boutline.catalog.features import ALL, TRAIN, _DRAFT_ROWS, vector_sql
 from boutline.evaluation import metrics as M
 from boutline.fixtures import with_views
-from boutline.ml import lifecycle, training
+from boutline.ml import lifecycle, newton, training
 from boutline.ml.scoring import DraftScorer
 from boutline.operators import encoding, features, form, lookups, splits
 from boutline.operators.features import CANONICAL_48, FeatureModel
@@ -120,7 +120,10 @@ def p7d(spark, sf):
 def _scorer(spark, sf):
     train = cut_lineage(fx.wide(spark, sf).filter("year < 1998"))
     fm = FeatureModel.fit(train)
-    return DraftScorer(fm, training.fit_logistic(cut_lineage(fm.vector(train, "rows", ["row_id", "result"])), list(CANONICAL_48)))
+    names = list(CANONICAL_48)
+    rows = newton.design(fm.vector(train, "rows", ["row_id", "result"]), names, {"train": (F.lit(True), F.lit(False))})
+    fitted = newton.fit_many(rows, names, ["train"], [newton.Fit("ridge", "train")])  # the objective of fit_logistic
+    return DraftScorer(fm, {**dict(zip(names, fitted.coefficients[0].tolist())), "intercept": float(fitted.intercepts[0])})
 
 
 @query("p11_score_drafts")

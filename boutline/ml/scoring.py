@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutline.evaluation.metrics import confidence
+from boutline.ml.swaps import SwapTables, suggestions
 from boutline.ml.training import predict
 from boutline.operators import drafts as D
 from boutline.operators.features import CANONICAL_48, FeatureModel
@@ -78,7 +79,11 @@ class DraftScorer:
     def _suggestions(self, drafts: DataFrame, meta: DataFrame, sides: tuple[str, ...]) -> DataFrame:
         """The draft as it is (no swap role) and its 25 swaps, 26 rows a side, scored
         together. They are dealt over tasks before features are looked up: drafts alone
-        are so small that a task or two would get them all."""
+        are so small that a task or two would get them all. A linear model scores the swaps
+        in the side's row instead (``ml/swaps.py``), if its tables may be sent to the tasks."""
+        tables = SwapTables.of(self.features, meta) if isinstance(self.model, dict) else None
+        if tables is not None:
+            return self._swaps_in_place(drafts, meta, sides, tables)
         rows = D.side_rows(drafts).withColumn("side_name", F.lower("side")).filter(F.col("side_name").isin(*sides))
         cand = D.swap_candidates(drafts, meta).select("draft_id", F.col("role").alias("swap_role"), "champion", "place")
         as_is = drafts.select("draft_id", *[F.lit(None).cast(t).alias(c) for c, t in cand.dtypes[1:]])
@@ -95,6 +100,14 @@ class DraftScorer:
         gains = gains.select("draft_id", "side", "x.role", "x.champion", F.round((F.col("x.p") - F.col("p_now")) * 100, 1).alias("gain"))
         return D.resolve_suggestions(gains, keys=("draft_id", "side")).select("draft_id", "place", "role", "champion", "gain", "side")
 
+    def _swaps_in_place(self, drafts: DataFrame, meta: DataFrame, sides: tuple[str, ...], tables: SwapTables) -> DataFrame:
+        """No row is multiplied or moved: a side's features are looked up once."""
+        r = self.features.roles
+        swaps = D.with_swaps(drafts, meta).withColumn("swaps", F.transform("swaps", lambda x: x["champion"]))
+        rows = D.side_rows(swaps).withColumn("side_name", F.lower("side")).filter(F.col("side_name").isin(*sides))
+        v = self.features.vector(rows, "snapshot", ["draft_id", "side_name", "swaps", *r.champions, r.patch])
+        return suggestions(v, tables, self.model, list(r.champions), r.patch)
+
 
 def weighted_features(df: DataFrame, coef: dict[str, float]) -> DataFrame:
     """A linear score as a column expression, for models kept as plain numbers."""

@@ -36,7 +36,7 @@ def side_rows(drafts: DataFrame, context: dict[str, Column] | None = None) -> Da
             f += [F.coalesce(F.col(f"{s}_players")[r], F.lit(UNKNOWN)).alias(f"{x}_player") for r, x in zip(ROLES, ROLE_PREFIX)]
         return F.struct(*f)
 
-    keep = [c for c in ("draft_id", "patch", "league", "split_name", "year", "playoffs") if c in drafts.columns]
+    keep = [c for c in ("draft_id", "patch", "league", "split_name", "year", "playoffs", "swaps") if c in drafts.columns]
     out = drafts.select(*keep, F.explode(F.array(side("blue", "Blue"), side("red", "Red"))).alias("x")).select(*keep, "x.*")
     out = out.withColumns({k: v for k, v in context.items() if k not in out.columns})
     return out.withColumn("row_id", F.col("draft_id") * 2 + (F.col("side") == "Red").cast("int"))
@@ -205,9 +205,9 @@ def apply_fallback(df: DataFrame, known: KnownEntities) -> DataFrame:
     return out.drop("__f", "nearest", *[f"__n{i}" for i in range(5)])
 
 
-def swap_candidates(drafts: DataFrame, meta: DataFrame, side: str = "blue", top: int = 5) -> DataFrame:
-    """(draft_id, role, champion, place): for every role, the best champions by meta
-    strength on the draft's patch that are neither picked nor banned.
+def with_swaps(drafts: DataFrame, meta: DataFrame, top: int = 5, how: str = "left") -> DataFrame:
+    """Drafts with ``swaps``: the best champions by meta strength on the draft's patch (structs
+    with champion and meta_strength, best first) that are neither picked nor banned.
 
     A draft uses at most 20 champions, so the first 20 + top of a patch contain the
     answer: the join brings a fixed number of rows per draft.
@@ -217,9 +217,14 @@ def swap_candidates(drafts: DataFrame, meta: DataFrame, side: str = "blue", top:
     ranked = best.groupBy("patch").agg(F.array_sort(F.collect_list(F.struct("__r", "champion", "meta_strength"))).alias("__best"))
     used = F.array_distinct(F.concat(F.map_values("blue_picks"), F.map_values("red_picks"), F.col("blue_bans"), F.col("red_bans")))
     free = F.slice(F.filter("__best", lambda x: ~F.array_contains("__u", x["champion"])), 1, top)
+    out = drafts.withColumn("__u", used).join(F.broadcast(ranked), "patch", how)  # one row per patch
+    return out.withColumn("swaps", free).drop("__u", "__best")
+
+
+def swap_candidates(drafts: DataFrame, meta: DataFrame, side: str = "blue", top: int = 5) -> DataFrame:
+    """(draft_id, role, champion, place): for every role, the draft's :func:`with_swaps`."""
     return (
-        drafts.withColumn("__u", used).join(F.broadcast(ranked), "patch")  # one row per patch
-        .select("draft_id", F.posexplode(free).alias("i", "x"))
+        with_swaps(drafts, meta, top, "inner").select("draft_id", F.posexplode("swaps").alias("i", "x"))
         .select("draft_id", "x.champion", "x.meta_strength", (F.col("i") + 1).alias("place"), F.explode(F.array(*[F.lit(r) for r in ROLES])).alias("role"))
     )
 
