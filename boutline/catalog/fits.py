@@ -31,9 +31,9 @@ def vectors(spark, sf):
 
 def _marked_vectors(spark, sf, marked):
     """:func:`vectors`; ``marked`` (rows -> rows, names) adds columns to the rows, which are kept."""
-    rows = cut_lineage(fx.wide(spark, sf))
-    tagged, names = marked(splits.temporal_tags(rows, {"split": splits.PRESETS["70_15_15"]}))
-    model = FeatureModel.fit(tagged.filter("split = 'train'").drop("split", *names))
+    rows = splits.temporal_tags(cut_lineage(fx.wide(spark, sf)), {"split": splits.PRESETS["70_15_15"]})
+    model = FeatureModel.fit(rows.filter("split = 'train'").drop("split"))  # without the marks, which no lookup needs
+    tagged, names = marked(rows)
     return model.vector(tagged, "rows", ["row_id", "match_date", "result", "split", *names])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutline.functions.scalar import clip, patch_number
-from boutline.plans.ordered import HOT_ROWS, Past, border_rows, history, ranked, time_levels, with_totals
+from boutline.plans.ordered import HOT_ROWS, Past, border_rows, history, ranked, time_levels
 from boutline.roles import MATCH, Roles
 
 # Ratio presets (train, validation, test).
@@ -39,7 +39,12 @@ def _tagged(df: DataFrame, keys: list[str], levels: list[Column], order: list[st
     values are compared with those of the rows at the cuts, so no row is moved."""
     places = {f"{name}-{i}": F.floor(F.col("_n") * F.lit(sum(r[: i + 1]))) for name, r in cuts.items() for i in range(2)}
     b = border_rows(df, keys, levels, order, places).filter(F.col("_n") >= min_rows)
-    out = df.join(F.broadcast(b), keys, "left") if keys else with_totals(df, b, [])  # a row a key: as short as the calendar
+    if keys:
+        out = df.join(F.broadcast(b), keys, "left")  # a row a key: as short as the calendar
+    else:  # one row: its values are constants, so that no reader of the tags asks for them again
+        row, types = b.first(), dict(b.select(*[f"`{p}`.{o}" for p in list(places)[:1] for o in order]).dtypes)
+        border = lambda p: F.struct(*[F.lit(row[p][o]).cast(types[o]).alias(o) for o in order]) if row and row[p] else F.lit(None)
+        out = df.withColumns({"_n": F.lit(row["_n"] if row else None), **{p: border(p) for p in places}})
     before = lambda place: F.col(f"`{place}`").isNull() | (F.struct(*order) < F.col(f"`{place}`"))
     tag = lambda name: F.when(F.col("_n").isNotNull(), F.when(before(f"{name}-0"), "train").when(before(f"{name}-1"), "val").otherwise("test"))
     return out.select(*[f"`{c}`" for c in df.columns], *[tag(name).alias(name) for name in cuts])
